@@ -4,21 +4,63 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caravan.llm import bottomk
+from caravan.llm import balanced_shards, bottomk, chat, decontaminate, license_scan, sentencepiece_offsets, sstable, warc
+from caravan.llm.shared import work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "sstable")
+    sstable.write_shards(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return sstable.read_shards(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards.shard_documents(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: What the conversations of op5 hold besides the table.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_events(chat.events_of_turns(turns), horizon=8))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_offsets.encode_with_offsets(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("bounds", 256).alias("bounds_sha256"))
+
+
+def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), window=10)
+    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_bottomk_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(_table(spark, sf_dir, "documents"), n=3, ratio=Fraction(85, 100))
 
 
-QUERIES = {
-    "op10_bottomk_near_duplicates": op10_bottomk_near_duplicates,
-}
+QUERIES = {f.__name__: f for f in (op1_token_sstable, op3_balanced_shards, op4_warc, op5_chat, op6_sentencepiece, op7_wu_manber, op8_license_scan, op10_bottomk_near_duplicates)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_license_scan": license_scan.oracle()}
