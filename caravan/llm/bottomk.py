@@ -7,93 +7,58 @@ generate candidate pairs, the sketch of the union estimates their similarity, an
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravan.llm import words as W
-from caravan.llm.components import connected_components
-from caravan.llm.shared import attach, materialize, text_slices
+from caravan.llm.shared import attach, materialize, small, text_slices
+from caravan.llm.similarity import linked_components, normal
 
 #: Of the k values of a sketch, so many must agree for a pair to be looked at. At a similarity of 0.8 the number that
 #: agree is binomial (32, 0.8), below 14 with a probability of 1e-6, at 0.85 of 1e-8.
 K, AGREE = 32, 14
-#: Lists of up to SHORT members are compared as pairs. Longer ones go by blocks, of at most BLOCK members or SHINGLES
-#: shingles, over each member's LOWEST smallest values of such lists: a pair at the similarity of 0.8 shares none of them
-#: with a probability of about 0.2 ** 10.
-SHORT, BLOCK, SHINGLES, LOWEST = 48, 1000, 1_000_000, 10
-
-
-def _normal(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").translate(W.LOWER_WORDS)
 
 
 def _sketcher(n: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sizes, digests, sketches = [], [], []
+            sizes, tags, digests, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
-                data = _normal(text)
+                data = normal(text)
                 shingles = np.unique(W.shingle_hashes(W.word_hashes(data)[2], n))
                 sizes.append(len(shingles))
+                tags.append(zlib.crc32((text or "").encode("utf-8", "surrogatepass")))
                 digests.append(hashlib.blake2b(b" ".join(data.split()), digest_size=16).digest() if len(shingles) else None)
                 sketches.append(shingles[:k].view(np.int64))
             flat = np.concatenate(sketches) if sketches else np.empty(0, np.int64)
             offsets = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
-                ["doc_id", "n_shingles", "digest", "sketch"],
+                [batch.column(0), pa.array(tags, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
+                ["doc_id", "tag", "n_shingles", "digest", "sketch"],
             )
 
     return run
 
 
 def sketch(docs: DataFrame, n: int, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, digest of the word sequence, sketch: the k smallest shingle hashes, ascending)."""
+    """(doc_id, tag: crc32 of the text, n_shingles, digest of the word sequence, sketch: the k smallest shingle hashes, ascending)."""
     attach(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketcher(n, k), "doc_id long, n_shingles long, digest binary, sketch array<long>")
-
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketcher(n, k), "doc_id long, tag long, n_shingles long, digest binary, sketch array<long>")
 
-def _verifier(n: int, numerator: int, denominator: int):
-    def shingles(text: str) -> set:
-        w = _normal(text).split()
-        m = min(n, len(w))
-        return {tuple(w[i : i + m]) for i in range(len(w) - m + 1)} if w else set()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, set()
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in ((i, min(i + 256, len(a))) for i in range(0, len(a), 256)):
-                left, right = batch.column(2).slice(i, j - i).to_pylist(), batch.column(3).slice(i, j - i).to_pylist()
-                good = []
-                for x in range(j - i):
-                    if a[i + x] != last:
-                        last, kept = a[i + x], shingles(left[x])
-                    other = shingles(right[x])
-                    both = len(kept & other)
-                    good.append(denominator * both >= numerator * (len(kept) + len(other) - both) and both > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(a[i:j], pa.binary()), pa.array(b[i:j], pa.binary())], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, k: int, ratio: Fraction) -> DataFrame:
-    """Of pairs(a, b) of class digests those whose sketches may reach the ratio and whose full shingle sets do."""
+def _likely(classes: DataFrame, k: int):
+    """Drops pairs whose sketches, as a sketch of the union, agree in too few values."""
     side = lambda x: classes.select(F.col("digest").alias(x), F.col("sketch").alias(f"s{x}"))
-    both = F.array_intersect("sa", "sb")
     smallest = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    agree = F.size(F.array_intersect(both, smallest))
+    agree = F.size(F.array_intersect(F.array_intersect("sa", "sb"), smallest))
     enough = F.greatest(F.lit(1), F.floor(F.size(smallest) * F.lit(AGREE) / F.lit(K)))
-    likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(agree >= enough).select("a", "b"), "likely")
-    left, right = texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), texts.select(F.col("digest").alias("b"), F.col("text").alias("tb"))
-    rows = likely.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(_verifier(n, ratio.numerator, ratio.denominator), "a binary, b binary")
+    return lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(agree >= enough).select("a", "b")
 
 
 def _lists(classes: DataFrame, k: int) -> DataFrame:
@@ -117,15 +82,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, ratio: Fraction = Fraction(4, 5
 
     docs(doc_id, text, ...): words are runs of characters other than ASCII white space, A-Z lower-cased. A text of
     fewer than n words has its whole word sequence as one shingle; a null or wordless text has none and links to nothing.
-    -> (doc_id, n_shingles, component_id: smallest doc_id reachable, kept: doc_id = component_id). One row per input row;
+    -> (doc_id, tag: crc32 of the text, n_shingles, component_id: smallest doc_id reachable, kept: doc_id = component_id). One row per input row;
     rows that repeat a doc_id share a component only if their texts do. A null doc_id counts as larger than any other;
     a component with only such rows has a null component_id and keeps them all. An empty table gives an empty result.
 
-    Copies of a word sequence collapse into one class before anything else. Each inverted list then compares its members
-    with one of them, which joins most groups of near copies without pairing their members. Lists that still hold several
-    components are compared in full, between components only: short lists as pairs, long ones block by block, where a task
-    counts the intersections of two blocks and returns a spanning set of links. So no link between components is lost but
-    with the probability given at K.
+    Copies of a word sequence collapse into one class before anything else; no link between other classes is lost but with
+    the probability given at K.
     """
     sketched = materialize(sketch(docs, n, k), "sketches")
     classes = materialize(sketched.where("digest is not null").select("digest", "n_shingles", "sketch").dropDuplicates(["digest"]), "classes")
@@ -133,89 +95,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, ratio: Fraction = Fraction(4, 5
     members = lists.select("digest").distinct()
     chosen = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(members, "digest", "left_semi")
     texts = materialize(_texts(docs, chosen), "texts")
-
-    num, den = ratio.numerator, ratio.denominator
-    fits = (F.least("na", "nb") * F.lit(den) >= F.greatest("na", "nb") * F.lit(num)) & (F.col("a") != F.col("b"))
-
-    def links_of(raw: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        pairs = raw.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        return pairs, materialize(_verified(pairs, classes, texts, n, k, ratio), "found")
-
-    def roots_of(links: DataFrame) -> DataFrame:
-        return materialize(connected_components(links).select(F.col("id").alias("digest"), F.col("component").alias("root")), "roots")
-
-    # in every list, all members against one of them; which one differs from list to list
-    first = lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("v", "digest").alias("h"), "digest", "n")).alias("p"))
-    tested, links = links_of(lists.join(first, "v").select(F.col("p.digest").alias("a"), F.col("p.n").alias("na"), F.col("digest").alias("b"), F.col("n").alias("nb")), None)
-    roots = roots_of(links)
-
-    # lists that still hold several components: short ones pair what is in different components, long ones go by blocks
-    rooted = lists.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    several = rooted.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.max("n").alias("longest")).where("lo <> hi").select("v", "m", "longest")
-    rest = materialize(rooted.join(several, "v"), "rest")
-    short = rest.where(F.col("m") <= SHORT)
-    left = short.select("v", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = short.select("v", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    _, more = links_of(left.join(right, "v").where("ra < rb"), tested)
-    roots = roots_of(links.unionByName(more).unionByName(_long_lists(rest.where(F.col("m") > SHORT), texts, n, ratio)))
-
-    labelled = sketched.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    labelled = materialize(labelled.select("doc_id", "n_shingles", "root"), "labelled")
+    roots = linked_components(lists, texts, n, ratio, _likely(classes, k))
+    labelled = sketched.select("doc_id", "tag", "n_shingles", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    labelled = materialize(labelled.select("doc_id", "tag", "n_shingles", "root"), "labelled")
     smallest = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(smallest, "root", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "tag", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _long_lists(members: DataFrame, texts: DataFrame, n: int, ratio: Fraction) -> DataFrame:
-    """links(a, b) that connect the components within long lists. members(v, digest, n, root, m, longest)."""
-    chosen = members.withColumn("r", F.row_number().over(Window.partitionBy("digest").orderBy("v"))).where(F.col("r") <= LOWEST)
-    size = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(SHINGLES) / F.col("longest"))))
-    blocks = chosen.withColumn("blocks", F.ceil(F.col("m") / size)).withColumn("block", F.pmod(F.xxhash64("digest"), "blocks"))
-    other = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = other.select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "root")
-    return cells.join(texts, "digest").groupBy("v", "i", "j").applyInPandas(_cell(n, ratio.numerator, ratio.denominator), "a binary, b binary")
-
-
-def _cell(n: int, numerator: int, denominator: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.unique(W.shingle_hashes(W.word_hashes(_normal(t))[2], n)) for t in rows.text]
-        sizes = np.array([len(x) for x in sets])
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = count[column] > 1
-        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-        same = rows.i.iloc[0] == rows.j.iloc[0]
-        left = np.flatnonzero((rows.block == rows.i.iloc[0]).to_numpy())
-        right = left if same else np.flatnonzero((rows.block == rows.j.iloc[0]).to_numpy())
-        both = np.zeros((len(left), len(right)), np.float32)
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 2, 2048))
-        for at, (i, j) in enumerate(zip(edges, [*edges[1:], len(column)], strict=True)):
-            if i < j:
-                part = np.zeros((len(sets), 2048), np.float32)
-                part[owner[i:j], column[i:j] - 2048 * at] = 1
-                both += part[left] @ part[right].T
-        union = sizes[left][:, None] + sizes[right][None, :] - both
-        a, b = np.nonzero((both > 0) & (denominator * both.astype(np.float64) >= numerator * union.astype(np.float64)))
-        parent: dict = {}
-
-        def root(x):
-            while parent.get(x, x) != x:
-                parent[x] = x = parent.get(parent[x], parent[x])
-            return x
-
-        digests, roots, out = rows.digest.tolist(), rows.root.tolist(), []
-        for x, y in zip(left[a].tolist(), right[b].tolist(), strict=True):
-            p, q = root(roots[x]), root(roots[y])
-            if p != q:
-                parent[p] = q
-                out.append((digests[x], digests[y]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return run
+def deduplicate(docs: DataFrame, n: int = 5, ratio: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that near_duplicates() keeps, with their own columns."""
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_key")
+    gone = materialize(near_duplicates(docs, n, ratio).where("not kept").select(known, F.col("tag").alias("_tag")).distinct(), "gone")
+    tagged = docs.select("*", known, F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")).alias("_tag"))
+    return tagged.join(small(gone, gone.count() * 32), ["_key", "_tag"], "left_anti").select(*docs.columns)
 
 
 def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -229,7 +123,7 @@ def _digester():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             texts = batch.column("text")
-            digests = [hashlib.blake2b(b" ".join(_normal(t).split()), digest_size=16).digest() for t in texts.to_pylist()]
+            digests = [hashlib.blake2b(b" ".join(normal(t).split()), digest_size=16).digest() for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), texts], ["digest", "text"])
 
     return run

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravan.llm import balanced_shards, bottomk, chat, decontaminate, license_scan, sentencepiece_offsets, sstable, warc
+import corpus_pipeline
+from caravan.llm import balanced_shards, bottomk, chat, decontaminate, license_scan, paragraph_dedup, quality_rules, sentencepiece_offsets, sstable, warc
 from caravan.llm.shared import work_dir
 
 
@@ -22,6 +23,12 @@ def op1_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards.shard_documents(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -57,10 +64,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose repeated paragraphs: how much, where, and which documents keep them."""
+    found = paragraph_dedup.dedup_paragraphs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.where("n_words_cut > 0").select("doc_id", "keepers", "n_words_cut", "n_words_left", "cut")
+
+
 def op10_bottomk_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bottomk.near_duplicates(_table(spark, sf_dir, "documents"), n=3, ratio=Fraction(85, 100))
+    return bottomk.near_duplicates(_table(spark, sf_dir, "documents"), n=3, ratio=Fraction(85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_sstable, op3_balanced_shards, op4_warc, op5_chat, op6_sentencepiece, op7_wu_manber, op8_license_scan, op10_bottomk_near_duplicates)}
+_ALL = (op1_token_sstable, op2_quality_rules, op3_balanced_shards, op4_warc, op5_chat, op6_sentencepiece, op7_wu_manber, op8_license_scan, op9_paragraph_dedup, op10_bottomk_near_duplicates)
+QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL = {"op8_license_scan": license_scan.oracle()}
+ORACLE_SQL = {"op8_license_scan": license_scan.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

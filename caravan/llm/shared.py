@@ -13,16 +13,23 @@ import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Spark's usual batches of 64 MB take a Python worker and its task several times that; (setting, usual value, ours).
+ARROW = [("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")]
 REPOSITORY = str(Path(__file__).resolve().parents[2])
 
 
 def attach(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (clusters ship it with --py-files)."""
+    """Let Python workers import this package from where the driver has it (clusters ship it with --py-files), and keep
+    Arrow batches small."""
     environment = spark.sparkContext.environment
     paths = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
     if REPOSITORY not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([REPOSITORY, *paths])
+    for key, usual, value in ARROW:
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, value)
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
@@ -76,3 +83,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000, colum
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
         for i, j in slices(sizes, limit):
             yield batch.slice(i, j - i)
+
+
+#: Bytes up to which, measured, a side of a join is broadcast.
+BROADCAST = 16_000_000
+
+
+def small(df: DataFrame, size: int) -> DataFrame:
+    """df with a broadcast hint where its measured size allows it; a join shuffles otherwise."""
+    return F.broadcast(df) if size <= BROADCAST else df
