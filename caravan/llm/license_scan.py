@@ -18,7 +18,8 @@ EQUIVALENT = [
 ]
 #: Java's and RE2's syntax alike.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*$"
-SEPARATORS = r"[^\p{L}\p{N}]+"
+SEPARATORS = r"[^\p{L}\p{N}\n]+"
+BLANKS = r"[ \n]+"
 
 #: Licences and how their names are written.
 NAMES = [
@@ -60,13 +61,22 @@ def known_texts() -> list[tuple[str, str]]:
     return [*TEXTS, *((licence, notice.format(name) + ".") for licence, name in NAMES for notice in NOTICES)]
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one blank for whatever is no letter or digit, one spelling."""
+def normal_lines(text: Column) -> Column:
+    """Lower case, no copyright lines, two blanks for whatever is no letter or digit, one spelling; line ends stay."""
     lines = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    padded = F.concat(F.lit("  "), F.regexp_replace(lines, SEPARATORS, "  "), F.lit("  "))
+    padded = F.replace(F.concat(F.lit("  "), F.regexp_replace(lines, SEPARATORS, "  "), F.lit("  ")), F.lit("\n"), F.lit("  \n  "))
     for old, new in EQUIVALENT:
         padded = F.replace(padded, F.lit(_padded(old)), F.lit(_padded(new)))
-    return F.trim(F.replace(padded, F.lit("  "), F.lit(" ")))
+    return padded
+
+
+def squeeze(lines: Column) -> Column:
+    """One blank between words."""
+    return F.trim(F.regexp_replace(lines, BLANKS, " "))
+
+
+def canonical(text: Column) -> Column:
+    return squeeze(normal_lines(text))
 
 
 def _padded(words: str) -> str:
@@ -89,8 +99,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     known = (registry(docs.sparkSession) if known is None else known).where(F.col("digest") != F.sha2(F.lit(""), 256))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = rows.select("row", F.explode(F.split("text", "\n")).alias("line"))
-    notices = lines.select("row", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(F.broadcast(known), "digest")
+    lines = rows.select("row", F.explode(F.split(normal_lines(F.col("text")), "\n")).alias("line"))
+    notices = lines.select("row", F.sha2(squeeze(F.col("line")), 256).alias("digest")).join(F.broadcast(known), "digest")
     found = notices.groupBy("row").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     whole = rows.select("row", "doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest")).join(F.broadcast(known), F.col("text_digest") == F.col("digest"), "left")
     return whole.join(found, "row", "left").select("doc_id", "text_digest", "license", F.coalesce("n", F.lit(0)).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
@@ -100,19 +110,22 @@ def oracle(table: str = "documents") -> str:
     """The same in DuckDB's SQL."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
 
-    def normal(column: str) -> str:
-        out = f"'  ' || regexp_replace(regexp_replace(lower({column}), {quoted(COPYRIGHT_LINE)}, '', 'g'), {quoted(SEPARATORS)}, '  ', 'g') || '  '"
+    def lines(column: str) -> str:
+        out = f"replace('  ' || regexp_replace(regexp_replace(lower({column}), {quoted(COPYRIGHT_LINE)}, '', 'g'), {quoted(SEPARATORS)}, '  ', 'g') || '  ', chr(10), '  ' || chr(10) || '  ')"
         for old, new in EQUIVALENT:
             out = f"replace({out}, {quoted(_padded(old))}, {quoted(_padded(new))})"
-        return f"trim(replace({out}, '  ', ' '))"
+        return out
+
+    def squeezed(column: str) -> str:
+        return f"trim(regexp_replace({column}, {quoted(BLANKS)}, ' ', 'g'))"
 
     values = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in known_texts())
     return f"""
-        WITH known AS (SELECT sha256({normal('t')}) AS digest, min(l) AS license FROM (VALUES {values}) AS v(l, t) GROUP BY 1),
+        WITH known AS (SELECT sha256({squeezed(lines('t'))}) AS digest, min(l) AS license FROM (VALUES {values}) AS v(l, t) GROUP BY 1),
         rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM {table}),
-        lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM rows),
+        lines AS (SELECT r, unnest(string_split({lines('text')}, chr(10))) AS line FROM rows),
         found AS (SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-                  FROM lines JOIN known ON sha256({normal('line')}) = digest GROUP BY r),
-        whole AS (SELECT r, doc_id, sha256({normal('text')}) AS text_digest FROM rows)
+                  FROM lines JOIN known ON sha256({squeezed('line')}) = digest GROUP BY r),
+        whole AS (SELECT r, doc_id, sha256({squeezed(lines('text'))}) AS text_digest FROM rows)
         SELECT doc_id, text_digest, license, coalesce(n, 0) AS n_notices, coalesce(notices, '') AS notices
         FROM whole LEFT JOIN known ON text_digest = digest LEFT JOIN found USING (r)"""
