@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import functools
 import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -37,7 +39,7 @@ BLOCK_BYTES = 64 * 1024
 BITS_A_KEY, HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQI8s")
 INDEX = struct.Struct("<9sQIIQ")
-#: Words whose ids a Python worker remembers.
+#: Parts of texts whose ids a Python worker remembers.
 REMEMBERED = 300_000
 
 
@@ -179,32 +181,62 @@ class Reader:
         return found
 
 
-@functools.lru_cache(2)
-def _encoder(path: str) -> tuple:
-    import os
+#: Texts of these characters alone take the short way: normalising only lower-cases them, and PART splits them as the
+#: tokenizer's own pattern does. The pattern, written for these characters, and the byte alphabet's rule.
+PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+")
+PLAIN_SHAPE = [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None), ("Split", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}), ("ByteLevel", None)]
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class _Parts(dict):
+    """Packed ids by part of a text; the first REMEMBERED parts that come are kept."""
+
+    def __init__(self, tokenizer, width: int):
+        super().__init__()
+        self.model, self.kind = tokenizer.model, f"<u{width}"
 
+    def __missing__(self, part: str) -> bytes:
+        mapped = part.encode().decode("latin-1").translate(BYTE_ALPHABET)
+        packed = np.array([x.id for x in self.model.tokenize(mapped)], self.kind).tobytes()
+        if len(self) < REMEMBERED:
+            self[part] = packed
+        return packed
+
+
+@functools.lru_cache(2)
+def _encoder(path: str, width: int) -> tuple:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    config = json.loads(tokenizer.to_str())
+    shape = [(x["type"], x.get("pattern")) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (config[k] or {}).get(v, [])]
+    known = config["model"]["type"] == "BPE" and shape == PLAIN_SHAPE
+    special = [x["content"] for x in config["added_tokens"]]
+    return tokenizer, special, _Parts(tokenizer, width) if known else None
 
 
 def encode_texts(texts: list[str | None], path: str, width: int) -> list[bytes]:
     """Packed ids of each text, as the library's encode without special tokens gives them.
 
-    The tokenizer's own splitting never joins what a blank or a line end separates, so each such piece is encoded once and
-    its ids are remembered: of frequent pieces for as long as the worker lives, of others for this call.
+    The tokenizer never joins what its splitting separates, so the parts of a plain text go to its model one by one and the
+    ids of frequent parts are remembered for as long as the worker lives. Texts with other characters or with a special
+    token's string, and all texts of tokenizers of another make, go to the library whole.
     """
-    tokenizer, known = _encoder(path)
-    parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    fresh = list(set().union(*parts) - known.keys()) if parts else []
-    for encoded, word in zip(tokenizer.encode_batch_fast(fresh, add_special_tokens=False), fresh, strict=True):
-        known[word] = np.array(encoded.ids, f"<u{width}").tobytes()
-    get = known.__getitem__
-    out = [b"".join(map(get, p)) for p in parts]
-    if len(known) > REMEMBERED:
-        for word in fresh:
-            del known[word]
+    tokenizer, special, parts = _encoder(path, width)
+    out: list = [None] * len(texts)
+    whole = []
+    get = parts.__getitem__ if parts is not None else None
+    for i, text in enumerate(texts):
+        text = text or ""
+        if get and PLAIN.fullmatch(text) and not any(x in text for x in special):
+            out[i] = b"".join(map(get, PART.findall(text.lower())))
+        else:
+            whole.append(i)
+    for i, encoded in zip(whole, tokenizer.encode_batch_fast([texts[i] or "" for i in whole], add_special_tokens=False), strict=True):
+        out[i] = np.array(encoded.ids, f"<u{width}").tobytes()
     return out
 
 
