@@ -22,6 +22,11 @@ def point(x, y) -> Column:
     return F.struct(F.expr(str(x)).cast("double").alias("x") if not isinstance(x, Column) else x.cast("double").alias("x"), F.expr(str(y)).cast("double").alias("y") if not isinstance(y, Column) else y.cast("double").alias("y"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mercator(p: Column) -> Column:
     """Longitude and latitude in degrees -> EPSG:3857 metres."""
     return point(F.radians(p["x"]) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(p["y"]) / 2)) * RADIUS)
@@ -150,20 +155,22 @@ def locate(line: Column, p: Column) -> Column:
 
 
 def locate_fraction(line: Column, p: Column) -> Column:
-    found = locate(line, p)
-    return F.when(found["total"] > 0, found["along"] / found["total"]).otherwise(F.lit(0.0))
+    return let(locate(line, p), lambda found: F.when(found["total"] > 0, found["along"] / found["total"]).otherwise(F.lit(0.0)))
 
 
 def point_line_distance(line: Column, p: Column) -> Column:
     return F.coalesce(locate(line, p)["dist"], distance(start_point(line), p))
 
 
+def _at(line: Column, parts: Column, along: Column) -> Column:
+    inside = F.filter(parts, lambda e: (e["at"] + e["len"] >= along) & (e["len"] > 0))
+    on = let(F.get(inside, F.lit(0)), lambda e: F.when(e.isNull(), end_point(line)).otherwise(on_edge(e["a"], e["b"], F.greatest(F.lit(0.0), (along - e["at"]) / e["len"]))))
+    return F.when(along <= 0, start_point(line)).otherwise(on)
+
+
 def interpolate(line: Column, along: Column) -> Column:
     """The point at a length along a line, clamped to its ends."""
-    parts = measured_edges(line)
-    inside = F.filter(parts, lambda e: (e["at"] + e["len"] >= along) & (e["len"] > 0))
-    edge = F.get(inside, F.lit(0))
-    return F.when(along <= 0, start_point(line)).when(edge.isNull(), end_point(line)).otherwise(on_edge(edge["a"], edge["b"], F.greatest(F.lit(0.0), (along - edge["at"]) / edge["len"])))
+    return let(along, lambda d: let(measured_edges(line), lambda parts: _at(line, parts, d)))
 
 
 def closest_point(line: Column, p: Column) -> Column:
@@ -172,10 +179,14 @@ def closest_point(line: Column, p: Column) -> Column:
 
 def substring(line: Column, d1: Column, d2: Column) -> Column:
     """The part of a line between two lengths along it; reversed where d1 is over d2, and two equal points where they meet."""
-    lo, hi = F.least(d1, d2), F.greatest(d1, d2)
-    inner = F.transform(F.filter(measured_edges(line), lambda e: (e["at"] > lo) & (e["at"] < hi)), lambda e: e["a"])
-    forward = F.concat(F.array(interpolate(line, lo)), inner, F.array(interpolate(line, hi)))
-    return F.when(d1 > d2, F.reverse(forward)).otherwise(forward)
+
+    def part(ends: Column, parts: Column) -> Column:
+        lo, hi = F.least(ends["a"], ends["b"]), F.greatest(ends["a"], ends["b"])
+        inner = F.transform(F.filter(parts, lambda e: (e["at"] > lo) & (e["at"] < hi)), lambda e: e["a"])
+        forward = F.concat(F.array(_at(line, parts, lo)), inner, F.array(_at(line, parts, hi)))
+        return let(forward, lambda f: F.when(ends["a"] > ends["b"], F.reverse(f)).otherwise(f))
+
+    return let(F.struct(d1.alias("a"), d2.alias("b")), lambda ends: let(measured_edges(line), lambda parts: part(ends, parts)))
 
 
 def azimuth(p: Column, q: Column) -> Column:

@@ -83,8 +83,8 @@ def lag_across_groups(df: DataFrame, group: str, order: list[str], column: str,
     w = Window.partitionBy(group).orderBy(*order)
     last = df.groupBy(group).agg(F.max_by(column, F.struct(*order)).alias("_last"))
     linked = last.withColumn("_carried", F.lag("_last").over(Window.orderBy(group))).drop("_last")
-    rows = df.withColumn("_lag", F.lag(column).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    return rows.join(linked, group).withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag"))).drop("_lag", "_first", "_carried")
+    rows = df.withColumn("_within", F.lag(column).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    return rows.join(linked, group).withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_within"))).drop("_within", "_first", "_carried")
 
 
 def running_sum(column: str, by: list[str], order: Order) -> Column:
@@ -98,3 +98,8 @@ def not_test(column: str, word: str = "test") -> Column:
 
 def blank_to_null(column: str) -> Column:
     return F.nullif(F.trim(F.col(column)), F.lit(""))
+
+
+def where_late(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on costly columns, without the optimizer computing those columns once more for the filter."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")

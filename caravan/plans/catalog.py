@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from caravan.operators import relational as R
 from caravan.operators import spatial as S
 from caravan.plans import flow, gtfs, migrate
 from caravan.plans import mapping as M
+from caravan.session import importable
 from caravan.sources import geojson, layers, osm
 from caravan.sources import gtfs as gtfs_files
 
@@ -21,10 +23,15 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark, d):
+            importable(spark)
+            return f(spark, d)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
-        return f
+        return f  # as it is, for queries that build on it
 
     return add
 
@@ -387,14 +394,14 @@ def line_length(spark, d):
     return M.lines(spark, d).where(F.size("line") > 1).select("trip_id", F.round(geo.length(F.col("line")), 4).alias("length"), F.size(geo.edges(F.col("line"))).cast("long").alias("n"))
 
 
-LOCATED = f"m AS (SELECT trip_id, seq, ax, ay, bx, by2, sqrt((bx-ax)*(bx-ax)+(by2-ay)*(by2-ay)) AS len, CAST(trip_id * 37 % 10007 AS DOUBLE) AS x, CAST(trip_id * 91 % 10009 AS DOUBLE) AS y FROM edges), p AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at, {M.NEAR_T} AS t FROM m), q AS (SELECT *, {M.NEAR_D} AS d FROM p), loc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY d, seq) AS r FROM q) WHERE r = 1)"
+LOCATED = f"m AS (SELECT trip_id, seq, ax, ay, bx, by2, sqrt((bx-ax)*(bx-ax)+(by2-ay)*(by2-ay)) AS len, CAST(trip_id * 37 % 10007 AS DOUBLE) AS x, CAST(trip_id * 91 % 10009 AS DOUBLE) AS y FROM edges), p AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, {M.NEAR_T} AS t FROM m), q AS (SELECT *, {M.NEAR_D} AS d FROM p), loc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY d, seq) AS r FROM q) WHERE r = 1)"
 
 
 def _target():
     return geo.point(F.col("trip_id") * 37 % 10007, F.col("trip_id") * 91 % 10009)
 
 
-@query(M.sql("stops calls edges", f", {LOCATED} SELECT trip_id, round(d, 4) AS dist, round(at + t * len, 4) AS along, round(ax + t * (bx-ax), 4) AS cx, round(ay + t * (by2-ay), 4) AS cy FROM loc"))
+@query(M.sql("stops calls edges", f", {LOCATED} SELECT trip_id, round(d, 4) AS dist, round(pos + t * len, 4) AS along, round(ax + t * (bx-ax), 4) AS cx, round(ay + t * (by2-ay), 4) AS cy FROM loc"))
 def line_locate(spark, d):
     rows = M.lines(spark, d).where(F.size("line") > 1).withColumn("l", geo.locate(F.col("line"), _target()))
     c = geo.interpolate(F.col("line"), F.col("l.along"))
@@ -535,6 +542,12 @@ def od_stats(spark, d):
 # --- trips on roads -------------------------------------------------------------------------------------------------
 
 
+def _short_roads(spark, d):
+    """The first twentieth of each road."""
+    a, b = F.get("line", F.lit(0)), F.get("line", F.lit(1))
+    return M.roads(spark, d).select("gid", F.array(a, geo.on_edge(a, b, F.lit(0.05))).alias("line"))
+
+
 def _segments(spark, d):
     stop_times = gtfs_stop_times(spark, d)
     lines = M.lines(spark, d).where(F.size("line") > 1)
@@ -555,7 +568,7 @@ def transport_model(spark, d):
 @query()
 def road_match(spark, d):
     """Roads, moved by some metres, as the trips that run along them."""
-    roads = M.roads(spark, d)
+    roads = _short_roads(spark, d)
     moved = F.transform("line", lambda p: geo.point(p["x"] + 3, p["y"] + 4))
     segments = roads.select(F.col("gid").alias("trip_id"), F.lit(0).alias("segment_order"), moved.alias("line"), F.lit(10.0).alias("speed"))
     matched = flow.match_to_roads(segments, flow.transport_model(segments), roads, cell=GRID)
@@ -565,7 +578,7 @@ def road_match(spark, d):
 @query()
 def segment_occupancy(spark, d):
     segments = S.written(_segments(spark, d), "segments")
-    model = flow.transport_model(segments).join(segments.select("trip_id", "segment_order", "start_time"), ["trip_id", "segment_order"])
+    model = flow.transport_model(segments, spacing=20000.0).join(segments.select("trip_id", "segment_order", "start_time"), ["trip_id", "segment_order"])
     stops = M.stops(spark, d).select(F.col("id").alias("stop_id"), geo.point("x", "y").alias("point"))
     boardings = M.calls(spark, d).join(stops, "stop_id").select("trip_id", F.col("trip_id").alias("instance_id"), (F.col("trip_id") % 20 * 3600).alias("departed"), F.col("seq").alias("created_at"), "board", "alight", "point")
     return flow.segment_occupancy(model, boardings, M.intervals(spark, d))[0]

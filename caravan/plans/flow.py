@@ -26,7 +26,7 @@ def trip_segments(stop_times: DataFrame, lines: DataFrame, stops: DataFrame) ->
     placed = legs.withColumnRenamed("stop_id", "to_id").join(lines, "trip_id").join(side("from_id"), "from_id").join(side("to_id"), "to_id")
     along = lambda p: geo.locate(F.col("line"), F.col(p))["along"]
     part = placed.withColumn("segment", geo.substring(F.col("line"), along("from_id_point"), along("to_id_point"))).withColumn("length", geo.length(F.col("segment")))
-    rows = part.where("length > 0").withColumn("duration", F.col("t") - F.col("start")).withColumn("speed", F.try_divide("length", "duration"))
+    rows = R.where_late(part, F.col("length") > 0).withColumn("duration", F.col("t") - F.col("start")).withColumn("speed", F.try_divide("length", "duration"))
     return rows.select("trip_id", "segment_order", "from_id", "to_id", (F.col("start") - F.col("trip_start_time")).alias("start_time"), "trip_start_time", "duration", "length", "speed", F.col("segment").alias("line"))
 
 
