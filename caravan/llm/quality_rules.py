@@ -184,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Decisio
 
 def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows of docs(text, ...) that are kept, with their own columns."""
-    judged = judge(docs.withColumn("_row", F.monotonically_increasing_id()), rules)
-    # reading _row holds the filter above the statistics: pushed below, each use of one would compute it anew
+    # a filter on a row number stays above it, and so above the statistics: below, each use of one would compute it anew
+    judged = judge(docs, rules).withColumn("_row", F.monotonically_increasing_id())
     return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
 
 
