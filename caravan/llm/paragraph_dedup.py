@@ -12,7 +12,6 @@ so do runs of consecutive such pieces that have at least RUN words together.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -81,53 +80,103 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], ["v", "doc_id", "place"])
 
 
-def _lines(text: str | None) -> list[tuple[int, bytes, int, int]]:
-    """(number, normalised bytes, start, end) of the lines of a text that are paragraphs."""
+def _lines(text: str | None) -> list[tuple[int, int, int]]:
+    """(number, start, end) of the lines of a text that are paragraphs."""
     out, at = [], 0
     for number, line in enumerate(_bytes(text).split(b"\n")):
-        normal = b" ".join(line.translate(W.LOWER_WORDS).split())
-        if normal.count(b" ") >= LINE - 1:
-            out.append((number, normal, at, at + len(line)))
+        if len(line.translate(W.LOWER_WORDS).split()) >= LINE:
+            out.append((number, at, at + len(line)))
         at += len(line) + 1
     return out
 
 
-def _digest(normal: bytes) -> bytes:
-    return hashlib.blake2b(normal, digest_size=16).digest()
+class Lines:
+    """The lines that are paragraphs of a batch of texts, found at once: words and their hashes over all texts joined."""
+
+    def __init__(self, texts: list[str | None], n: int):
+        encoded = [_bytes(t) for t in texts]
+        self.data, self.n = b"\n".join(encoded), n
+        self.starts, self.ends, self.hashes = W.word_hashes(self.data.translate(W.LOWER_WORDS))
+        breaks = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 10)
+        counts = np.bincount(np.searchsorted(breaks, self.starts), minlength=len(breaks) + 1)
+        self.end = np.cumsum(counts)
+        self.begin = self.end - counts
+        chosen = np.flatnonzero(counts >= LINE)
+        per_text = np.array([t.count(b"\n") + 1 for t in encoded], np.int64)
+        first = np.cumsum(per_text) - per_text
+        self.owner = np.searchsorted(first, chosen, side="right") - 1
+        self.number = chosen - first[self.owner] if len(chosen) else chosen
+        self.begin, self.end = self.begin[chosen], self.end[chosen]
+
+    def ranges(self, values: np.ndarray, ufunc, ends: np.ndarray, fill) -> np.ndarray:
+        """ufunc over values[begin:end] of each line."""
+        at = np.empty(2 * len(self.begin), np.int64)
+        at[::2], at[1::2] = self.begin, ends
+        return ufunc.reduceat(np.r_[values, np.array([fill], values.dtype)], at)[::2] if len(at) else values[:0]
+
+    def digests(self) -> np.ndarray:
+        """16 bytes for each line: two hashes of its words in order."""
+        inside = np.arange(len(self.hashes)) - np.repeat(np.r_[0, self.begin], np.diff(np.r_[0, self.begin, len(self.hashes)]))
+        out = np.empty((len(self.begin), 2), np.uint64)
+        for i, c in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+            out[:, i] = self.ranges(W.mix(self.hashes + (inside.astype(np.uint64) + np.uint64(1)) * np.uint64(c)), np.add, self.end, 0)
+        return out
+
+    def shingles(self) -> np.ndarray:
+        return W.shingle_hashes(self.hashes, self.n) if len(self.hashes) >= self.n else np.zeros(0, np.uint64)
+
+    def set_sizes(self, shingles: np.ndarray) -> np.ndarray:
+        """Numbers of distinct shingles."""
+        length = self.end - self.begin - self.n + 1
+        line = np.repeat(np.arange(len(length)), length)
+        at = np.arange(len(line)) - np.repeat(np.cumsum(length) - length, length) + self.begin[line]
+        _, once = np.unique(W.mix(shingles[at] + line.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
+        return np.bincount(line[once], minlength=len(length))
+
+    def bands(self, shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+        """A key of each line for each band: the hash of the band's minima."""
+        seeds = W.mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+        mixed, ends = W.mix(shingles), self.end - self.n + 1
+        keys = np.tile(np.arange(bands, dtype=np.uint64), (len(self.begin), 1))
+        for i, seed in enumerate(seeds):
+            low = self.ranges(mixed * seed >> np.uint64(1), np.minimum, ends, 2**64 - 1)
+            keys[:, i // rows] = W.mix(keys[:, i // rows] * np.uint64(0x9FB21C651E98DF25) + low)
+        return keys
 
 
 def _signatures(n: int, bands: int, rows: int):
-    seeds = W.mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for number, normal, _, _ in _lines(text):
-                    shingles = np.unique(W.shingle_hashes(W.word_hashes(normal)[2], n))
-                    lows = (W.mix(shingles)[None, :] * seeds[:, None] >> np.uint64(1)).min(axis=1).reshape(bands, rows)
-                    keys = np.arange(bands, dtype=np.uint64)
-                    for r in range(rows):
-                        keys = W.mix(keys * np.uint64(0x9FB21C651E98DF25) + lows[:, r])
-                    place = _places(text, np.array([number]))[0]
-                    for column, value in zip(out, (doc_id, place, _digest(normal), len(shingles), keys.view(np.int64)), strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "place", "digest", "n", "bands"])
+            texts = batch.column(1).to_pylist()
+            lines = Lines(texts, n)
+            shingles = lines.shingles()
+            sums = np.array([zlib.crc32(_bytes(t)) for t in texts], np.uint64)
+            place = (sums[lines.owner] << np.uint64(32) | lines.number.astype(np.uint64)).view(np.int64)
+            digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(place), [None, pa.py_buffer(lines.digests().tobytes())]).cast(pa.binary())
+            keys = lines.bands(shingles, bands, rows).view(np.int64)
+            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel())
+            owners = batch.column(0).take(pa.array(lines.owner))
+            yield pa.RecordBatch.from_arrays([owners, pa.array(place), digests, pa.array(lines.set_sizes(shingles).astype(np.int64)), listed], ["doc_id", "place", "digest", "n", "bands"])
 
     return run
 
 
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        found = {_digest(normal): normal for text in batch.column("text").to_pylist() for _, normal, _, _ in _lines(text)}
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x.decode("utf-8", "replace") for x in found.values()], pa.string())], ["digest", "text"])
+def _line_texts(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            lines = Lines(batch.column("text").to_pylist(), n)
+            texts = [lines.data[lines.starts[a] : lines.ends[b - 1]].decode("utf-8", "replace") for a, b in zip(lines.begin, lines.end, strict=True)]
+            found = dict(zip((x.tobytes() for x in lines.digests()), texts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], ["digest", "text"])
+
+    return run
 
 
 def _cut_pieces(rows: DataFrame) -> DataFrame:
     """(doc_id, place, lo) of pieces that stand in a document with a smaller doc_id, lo, as well."""
     keyed = rows.mapInArrow(_pieces, "v long, doc_id long, place long").repartition("v")
-    first = keyed.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("v", "lo")
+    # reading place here as well lets both sides of the join share one shuffle, and pieces be cut once
+    first = keyed.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor("place").alias("x")).where("lo < hi and x is not null").select("v", "lo")
     return keyed.join(first, "v").where("doc_id <> lo").select("doc_id", "place", "lo")
 
 
@@ -139,7 +188,7 @@ def _cut_lines(rows: DataFrame, n: int, ratio: Fraction) -> DataFrame:
     lists = materialize(banded.join(several, "v").select("v", "digest", "n").distinct(), "bands")
     wanted = lists.select("digest").distinct()
     owners = materialize(lines.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(wanted, "digest").select("doc_id").distinct(), "owners")
-    texts = rows.join(small(owners, owners.count() * 16), "doc_id", "left_semi").mapInArrow(_line_texts, "digest binary, text string")
+    texts = rows.join(small(owners, owners.count() * 16), "doc_id", "left_semi").mapInArrow(_line_texts(n), "digest binary, text string")
     texts = materialize(texts.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
     roots = linked_components(lists, texts, n, ratio)
     classed = lines.select("doc_id", "place", "digest").join(roots, "digest", "left").select("doc_id", "place", F.coalesce("root", "digest").alias("root"))
@@ -150,7 +199,7 @@ def _cut_lines(rows: DataFrame, n: int, ratio: Fraction) -> DataFrame:
 def _cut_spans(text: str | None, pieces: dict[int, int], lines: dict[int, int]) -> tuple[list[tuple[int, int]], set[int]]:
     """Merged byte spans to cut, and the documents that keep what is in them. pieces and lines: keepers by number."""
     data = _bytes(text)
-    spans = [(a, min(b + 1, len(data))) for number, _, a, b in _lines(text) if number in lines] if lines else []
+    spans = [(a, min(b + 1, len(data))) for number, a, b in _lines(text) if number in lines] if lines else []
     keepers = set(lines.values())
     if pieces:
         begins, _, hashes = W.word_hashes(data.translate(W.LOWER_WORDS))
