@@ -7,7 +7,6 @@ leads to the bucket of the patterns that end so, which are then compared with th
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravan.llm import words as W
+from caravan.llm.columns import filtered
 from caravan.llm.shared import attach, text_slices
 
 #: Benchmark text that one broadcast may hold; a larger benchmark is searched for in several passes over the documents.
@@ -128,7 +128,6 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _pass(patterns, window: int):
     """Adds a pass's findings to n_words, spans and items, the last three columns."""
-    cache: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = compile_patterns(patterns.value, window)
@@ -144,7 +143,6 @@ def _pass(patterns, window: int):
             rest = [batch.column(i) for i in range(batch.num_columns - 3)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], batch.schema.names)
 
-    del cache
     return run
 
 
@@ -173,9 +171,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    found = find_contamination(docs, benchmark, window)
-    return found.where(F.size("spans") == 0).select(*[c for c in docs.columns])
-
-
-def digest_of_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return filtered(docs, ["n_words", "spans", "items"], lambda rows: find_contamination(rows, benchmark, window).where(F.size("spans") == 0))

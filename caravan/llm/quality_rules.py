@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caravan.llm.columns import filtered
 from caravan.llm.shared import materialize
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -26,6 +27,7 @@ THRESHOLDS, CONDITIONS, RULES, COVERED, PRECISION = 32, 3, 12, 8, 0.9
 #: Bits of a packed number that hold a window's position.
 POSITION = 24
 
+COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 STATISTICS = {
     "word_length": "word_chars / greatest(n_words, 1)",
     "symbols": "n_symbols / greatest(word_chars, 1)",
@@ -62,8 +64,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     Words are runs of characters other than ASCII white space; a null text has none. Former columns of these names go.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
-    rows = docs.drop(*names)
+    rows = docs.drop(*COLUMNS)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACE))
     empty = F.array().cast("array<string>")
@@ -184,9 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Decisio
 
 def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows of docs(text, ...) that are kept, with their own columns."""
-    # a filter on a row number stays above it, and so above the statistics: below, each use of one would compute it anew
-    judged = judge(docs, rules).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        # a filter on a row number stays above it, and so above the statistics: below, each use of one would compute it anew
+        judged = judge(rows, rules).withColumn("_row", F.monotonically_increasing_id())
+        return judged.where(F.col("kept") & (F.col("_row") >= 0))
+
+    return filtered(docs, [*COLUMNS, "base_failed", "rule", "kept", "_row"], kept)
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:

@@ -271,3 +271,9 @@ def test_components_of_paths_and_stars(spark):
     found = dict((r.id, r.component) for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect())
     assert {found[i] for i in range(51)} == {0} and {found[100 + i] for i in range(30)} == {100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_filters_keep_columns_of_their_own_names(spark):
+    rows = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), 7, "mine", 3)], "doc_id long, text string, n_words int, spans string, kept int")
+    for out in (quality_rules.keep(rows, quality_rules.DecisionList([])), decontaminate.remove_contaminated(rows, spark.createDataFrame([], "item_id long, text string")), bottomk.deduplicate(rows)):
+        assert out.columns == rows.columns and out.collect() == rows.collect()
