@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,13 @@ EQUIVALENT = [
     ("realise", "realize"), ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "wilfull"),
     ("non commercial", "noncommercial"), ("per cent", "percent"), ("sub license", "sublicense"), ("sub licence", "sublicense"),
 ]
-#: Java's and RE2's syntax alike.
+#: What the SQL takes for a copyright line. It takes lines of a licence's body that a wrapping begins with the word as well, so
+#: the operator has its own: a mark or a year must follow, or a holder in the first two lines of a text.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*$"
+_MARK, _YEAR = r"(?:\(c\)|©)", r"(?:[^a-z0-9\n]*(?:19|20)\d\d|[ \t]*[<\[{])"
+NOTICE_LINE = rf"(?m)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n(©]*{_MARK}|(?:{_MARK}[^a-z0-9\n]*)?copyright{_YEAR}|{_MARK}{_YEAR})[^\n]*$"
+HOLDER_LINE = rf"\A(\s*(?:[^\n]{{1,80}}\n\s*)?)[^a-z0-9\n]*(?:copyright(?![a-z0-9])|{_MARK})(?![^a-z\n]*(?:holders?|notices?|owners?|laws?|licen[cs]es?)\b)[^\n]{{1,80}}(?=\n)"
+#: Java's and RE2's syntax alike.
 SEPARATORS = r"[^\p{L}\p{N}\n]+"
 BLANKS = r"[ \n]+"
 
@@ -56,14 +64,77 @@ SOFTWARE."""),
 ]
 
 
+#: Texts that the SQL does not know. BSD names its clauses' numbers and its speakers in several ways, see _spellings().
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+_BSD_3 = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+"""
+MORE_TEXTS = [("BSD-2-Clause", _BSD.format("")), ("BSD-3-Clause", _BSD.format(_BSD_3))]
+#: Lines that may stand above a short licence.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License"],
+}
+#: Who provides the software and who is not liable, in BSD texts.
+SPEAKERS = [
+    ("COPYRIGHT HOLDERS", "COPYRIGHT HOLDER"), ("COPYRIGHT HOLDERS", "COPYRIGHT HOLDERS"), ("COPYRIGHT HOLDERS", "COPYRIGHT OWNER"),
+    ("AUTHOR", "AUTHOR"), ("AUTHORS", "AUTHORS"), ("AUTHOR", "AUTHORS"), ("REGENTS", "REGENTS"),
+]
+#: Long licences, word for word; {name}.txt in this folder. Where their terms end, an appendix on how to use them may be left off.
+LONG = Path(__file__).parent / "license_texts"
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def _spellings(licence: str, text: str) -> list[str]:
+    """Ways to write a short licence's body."""
+    if not licence.startswith("BSD"):
+        return [text]
+    out = []
+    for provided, liable in SPEAKERS:
+        said = text.replace("COPYRIGHT HOLDERS AND", f"{provided} AND").replace("COPYRIGHT HOLDER OR", f"{liable} OR")
+        out += [said, re.sub(r"(?m)^\d\. ", "", said)]
+    return out
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text): short licences with and without a title and the line on reserved rights, and long ones."""
+    out = []
+    for licence, text in [*TEXTS, *MORE_TEXTS]:
+        heads = [f"{title}\n{rights}" for title in ["", *TITLES[licence]] for rights in ("", "All rights reserved.\n")]
+        out += [(licence, head + body) for body in _spellings(licence, text) for head in heads]
+    for path in sorted(LONG.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, text))
+        if END_OF_TERMS in text:
+            terms = text[: text.index(END_OF_TERMS)]
+            out += [(path.stem, terms), (path.stem, terms + END_OF_TERMS)]
+    return out
+
+
 def known_texts() -> list[tuple[str, str]]:
-    """(licence, text): the texts above, and every notice with every name."""
+    """(licence, text): the texts that the SQL knows, and every notice with every name."""
     return [*TEXTS, *((licence, notice.format(name) + ".") for licence, name in NAMES for notice in NOTICES)]
 
 
 def normal_lines(text: Column) -> Column:
-    """Lower case, no copyright lines, two blanks for whatever is no letter or digit, one spelling; line ends stay."""
-    lines = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    """Lower case, no copyright notices, two blanks for whatever is no letter or digit, one spelling; line ends stay."""
+    lines = F.regexp_replace(F.regexp_replace(F.lower(text), HOLDER_LINE, "$1"), NOTICE_LINE, "")
     padded = F.replace(F.concat(F.lit("  "), F.regexp_replace(lines, SEPARATORS, "  "), F.lit("  ")), F.lit("\n"), F.lit("  \n  "))
     for old, new in EQUIVALENT:
         padded = F.replace(padded, F.lit(_padded(old)), F.lit(_padded(new)))
@@ -85,7 +156,7 @@ def _padded(words: str) -> str:
 
 def registry(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license): known texts by canonical digest; of licences with one text, the first by name."""
-    rows = spark.createDataFrame(known_texts() if texts is None else texts, "license string, text string")
+    rows = spark.createDataFrame([*known_texts(), *whole_texts()] if texts is None else texts, "license string, text string")
     return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -209,6 +210,21 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_whole_texts(spark):
+    wrapped = lambda text, width: "\n\n".join(textwrap.fill(" ".join(part.split()), width) for part in text.split("\n\n"))
+    want = []
+    for name, text in [*license_scan.TEXTS, *license_scan.MORE_TEXTS]:
+        want += [(name, head + wrapped(text, width)) for width in (28, 60, 72, 99, 120, 10_000) for head in ("", "Copyright A. Person\n\n", f"{license_scan.TITLES[name][0]}\n\n© 2020 A. Person. All rights reserved.\n\n")]
+        want += [(name, "\n".join(wrapped(text, 10_000).split("\n")).replace(" ", "\n"))]
+    for path in license_scan.LONG.glob("*.txt"):
+        want += [(path.stem, path.read_text()), (path.stem, path.read_text().replace("\n", "\r\n").upper())]
+    mit = dict(license_scan.TEXTS)["MIT"]
+    want += [(None, mit.replace("COPYRIGHT HOLDERS BE LIABLE", "HOLDERS BE LIABLE")), (None, mit + "\nmore"), (None, "Copyright 2020 A. Person")]
+    found = {r.doc_id: r.license for r in license_scan.scan_licenses(spark.createDataFrame([(i, text, 0) for i, (_, text) in enumerate(want)], DOCS)).collect()}
+    assert [found[i] for i in range(len(want))] == [name for name, _ in want]
+    assert {name for name, _ in want} >= {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+
+
 def test_paragraph_dedup(spark, docs, empty):
     rows = {(r.doc_id, r.text and r.text[:12]): r for r in paragraph_dedup.dedup_paragraphs(docs).collect()}
     found = {r.doc_id: r for r in rows.values()}
