@@ -11,7 +11,7 @@ from caravan.llm.shared import materialize
 
 #: Rows that a ranking task sorts at once, about.
 RANKED = 20_000
-#: Movers between two shards are accepted in so many hash classes.
+#: Movers between two shards are counted in so many hash classes; one class of each pair of shards is ranked.
 CLASSES = 256
 
 
@@ -75,36 +75,35 @@ def propagate(members: DataFrame, start: DataFrame, capacity: list[int], rounds:
         for x in wished:
             total[x["shard"], x["to"]] = total.get((x["shard"], x["to"]), 0) + x["n"]
         allowed = _allowed(total, [capacity[s] - held.get(s, 0) for s in range(shards)])
-        used: dict[tuple[int, int], int] = {}
-        granted = []
-        for x in wished:
-            k = x["shard"], x["to"]
-            if used.get(k, 0) + x["n"] <= allowed[k]:
-                used[k] = used.get(k, 0) + x["n"]
-                granted.append((*k, x["class"]))
-        # exchanges granted one way only for want of a whole class the other way must not overfill a shard
-        excess = _excess(used, held, capacity)
-        granted = [g for g in granted if g[1] not in excess]
-        if not granted:
+        limits = _limits([(x["shard"], x["to"], x["class"], x["n"]) for x in wished], allowed)
+        if not limits:
             break
-        fits = state.sparkSession.createDataFrame(granted, "shard int, to int, class long").withColumn("go", F.lit(True))
-        state = materialize(movers.join(F.broadcast(fits), ["shard", "to", "class"], "left").select("node", F.when(F.col("go"), F.col("to")).otherwise(F.col("shard")).alias("shard")), "shards")
+        limited = lambda rows: F.broadcast(state.sparkSession.createDataFrame(rows, "shard int, to int, full long, quota long"))
+        # of the class that may move in part, the rows up to the quota; a node stands once among the movers
+        edge = movers.join(limited(limits), ["shard", "to"]).where("class = full and quota > 0")
+        nth = edge.withColumn("r", F.row_number().over(Window.partitionBy("shard", "to").orderBy("node"))).where("r = quota")
+        last = {(x["shard"], x["to"]): x["node"] for x in nth.select("shard", "to", "node").collect()}
+        fits = state.sparkSession.createDataFrame([(a, b, full, last.get((a, b))) for a, b, full, _ in limits], "shard int, to int, full long, last long")
+        go = (F.col("class") < F.col("full")) | ((F.col("class") == F.col("full")) & (F.col("node") <= F.col("last")))
+        state = materialize(movers.join(F.broadcast(fits), ["shard", "to"], "left").select("node", F.when(go, F.col("to")).otherwise(F.col("shard")).alias("shard")), "shards")
     return state
 
 
-def _excess(used: dict[tuple[int, int], int], held: dict[int, int], capacity: list[int]) -> set[int]:
-    """Shards into which no move may go, so that none is overfilled."""
-    closed: set[int] = set()
-    while True:
-        after = dict(held)
-        for (a, b), n in used.items():
-            if b not in closed:
-                after[a] = after.get(a, 0) - n
-                after[b] = after.get(b, 0) + n
-        more = {s for s, n in after.items() if n > capacity[s]} - closed
-        if not more:
-            return closed
-        closed |= more
+def _limits(wished: list[tuple[int, int, int, int]], allowed: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int]]:
+    """(from, to, class, quota): movers of lower classes go, and so many of this class; exactly as many in all as allowed.
+
+    wished(from, to, class, n) is sorted.
+    """
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    left = dict(allowed)
+    for a, b, c, n in wished:
+        k = a, b
+        if k in left and left[k] < n:
+            out[k] = c, left.pop(k)
+        elif k in left:
+            left[k] -= n
+    out |= {k: (CLASSES, 0) for k in left}
+    return [(*k, *v) for k, v in sorted(out.items()) if allowed[k]]
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 5) -> DataFrame:

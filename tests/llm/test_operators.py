@@ -112,6 +112,18 @@ def test_balanced_shards(spark, empty):
     assert balanced_shards.shard_documents(empty).count() == 0
 
 
+def test_balanced_shards_without_room(spark):
+    # every node is linked, several movers share a hash class, and the shards are full: moves are exchanges to the row
+    nodes = [(i, i // 8, int(hashlib.md5(b"%d" % i).hexdigest(), 16) % 2) for i in range(24_000)]
+    held = Counter(s for _, _, s in nodes)
+    members = spark.createDataFrame([(i, g) for i, g, _ in nodes], "node long, group long")
+    start = spark.createDataFrame([(i, s) for i, _, s in nodes], "node long, shard int")
+    found = {r.node: r.shard for r in balanced_shards.propagate(members, start, [held[s] for s in range(2)]).collect()}
+    assert len(found) == len(nodes) and Counter(found.values()) == held
+    spread = lambda at: sum(len({at[i] for i in range(g, g + 8)}) for g in range(0, 24_000, 8))
+    assert spread(found) < 1.3 * 3000 < spread({i: s for i, _, s in nodes})
+
+
 def test_warc_round_trip(spark):
     big, small = "é" * 100, "tiny"
     rows = [(3, "http://c", big), (1, "http://a", big), (2, None, big), (4, "x\r\ny", small), (5, "u", small), (6, "u", None), (None, "u", big), (7, "u", ""), (8, "u", "z" * 5000)]
