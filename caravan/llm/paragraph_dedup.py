@@ -27,12 +27,16 @@ from caravan.llm.similarity import linked_components
 
 #: Words of a line that counts as a paragraph; words of a run of repeated pieces; neighbours on each side of a cut.
 LINE, RUN, NEIGHBOURS = 20, 12, 4
-#: Bands and rows: a pair at the similarity of 0.8 collides with a probability of 1 - (1 - 0.8 ** 3) ** 5 = 0.97.
+#: Bands and rows: a pair at the similarity of 0.8 collides with a probability of 1 - (1 - 0.8 ** 3) ** 5 = 0.97. The operator
+#: takes as many bands as its ratio needs for RECALL, 10 at 0.8.
 BANDS, ROWS = 5, 3
+RECALL = 0.999
 
 
 def tune(ratio: float, recall: float, rows: int = ROWS) -> int:
     """The fewest bands of so many rows that let a pair at the ratio collide with the recall asked for."""
+    if ratio <= 0:
+        raise ValueError("the ratio must be above 0")
     bands = 1
     while 1 - (1 - ratio**rows) ** bands < recall:
         bands += 1
@@ -182,7 +186,7 @@ def _cut_pieces(rows: DataFrame) -> DataFrame:
 
 def _cut_lines(rows: DataFrame, n: int, ratio: Fraction) -> DataFrame:
     """(doc_id, place, lo) of lines that are linked to one of a document with a smaller doc_id, lo."""
-    lines = materialize(rows.mapInArrow(_signatures(n, BANDS, ROWS), "doc_id long, place long, digest binary, n long, bands array<long>"), "lines")
+    lines = materialize(rows.mapInArrow(_signatures(n, tune(float(ratio), RECALL), ROWS), "doc_id long, place long, digest binary, n long, bands array<long>"), "lines")
     banded = lines.select(F.explode("bands").alias("v"), "digest", "n").repartition("v")
     several = banded.groupBy("v").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("v")
     lists = materialize(banded.join(several, "v").select("v", "digest", "n").distinct(), "bands")

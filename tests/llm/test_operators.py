@@ -237,6 +237,17 @@ def test_license_scan_whole_texts(spark):
     assert {name for name, _ in want} >= {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
 
 
+def test_paragraph_dedup_recall_follows_the_ratio(spark):
+    rows = []
+    for i in range(100):
+        line = [f"w{i}x{k}" for k in range(60)]
+        near = [w + "y" if k in (20, 40) else w for k, w in enumerate(line)]  # 46 of 66 shingles alike
+        rows += [(2 * i, " ".join(line), 0), (2 * i + 1, " ".join(near), 0)]
+    left = {r.doc_id: r.n_words_left for r in paragraph_dedup.dedup_paragraphs(spark.createDataFrame(rows, DOCS), ratio=Fraction(3, 5)).collect()}
+    assert all(left[i] == (0 if i % 2 else 60) for i in range(200))
+    assert paragraph_dedup.tune(0.8, paragraph_dedup.RECALL) == 10
+
+
 def test_paragraph_dedup(spark, docs, empty):
     rows = {(r.doc_id, r.text and r.text[:12]): r for r in paragraph_dedup.dedup_paragraphs(docs).collect()}
     found = {r.doc_id: r for r in rows.values()}
