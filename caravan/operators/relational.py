@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caravan.session import written
+
 Order = list
 
 
@@ -49,25 +51,36 @@ def first_by(df: DataFrame, by: list[str], order: Order) -> DataFrame:
 
 
 def interval_join(facts: DataFrame, intervals: DataFrame, value: Column, start: str, end: str, inclusive: bool) -> DataFrame:
-    """Facts with every interval that holds the value; intervals are few and go to every task."""
+    """Facts with every interval that holds the value. A stream's intervals go to every task; other tables of intervals do if few."""
     low, high = F.col(start), F.col(end)
     on = (value >= low) & (value <= high) if inclusive else (value > low) & (value < high)
-    return facts.join(F.broadcast(intervals), on)
+    return facts.join(F.broadcast(intervals) if facts.isStreaming else few(intervals), on)
+
+
+#: Rows of a table of intervals up to which it is sent to every task.
+FEW = 100_000
 
 
-def surrogate_key(df: DataFrame, order: list[str], name: str = "gid") -> DataFrame:
-    """A gapless number from 1 in the order given, without sorting in one task.
+def few(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if a count, which stops beyond FEW, finds it small; a join with it shuffles or sorts otherwise."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
-    Rows are range-partitioned and numbered within their partition; the partitions' counts, one row each, are added up.
+
+def surrogate_key(df: DataFrame, order: list[str], name: str = "gid", start: int = 1) -> DataFrame:
+    """A gapless number from start in the order given, without sorting in one task.
+
+    Rows are range-partitioned, numbered within their partition and written with both numbers, so that what is counted is what is
+    numbered; the partitions' counts, one row each, are added up.
     """
     spark = df.sparkSession
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    before, offsets = 0, []
+    place = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", *place), "numbered")
+    before, offsets = start, []
     for part, n in sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()):
         offsets.append((part, before))
         before += n
     base = spark.createDataFrame(offsets, "_part int, _before long")
-    return placed.join(F.broadcast(base), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+    return placed.join(F.broadcast(base), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def pivot_fill(df: DataFrame, by: list[str], pivot: str, values: list, column: str) -> DataFrame:
@@ -78,11 +91,19 @@ def pivot_fill(df: DataFrame, by: list[str], pivot: str, values: list, column: s
 def lag_across_groups(df: DataFrame, group: str, order: list[str], column: str, name: str) -> DataFrame:
     """lag(column) over the order (group, *order), not partitioned: a group's first row sees the last row of the group before.
 
-    The order runs over all groups, yet only one row a group meets in the window that links groups.
+    Groups are range-partitioned and written with their partition's number, so that a group's predecessor is in its partition or
+    ends the one before; only one row a partition meets in the step that links partitions.
     """
+    spark = df.sparkSession
     w = Window.partitionBy(group).orderBy(*order)
-    last = df.groupBy(group).agg(F.max_by(column, F.struct(*order)).alias("_last"))
-    linked = last.withColumn("_carried", F.lag("_last").over(Window.orderBy(group))).drop("_last")
+    last = df.groupBy(group).agg(F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order)).alias("_last"))
+    placed = written(last.repartitionByRange(group).select("*", F.spark_partition_id().alias("_part")), "ends")
+    ends = sorted((r["_part"], r["_end"]) for r in placed.groupBy("_part").agg(F.max_by("_last", group).alias("_end")).collect())
+    kind = df.schema[column].dataType.simpleString()
+    carried = [(part, end) for (part, _), (_, end) in zip(ends[1:], ends, strict=False)]
+    base = spark.createDataFrame(carried, f"_part int, _from struct<v:{kind}>")
+    within = F.lag("_last").over(Window.partitionBy("_part").orderBy(group))
+    linked = placed.withColumn("_own", within).join(F.broadcast(base), "_part", "left").select(group, F.coalesce("_own", "_from")["v"].alias("_carried"))
     rows = df.withColumn("_within", F.lag(column).over(w)).withColumn("_first", F.row_number().over(w) == 1)
     return rows.join(linked, group).withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_within"))).drop("_within", "_first", "_carried")
 

@@ -2,73 +2,110 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravan.functions import geo
+from caravan.session import written
 
+#: Widens reaches in the choice of cells, so that rounding never parts a pair; the exact distance decides.
+SLACK = 1e-6
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = os.path.join(tempfile.gettempdir(), "caravan-checkpoints")
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def _index(value: Column, cell: float) -> Column:
+    return F.floor(value / F.lit(cell)).cast("long")
 
-def _cells(x1: Column, y1: Column, x2: Column, y2: Column, cell: float) -> Column:
-    """array<struct<cx,cy>> of the grid cells that a box touches."""
-    span = lambda a, b: F.sequence(F.floor(a / cell).cast("long"), F.floor(b / cell).cast("long"))
-    return F.flatten(F.transform(span(x1, x2), lambda cx: F.transform(span(y1, y2), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
+def edge_table(lines: DataFrame, line: str = "line", *more: str) -> DataFrame:
+    """(*more, edge: number from 0, ax, ay, bx, by) of each edge; a line of one vertex is an edge without length."""
+    pairs = F.when(F.size(line) == 1, F.transform(line, lambda p: F.struct(p.alias("a"), p.alias("b")))).otherwise(geo.edges(F.col(line)))
+    rows = lines.select(*more, F.posexplode(pairs).alias("edge", "_e"))
+    return rows.select(*more, "edge", F.col("_e.a.x").alias("ax"), F.col("_e.a.y").alias("ay"), F.col("_e.b.x").alias("bx"), F.col("_e.b.y").alias("by"))
 
-def _line_cells(line: Column, reach: float, cell: float) -> Column:
-    """The cells within reach of a line: its edges are cut first, so that a slanting edge does not fill its bounding box."""
 
-    def around(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        return _cells(F.least(a["x"], b["x"]) - reach, F.least(a["y"], b["y"]) - reach, F.greatest(a["x"], b["x"]) + reach, F.greatest(a["y"], b["y"]) + reach, cell)
+def edge_cells(edges: DataFrame, reach: float, cell: float) -> DataFrame:
+    """Every row of edges(ax, ay, bx, by, ...) with each grid cell (cx, cy) within reach of it, once.
+
+    An edge is walked column by column: within a column, the part of the edge that can matter has a closed form.
+    """
+    wide = reach + SLACK
+    low, high = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
+    columns = edges.withColumn("cx", F.explode(F.sequence(_index(low("ax", "bx") - wide, cell), _index(high("ax", "bx") + wide, cell))))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    at = lambda x: F.when(dx == 0, F.lit(None).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("ax")) / dx)))
+    west, east = at(F.col("cx") * F.lit(cell) - F.lit(wide)), at((F.col("cx") + 1) * F.lit(cell) + F.lit(wide))
+    y1, y2 = F.col("ay") + F.coalesce(west, F.lit(0.0)) * dy, F.col("ay") + F.coalesce(east, F.lit(1.0)) * dy
+    return columns.withColumn("cy", F.explode(F.sequence(_index(low(y1, y2) - wide, cell), _index(high(y1, y2) + wide, cell))))
+
+
+def _point_edge(x: Column, y: Column, side: str = "") -> tuple[Column, Column]:
+    """(parameter, distance) of the place on edge (ax, ay)-(bx, by) nearest to a point, in plain arithmetic."""
+    ax, ay, bx, by = (F.col(f"{c}{side}") for c in ("ax", "ay", "bx", "by"))
+    dx, dy = bx - ax, by - ay
+    square = dx * dx + dy * dy
+    t = F.when(square == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) / square)))
+    ex, ey = x - (ax + t * dx), y - (ay + t * dy)
+    return t, F.sqrt(ex * ex + ey * ey)
+
+
+def near_edges(points: DataFrame, lines: DataFrame, reach: float, key: str, line_key: str, point: str = "point", line: str = "line") -> DataFrame:
+    """(key, line_key, edge, t, dist) of each edge within reach of each point: an equi-join on grid cells, then the distance.
+
+    A point is in one cell and an edge in all cells within reach of it, so a pair meets once. Cells are as large as twice the reach.
+    """
+    cell = 2 * reach
+    p = points.select(key, F.col(point)["x"].alias("_x"), F.col(point)["y"].alias("_y")).dropna()
+    p = p.withColumn("cx", _index(F.col("_x"), cell)).withColumn("cy", _index(F.col("_y"), cell))
+    met = p.join(edge_cells(edge_table(lines, line, line_key), reach, cell), ["cx", "cy"])
+    t, dist = _point_edge(F.col("_x"), F.col("_y"))
+    return met.select(key, line_key, "edge", t.alias("t"), dist.alias("dist")).where(F.col("dist") <= reach)
 
-    return F.array_distinct(F.flatten(F.transform(geo.edges(geo.segmentize(line, 2 * cell)), around)))
 
+def _with_places(found: DataFrame, points: DataFrame, lines: DataFrame, key: str, line_key: str, line: str) -> DataFrame:
+    """found(key, line_key, best: dist, edge, t) with the other columns of both sides, dist, along and total."""
+    rows = found.join(points, key).join(lines, line_key)
+    before = geo.length(F.slice(F.col(line), F.lit(1), F.col("_best.edge") + 1))
+    a, b = F.get(line, F.col("_best.edge")), F.get(line, F.col("_best.edge") + 1)
+    along = before + F.coalesce(F.col("_best.t") * geo.distance(a, b), F.lit(0.0))
+    return rows.withColumns({"dist": F.col("_best.dist"), "along": along, "total": geo.length(F.col(line)), "near": F.coalesce(geo.on_edge(a, b, F.col("_best.t")), a)}).drop("_best")
 
-def distance_join(points: DataFrame, lines: DataFrame, reach: float, point: str = "point", line: str = "line", cell: float | None = None) -> DataFrame:
-    """Every point with every line within reach: an equi-join on grid cells, then the exact distance, as dist.
 
-    A point is in one cell and a line in all cells within reach of it, so a pair meets once and needs no removal of doubles.
+def distance_join(points: DataFrame, lines: DataFrame, reach: float, key: str = "id", line_key: str = "gid", point: str = "point", line: str = "line") -> DataFrame:
+    """Every point with every line within reach: the columns of both, dist, along (length up to the nearest place), total (length
+    of the line) and near (that place). Of places at the same distance the first one counts.
+
+    points(key, point, ...) and lines(line_key, line, ...) have unique keys. A pair's edges meet in the point's cell, and the
+    nearest one is an aggregate over narrow rows; geometries come back for the pairs that are left.
     """
-    size = max(cell or 0.0, reach)
-    p = points.withColumn("_cx", F.floor(F.col(point)["x"] / size).cast("long")).withColumn("_cy", F.floor(F.col(point)["y"] / size).cast("long"))
-    cells = lines.withColumn("_cell", F.explode(_line_cells(F.col(line), reach, size))).withColumn("_cx", F.col("_cell.cx")).withColumn("_cy", F.col("_cell.cy")).drop("_cell")
-    return p.join(cells, ["_cx", "_cy"]).withColumn("dist", geo.point_line_distance(F.col(line), F.col(point))).where(F.col("dist") <= reach).drop("_cx", "_cy")
+    met = near_edges(points, lines, reach, key, line_key, point, line)
+    best = met.groupBy(key, line_key).agg(F.min(F.struct("dist", "edge", "t")).alias("_best"))
+    return _with_places(best, points, lines, key, line_key, line)
 
 
-def nearest_within(points: DataFrame, lines: DataFrame, reach: float, key: str, line_key: str, **more) -> DataFrame:
-    """Each point's nearest line within reach; of lines at the same distance the one of the smallest key."""
-    found = distance_join(points, lines, reach, **more)
-    names = [c for c in found.columns if c != key]
-    best = found.groupBy(key).agg(F.min_by(F.struct(*names), F.struct("dist", line_key)).alias("_best"))
-    return best.select(key, "_best.*")
+def nearest_within(points: DataFrame, lines: DataFrame, reach: float, key: str, line_key: str, point: str = "point", line: str = "line") -> DataFrame:
+    """Each point's nearest line within reach, with what distance_join() adds; of lines at the same distance the one of the
+    smallest key."""
+    met = near_edges(points, lines, reach, key, line_key, point, line)
+    best = met.groupBy(key).agg(F.min(F.struct("dist", line_key, "edge", "t")).alias("_best"))
+    return _with_places(best.select(key, F.col(f"_best.{line_key}").alias(line_key), "_best"), points, lines, key, line_key, line)
 
 
-def point_pairs(points: DataFrame, reach: float, key: str = "id") -> DataFrame:
-    """(a, b) of all pairs, in both directions and with itself, of points(key, x, y) within reach."""
-    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
-    left = points.select(F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    around = F.explode(_cells(F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, reach))
-    right = points.select(F.col(key).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), around.alias("c")).select("b", "bx", "by", "c.cx", "c.cy")
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return left.join(right, ["cx", "cy"]).where(dx * dx + dy * dy <= reach * reach).select("a", "b")
+def line_pairs(left: DataFrame, right: DataFrame, reach: float, left_key: list[str], right_key: list[str], cell: float | None = None) -> DataFrame:
+    """Pairs of lines within reach of each other, each once, with their distance.
+
+    left(*left_key, line), right(*right_key, line) -> keys, dist. Edges meet in the cells within reach of one and touched by the
+    other; two edges that cross are at distance 0, others at that of the nearest end.
+    """
+    size = max(cell or 0.0, 2 * reach)
+    a = edge_cells(edge_table(left, "line", *left_key).drop("edge"), reach, size)
+    b = edge_cells(edge_table(right, "line", *right_key).drop("edge"), 0.0, size).withColumnsRenamed({c: f"{c}2" for c in ("ax", "ay", "bx", "by")})
+    ends = [_point_edge(F.col("ax"), F.col("ay"), "2")[1], _point_edge(F.col("bx"), F.col("by"), "2")[1], _point_edge(F.col("ax2"), F.col("ay2"))[1], _point_edge(F.col("bx2"), F.col("by2"))[1]]
+    side = lambda o, u, v: (F.col(f"{u[0]}x{u[1:]}") - F.col(f"{o[0]}x{o[1:]}")) * (F.col(f"{v[0]}y{v[1:]}") - F.col(f"{o[0]}y{o[1:]}")) - (F.col(f"{u[0]}y{u[1:]}") - F.col(f"{o[0]}y{o[1:]}")) * (F.col(f"{v[0]}x{v[1:]}") - F.col(f"{o[0]}x{o[1:]}"))
+    crosses = (side("a", "b", "a2") * side("a", "b", "b2") < 0) & (side("a2", "b2", "a") * side("a2", "b2", "b") < 0)
+    met = a.join(b, ["cx", "cy"]).withColumn("dist", F.when(crosses, F.lit(0.0)).otherwise(F.least(*ends)))
+    return met.where(F.col("dist") <= reach).groupBy(*left_key, *right_key).agg(F.min("dist").alias("dist"))
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -87,21 +124,66 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
+#: Steps to the cells that may hold a point within eps of one of a cell whose diagonal is eps.
+AROUND = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)]
+
+
+def _around(c: str) -> Column:
+    """array of the cells around cell c, a struct of i and j."""
+    return F.array(*(F.struct((F.col(c)["i"] + i).alias("i"), (F.col(c)["j"] + j).alias("j")) for i, j in AROUND))
+
+
 def dbscan(points: DataFrame, eps: float, min_points: int, key: str = "id") -> DataFrame:
     """(key, cluster: smallest core key, core) of points(key, x, y) that are in a cluster; noise is left out.
 
     A core point has min_points points, itself included, within eps; cores within eps of each other share a cluster; a border
     point takes the smallest cluster of the cores within eps of it.
+
+    The plane is cut into cells whose diagonal is eps, so points of one cell are within eps of each other: a cell of min_points
+    points has cores only, and the cores of a cell share a cluster. Only the few points of other cells are compared with all
+    points of the cells around them. Of two cells with cores, those nearest to the other's middle are compared first, which links
+    dense ones; all cores are compared only where that fails.
     """
-    pairs = written(point_pairs(points, eps, key), "pairs")
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("core"))
-    core = written(core, "core")
-    from_core = pairs.join(core.withColumnRenamed("core", "a"), "a")
-    between = from_core.join(core.withColumnRenamed("core", "b"), "b").select("a", "b")
-    cores = components(between)
-    reached = from_core.join(cores.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("near"))
-    own = cores.withColumn("core", F.lit(True))
-    return reached.join(own, "id", "left").select(F.col("id").alias(key), F.coalesce("component", "near").alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+    size = eps / math.sqrt(2)
+    cell = F.struct(_index(F.col("x"), size).alias("i"), _index(F.col("y"), size).alias("j")).alias("c")
+    placed = points.select(F.col(key).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().select("id", "x", "y", cell)
+    counts = placed.groupBy("c").agg(F.count("*").alias("n"))
+    rows = written(placed.join(counts, "c"), "points")
+    sparse = rows.where(F.col("n") < min_points)
+    close = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) <= eps * eps
+    other = lambda df: df.withColumnsRenamed({"id": "id2", "x": "x2", "y": "y2"})
+
+    # cores: whole cells, and points of sparse cells with enough points around
+    asked = sparse.withColumn("c", F.explode(_around("c")))
+    met = asked.join(other(rows.select("id", "x", "y", "c")), "c").where(close).groupBy("id").agg(F.count("*").alias("m"))
+    some = sparse.join(met, "id").where(F.col("n") + F.col("m") >= min_points).select("id", "x", "y", "c")
+    cores = written(rows.where(F.col("n") >= min_points).select("id", "x", "y", "c").unionByName(some), "cores")
+
+    # links between cells with cores
+    facing = cores.select("*", F.explode(_around("c")).alias("d"))
+    off = lambda v, k: F.col(v) - (F.col("d")[k] + 0.5) * size
+    nearest = facing.groupBy("c", "d").agg(F.min_by(F.struct("x", "y"), F.struct((off("x", "i") * off("x", "i") + off("y", "j") * off("y", "j")).alias("far"), "id")).alias("p"))
+    nearest = written(nearest, "facing")
+    back = nearest.select(F.col("d").alias("c"), F.col("c").alias("d"), F.col("p").alias("q"))
+    both = nearest.where("c < d").join(back, ["c", "d"])
+    apart = (F.col("p.x") - F.col("q.x")) * (F.col("p.x") - F.col("q.x")) + (F.col("p.y") - F.col("q.y")) * (F.col("p.y") - F.col("q.y"))
+    tried = written(both.select("c", "d", (apart <= eps * eps).alias("linked")), "tried")
+    unsure = tried.where("not linked").select("c", "d")
+    full = unsure.join(cores, "c").join(other(cores).withColumnRenamed("c", "d"), "d").where(close).select("c", "d").distinct()
+    links = tried.where("linked").select("c", "d").unionByName(full)
+    number = lambda c: F.shiftleft(F.col(c)["i"], 32) + F.col(c)["j"] + F.lit(1 << 31)
+    own = cores.select(number("c").alias("a"), number("c").alias("b")).distinct()
+    pairs = links.select(number("c").alias("a"), number("d").alias("b"))
+    cells = components(own.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    named = cores.withColumn("_cell", number("c")).join(cells.withColumnRenamed("id", "_cell"), "_cell")
+    smallest = named.groupBy("component").agg(F.min("id").alias("cluster"))
+    found = written(named.join(smallest, "component").select("id", "x", "y", "c", "cluster"), "clusters")
+
+    # border points: of sparse cells, with a core in their cell or within eps of one around
+    border = sparse.select("id", "x", "y", "c").join(cores.select("id"), "id", "left_anti")
+    asked = border.unionByName(border.withColumn("c", F.explode(_around("c"))))
+    reached = asked.join(other(found), "c").where(close).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    return found.select(F.col("id").alias(key), "cluster", F.lit(True).alias("core")).unionByName(reached.select(F.col("id").alias(key), "cluster", F.lit(False).alias("core")))
 
 
 def grid_thin(df: DataFrame, cell: float, order: list, x: str = "x", y: str = "y") -> DataFrame:
@@ -109,15 +191,3 @@ def grid_thin(df: DataFrame, cell: float, order: list, x: str = "x", y: str = "y
     keyed = df.withColumn("_gx", F.floor(F.col(x) / cell)).withColumn("_gy", F.floor(F.col(y) / cell))
     w = Window.partitionBy("_gx", "_gy").orderBy(*order)
     return keyed.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_gx", "_gy", "_r")
-
-
-def line_pairs(left: DataFrame, right: DataFrame, reach: float, left_key: list[str], right_key: list[str], cell: float | None = None) -> DataFrame:
-    """Pairs of lines that share a grid cell within reach: candidates for an exact kernel, each pair once.
-
-    left(*left_key, line), right(*right_key, line) -> keys, line, other.
-    """
-    size = max(cell or 0.0, reach)
-    a = left.select(*left_key, F.explode(_line_cells(F.col("line"), reach, size)).alias("_cell"))
-    b = right.select(*right_key, F.explode(_line_cells(F.col("line"), 0.0, size)).alias("_cell"))
-    pairs = a.join(b, "_cell").select(*left_key, *right_key).distinct()
-    return pairs.join(left.select(*left_key, "line"), left_key).join(right.select(*right_key, F.col("line").alias("other")), right_key)

@@ -13,7 +13,7 @@ from caravan.operators import relational as R
 from caravan.operators import spatial as S
 from caravan.plans import flow, gtfs, migrate
 from caravan.plans import mapping as M
-from caravan.session import importable
+from caravan.session import importable, work_dir, written
 from caravan.sources import geojson, layers, osm
 from caravan.sources import gtfs as gtfs_files
 
@@ -62,14 +62,24 @@ FLOW = APPEARANCES + ", c AS (SELECT gid, interval_name, count(*) AS v FROM app
 
 @query(M.sql("stops trips intervals calls legs runs", ", " + FLOW))
 def vehicle_flow(spark, d):
-    return flow.vehicle_flow(_roads(spark, d), flow.classify_intervals(_appearances(spark, d), M.intervals(spark, d)))
+    return flow.vehicle_flow(_roads(spark, d), flow.interval_counts(_frequencies(spark, d), _matched(spark, d), M.intervals(spark, d)))
 
 
-@query(M.sql("stops trips intervals calls", ", picked AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq) AS s2 FROM calls WHERE vehicle = 'R' AND stop_id % 7 <> 0), legs AS (SELECT trip_id, s2 AS seq, stop_id AS gid, CAST(sum(q) OVER (PARTITION BY trip_id ORDER BY s2 ROWS UNBOUNDED PRECEDING) - q AS BIGINT) AS ts FROM picked), " + M.SQL["runs"] + ", " + FLOW))
+@query(M.sql("stops trips intervals calls", ", picked AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq) AS s2 FROM calls WHERE vehicle = 'R' AND board >= 10), legs AS (SELECT trip_id, s2 AS seq, stop_id AS gid, CAST(sum(q) OVER (PARTITION BY trip_id ORDER BY s2 ROWS UNBOUNDED PRECEDING) - q AS BIGINT) AS ts FROM picked), " + M.SQL["runs"] + ", " + FLOW))
 def vehicle_flow_restricted(spark, d):
-    calls = M.calls(spark, d).where("vehicle = 'R' and stop_id % 7 <> 0")
-    found = flow.vehicle_appearances(flow.expand_frequencies(_frequencies(spark, d)), _matched(spark, d, calls))
-    return flow.vehicle_flow(_roads(spark, d), flow.classify_intervals(found, M.intervals(spark, d)))
+    calls = M.calls(spark, d).where("vehicle = 'R' and board >= 10")
+    return flow.vehicle_flow(_roads(spark, d), flow.interval_counts(_frequencies(spark, d), _matched(spark, d, calls), M.intervals(spark, d)))
+
+
+#: Trips with several frequency rows, which overlap: those of status F run a second time from 900 seconds later.
+TWICE = "runs2 AS (SELECT trip_id, headway, start, k FROM runs UNION ALL SELECT trip_id, headway, start + 900, unnest(range(0, 7200 // headway)) FROM trips WHERE status = 'F')"
+
+
+@query(M.sql("trips intervals calls legs runs", ", " + TWICE + ", app AS (SELECT gid, r.trip_id, k, start+k*headway+ts AS tod, min(seq)-1 AS segment_order FROM runs2 r JOIN legs USING (trip_id) GROUP BY ALL) SELECT gid, segment_order, interval_name, s, e, count(*) AS n FROM app JOIN intervals ON tod > s AND tod < e GROUP BY ALL"))
+def interval_counts(spark, d):
+    more = M.trips(spark, d).where("status = 'F'").select("trip_id", (F.col("start") + 900).alias("start_time"), (F.col("start") + 900 + 7200).alias("end_time"), F.col("headway").alias("headway_secs"))
+    counts = flow.interval_counts(_frequencies(spark, d).unionByName(more), _matched(spark, d), M.intervals(spark, d))
+    return counts.groupBy("gid", "segment_order", "interval_name", "s", "e").agg(F.sum("n").alias("n"))
 
 
 @query(M.sql("trips runs", "SELECT trip_id, headway AS headway_secs, k AS instance_no, start+k*headway AS trip_start_time FROM runs"))
@@ -295,14 +305,14 @@ def median_occupancy(spark, d):
     return inside.groupBy("supplier", (F.col("stop_id") % 10).alias("segment"), "interval_name").agg(F.median("o").alias("occupancy"))
 
 
-SURVEY = "survey AS (SELECT trip_id, seq - 1 AS segment_order, interval_name, greatest(avg(CAST(board - alight * 4 AS DOUBLE)), 0) AS occ FROM calls CROSS JOIN intervals WHERE trip_id % 3 = 0 GROUP BY ALL)"
+SURVEY = "survey AS (SELECT trip_id, seq - 1 AS segment_order, interval_name, greatest(avg(CAST(board - alight * 4 AS DOUBLE)), 0) AS occ FROM calls CROSS JOIN intervals WHERE vehicle = 'A' GROUP BY ALL)"
 
 
 @query(M.sql("stops trips intervals calls legs runs", ", " + APPEARANCES + ", " + SURVEY + ", cls AS (SELECT app.*, interval_name FROM app JOIN intervals ON tod > s AND tod < e), j AS (SELECT cls.gid, cls.interval_name, occ FROM cls LEFT JOIN survey USING (trip_id, segment_order, interval_name)), m AS (SELECT median(occ) AS m FROM j), c AS (SELECT gid, interval_name, ceil(sum(coalesce(occ, m))) AS v FROM j, m GROUP BY ALL) SELECT id AS gid, coalesce(interval_name, '0') AS interval_name, coalesce(v, 0.0) AS value FROM stops LEFT JOIN c ON id = gid"))
 def passenger_flow(spark, d):
-    calls = M.calls(spark, d).where("trip_id % 3 = 0").crossJoin(F.broadcast(M.intervals(spark, d)))
+    calls = M.calls(spark, d).where("vehicle = 'A'").crossJoin(F.broadcast(M.intervals(spark, d)))
     survey = calls.groupBy("trip_id", (F.col("seq") - 1).alias("segment_order"), "interval_name").agg(F.avg((F.col("board") - F.col("alight") * 4).cast("double")).alias("occupancy"))
-    return flow.passenger_flow(_roads(spark, d), flow.classify_intervals(_appearances(spark, d), M.intervals(spark, d)), survey)
+    return flow.passenger_flow(_roads(spark, d), flow.interval_counts(_frequencies(spark, d), _matched(spark, d), M.intervals(spark, d)), survey)
 
 
 @query(M.sql("calls", "SELECT trip_id, seq, board AS occupancy, false AS interpolated FROM calls WHERE vehicle = 'A' UNION ALL SELECT trip_id, seq, alight, true FROM calls WHERE vehicle <> 'A'"))
@@ -311,9 +321,10 @@ def union_surveyed_interpolated(spark, d):
     return flow.all_occupancy(calls.where("vehicle = 'A'").select("trip_id", "seq", F.col("board").alias("occupancy")), calls.where("vehicle <> 'A'").select("trip_id", "seq", F.col("alight").alias("occupancy")))
 
 
-@query("""SELECT event_id, CAST(json_extract(replace(props, '"k"', '"male"'), '$.male') AS INTEGER) AS board_male, CAST(NULL AS INTEGER) AS board_female FROM events""")
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS board_male, CASE WHEN user_id % 3 > 0 THEN CAST(user_id AS INTEGER) END AS board_female FROM events""")
 def json_gender_unpack(spark, d):
-    rows = M.table(spark, d, "events").select("event_id", F.replace("props", F.lit('"k"'), F.lit('"male"')).alias("board_categorized"))
+    female = F.when(F.col("user_id") % 3 > 0, F.concat(F.lit(', "female": '), F.col("user_id").cast("string"))).otherwise(F.lit(""))
+    rows = M.table(spark, d, "events").select("event_id", F.concat(F.rtrim(F.replace("props", F.lit('"k"'), F.lit('"male"')), F.lit("}")), female, F.lit("}")).alias("board_categorized"))
     return migrate.unpack_gender_counts(rows, "board_categorized", "board").drop("board_categorized")
 
 
@@ -351,15 +362,19 @@ def gtfs_frequencies(spark, d):
     return gtfs.frequencies(pairs, trips.select(F.col("trip_id").alias("gid"), F.col("trip_id").cast("string").alias("trip_id")), M.intervals(spark, d).select("interval_id", F.col("s").alias("start_time"), F.col("e").alias("end_time")))
 
 
-TRAVEL = "travel AS (SELECT from_id, stop_id, vehicle, avg(CAST(q AS DOUBLE)) AS d FROM (SELECT lag(stop_id) OVER (PARTITION BY trip_id ORDER BY seq) AS from_id, stop_id, vehicle, q FROM calls) WHERE from_id % 2 = 0 GROUP BY ALL)"
+TRAVEL = "travel AS (SELECT from_id, stop_id, vehicle, avg(CAST(q AS DOUBLE)) AS d FROM (SELECT lag(stop_id) OVER (PARTITION BY trip_id ORDER BY seq) AS from_id, stop_id, vehicle, q FROM calls) WHERE from_id IS NOT NULL AND vehicle <> 'N' GROUP BY ALL)"
 HMS = "printf('%02d:%02d:%02d', CAST({0} // 3600 AS BIGINT), CAST({0} % 3600 // 60 AS BIGINT), CAST({0} % 60 AS BIGINT))"
 
 
-@query(M.sql("calls", ", k AS (SELECT *, sum(q) OVER (PARTITION BY trip_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS dist FROM calls), l AS (SELECT *, lag(stop_id) OVER w AS from_id, coalesce(dist - lag(dist) OVER w, 0) AS len FROM k WINDOW w AS (PARTITION BY trip_id ORDER BY seq)), " + TRAVEL + ", j AS (SELECT l.*, CASE WHEN d IS NOT NULL THEN d WHEN seq <> 1 THEN ceil(len / 10.0) ELSE 0 END AS dur FROM l LEFT JOIN travel t ON l.from_id = t.from_id AND l.stop_id = t.stop_id AND l.vehicle = t.vehicle), a AS (SELECT *, CAST(floor(round(sum(dur) OVER (PARTITION BY trip_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 6)) AS BIGINT) + 79200 + (seq - 1) * 15 AS arr FROM j) SELECT trip_id, stop_id, seq AS stop_sequence, " + HMS.format("arr") + " AS arrival_time, " + HMS.format("(arr + 15)") + " AS departure_time FROM a"))
+#: Arrivals at the calls of trips: trip_id, stop_id, seq, arr.
+ARRIVALS = "WITH k AS (SELECT *, sum(q) OVER (PARTITION BY trip_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS dist FROM calls), l AS (SELECT *, lag(stop_id) OVER w AS from_id, coalesce(dist - lag(dist) OVER w, 0) AS len FROM k WINDOW w AS (PARTITION BY trip_id ORDER BY seq)), " + TRAVEL + ", j AS (SELECT l.*, CASE WHEN d IS NOT NULL THEN d WHEN seq <> 1 THEN ceil(len / 10.0) ELSE 0 END AS dur FROM l LEFT JOIN travel t ON l.from_id = t.from_id AND l.stop_id = t.stop_id AND l.vehicle = t.vehicle) SELECT trip_id, stop_id, seq, CAST(floor(round(sum(dur) OVER (PARTITION BY trip_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 6)) AS BIGINT) + 79200 + (seq - 1) * 15 AS arr FROM j"
+
+
+@query(M.sql("calls", ", a AS (" + ARRIVALS + ") SELECT trip_id, stop_id, seq AS stop_sequence, " + HMS.format("arr") + " AS arrival_time, " + HMS.format("(arr + 15)") + " AS departure_time FROM a"))
 def gtfs_stop_times(spark, d):
     calls = M.calls(spark, d)
     w = Window.partitionBy("trip_id").orderBy("seq")
-    travel = calls.select(F.lag("stop_id").over(w).alias("o_id"), F.col("stop_id").alias("d_id"), F.col("vehicle").alias("vehicle_name"), F.col("q").alias("duration"), F.lit(1).alias("interval_id")).where("o_id % 2 = 0")
+    travel = calls.select(F.lag("stop_id").over(w).alias("o_id"), F.col("stop_id").alias("d_id"), F.col("vehicle").alias("vehicle_name"), F.col("q").alias("duration"), F.lit(1).alias("interval_id")).where("o_id is not null and vehicle_name <> 'N'")
     rows = calls.withColumn("distance", R.running_sum("q", ["trip_id"], ["seq"]).cast("double")).select("trip_id", "stop_id", F.col("seq").alias("stop_sequence"), "distance", F.col("vehicle").alias("vehicle_name"))
     return gtfs.stop_times(rows, travel, 1, 79200)
 
@@ -459,7 +474,6 @@ def medoid_trip_geometry(spark, d):
 # --- spatial joins --------------------------------------------------------------------------------------------------
 
 NEAR = f"c AS (SELECT p.id, p.x, p.y, gid, ax, ay, bx, by2 FROM probes p, roads), t AS (SELECT *, {M.NEAR_T} AS t FROM c), n AS (SELECT id, gid, t, ax, ay, bx, by2, {M.NEAR_D} AS d FROM t)"
-GRID = 500.0
 
 
 def _probes(spark, d):
@@ -468,14 +482,13 @@ def _probes(spark, d):
 
 @query(M.sql("stops roads probes", f", {NEAR} SELECT id, gid, round(d, 4) AS dist FROM n WHERE d <= 30"))
 def distance_join_30m(spark, d):
-    return S.distance_join(_probes(spark, d), M.roads(spark, d), 30.0, cell=GRID).select("id", "gid", F.round("dist", 4).alias("dist"))
+    return S.distance_join(_probes(spark, d), M.roads(spark, d), 30.0).select("id", "gid", F.round("dist", 4).alias("dist"))
 
 
 @query(M.sql("stops roads probes", f", {NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, gid) AS r FROM n WHERE d <= 30) SELECT id, gid, round(d, 4) AS dist, round(ax + t * (bx-ax), 3) AS cx, round(ay + t * (by2-ay), 3) AS cy FROM r WHERE r = 1"))
 def knn_snap_30m(spark, d):
-    near = S.nearest_within(_probes(spark, d), M.roads(spark, d), 30.0, "id", "gid", cell=GRID)
-    c = geo.closest_point(F.col("line"), F.col("point"))
-    return near.select("id", "gid", F.round("dist", 4).alias("dist"), F.round(c["x"], 3).alias("cx"), F.round(c["y"], 3).alias("cy"))
+    near = S.nearest_within(_probes(spark, d), M.roads(spark, d), 30.0, "id", "gid")
+    return near.select("id", "gid", F.round("dist", 4).alias("dist"), F.round("near.x", 3).alias("cx"), F.round("near.y", 3).alias("cy"))
 
 
 @query(M.sql("stops calls edges", f", m AS (SELECT trip_id, seq, ax, ay, bx, by2, CAST(trip_id * 37 % 10007 AS DOUBLE) AS x, CAST(trip_id * 91 % 10009 AS DOUBLE) AS y FROM edges), p AS (SELECT *, {M.NEAR_T} AS t FROM m), q AS (SELECT trip_id, seq, round({M.NEAR_D}, 6) AS d FROM p) SELECT trip_id, seq FROM (SELECT *, rank() OVER (PARTITION BY trip_id ORDER BY d) AS r FROM q) WHERE r = 1"))
@@ -484,15 +497,21 @@ def nearest_subsegment(spark, d):
     return e.withColumn("r", F.rank().over(Window.partitionBy("trip_id").orderBy("d"))).where("r = 1").select("trip_id", (F.col("seq") + 1).cast("long").alias("seq"))
 
 
-@query(M.sql("stops", ", s AS (SELECT id, x, y, lead(x) OVER (ORDER BY id) AS bx, lead(y) OVER (ORDER BY id) AS by2 FROM stops), e AS (SELECT id, x AS ax, y AS ay, x + (bx - x) * 0.05 AS bx, y + (by2 - y) * 0.05 AS by2 FROM s WHERE bx IS NOT NULL), pr AS (SELECT a.id AS id_1, b.id AS id_2, a.ax AS px, a.ay AS py, a.bx AS qx, a.by2 AS qy, b.ax AS rx, b.ay AS ry, b.bx AS sx, b.by2 AS sy FROM e a JOIN e b ON a.id % 2 = 0 AND b.id % 2 = 1 AND least(a.ax, a.bx) - 100 <= greatest(b.ax, b.bx) AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) + 100 AND least(a.ay, a.by2) - 100 <= greatest(b.ay, b.by2) AND least(b.ay, b.by2) <= greatest(a.ay, a.by2) + 100), "
-    "k AS (SELECT *, ((qx-px)*(ry-py)-(qy-py)*(rx-px))*((qx-px)*(sy-py)-(qy-py)*(sx-px)) < 0 AND ((sx-rx)*(py-ry)-(sy-ry)*(px-rx))*((sx-rx)*(qy-ry)-(sy-ry)*(qx-rx)) < 0 AS crosses FROM pr), "
-    "v AS (SELECT id_1, id_2, crosses, px AS x, py AS y, rx AS ax, ry AS ay, sx AS bx, sy AS by2 FROM k UNION ALL SELECT id_1, id_2, crosses, qx, qy, rx, ry, sx, sy FROM k UNION ALL SELECT id_1, id_2, crosses, rx, ry, px, py, qx, qy FROM k UNION ALL SELECT id_1, id_2, crosses, sx, sy, px, py, qx, qy FROM k), "
-    f"t AS (SELECT *, {M.NEAR_T} AS t FROM v) SELECT id_1, id_2 FROM t GROUP BY ALL HAVING bool_or(crosses) OR min({M.NEAR_D}) <= 100"))
+#: Pairs of edges p-q and r-s whose boxes are within a reach, and their distance.
+def _edge_pairs(one: str, two: str, on: str, reach: int, keys: str) -> str:
+    cross = "((qx-px)*(ry-py)-(qy-py)*(rx-px))*((qx-px)*(sy-py)-(qy-py)*(sx-px)) < 0 AND ((sx-rx)*(py-ry)-(sy-ry)*(px-rx))*((sx-rx)*(qy-ry)-(sy-ry)*(qx-rx)) < 0"
+    ends = " UNION ALL ".join(f"SELECT {keys}, crosses, {p}x AS x, {p}y AS y, {a}x AS ax, {a}y AS ay, {b}x AS bx, {b}y AS by2 FROM k" for p, a, b in ("prs", "qrs", "rpq", "spq"))
+    return (
+        f"pr AS (SELECT {keys}, a.ax AS px, a.ay AS py, a.bx AS qx, a.by2 AS qy, b.ax AS rx, b.ay AS ry, b.bx AS sx, b.by2 AS sy FROM {one} a JOIN {two} b ON {on} AND least(a.ax, a.bx) - {reach} <= greatest(b.ax, b.bx) AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) + {reach} AND least(a.ay, a.by2) - {reach} <= greatest(b.ay, b.by2) AND least(b.ay, b.by2) <= greatest(a.ay, a.by2) + {reach}), "
+        f"k AS (SELECT *, {cross} AS crosses FROM pr), v AS ({ends}), t AS (SELECT *, {M.NEAR_T} AS t FROM v), near AS (SELECT {keys}, CASE WHEN bool_or(crosses) THEN 0.0 ELSE min({M.NEAR_D}) END AS dist FROM t GROUP BY ALL HAVING bool_or(crosses) OR min({M.NEAR_D}) <= {reach})"
+    )
+
+
+@query(M.sql("probes streets", ", a1 AS (SELECT gid AS id_1, * FROM streets), b1 AS (SELECT gid AS id_2, * FROM streets), " + _edge_pairs("a1", "b1", "id_1 < id_2", 100, "id_1, id_2") + " SELECT id_1, id_2, round(dist, 4) AS dist FROM near"))
 def overlay_pairs_100m(spark, d):
-    short = M.roads(spark, d).select("gid", F.array(F.get("line", F.lit(0)), geo.on_edge(F.get("line", F.lit(0)), F.get("line", F.lit(1)), F.lit(0.05))).alias("line"))
-    name = lambda i, odd: short.where(F.col("gid") % 2 == odd).select(F.col("gid").alias(f"id_{i}"), "line")
-    pairs = S.line_pairs(name(1, 0), name(2, 1), 100.0, ["id_1"], ["id_2"], GRID)
-    return pairs.where(flow.line_distance(F.col("line"), F.col("other")) <= 100).select("id_1", "id_2")
+    streets = M.streets(spark, d)
+    name = lambda i: streets.select(F.col("gid").alias(f"id_{i}"), "line")
+    return S.line_pairs(name(1), name(2), 100.0, ["id_1"], ["id_2"]).where("id_1 < id_2").select("id_1", "id_2", F.round("dist", 4).alias("dist"))
 
 
 DB = "pair AS (SELECT a.id AS a, b.id AS b FROM stops a JOIN stops b ON b.x BETWEEN a.x - 150 AND a.x + 150 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 22500), core AS (SELECT a AS id FROM pair GROUP BY a HAVING count(*) >= 3), cc AS (SELECT a, b FROM pair WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), reach AS (SELECT id, id AS root FROM core UNION SELECT cc.b, reach.root FROM reach JOIN cc ON cc.a = reach.id), lab AS (SELECT id, min(root) AS cluster FROM reach GROUP BY id), db AS (SELECT pair.b AS id, coalesce(max(own.cluster), min(lab.cluster)) AS cluster, max(own.id) IS NOT NULL AS core FROM pair JOIN lab ON lab.id = pair.a LEFT JOIN lab own ON own.id = pair.b GROUP BY pair.b)"
@@ -508,7 +527,7 @@ CLUSTERS = "shape AS (SELECT cluster, count(*) AS n_points, avg(x) AS x, avg(y)
 
 @query("WITH RECURSIVE " + M.SQL["stops"] + ", " + M.SQL["roads"] + ", " + DB + ", " + CLUSTERS + f", c AS (SELECT thin.cluster, thin.x, thin.y, gid, ax, ay, bx, by2 FROM thin, roads), t AS (SELECT *, {M.NEAR_T} AS t FROM c), n AS (SELECT *, {M.NEAR_D} AS d, sqrt((bx-ax)*(bx-ax)+(by2-ay)*(by2-ay)) AS len FROM t), b AS (SELECT *, ax + t*(bx-ax) AS gx, ay + t*(by2-ay) AS gy FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY d, gid) AS r FROM n WHERE d <= 30) WHERE r = 1), z AS (SELECT *, CASE WHEN degrees(atan2(bx-ax, by2-ay)) < 0 THEN degrees(atan2(bx-ax, by2-ay)) + 360 ELSE degrees(atan2(bx-ax, by2-ay)) END AS z FROM b) SELECT z.cluster, md.name AS stop_name, CASE WHEN least(sqrt((gx-ax)*(gx-ax)+(gy-ay)*(gy-ay)), sqrt((gx-bx)*(gx-bx)+(gy-by2)*(gy-by2))) <= 75 THEN 2 ELSE 0 END AS location_type, CASE WHEN CAST(round(z + 360) AS INTEGER) % 360 BETWEEN 45 AND 225 THEN 1 ELSE 0 END AS direction, gid AS trip_id, round(d, 4) AS dist FROM z JOIN md USING (cluster)")
 def stops_pipeline(spark, d):
-    found = migrate.process_stops(M.stops(spark, d), M.roads(spark, d).withColumnRenamed("gid", "trip_id"), grid=GRID)
+    found = migrate.process_stops(M.stops(spark, d), M.roads(spark, d).withColumnRenamed("gid", "trip_id"))
     return found.select("cluster", "stop_name", "location_type", F.col("double").alias("direction"), "trip_id", F.round("dist", 4).alias("dist"))
 
 
@@ -517,7 +536,7 @@ SEQ = f"c AS (SELECT p.id AS stop_id, p.x, p.y, gid AS trip_id, ax, ay, bx, by2,
 
 def _sequence(spark, d):
     stops = _probes(spark, d).withColumnRenamed("id", "stop_id")
-    return migrate.trip_stops_sequence(stops, M.roads(spark, d).withColumnRenamed("gid", "trip_id"), reach=10.0, grid=GRID)
+    return migrate.trip_stops_sequence(stops, M.roads(spark, d).withColumnRenamed("gid", "trip_id"), reach=10.0)
 
 
 @query(M.sql("stops roads probes", f", {SEQ} SELECT trip_id, stop_id, seq AS stop_sequence, round(dist, 3) AS distance, round(step, 3) AS distance_from_prev FROM sq"))
@@ -532,7 +551,7 @@ dur AS (SELECT o_id, d_id, interval_id, min(s) AS interval_start, CAST(round(avg
 SELECT seg.o_id, seg.d_id, interval_id, interval_start, duration, round(dist, 3) AS dist, round(dist / duration * 3.6, 5) AS speed FROM seg JOIN dur ON seg.o_id = dur.o_id AND seg.d_id = dur.d_id"""))
 def od_stats(spark, d):
     sequence = _sequence(spark, d).withColumn("vehicle_name", F.lit("Bus"))
-    segments = S.written(migrate.od_segments(sequence), "segments")
+    segments = written(migrate.od_segments(sequence), "segments")
     n = M.table(spark, d, "customer").agg(F.count("*").alias("n"))
     visits = M.table(spark, d, "events").crossJoin(F.broadcast(n)).select(F.col("user_id").alias("instance_id"), (F.col("event_id") * 31 % F.col("n")).alias("stop_id"), F.lit("Bus").alias("vehicle_name"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"))
     durations = migrate.od_durations(visits, segments, M.intervals(spark, d).withColumn("active", F.lit(True)))
@@ -542,12 +561,6 @@ def od_stats(spark, d):
 # --- trips on roads -------------------------------------------------------------------------------------------------
 
 
-def _short_roads(spark, d):
-    """The first twentieth of each road."""
-    a, b = F.get("line", F.lit(0)), F.get("line", F.lit(1))
-    return M.roads(spark, d).select("gid", F.array(a, geo.on_edge(a, b, F.lit(0.05))).alias("line"))
-
-
 def _segments(spark, d):
     stop_times = gtfs_stop_times(spark, d)
     lines = M.lines(spark, d).where(F.size("line") > 1)
@@ -555,40 +568,109 @@ def _segments(spark, d):
     return flow.trip_segments(stop_times, lines, stops)
 
 
-@query()
+#: Legs between the calls of a trip with where both stops are along its line: trip_id, segment_order, from_id, to_id, start_time, duration, f, g.
+LEGS = (
+    f"arr AS ({{arrivals}}), ln AS (SELECT trip_id, seq, ax, ay, bx, by2, sqrt((bx-ax)*(bx-ax)+(by2-ay)*(by2-ay)) AS len FROM edges), el AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ln), "
+    f"called AS (SELECT DISTINCT trip_id, stop_id, x, y FROM calls JOIN stops ON stop_id = id), ct AS (SELECT c.*, e.seq, ax, ay, bx, by2, len, pos, {M.NEAR_T} AS t FROM called c JOIN el e USING (trip_id)), cd AS (SELECT *, {M.NEAR_D} AS d FROM ct), "
+    "sat AS (SELECT trip_id, stop_id, pos + t * len AS along FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, stop_id ORDER BY d, seq) AS r FROM cd) WHERE r = 1), "
+    "hop AS (SELECT trip_id, seq - 1 AS segment_order, lag(stop_id) OVER w AS from_id, stop_id AS to_id, lag(arr) OVER w AS began, arr - lag(arr) OVER w AS duration, min(arr) OVER (PARTITION BY trip_id) AS zero FROM arr WINDOW w AS (PARTITION BY trip_id ORDER BY seq)), "
+    "leg AS (SELECT h.trip_id, segment_order, from_id, to_id, began - zero AS start_time, duration, a.along AS f, b.along AS g, abs(b.along - a.along) AS length FROM hop h JOIN sat a ON a.trip_id = h.trip_id AND a.stop_id = from_id JOIN sat b ON b.trip_id = h.trip_id AND b.stop_id = to_id WHERE abs(b.along - a.along) > 0)"
+).replace("{arrivals}", ARRIVALS)
+#: The legs' sub-segments: px, py to qx, qy.
+MODEL = (
+    "pc AS (SELECT leg.*, e.seq, pos, len, ax, ay, bx, by2, greatest(pos, least(f, g)) AS s1, least(pos + len, greatest(f, g)) AS s2 FROM leg JOIN el e USING (trip_id) WHERE least(pos + len, greatest(f, g)) > greatest(pos, least(f, g)) OR (len = 0 AND pos > least(f, g) AND pos < greatest(f, g))), "
+    "pn AS (SELECT *, CAST(greatest(1, ceil((s2 - s1) / 300)) AS BIGINT) AS n, CASE WHEN len = 0 THEN 0 ELSE (s1 - pos) / len END AS u1, CASE WHEN len = 0 THEN 0 ELSE (s2 - pos) / len END AS u2 FROM pc), "
+    "pu AS (SELECT *, unnest(range(n)) AS k FROM pn), pk AS (SELECT *, CASE WHEN f > g THEN u2 - k / n * (u2 - u1) ELSE u1 + k / n * (u2 - u1) END AS v1, CASE WHEN f > g THEN u2 - (k + 1) / n * (u2 - u1) ELSE u1 + (k + 1) / n * (u2 - u1) END AS v2 FROM pu), "
+    "pm AS (SELECT trip_id, segment_order, start_time, (s2 - s1) / n AS length, (s2 - s1) / n * duration / nullif(leg_length, 0) AS duration, ax + v1*(bx-ax) AS px, ay + v1*(by2-ay) AS py, ax + v2*(bx-ax) AS qx, ay + v2*(by2-ay) AS qy, row_number() OVER (PARTITION BY trip_id ORDER BY segment_order, CASE WHEN f > g THEN -seq ELSE seq END, k) - 1 AS point_order FROM (SELECT *, abs(g - f) AS leg_length FROM pk)), "
+    "model AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY trip_id ORDER BY point_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS timestamp FROM pm)"
+)
+
+
+@query(M.sql("stops calls edges", f", {LEGS} SELECT trip_id, segment_order, from_id, to_id, start_time, duration, round(length, 3) AS length, round(length / nullif(duration, 0), 6) AS speed FROM leg"))
 def trip_segments(spark, d):
-    return _segments(spark, d).select("trip_id", "segment_order", "from_id", "to_id", "start_time", "duration", F.round("length", 3).alias("length"), F.round("speed", 6).alias("speed"))
+    return _segments(spark, d).select("trip_id", F.col("segment_order").cast("long").alias("segment_order"), "from_id", "to_id", "start_time", "duration", F.round("length", 3).alias("length"), F.round("speed", 6).alias("speed"))
 
 
-@query()
+# durations are fractions whose third decimal is often a half: the small summand keeps both engines' sums on one side of it
+@query(M.sql("stops calls edges", f", {LEGS}, {MODEL} SELECT trip_id, segment_order, point_order, round(length, 3) AS length, round(timestamp + 0.0000137, 3) AS timestamp, round(px, 3) AS x, round(py, 3) AS y FROM model"))
 def transport_model(spark, d):
-    return flow.transport_model(_segments(spark, d)).select("trip_id", "segment_order", "point_order", F.round("length", 3).alias("length"), F.round("timestamp", 3).alias("timestamp"))
+    model = flow.transport_model(_segments(spark, d))
+    return model.select("trip_id", F.col("segment_order").cast("long").alias("segment_order"), F.col("point_order").cast("long").alias("point_order"), F.round("length", 3).alias("length"), F.round(F.col("timestamp") + 0.0000137, 3).alias("timestamp"), F.round("point.x", 3).alias("x"), F.round("point.y", 3).alias("y"))
 
 
-@query()
-def road_match(spark, d):
-    """Roads, moved by some metres, as the trips that run along them."""
-    roads = _short_roads(spark, d)
+@query(M.sql("stops calls edges", f", {LEGS}, {MODEL}, total AS (SELECT trip_id, sum(duration) AS all_of_it FROM model GROUP BY trip_id), carried AS (SELECT trip_id, coalesce(lag(all_of_it) OVER (ORDER BY trip_id), 0) AS shift FROM total) SELECT trip_id, round(min(timestamp + CASE WHEN point_order = 0 THEN shift ELSE 0 END) + 0.0000137, 3) AS first_timestamp, round(max(CASE WHEN point_order = 0 THEN shift END) + 0.0000137, 3) AS carried FROM model JOIN carried USING (trip_id) GROUP BY trip_id"))
+def transport_model_compat_shift(spark, d):
+    """As a shift over all trips gives it: a trip's first point has the total time of the trip before."""
+    model = flow.transport_model(_segments(spark, d), compat_shift=True)
+    first = F.max(F.when(F.col("point_order") == 0, F.col("timestamp")))
+    return model.groupBy("trip_id").agg(F.round(F.min("timestamp") + 0.0000137, 3).alias("first_timestamp"), F.round(first + 0.0000137, 3).alias("carried"))
+
+
+def _street_rows(spark, d):
+    """Streets, moved by some metres, as the trips that run along them."""
     moved = F.transform("line", lambda p: geo.point(p["x"] + 3, p["y"] + 4))
-    segments = roads.select(F.col("gid").alias("trip_id"), F.lit(0).alias("segment_order"), moved.alias("line"), F.lit(10.0).alias("speed"))
-    matched = flow.match_to_roads(segments, flow.transport_model(segments), roads, cell=GRID)
-    return matched.select("trip_id", "gid", "point_order", F.round("timestamp", 3).alias("timestamp"), F.round("dist", 3).alias("dist"))
+    return M.streets(spark, d).select(F.col("gid").alias("trip_id"), F.lit(0).alias("segment_order"), moved.alias("line"), F.lit(10.0).alias("speed"))
+
+
+def _disk(c: str) -> str:
+    """Begin and end of what is within 10 of a point on edge p-q, as SQL."""
+    qa, qb, qc = "(dx*dx+dy*dy)", f"(2*((px-{c}x)*dx+(py-{c}y)*dy))", f"((px-{c}x)*(px-{c}x)+(py-{c}y)*(py-{c}y)-100)"
+    root = f"({qb}*{qb}-4*{qa}*{qc})"
+    return ", ".join(f"CASE WHEN {root} >= 0 THEN (-{qb}{sign}sqrt(greatest({root}, 0)))/(2*{qa}) END AS {c}{i}" for i, sign in ((1, "-"), (2, "+")))
+
 
+def _slab(start: str, speed: str, low: str, high: str, name: str) -> str:
+    inside = f"CASE WHEN {start} BETWEEN {low} AND {high} THEN {{0}} END"
+    return ", ".join(f"CASE WHEN {speed} = 0 THEN {inside.format(free)} ELSE {pick}(({low}-{start})/nullif({speed}, 0), ({high}-{start})/nullif({speed}, 0)) END AS {name}{i}" for i, pick, free in ((1, "least", "-1e300"), (2, "greatest", "1e300")))
 
-@query()
+
+#: The part of each of two edges that is within 10 of the other: a capsule is convex, so it is one interval.
+CLIPPED = (
+    "side AS (SELECT trip_id, gid, 1 AS which, px, py, qx, qy, rx AS ax, ry AS ay, sx AS bx, sy AS by2 FROM pair UNION ALL SELECT trip_id, gid, 2, rx, ry, sx, sy, px, py, qx, qy FROM pair), "
+    "dd AS (SELECT *, qx-px AS dx, qy-py AS dy, sqrt((bx-ax)*(bx-ax)+(by2-ay)*(by2-ay)) AS size FROM side), uu AS (SELECT *, (bx-ax)/nullif(size, 0) AS ux, (by2-ay)/nullif(size, 0) AS uy, bx AS bbx, by2 AS bby FROM dd), "
+    "vv AS (SELECT *, ux*(px-ax)+uy*(py-ay) AS st, ux*dx+uy*dy AS sp, -uy*(px-ax)+ux*(py-ay) AS nt, -uy*dx+ux*dy AS np FROM uu), "
+    f"ii AS (SELECT *, {_disk('a')}, {_disk('bb').replace('bbx', 'bbx').replace('bby', 'bby')}, {_slab('st', 'sp', '0', 'size', 'l')}, {_slab('nt', 'np', '(-10)', '10', 'm')} FROM vv WHERE dx*dx+dy*dy > 0 AND size > 0), "
+    "jj AS (SELECT *, CASE WHEN greatest(l1, m1) <= least(l2, m2) THEN greatest(l1, m1) END AS k1, CASE WHEN greatest(l1, m1) <= least(l2, m2) THEN least(l2, m2) END AS k2 FROM ii), "
+    "cc AS (SELECT *, greatest(0, least(coalesce(a1, 1e300), coalesce(bb1, 1e300), coalesce(k1, 1e300))) AS t0, least(1, greatest(coalesce(a2, -1e300), coalesce(bb2, -1e300), coalesce(k2, -1e300))) AS t1 FROM jj), "
+    "cut AS (SELECT trip_id, gid, which, px+t0*dx AS ex, py+t0*dy AS ey, px+t1*dx AS fx, py+t1*dy AS fy, (t1-t0)*sqrt(dx*dx+dy*dy) AS len FROM cc WHERE t0 < t1)"
+)
+
+
+@query(M.sql("probes streets", ", seg AS (SELECT gid AS trip_id, ax+3 AS ax, ay+4 AS ay, bx+3 AS bx, by2+4 AS by2 FROM streets), " + _edge_pairs("seg", "streets", "true", 10, "trip_id, gid").replace("SELECT trip_id, gid, a.ax", "SELECT a.trip_id, b.gid, a.ax") + ", pair AS (SELECT pr.* FROM pr JOIN near USING (trip_id, gid)), " + CLIPPED
+    + ", fr AS (SELECT a.trip_id, a.gid, b.len, least(greatest(sqrt((a.ex-b.ex)**2+(a.ey-b.ey)**2), sqrt((a.fx-b.fx)**2+(a.fy-b.fy)**2)), greatest(sqrt((a.ex-b.fx)**2+(a.ey-b.fy)**2), sqrt((a.fx-b.ex)**2+(a.fy-b.ey)**2))) AS f FROM cut a JOIN cut b ON a.trip_id = b.trip_id AND a.gid = b.gid AND a.which = 1 AND b.which = 2), "
+    "ml AS (SELECT trip_id, ax, ay, bx, by2, sqrt((bx-ax)**2+(by2-ay)**2) AS len FROM seg), mp AS (SELECT *, CAST(greatest(1, ceil(len / 300)) AS BIGINT) AS n FROM ml WHERE len > 0), mk AS (SELECT *, unnest(range(n)) AS k FROM mp), "
+    "ds AS (SELECT fr.trip_id, fr.gid, k AS point_order, k * mk.len / n / 10 AS timestamp, sqrt((ax+k/n*(bx-ax)-cx)**2+(ay+k/n*(by2-ay)-cy)**2) AS dist FROM fr JOIN (SELECT gid, (ax+bx)/2 AS cx, (ay+by2)/2 AS cy FROM streets) r USING (gid) JOIN mk USING (trip_id) WHERE f / fr.len < 0.5) "
+    "SELECT trip_id, gid, point_order, round(timestamp, 3) AS timestamp, round(dist, 3) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, gid ORDER BY dist, point_order) AS r FROM ds) WHERE r = 1"))
+def road_match(spark, d):
+    segments = _street_rows(spark, d)
+    matched = flow.match_to_roads(segments, flow.transport_model(segments), M.streets(spark, d))
+    return matched.select("trip_id", "gid", F.col("point_order").cast("long").alias("point_order"), F.round("timestamp", 3).alias("timestamp"), F.round("dist", 3).alias("dist"))
+
+
+@query(M.sql("stops calls edges intervals", f", {LEGS}, {MODEL}, bd AS (SELECT trip_id, seq, x, y, board, alight, CASE WHEN vehicle <> 'N' THEN trip_id % 20 * 3600 END AS departed FROM calls JOIN stops ON stop_id = id), "
+    f"bt AS (SELECT b.*, point_order, px AS ax, py AS ay, qx AS bx, qy AS by2, {M.NEAR_T.replace('ax', 'px').replace('ay', 'py').replace('bx', 'qx').replace('by2', 'qy')} AS t FROM bd b JOIN model USING (trip_id)), "
+    f"br AS (SELECT *, rank() OVER (PARTITION BY trip_id, seq ORDER BY round({M.NEAR_D}, 6)) AS r FROM bt), sm AS (SELECT trip_id, departed, point_order, sum(board) AS board, sum(alight) AS alight, min(seq) AS created_at FROM br WHERE r = 1 GROUP BY ALL), "
+    "rw AS (SELECT m.trip_id, segment_order, m.point_order, start_time, departed, coalesce(board, 0) AS board, coalesce(alight, 0) AS alight FROM model m LEFT JOIN sm ON sm.trip_id = m.trip_id AND sm.point_order = m.point_order), "
+    "fl AS (SELECT *, coalesce(last_value(departed IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value(departed IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS dep FROM rw WINDOW w AS (PARTITION BY trip_id ORDER BY segment_order, point_order, departed NULLS FIRST)), "
+    "oc AS (SELECT *, sum(board - alight) OVER (PARTITION BY trip_id ORDER BY segment_order, point_order, dep NULLS FIRST, board, alight ROWS UNBOUNDED PRECEDING) AS occupancy FROM fl) "
+    "SELECT trip_id, segment_order, interval_name, s, e, CAST(median(occupancy) AS DOUBLE) AS occupancy FROM oc JOIN intervals ON dep + start_time > s AND dep + start_time < e GROUP BY ALL"))
 def segment_occupancy(spark, d):
-    segments = S.written(_segments(spark, d), "segments")
-    model = flow.transport_model(segments, spacing=20000.0).join(segments.select("trip_id", "segment_order", "start_time"), ["trip_id", "segment_order"])
+    segments = written(_segments(spark, d), "segments")
+    model = flow.transport_model(segments).join(segments.select("trip_id", "segment_order", "start_time"), ["trip_id", "segment_order"])
     stops = M.stops(spark, d).select(F.col("id").alias("stop_id"), geo.point("x", "y").alias("point"))
-    boardings = M.calls(spark, d).join(stops, "stop_id").select("trip_id", F.col("trip_id").alias("instance_id"), (F.col("trip_id") % 20 * 3600).alias("departed"), F.col("seq").alias("created_at"), "board", "alight", "point")
-    return flow.segment_occupancy(model, boardings, M.intervals(spark, d))[0]
+    departed = F.when(F.col("vehicle") != "N", F.col("trip_id") % 20 * 3600)
+    boardings = M.calls(spark, d).join(stops, "stop_id").select("trip_id", F.col("trip_id").alias("instance_id"), departed.alias("departed"), F.col("seq").alias("created_at"), "board", "alight", "point")
+    return flow.segment_occupancy(model, boardings, M.intervals(spark, d))[0].withColumn("segment_order", F.col("segment_order").cast("long"))
 
 
-@query()
+@query(M.sql("probes streets intervals", ", sv AS (SELECT gid // 4 AS trip_id, gid % 4 AS segment_order, interval_name, s, e, CAST(gid % 40 AS DOUBLE) AS occupancy FROM streets CROSS JOIN intervals WHERE segment = 'BUILDING'), w1 AS (SELECT gid // 4 AS trip_id_1, gid % 4 AS segment_order_1, * FROM streets WHERE gid // 4 NOT IN (SELECT trip_id FROM sv)), g1 AS (SELECT gid // 4 AS trip_id_2, gid % 4 AS segment_order_2, * FROM streets WHERE gid // 4 IN (SELECT trip_id FROM sv)), "
+    + _edge_pairs("w1", "g1", "true", 100, "trip_id_1, segment_order_1, trip_id_2, segment_order_2")
+    + ", nn AS (SELECT trip_id_1, trip_id_2, count(*) AS n FROM near GROUP BY ALL), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id_1 ORDER BY n DESC, trip_id_2) AS r FROM nn) WHERE r <= 4) SELECT near.trip_id_1 AS trip_id, segment_order_1 AS segment_order, interval_name, s, e, median(occupancy) AS occupancy FROM near JOIN best USING (trip_id_1, trip_id_2) JOIN sv ON sv.trip_id = near.trip_id_2 AND sv.segment_order = segment_order_2 GROUP BY ALL"))
 def interpolate_occupancy(spark, d):
-    short = M.roads(spark, d).select(F.col("gid").alias("trip_id"), F.lit(0).alias("segment_order"), F.array(F.get("line", F.lit(0)), geo.on_edge(F.get("line", F.lit(0)), F.get("line", F.lit(1)), F.lit(0.05))).alias("line"))
-    surveyed = short.where("trip_id % 2 = 1").crossJoin(F.broadcast(M.intervals(spark, d))).select("trip_id", "segment_order", "interval_name", "s", "e", (F.col("trip_id") % 40).cast("double").alias("occupancy"))
-    return flow.interpolate_occupancy(short, surveyed)
+    """Four streets a trip; those of one segment were surveyed."""
+    streets = M.streets(spark, d).withColumn("trip_id", F.floor(F.col("gid") / 4)).withColumn("segment_order", F.col("gid") % 4)
+    surveyed = streets.where("segment = 'BUILDING'").crossJoin(F.broadcast(M.intervals(spark, d))).select("trip_id", "segment_order", "interval_name", "s", "e", (F.col("gid") % 40).cast("double").alias("occupancy"))
+    return flow.interpolate_occupancy(streets, surveyed)
 
 
 @query(M.sql("stops roads", "SELECT gid, gid AS way_id, CASE WHEN gid % 3 = 0 THEN 'primary' ELSE 'residential' END AS road_type, 2 AS vertices, round(sqrt((bx-ax)*(bx-ax)+(by2-ay)*(by2-ay)), 4) AS length FROM (SELECT row_number() OVER (ORDER BY gid) AS n, * FROM roads WHERE gid % 5 <> 0)").replace("SELECT gid, gid AS way_id", "SELECT n AS gid, gid AS way_id"))
@@ -613,10 +695,7 @@ def geojson_sink(spark, d):
 @query(M.sql("stops roads", "SELECT gid, CAST(gid % 3 AS VARCHAR) AS interval_name, CAST(gid AS DOUBLE) AS value, ax, by2 FROM roads"))
 def gpkg_layers(spark, d):
     flow_rows = M.roads(spark, d).select("gid", (F.col("gid") % 3).cast("string").alias("interval_name"), F.col("gid").cast("double").alias("value"), "line")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/caravan-checkpoints"
-    import uuid
-
-    paths = layers.write_geopackages(flow_rows.repartition(4, "interval_name"), f"{base.rstrip('/')}/layers-{uuid.uuid4().hex}")
+    paths = layers.write_geopackages(flow_rows.repartition(8), work_dir(spark, "layers"))
     back = layers.read_geopackages(spark, paths)
     return back.select("gid", "interval_name", "value", F.get("line", F.lit(0))["x"].alias("ax"), F.get("line", F.lit(1))["y"].alias("by2"))
 
@@ -638,30 +717,26 @@ def hms_round_trip(spark, d):
     return rows.withColumn("secs", times.parse_hms(F.col("hms")))
 
 
-@query()
+@query(M.sql("stops calls", f", vt AS (SELECT trip_id, row_number() OVER (PARTITION BY trip_id ORDER BY seq) AS i, x, y FROM calls JOIN stops ON stop_id = id), nv AS (SELECT trip_id, count(*) AS n FROM vt GROUP BY ALL HAVING count(*) > 1), st(trip_id, a, b) AS (SELECT trip_id, CAST(1 AS BIGINT), n FROM nv UNION ALL SELECT trip_id, unnest([a, m]), unnest([m, b]) FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, a, b ORDER BY d DESC, m) AS r FROM (SELECT trip_id, a, b, m, {M.NEAR_D} AS d FROM (SELECT *, {M.NEAR_T} AS t FROM (SELECT st.trip_id, a, b, v.i AS m, v.x, v.y, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by2 FROM st JOIN vt v ON v.trip_id = st.trip_id AND v.i > a AND v.i < b JOIN vt p ON p.trip_id = st.trip_id AND p.i = a JOIN vt q ON q.trip_id = st.trip_id AND q.i = b)))) WHERE r = 1 AND d > 100), ends AS (SELECT trip_id, a AS i FROM st UNION SELECT trip_id, b FROM st) SELECT trip_id, any_value(n) AS before, count(*) AS after FROM ends JOIN nv USING (trip_id) GROUP BY trip_id", recursive=True))
 def simplify_100m(spark, d):
     rows = M.lines(spark, d).where(F.size("line") > 1)
-    return rows.select("trip_id", F.size("line").alias("before"), F.size(kernels.simplify(F.col("line"), 100.0)).alias("after"))
+    return rows.select("trip_id", F.size("line").cast("long").alias("before"), F.size(kernels.simplify(F.col("line"), 100.0)).cast("long").alias("after"))
 
 
-@query()
+@query(M.sql("calls", ", a AS (" + ARRIVALS + ") SELECT CAST(trip_id AS VARCHAR) AS trip_id, CAST(stop_id AS VARCHAR) AS stop_id, CAST(seq AS INTEGER) AS stop_sequence, " + HMS.format("arr") + " AS arrival_time, " + HMS.format("(arr + 15)") + " AS departure_time FROM a"))
 def gtfs_zip_round_trip(spark, d):
-    """Stops, as a feed's zip in the shared folder, read back."""
-    import io
-    import uuid
-    import zipfile
-
-    import pyarrow.fs
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/caravan-checkpoints"
-    folder = f"{base.rstrip('/')}/feed-{uuid.uuid4().hex}"
-    rows = spark.createDataFrame([(f"S{i}", f"Stop, {i}", 30 + i / 100, 31 + i / 100) for i in range(50)], gtfs_files.SCHEMAS["stops.txt"])
-    text = "stop_name,stop_id,stop_lat,stop_lon\n" + "".join(f'"{r.stop_name}",{r.stop_id},{r.stop_lat},{r.stop_lon}\n' for r in rows.collect())
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        z.writestr("stops.txt", text)
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(f"{path}/feed.zip") as f:
-        f.write(data.getvalue())
-    return gtfs_files.read_member(spark, f"{folder}/feed.zip", "stops.txt")
+    """The stop times of a feed in zip archives of the shared folder, read back."""
+    folder = work_dir(spark, "feed")
+    gtfs_files.write_archives(gtfs_stop_times(spark, d), "stop_times.txt", folder)
+    return gtfs_files.read_member(spark, f"{folder}/stop_times-*.zip", "stop_times.txt")
+
+
+@query(M.sql("stops calls trips", ", sh AS (SELECT trip_id || '_Shape' AS shape_id, count(*) AS vertices FROM calls JOIN stops ON stop_id = id GROUP BY trip_id), gt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trip_id - trip_id % 2 ORDER BY trip_id) AS r FROM trips) WHERE r = 1), rt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY trip_id) AS r FROM trips) WHERE r = 1) SELECT CAST(gt.trip_id - gt.trip_id % 2 AS VARCHAR) AS trip_id, CAST(gt.route_id AS VARCHAR) AS route_id, rt.agency AS agency_id, (gt.trip_id - gt.trip_id % 2) || '_Shape' AS shape_id, vertices FROM gt LEFT JOIN rt USING (route_id) LEFT JOIN sh ON sh.shape_id = (gt.trip_id - gt.trip_id % 2) || '_Shape'"))
+def gtfs_trip_lines(spark, d):
+    """Trips of a feed in archives with their routes' agencies and their shapes' lines."""
+    folder = work_dir(spark, "feed")
+    for name, table in (("trips.txt", gtfs_trips(spark, d)), ("routes.txt", gtfs_routes(spark, d)), ("shapes.txt", gtfs_shapes(spark, d))):
+        gtfs_files.write_archives(table, name, folder)
+    read = lambda member: gtfs_files.read_member(spark, f"{folder}/{member}-*.zip", f"{member}.txt")
+    found = gtfs.feed_trip_lines(read("trips"), read("routes"), read("shapes"))
+    return found.select("trip_id", "route_id", "agency_id", "shape_id", F.size("line").cast("long").alias("vertices"))

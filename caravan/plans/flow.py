@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caravan.functions import geo, kernels, times
 from caravan.operators import relational as R
 from caravan.operators import spatial as S
+from caravan.session import written
 
 #: Metres between model points, metres of matching, ratio of acceptance, metres of borrowing, trips to borrow from.
 SPACING, REACH, RATIO, BORROW, LENDERS = 300.0, 10.0, 0.5, 100.0, 4
@@ -52,8 +53,10 @@ def match_to_roads(segments: DataFrame, model: DataFrame, roads: DataFrame, reac
 
     Candidates share a grid cell; the parts of both lines within reach of each other are compared by Frechet distance.
     """
-    pairs = S.line_pairs(segments.select("trip_id", "segment_order", "line"), roads.select("gid", "line"), reach, ["trip_id", "segment_order"], ["gid"], cell)
-    judged = pairs.withColumn("m", kernels.match_lines(F.col("other"), F.col("line"), reach))
+    parts = segments.select("trip_id", "segment_order", "line")
+    pairs = S.line_pairs(parts, roads.select("gid", "line"), reach, ["trip_id", "segment_order"], ["gid"], cell).drop("dist")
+    both = pairs.join(parts, ["trip_id", "segment_order"]).join(roads.select("gid", F.col("line").alias("other")), "gid")
+    judged = both.withColumn("m", kernels.match_lines(F.col("other"), F.col("line"), reach))
     accepted = judged.where(F.coalesce(F.col("m.frechet") / F.nullif(F.col("m.road_length"), F.lit(0.0)) < ratio, F.lit(False)))
     near = accepted.select("trip_id", "segment_order", "gid", geo.centroid(F.col("other")).alias("centre"))
     points = near.join(model.select("trip_id", "segment_order", "point_order", "duration", "timestamp", "point"), ["trip_id", "segment_order"])
@@ -67,11 +70,15 @@ def frequencies_or_default(trips: DataFrame, frequencies: DataFrame) -> DataFram
     return rows.withColumn("end_time", F.coalesce("end_time", F.col("start_time") + 10)).withColumn("headway_secs", F.coalesce("headway_secs", F.lit(10)))
 
 
+def _with_runs(frequencies: DataFrame) -> DataFrame:
+    """frequencies whose headway gives whole runs, with their number, n."""
+    runs = F.floor((F.col("end_time") - F.col("start_time")) / F.col("headway_secs")).cast("int")
+    return frequencies.dropna(subset=["trip_id", "start_time", "end_time", "headway_secs"]).where("headway_secs > 0").withColumn("n", runs).where("n > 0")
+
+
 def expand_frequencies(frequencies: DataFrame) -> DataFrame:
     """(trip_id, headway_secs, instance_no, trip_start_time): a run each headway from the start while a whole one fits."""
-    runs = F.floor((F.col("end_time") - F.col("start_time")) / F.col("headway_secs")).cast("int")
-    rows = frequencies.dropna(subset=["trip_id", "start_time", "end_time", "headway_secs"]).where("headway_secs > 0").withColumn("n", runs).where("n > 0")
-    each = rows.select("trip_id", "headway_secs", "start_time", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("instance_no"))
+    each = _with_runs(frequencies).select("trip_id", "headway_secs", "start_time", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("instance_no"))
     return each.select("trip_id", "headway_secs", "instance_no", (F.col("start_time") + F.col("instance_no") * F.col("headway_secs")).alias("trip_start_time"))
 
 
@@ -81,6 +88,32 @@ def vehicle_appearances(runs: DataFrame, matched: DataFrame) -> DataFrame:
     return rows.groupBy("gid", "trip_id", "instance_no", "timeofday_secs").agg(F.min("segment_order").alias("segment_order"))
 
 
+def interval_counts(frequencies: DataFrame, matched: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(gid, trip_id, segment_order, interval_name, s, e, n): how often runs of a trip come to a road within an interval.
+
+    The rows of classify_intervals(vehicle_appearances(...)), counted without making them: the runs of one frequency row that are
+    strictly within an interval follow from its headway. Two places of a trip on a road give equal appearances only at the same
+    time after the start, so doubles go before runs meet places. Trips with several frequency rows, whose run numbers begin anew,
+    can give equal ones in other ways; they alone are expanded.
+    """
+    once = matched.groupBy("trip_id", "gid", "timestamp").agg(F.min("segment_order").alias("segment_order"))
+    rows = _with_runs(frequencies).withColumn("_rows", F.count("*").over(Window.partitionBy("trip_id")))
+    single, several = rows.where("_rows = 1"), rows.where("_rows > 1")
+    first = F.col("start_time") + F.col("timestamp")
+    met = single.select("trip_id", "start_time", "headway_secs", "n").join(once, "trip_id").withColumn("first", first).crossJoin(R.few(intervals.select("interval_name", "s", "e")))
+    at = lambda k: F.col("first") + k * F.col("headway_secs")
+    # division may round: a neighbour decides
+    low, high = F.floor((F.col("s") - F.col("first")) / F.col("headway_secs")), F.ceil((F.col("e") - F.col("first")) / F.col("headway_secs"))
+    met = met.withColumn("_low", low).withColumn("_high", high)
+    low = F.when(at(F.col("_low")) > F.col("s"), F.col("_low")).when(at(F.col("_low") + 1) > F.col("s"), F.col("_low") + 1).otherwise(F.col("_low") + 2)
+    high = F.when(at(F.col("_high")) < F.col("e"), F.col("_high")).when(at(F.col("_high") - 1) < F.col("e"), F.col("_high") - 1).otherwise(F.col("_high") - 2)
+    count = F.least(high, (F.col("n") - 1).cast("long")) - F.greatest(low, F.lit(0).cast("long")) + 1
+    keys = ["gid", "trip_id", "segment_order", "interval_name", "s", "e"]
+    counted = met.withColumn("_count", count).where("_count > 0").select(*keys, F.col("_count").alias("n"))
+    made = classify_intervals(vehicle_appearances(expand_frequencies(several.drop("n", "_rows")), once), intervals.select("interval_name", "s", "e"))
+    return counted.unionByName(made.groupBy(*keys).agg(F.count("*").alias("n")))
+
+
 def classify_intervals(appearances: DataFrame, intervals: DataFrame) -> DataFrame:
     """Appearances strictly within intervals(interval_name, s, e). Works on streams as well."""
     return R.interval_join(appearances, intervals, F.col("timeofday_secs"), "s", "e", inclusive=False)
@@ -93,30 +126,29 @@ def flow_layer(roads: DataFrame, values: DataFrame) -> DataFrame:
     return joined.select("gid", F.coalesce("interval_name", F.lit("0")).alias("interval_name"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def vehicle_flow(roads: DataFrame, classified: DataFrame, per_hour: bool = False) -> DataFrame:
-    """Appearances by road and interval; per hour of the interval if asked for."""
-    counts = classified.groupBy("gid", "interval_name", *(["s", "e"] if per_hour else [])).agg(F.count("*").cast("double").alias("v"))
-    counts = counts.withColumn("v", F.col("v") * 3600 / (F.col("e") - F.col("s"))) if per_hour else counts
-    return flow_layer(roads, counts.withColumn("gtfs", F.lit("value")))
+def vehicle_flow(roads: DataFrame, counts: DataFrame, per_hour: bool = False) -> DataFrame:
+    """Appearances by road and interval, from interval_counts(); per hour of the interval if asked for."""
+    sums = counts.groupBy("gid", "interval_name", *(["s", "e"] if per_hour else [])).agg(F.sum("n").cast("double").alias("v"))
+    sums = sums.withColumn("v", F.col("v") * 3600 / (F.col("e") - F.col("s"))) if per_hour else sums
+    return flow_layer(roads, sums.withColumn("gtfs", F.lit("value")))
 
 
 def segment_occupancy(model: DataFrame, boardings: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(median occupancy by trip, segment and interval; occupancy by survey and sub-segment).
 
     model: transport_model() with start_time of the segment; boardings(trip_id, instance_id, departed, created_at, board, alight,
-    point) of valid finished surveys; departed in seconds of the day. Each boarding goes to the nearest sub-segments of its trip,
-    all of them where several are equally near.
+    point) of valid finished surveys; departed in seconds of the day. A sub-segment has two points. Each boarding goes to the nearest sub-segments of its trip,
+    all of them where several are equally near, to the micrometre.
     """
-    numbered = boardings.withColumn("_n", F.monotonically_increasing_id())
-    numbered = S.written(numbered, "boardings")
-    near = numbered.join(model.select("trip_id", "segment_order", "point_order", "line"), "trip_id").withColumn("d", geo.point_line_distance(F.col("line"), F.col("point")))
+    numbered = written(boardings.withColumn("_n", F.monotonically_increasing_id()), "boardings")
+    near = numbered.join(model.select("trip_id", "segment_order", "point_order", "line"), "trip_id").withColumn("d", F.round(geo.point_edge_distance(F.col("point"), geo.start_point(F.col("line")), geo.end_point(F.col("line"))), 6))
     best = near.withColumn("r", F.rank().over(Window.partitionBy("_n").orderBy("d"))).where("r = 1")
-    sums = best.groupBy("instance_id", "departed", "trip_id", "point_order").agg(F.sum("board").alias("board"), F.sum("alight").alias("alight"), F.min_by("created_at", "_n").alias("created_at"))
+    sums = best.groupBy("instance_id", "departed", "trip_id", "point_order").agg(F.sum("board").alias("board"), F.sum("alight").alias("alight"), F.min("created_at").alias("created_at"))
     surveys = sums.select("trip_id", "instance_id").distinct()
     rows = model.select("trip_id", "segment_order", "point_order", "start_time").join(surveys, "trip_id").join(sums.drop("trip_id"), ["instance_id", "point_order"], "left")
     rows = rows.na.fill(0, ["board", "alight"])
-    rows = R.fill_forward_back(rows, "departed", ["trip_id", "instance_id"], ["segment_order", "point_order"])
-    w = Window.partitionBy("trip_id", "instance_id").orderBy("segment_order", "point_order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = R.fill_forward_back(rows, "departed", ["trip_id", "instance_id"], ["segment_order", "point_order", "departed"])
+    w = Window.partitionBy("trip_id", "instance_id").orderBy("segment_order", "point_order", "departed", "board", "alight").rowsBetween(Window.unboundedPreceding, 0)
     occupied = rows.withColumn("occupancy", F.sum(F.col("board") - F.col("alight")).over(w))
     inside = R.interval_join(occupied, intervals, F.col("departed") + F.col("start_time"), "s", "e", inclusive=False)
     return inside.groupBy("trip_id", "segment_order", "interval_name", "s", "e").agg(F.median("occupancy").alias("occupancy")), occupied
@@ -132,9 +164,10 @@ def interpolate_occupancy(segments: DataFrame, surveyed: DataFrame, reach: float
     rows = segments.select("trip_id", "segment_order", kernels.simplify(F.col("line"), tolerance).alias("line") if tolerance else F.col("line"))
     name = lambda df, i: df.select(F.col("trip_id").alias(f"trip_id_{i}"), F.col("segment_order").alias(f"segment_order_{i}"), "line")
     wanting, giving = name(rows.join(with_survey, "trip_id", "left_anti"), 1), name(rows.join(with_survey, "trip_id", "left_semi"), 2)
-    pairs = S.line_pairs(wanting, giving, reach, ["trip_id_1", "segment_order_1"], ["trip_id_2", "segment_order_2"], cell)
-    pairs = pairs.where(line_distance(F.col("line"), F.col("other")) <= reach)
+    one, two = ["trip_id_1", "segment_order_1"], ["trip_id_2", "segment_order_2"]
+    pairs = S.line_pairs(wanting, giving, reach, one, two, cell).drop("dist")
     if ratio is not None:
+        pairs = pairs.join(wanting, one).join(giving.withColumnRenamed("line", "other"), two)
         pairs = pairs.where(geo.frechet_any(F.col("line"), F.col("other")) / F.nullif(geo.length(F.col("line")), F.lit(0.0)) < ratio)
     best = R.top_k(pairs.groupBy("trip_id_1", "trip_id_2").agg(F.count("*").alias("n")), lenders, ["trip_id_1"], [F.col("n").desc(), "trip_id_2"])
     chosen = pairs.select("trip_id_1", "segment_order_1", "trip_id_2", "segment_order_2").join(best.drop("n"), ["trip_id_1", "trip_id_2"])
@@ -142,29 +175,22 @@ def interpolate_occupancy(segments: DataFrame, surveyed: DataFrame, reach: float
     return lent.groupBy(F.col("trip_id_1").alias("trip_id"), F.col("segment_order_1").alias("segment_order"), "interval_name", "s", "e").agg(F.median("occupancy").alias("occupancy"))
 
 
-def line_distance(a, b):
-    """Distance of two lines: 0 where edges cross, else the smallest from a vertex to the other line."""
-
-    def crosses(p, q, r, s):
-        side = lambda o, u, v: (u["x"] - o["x"]) * (v["y"] - o["y"]) - (u["y"] - o["y"]) * (v["x"] - o["x"])
-        return (side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)
-
-    crossing = F.exists(geo.edges(a), lambda e: F.exists(geo.edges(b), lambda f: crosses(e["a"], e["b"], f["a"], f["b"])))
-    nearest = lambda line, points: F.array_min(F.transform(points, lambda p: geo.point_line_distance(line, p)))
-    return F.when(crossing, F.lit(0.0)).otherwise(F.least(nearest(a, b), nearest(b, a)))
-
-
 def all_occupancy(surveyed: DataFrame, interpolated: DataFrame) -> DataFrame:
     return surveyed.withColumn("interpolated", F.lit(False)).unionByName(interpolated.withColumn("interpolated", F.lit(True)))
 
 
-def passenger_flow(roads: DataFrame, classified: DataFrame, occupancy: DataFrame) -> DataFrame:
-    """Occupancy by road and interval, summed and rounded up; missing ones take the median of all, negative ones count as 0."""
+def passenger_flow(roads: DataFrame, counts: DataFrame, occupancy: DataFrame) -> DataFrame:
+    """Occupancy by road and interval, summed over the appearances of interval_counts() and rounded up; missing ones take the
+    median of all appearances, negative ones count as 0.
+
+    The median is that of the distinct values, weighted by their appearances, which are summed up before they meet.
+    """
     known = occupancy.withColumn("occupancy", F.greatest("occupancy", F.lit(0.0))).select("trip_id", "segment_order", "interval_name", "occupancy")
-    joined = classified.join(known, ["trip_id", "segment_order", "interval_name"], "left")
-    middle = joined.agg(F.median("occupancy").alias("_m"))
+    joined = written(counts.select("gid", "trip_id", "segment_order", "interval_name", "n").join(known, ["trip_id", "segment_order", "interval_name"], "left").select("gid", "interval_name", "n", "occupancy"), "flow")
+    weights = joined.where("occupancy is not null").groupBy("occupancy").agg(F.sum("n").alias("n"))
+    middle = weights.agg(F.percentile("occupancy", F.lit(0.5), F.col("n")).alias("_m"))
     filled = joined.crossJoin(F.broadcast(middle)).withColumn("occupancy", F.coalesce("occupancy", "_m"))
-    sums = filled.groupBy("gid", "interval_name").agg(F.ceil(F.sum("occupancy")).cast("double").alias("v"))
+    sums = filled.groupBy("gid", "interval_name").agg(F.ceil(F.sum(F.col("occupancy") * F.col("n"))).cast("double").alias("v"))
     return flow_layer(roads, sums.withColumn("gtfs", F.lit("value")))
 
 

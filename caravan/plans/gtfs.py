@@ -33,7 +33,7 @@ def frequencies(trips_intervals: DataFrame, trips: DataFrame, intervals: DataFra
 
     Rows without a headway go: a feed can't state them.
     """
-    rows = trips_intervals.where("headway_secs is not null").join(trips.select(F.col("gid").alias("trip_gid"), "trip_id"), "trip_gid").join(F.broadcast(intervals), "interval_id", "left")
+    rows = trips_intervals.where("headway_secs is not null").join(trips.select(F.col("gid").alias("trip_gid"), "trip_id"), "trip_gid").join(R.few(intervals), "interval_id", "left")
     return rows.select("trip_id", "start_time", "end_time", F.col("headway_secs").cast("int").alias("headway_secs"))
 
 
@@ -92,6 +92,12 @@ def trip_lines(shape_points: DataFrame) -> DataFrame:
     return rows.select("shape_id", F.transform("_p", lambda x: x["p"]).alias("line"))
 
 
+def feed_trip_lines(trips: DataFrame, routes: DataFrame, shape_points: DataFrame) -> DataFrame:
+    """Trips of a feed with their route's agency and their shape's line on the projected plane; those without either stay."""
+    agencies = R.first_by(routes, ["route_id"], ["agency_id"]).select("route_id", "agency_id")
+    return trips.join(agencies, "route_id", "left").join(trip_lines(shape_points), "shape_id", "left")
+
+
 def boundary(stop_points: DataFrame, margin: float = 0.01) -> DataFrame:
     """struct box around stops(stop_lon, stop_lat), widened by a margin in degrees."""
     return stop_points.agg((F.min("stop_lon") - margin).alias("x1"), (F.min("stop_lat") - margin).alias("y1"), (F.max("stop_lon") + margin).alias("x2"), (F.max("stop_lat") + margin).alias("y2"))

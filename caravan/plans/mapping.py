@@ -31,6 +31,14 @@ def probes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(k.alias("id"), _place(k, 13, 7, 10007).alias("x"), _place(k, 29, 3, 10009).alias("y"))
 
 
+def streets(spark: SparkSession, d: str) -> DataFrame:
+    """customer: (gid, line of up to 500 m, segment)."""
+    k = F.col("c_custkey")
+    x, y = _place(k, 13, 7, 10007), _place(k, 29, 3, 10009)
+    line = F.array(geo.point(x, y), geo.point(x + k * 37 % 801 - 400, y + k * 53 % 607 - 303))
+    return table(spark, d, "customer").select(k.alias("gid"), line.alias("line"), F.col("c_mktsegment").alias("segment"))
+
+
 def roads(spark: SparkSession, d: str) -> DataFrame:
     """(gid, line) from each stop to the next."""
     a = stops(spark, d).select("id", geo.point("x", "y").alias("a"))
@@ -70,6 +78,7 @@ SQL = {
     "stops": "stops AS (SELECT p_partkey AS id, p_name AS name, CAST((p_partkey*p_partkey*31+p_partkey*17)%10007 AS DOUBLE) AS x, CAST((p_partkey*p_partkey*57+p_partkey*91)%10009 AS DOUBLE) AS y, p_brand AS brand, p_type AS kind, p_size AS size FROM part)",
     "probes": "probes AS (SELECT c_custkey AS id, CAST((c_custkey*c_custkey*13+c_custkey*7)%10007 AS DOUBLE) AS x, CAST((c_custkey*c_custkey*29+c_custkey*3)%10009 AS DOUBLE) AS y FROM customer)",
     "roads": "roads AS (SELECT a.id AS gid, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by2 FROM stops a JOIN stops b ON b.id = a.id + 1)",
+    "streets": "streets AS (SELECT id AS gid, x AS ax, y AS ay, x + (id*37%801-400) AS bx, y + (id*53%607-303) AS by2, c_mktsegment AS segment FROM probes JOIN customer ON c_custkey = id)",
     "calls": "calls AS (SELECT l_orderkey AS trip_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, l_partkey AS stop_id, CAST(l_quantity AS BIGINT)*10 AS q, CAST(l_quantity AS BIGINT) AS board, CAST(l_linenumber AS BIGINT) AS alight, l_returnflag AS vehicle, l_suppkey AS supplier FROM lineitem)",
     "trips": "trips AS (SELECT o_orderkey AS trip_id, o_custkey AS route_id, o_orderpriority AS agency, o_orderstatus AS status, o_totalprice AS value, 300+o_custkey%10*120 AS headway, o_orderkey%5*14400+7200 AS start FROM orders)",
     "intervals": "intervals AS (SELECT r_regionkey AS interval_id, r_name AS interval_name, CAST(r_regionkey*14400+7200 AS BIGINT) AS s, CAST(r_regionkey*14400+21600 AS BIGINT) AS e FROM region)",
@@ -79,9 +88,9 @@ SQL = {
 }
 
 
-def sql(names: str, body: str) -> str:
+def sql(names: str, body: str, recursive: bool = False) -> str:
     """A query with the named tables in front of it."""
-    return "WITH " + ", ".join(SQL[n] for n in names.split()) + " " + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(SQL[n] for n in names.split()) + " " + body
 
 
 #: Squared length, parameter and distance of the place on edge (ax, ay)-(bx, by) nearest to (x, y), for SQL.

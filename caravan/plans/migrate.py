@@ -24,7 +24,7 @@ def live(df: DataFrame, **equal) -> DataFrame:
 def with_settings(intervals: DataFrame, links: DataFrame, settings: DataFrame, setting_id: str) -> DataFrame:
     """Intervals of a setting, through their link table; deleted ones stay, flagged not active."""
     chosen = settings.where(F.col("setting_id") == setting_id).select(F.col("id").alias("frequency_setting_id"))
-    ids = links.join(F.broadcast(chosen), "frequency_setting_id").select(F.col("interval_id").alias("id")).distinct()
+    ids = links.join(chosen, "frequency_setting_id").select(F.col("interval_id").alias("id")).distinct()
     return intervals_active(intervals.join(ids, "id", "left_semi"))
 
 
@@ -72,7 +72,7 @@ def estimate_headways(trips: DataFrame, intervals: DataFrame, surveys: DataFrame
     """
     valid = surveys.where((F.col("status") == "finished") & R.not_test("origin") & R.not_test("destination"))
     means = valid.groupBy("trip_id", "interval_id").agg(F.avg("headway").alias("headway"))
-    grid = trips.crossJoin(F.broadcast(intervals.select("interval_id"))).join(means, ["trip_id", "interval_id"], "left")
+    grid = trips.crossJoin(R.few(intervals.select("interval_id"))).join(means, ["trip_id", "interval_id"], "left")
     filled = R.fill_forward_back(grid, "headway", ["route_id", "interval_id"], ["trip_id"])
     agency = F.avg("headway").over(Window.partitionBy("agency_id", "interval_id"))
     shares = filled.withColumn("agency_headway", agency).withColumn("ratio", F.col("headway") / F.nullif(F.col("agency_headway"), F.lit(0.0)))
@@ -116,33 +116,46 @@ def stop_clusters(stops: DataFrame, eps: float = EPS, min_points: int = MIN_POIN
     return shape.join(names, "cluster", "left").withColumn("mode_name", F.coalesce("mode_name", F.lit("Unnamed")))
 
 
-def process_stops(stops: DataFrame, trips: DataFrame, cell: float = CELL, snap: float = SNAP, terminal: float = TERMINAL, grid: float | None = None) -> DataFrame:
+def process_stops(stops: DataFrame, trips: DataFrame, cell: float = CELL, snap: float = SNAP, terminal: float = TERMINAL) -> DataFrame:
     """Stops from raw stops(id, name, x, y) and trips(trip_id, line): cluster, thin, snap, flag terminals, bin directions."""
     thin = S.grid_thin(stop_clusters(stops), cell, [F.col("n_points").desc(), "cluster"])
-    near = S.nearest_within(thin.withColumn("point", geo.point("x", "y")), trips.select("trip_id", "line"), snap, "cluster", "trip_id", cell=grid)
+    near = S.nearest_within(thin.withColumn("point", geo.point("x", "y")), trips.select("trip_id", "line"), snap, "cluster", "trip_id")
     line = F.col("line")
-    snapped = near.withColumn("geom", geo.closest_point(line, F.col("point")))
-    at = snapped.withColumn("_at", geo.locate_fraction(line, F.col("geom"))).withColumn("_total", geo.length(line))
+    at = near.withColumn("geom", F.col("near")).withColumn("_at", _fraction())
     ends = F.least(geo.distance(F.col("geom"), geo.start_point(line)), geo.distance(F.col("geom"), geo.end_point(line)))
-    before = geo.interpolate(line, F.greatest(F.col("_at") - 0.0005, F.lit(0.0)) * F.col("_total"))
-    after = geo.interpolate(line, F.least(F.col("_at") + 0.0005, F.lit(1.0)) * F.col("_total"))
+    before = geo.interpolate(line, F.greatest(F.col("_at") - 0.0005, F.lit(0.0)) * F.col("total"))
+    after = geo.interpolate(line, F.least(F.col("_at") + 0.0005, F.lit(1.0)) * F.col("total"))
     flagged = at.withColumn("location_type", F.when(ends <= terminal, 2).otherwise(0)).withColumn("double", geo.direction_bin(geo.azimuth(before, after)))
     return flagged.select("cluster", F.col("mode_name").alias("stop_name"), F.concat("mode_name", F.lit(" (Dir "), F.col("double").cast("string"), F.lit(")")).alias("stop_desc"), "location_type", "double", "trip_id", "dist", "geom")
 
 
-def trip_stops_sequence(stops: DataFrame, trips: DataFrame, reach: float = 1.0, spacing: float = 100.0, grid: float | None = None, metres=geo.length) -> DataFrame:
+def stops_table(processed: DataFrame) -> DataFrame:
+    """The table of stops: gid by cluster, stop_id its text, place in degrees; processed: process_stops() on the projected plane."""
+    rows = R.surrogate_key(processed, ["cluster"])
+    degrees = geo.inverse_mercator(F.col("geom"))
+    return rows.select("gid", F.col("gid").cast("string").alias("stop_id"), "stop_name", "stop_desc", degrees["y"].alias("stop_lat"), degrees["x"].alias("stop_lon"), "location_type", "double", "geom")
+
+
+def _fraction() -> Column:
+    return F.when(F.col("total") > 0, F.col("along") / F.col("total")).otherwise(F.lit(0.0))
+
+
+def trip_stops_sequence(stops: DataFrame, trips: DataFrame, reach: float = 1.0, spacing: float = 100.0, metres=geo.length, agencies: DataFrame | None = None, vehicles: DataFrame | None = None) -> DataFrame:
     """Stops along trips: stops(stop_id, point), trips(trip_id, line, ...) -> distance along, fraction, sequence.
 
     Sequences are numbered before stops nearer than the spacing to the one before go, and the first stop of a trip is compared
-    with the last of the trip before it, as in the tables this reproduces.
+    with the last of the trip before it, as in the tables this reproduces. With agencies(agency_id, vehicle_id, ...) and
+    vehicles(gid, name), the trips' vehicle_name comes from their agency; trips without one stay.
     """
-    found = S.distance_join(stops, trips, reach, cell=grid)
-    frac = geo.locate_fraction(F.col("line"), F.col("point"))
-    rows = found.withColumn("distance_frac", frac).withColumn("distance", F.col("distance_frac") * metres(F.col("line")))
+    if agencies is not None and vehicles is not None:
+        named = agencies.select("agency_id", "vehicle_id").join(vehicles.select(F.col("gid").alias("vehicle_id"), F.col("name").alias("vehicle_name")), "vehicle_id", "left").drop("vehicle_id")
+        trips = trips.join(named, "agency_id", "left")
+    found = S.distance_join(stops, trips, reach, "stop_id", "trip_id")
+    rows = found.withColumn("distance_frac", _fraction()).withColumn("distance", F.col("distance_frac") * metres(F.col("line")))
     order = ["distance_frac", "stop_id"]
     rows = R.lag_across_groups(rows, "trip_id", order, "distance", "_lag").withColumn("distance_from_prev", F.col("distance") - F.col("_lag"))
     rows = rows.withColumn("stop_sequence", F.row_number().over(Window.partitionBy("trip_id").orderBy(*order)))
-    return rows.where(F.col("distance_from_prev") >= spacing).drop("_lag", "dist", "point")
+    return rows.where(F.col("distance_from_prev") >= spacing).drop("_lag", "dist", "point", "along", "total", "near")
 
 
 def od_segments(sequence: DataFrame) -> DataFrame:
@@ -152,6 +165,19 @@ def od_segments(sequence: DataFrame) -> DataFrame:
     return rows.where("d_id is not null").groupBy(F.col("stop_id").alias("o_id"), "d_id", "vehicle_name").agg(F.avg("dist").alias("dist"), F.count("*").alias("n"))
 
 
+def stop_visits(trackpoints: DataFrame, instances: DataFrame, stops: DataFrame, reach: float = 30.0) -> DataFrame:
+    """When surveyed vehicles were near stops: (stop_id, instance_id, vehicle_name, time, trip_id), the last time of each.
+
+    trackpoints(id, instance_id, time, point) of valid, finished instances(id, status, valid, trip_id, vehicle_name);
+    stops(stop_id, point). A stop is a line of one vertex for the spatial join; trip_id is the smallest of the instance's.
+    """
+    ran = instances.where((F.col("status") == "finished") & F.col("valid")).select(F.col("id").alias("instance_id"), "trip_id", "vehicle_name")
+    points = trackpoints.select("id", "instance_id", "time", "point").join(ran, "instance_id")
+    met = S.near_edges(points, stops.select("stop_id", F.array("point").alias("line")), reach, "id", "stop_id")
+    near = met.select("id", "stop_id").join(points.drop("point"), "id")
+    return near.groupBy("instance_id", "stop_id", "vehicle_name").agg(F.max("time").alias("time"), F.min("trip_id").alias("trip_id"))
+
+
 def od_durations(visits: DataFrame, segments: DataFrame, intervals: DataFrame) -> DataFrame:
     """Mean seconds between stops by interval: visits(stop_id, instance_id, vehicle_name, time), intervals(interval_id, s, e, active)."""
     last = visits.groupBy("instance_id", "stop_id", "vehicle_name").agg(F.max("time").alias("time"))

@@ -1,11 +1,14 @@
-"""What a session needs before Python workers can run this package's functions."""
+"""What a session needs: workers that can import this package, and a shared folder for written steps."""
 
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 REPOSITORY = str(Path(__file__).resolve().parents[1])
 
@@ -16,3 +19,23 @@ def importable(spark: SparkSession) -> None:
     paths = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
     if REPOSITORY not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([REPOSITORY, *paths])
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A new folder's URI under spark.checkpoint.dir, which the driver and all executors see.
+
+    Only where that setting is absent and the session is local does a temporary folder take its place.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/caravan-checkpoints"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder and read again: later steps survive lost executors, and the plan starts anew."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,34 @@ def read_member(spark: SparkSession, path: str, member: str, schema: str | None
     return both.select(*(at(name).try_cast(kind).alias(name) for name, kind in fields))
 
 
+def _pack(folder: str, member: str, header: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        name = f"{member.removesuffix('.txt')}-{TaskContext.get().partitionId():06d}.zip"
+        temporary = f"{root}/_{uuid.uuid4().hex}.tmp"
+        with fs.open_output_stream(temporary) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(member, "w", force_zip64=True) as f:
+            f.write(f"{header}\n".encode())
+            for batch in batches:
+                f.write("".join(f"{x}\n" for x in batch.column(0).to_pylist()).encode())
+        fs.move(temporary, f"{root}/{name}")
+        yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    return run
+
+
+def write_archives(df: DataFrame, member: str, folder: str) -> list[str]:
+    """A table as the member of zip archives, one for each partition, with a header in each; their names. folder is a shared URI.
+
+    Rows stream into the archives, which get their names when finished; a task that runs again replaces its archive. Together
+    the archives are the feed: read_member() takes a pattern.
+    """
+    lines = df.select(F.to_csv(F.struct(*df.columns)).alias("line"))
+    return sorted(x["name"] for x in lines.mapInArrow(_pack(folder, member, ",".join(df.columns)), "name string").collect())
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """Each table as a folder of CSV parts with a header, named as the feed's file."""
     for name, df in tables.items():
