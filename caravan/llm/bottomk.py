@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravan.llm import words as W
-from caravan.llm.shared import attach, materialize, small, text_slices
+from caravan.llm.shared import attach, discard, materialize, salted_join, small, text_slices
 from caravan.llm.similarity import linked_components, normal
 
 #: Of the k values of a sketch, so many must agree for a pair to be looked at. At a similarity of 0.8 the number that
@@ -70,7 +70,7 @@ def _lists(classes: DataFrame, k: int) -> DataFrame:
     """
     values = classes.select("digest", F.col("n_shingles").alias("n"), F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     frequent = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    shared = values.join(frequent, "v")
+    shared = salted_join(values, frequent, "v", "digest")
     w = Window.partitionBy("digest")
     ranked = shared.withColumn("alone", F.col("s") - F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("f", "v")))
     needed = F.greatest(F.lit(1), F.floor(F.col("s") * F.lit(AGREE) / F.lit(K)))
@@ -89,25 +89,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, ratio: Fraction = Fraction(4, 5
     Copies of a word sequence collapse into one class before anything else; no link between other classes is lost but with
     the probability given at K.
     """
+    return _near_duplicates(docs, n, ratio, k)[0]
+
+
+def _near_duplicates(docs: DataFrame, n: int, ratio: Fraction, k: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of near_duplicates() and the written tables that it reads."""
     sketched = materialize(sketch(docs, n, k), "sketches")
-    classes = materialize(sketched.where("digest is not null").select("digest", "n_shingles", "sketch").dropDuplicates(["digest"]), "classes")
+    known = sketched.where("digest is not null")
+    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch")), "classes")
     lists = materialize(_lists(classes, k), "lists")
-    members = lists.select("digest").distinct()
-    chosen = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(members, "digest", "left_semi")
-    texts = materialize(_texts(docs, chosen), "texts")
+    texts = materialize(_texts(docs, classes.select("digest", "doc_id").join(lists.select("digest").distinct(), "digest", "left_semi")), "texts")
     roots = linked_components(lists, texts, n, ratio, _likely(classes, k))
-    labelled = sketched.select("doc_id", "tag", "n_shingles", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    labelled = materialize(labelled.select("doc_id", "tag", "n_shingles", "root"), "labelled")
-    smallest = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(smallest, "root", "left").select(
-        "doc_id", "tag", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    rooted = materialize(classes.select("digest", "doc_id").join(roots, "digest", "left").select("digest", "doc_id", F.coalesce("root", "digest").alias("root")), "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(salted_join(rooted, smallest, "root", "digest").select("digest", "component_id"), "named")
+    narrow = materialize(sketched.select("doc_id", "tag", "n_shingles", "digest"), "rows")
+    discard(sketched, classes, lists, texts, roots, rooted)
+    found = narrow.join(named, "digest", "left").select(
+        "doc_id", "tag", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found, [narrow, named]
 
 
 def deduplicate(docs: DataFrame, n: int = 5, ratio: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of docs(doc_id, text, ...) that near_duplicates() keeps, with their own columns."""
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_key")
-    gone = materialize(near_duplicates(docs, n, ratio).where("not kept").select(known, F.col("tag").alias("_tag")).distinct(), "gone")
+    found, steps = _near_duplicates(docs, n, ratio, K)
+    gone = materialize(found.where("not kept").select(known, F.col("tag").alias("_tag")).distinct(), "gone")
+    discard(*steps)
     tagged = docs.select("*", known, F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")).alias("_tag"))
     return tagged.join(small(gone, gone.count() * 32), ["_key", "_tag"], "left_anti").select(*docs.columns)
 

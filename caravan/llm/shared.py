@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
@@ -15,42 +11,44 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caravan.session import importable, work_dir
+
 #: Spark's usual batches of 64 MB take a Python worker and its task several times that; (setting, usual value, ours).
 ARROW = [("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")]
-REPOSITORY = str(Path(__file__).resolve().parents[2])
+#: Shuffle files of a finished step are of no use once its table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def attach(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (clusters ship it with --py-files), and keep
-    Arrow batches small."""
-    environment = spark.sparkContext.environment
-    paths = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
-    if REPOSITORY not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([REPOSITORY, *paths])
+    """Let Python workers import this package, and keep Arrow batches small where the caller has not chosen a size."""
+    importable(spark)
     for key, usual, value in ARROW:
         if spark.conf.get(key) == usual:
             spark.conf.set(key, value)
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir, which the driver and all executors see.
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: later steps survive lost executors.
 
-    Only where that setting is absent and the session is local does a temporary folder take its place.
+    The shuffle files of the step go when it is written; discard() removes the table itself.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = os.path.join(tempfile.gettempdir(), "caravan-checkpoints")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path, before = work_dir(spark, label), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: later steps survive lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def discard(*steps: DataFrame) -> None:
+    """Remove tables of materialize() that nothing reads any more: what was made of them is written, too."""
+    for step in steps:
+        fs, path = storage(step.written_to)
+        fs.delete_dir(path)
 
 
 def storage(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -92,3 +90,18 @@ BROADCAST = 16_000_000
 def small(df: DataFrame, size: int) -> DataFrame:
     """df with a broadcast hint where its measured size allows it; a join shuffles otherwise."""
     return F.broadcast(df) if size <= BROADCAST else df
+
+
+#: Parts of a key's rows in a salted join.
+WAYS = 2
+
+
+def salted_join(rows: DataFrame, once: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with once(key, ...), which an aggregation by key made: one row a key at most.
+
+    A plain join would reuse the aggregation's partitioning, and adaptive execution splits a hot key's rows only where both sides
+    are shuffled for the join. Dealing the rows of each key to WAYS parts by a hash of by has that effect.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(WAYS)).cast("int"))
+    copies = once.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -10,21 +12,9 @@ LOWER_WORDS = bytes(0x20 if b in SPACE else b + 32 if 65 <= b <= 90 else b for b
 #: The same, with every other ASCII character that is no letter or digit turned into a blank as well.
 ALPHANUMERIC_WORDS = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 0x20 for b in range(256))
 
-BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    if n > 1:
-        out[1:] = base & _MASK
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-_POWER = _powers(_BASE, BLOCK + 1)
-_INVERSE = _powers(pow(_BASE, -1, 1 << 64), BLOCK + 1)
+#: Bytes of a text whose words are found at once; words of more than SHORT bytes are hashed by BLAKE2.
+BLOCK, SHORT = 1 << 20, 32
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,47 +26,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _block_hashes(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    solid = np.empty(len(block) + 2, np.int8)
-    solid[0] = solid[-1] = 0
-    solid[1:-1] = block != 32
-    edges = np.diff(solid)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    sums = np.zeros(len(block) + 1, np.uint64)
-    np.cumsum((block.astype(np.uint64) + np.uint64(1)) * _POWER[: len(block)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _INVERSE[starts]
-    return starts, ends, mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text whose only separators are blanks."""
+    data = np.frombuffer(text, np.uint8)
+    at = []
+    for i in range(0, len(data), BLOCK):  # an edge is where a byte and the one before it differ in being a blank
+        solid = data[max(0, i - 1) : i + BLOCK] != 32
+        at.append(np.flatnonzero(solid[1:] != solid[:-1]) + (i if i else 1))
+    edges = np.concatenate([np.zeros(int(len(data) > 0 and data[0] != 32), np.int64), *at, np.full(int(len(data) > 0 and data[-1] != 32), len(data), np.int64)])
+    return edges[::2], edges[1::2]
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the words of a text whose only separators are blanks.
 
-    Long texts go block by block, cut at blanks; a word longer than a block is hashed by its parts.
+    A word's bytes go through the hash eight at a time, each eight mixed with all before them, so different words of the same length
+    up to eight bytes never share a hash and no pattern of letters makes longer ones collide. Words of more than SHORT bytes have a
+    BLAKE2 digest. Texts of any length go through; blocks bound what finding the words takes besides the words themselves.
     """
-    data = np.frombuffer(text, np.uint8)
-    if len(data) <= BLOCK:
-        return _block_hashes(data)
-    parts, at = [], 0
-    while at < len(data):
-        stop = min(len(data), at + BLOCK)
-        if stop < len(data):
-            blank = text.rfind(b" ", at, stop)
-            if blank > at:
-                stop = blank
-            else:  # one word fills the block: find its end and fold the hashes of its pieces
-                end = text.find(b" ", stop)
-                end = len(data) if end < 0 else end
-                first = at if text[at] != 32 else at + 1
-                h = np.uint64(0)
-                for i in range(first, end, BLOCK):
-                    h = mix(np.array([h], np.uint64) + _block_hashes(data[i : min(end, i + BLOCK)])[2])[0]
-                parts.append((np.array([first]), np.array([end]), np.array([h], np.uint64)))
-                at = end
-                continue
-        starts, ends, hashes = _block_hashes(data[at:stop])
-        parts.append((starts + at, ends + at, hashes))
-        at = stop
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    starts, ends = word_bounds(text)
+    sizes = ends - starts
+    hashes = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return starts, ends, hashes
+    eights = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))  # the eight bytes from each position on
+    left = np.flatnonzero(sizes <= SHORT)
+    for i in range(0, SHORT, 8):
+        if i:
+            left = left[sizes[left] > i]
+        if not len(left):
+            break
+        hashes[left] = mix(hashes[left] + (eights[starts[left] + i] & _KEEP[np.minimum(sizes[left] - i, 8)]))
+    # the length tells words apart that end in zero bytes
+    hashes = mix(hashes * np.uint64(0x9FB21C651E98DF25) + sizes.astype(np.uint64))
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(text[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return starts, ends, hashes
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
