@@ -1,13 +1,16 @@
 """Event-sourced chat formatting.
 
-A log has events (conv_id, seq, message_id, step, kind, role, text). Folding a conversation in order of seq and step:
+A log has events (conv_id, seq, message_id, step, kind, role, text); seq may be of any type that has an order. Folding a
+conversation in order of seq and step:
 
     delta       appends text to the message, which it opens if new; its role, if any, counts when it opens
     edit        replaces the message's text, and its role if it has one
     regenerate  empties the message, whose coming deltas start anew, and drops the messages opened after it
     anything else, null included, is ignored
 
-The messages that remain are rendered in the order in which they were opened. A turn becomes
+The messages that remain are rendered in the order in which they were opened. A marker after a message's last event tells the
+fold that the message is complete; complete messages with nothing open before them can't change any more and are rendered, so a
+task holds no more of a conversation than its events reach back. A turn becomes
 
     <|im_start|>role LF text<|im_end|> LF
 
@@ -23,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caravan.llm.shared import attach, text_slices
@@ -55,37 +58,42 @@ class Messages:
     """The fold of one conversation's events, as far as they have come."""
 
     def __init__(self):
-        self.messages: dict = {}
+        self.messages: dict = {}  # id -> [role, parts of text, complete]
 
     def add(self, message_id, kind: str | None, role: str | None, text: str | None) -> None:
+        m = self.messages.get(message_id)
         if kind == "delta":
-            m = self.messages.setdefault(message_id, [role or "", []])
+            if m is None:
+                m = self.messages[message_id] = [role or "", [], False]
             m[1].append(text or "")
-        elif kind == "edit" and message_id in self.messages:
-            m = self.messages[message_id]
+        elif m is None:
+            return
+        elif kind == "edit":
             m[0], m[1] = role or m[0], [text or ""]
-        elif kind == "regenerate" and message_id in self.messages:
-            self.messages[message_id][1] = []
-            later = False
-            for k in list(self.messages):
-                if later:
-                    del self.messages[k]
-                later |= k == message_id
-
-    def release(self, all_but: int = 0) -> Iterator[tuple[str, str]]:
-        """(role, text) of the oldest messages, which are forgotten."""
-        for k in list(self.messages)[: len(self.messages) - all_but]:
-            role, parts = self.messages.pop(k)
+        elif kind == "regenerate":
+            m[1] = []
+            ids = list(self.messages)
+            for k in ids[ids.index(message_id) + 1 :]:
+                del self.messages[k]
+        elif kind == END:
+            m[2] = True
+
+    def release(self, rest: bool = False) -> Iterator[tuple[str, str]]:
+        """(role, text) of the oldest messages, as far as they are complete, or of all; they are forgotten."""
+        while self.messages and (rest or next(iter(self.messages.values()))[2]):
+            role, parts, _ = self.messages.pop(next(iter(self.messages)))
             yield role, "".join(parts)
 
 
+#: Kind of the marker after a message's last event.
+END = "end of message"
 ROWS = [("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("mask", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 SCHEMA = "conv_id long, part long, formatted string, mask array<struct<start:bigint,end:bigint>>"
 #: Characters after which a conversation's output goes on in a further row.
 PART_CHARS = 1_000_000
 
 
-def _render(horizon: int | None, part_chars: int):
+def _render(part_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: object = run
         state, out = Messages(), []
@@ -118,22 +126,21 @@ def _render(horizon: int | None, part_chars: int):
             for x in batch.to_pylist():
                 if at is run or x["conv_id"] != at:
                     if at is not run:
-                        for m in state.release():
+                        for m in state.release(rest=True):
                             put(*m)
                         close()
                     at, state, base, part = x["conv_id"], Messages(), 0, 0
                 state.add(x["message_id"], x["kind"], x["role"], x["text"])
                 held += len(x["text"] or "")
-                if horizon is not None and len(state.messages) > horizon:
-                    for m in state.release(horizon):
-                        put(*m)
-                    if size >= part_chars:
-                        close()
+                for m in state.release():
+                    put(*m)
+                if size >= part_chars:
+                    close()
                 if held > part_chars and out:
                     yield flush()
                     held = 0
         if at is not run:
-            for m in state.release():
+            for m in state.release(rest=True):
                 put(*m)
             close()
             yield flush()
@@ -141,21 +148,25 @@ def _render(horizon: int | None, part_chars: int):
     return run
 
 
-def format_events(events: DataFrame, horizon: int | None = None, part_chars: int = PART_CHARS) -> DataFrame:
+def format_events(events: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """(conv_id, part, formatted, mask: spans of loss in code points of the whole conversation).
 
     events(conv_id, seq, message_id, step, kind, role, text, ...). Events of one seq are taken in order of message_id, step, kind,
     role and text; a null conv_id is a conversation like any other, null roles and texts are empty; repeated rows are events of their
     own; an empty log gives an empty result. A conversation whose messages are all dropped has one empty part.
 
-    Logs are partitioned by conversation, sorted, and folded as a stream: of a conversation, only its open messages are held.
-    With a horizon, events reach back at most so many messages, older ones are rendered, and a conversation of any length
-    needs memory for the horizon and a part of part_chars characters alone. Parts follow each other without a separator.
+    Logs are partitioned by conversation, sorted, and folded as a stream. However late an event comes, it counts. A conversation of
+    any length needs memory for the messages that its events reach back over and a part of part_chars characters; a single
+    message is held whole. Parts follow each other without a separator.
     """
     attach(events.sparkSession)
-    columns = [F.col("conv_id").cast("long"), F.col("seq").cast("long"), F.col("message_id").cast("long"), F.col("step").cast("long"), F.col("kind").cast("string"), F.col("role").cast("string"), F.col("text").cast("string")]
-    placed = events.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message_id", "step", "kind", "role", "text")
-    return placed.mapInArrow(_render(horizon, part_chars), SCHEMA)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    log = events.select(F.col("conv_id").cast("long").alias("conv_id"), "seq", F.col("message_id").cast("long").alias("message_id"), F.col("step").cast("long").alias("step"), text("kind"), text("role"), text("text"), F.lit(0).alias("mark"))
+    last = log.groupBy("conv_id", "message_id").agg(F.max(F.struct("seq", "step")).alias("last"))
+    nothing = F.lit(None).cast("string")
+    marks = last.select("conv_id", "last.seq", "message_id", "last.step", F.lit(END).alias("kind"), nothing.alias("role"), nothing.alias("text"), F.lit(1).alias("mark"))
+    placed = log.where(F.coalesce(F.col("kind") != END, F.lit(True))).unionByName(marks).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message_id", "step", "mark", "kind", "role", "text")
+    return placed.select("conv_id", "message_id", "kind", "role", "text").mapInArrow(_render(part_chars), SCHEMA)
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str, int, int]]:
@@ -208,11 +219,28 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def events_of_turns(turns: DataFrame, chunk: int = 256) -> DataFrame:
-    """The log that streams turns(conv_id, turn, role, text, ...): each row's text as deltas of at most chunk characters.
+    """A log that reconstructs turns(conv_id, turn, role, text, ...), with drafts that must not remain.
 
-    Every row is a message of its own, repeated ones too; rows of one turn follow each other in order of their reading.
+    Every row is a message of its own, repeated ones too; rows of one turn follow each other in order of a hash of role and text.
+    By another hash, a message is streamed plainly, as deltas of at most chunk characters; or as a draft and an edit that has the
+    whole text; or as a draft, an answer to it, and a regeneration, which drops that answer, with new deltas.
     """
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("seq"), F.monotonically_increasing_id().alias("message_id"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pieces = F.ceil(F.greatest(F.length("text"), F.lit(1)) / F.lit(chunk)).cast("int")
-    deltas = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)))
-    return rows.select("conv_id", "seq", "message_id", "role", F.posexplode(deltas).alias("step", "text")).withColumn("kind", F.lit("delta"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"), F.monotonically_increasing_id().alias("id"))
+    rows = rows.withColumn("tie", F.xxhash64("role", "text")).withColumn("way", F.pmod(F.xxhash64(F.lit("way"), "conv_id", "turn", "role", "text"), F.lit(3)))
+
+    def event(phase: int, kind: str, of: Column, step: Column, message: Column | None = None) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), (F.col("id") if message is None else message).alias("message_id"), step.cast("long").alias("step"), F.lit(kind).alias("kind"), of.alias("text"))
+
+    def streamed(phase: int, of: Column) -> Column:
+        last = F.ceil(F.greatest(F.length(of), F.lit(1)) / F.lit(chunk)).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda i: event(phase, "delta", F.substring(of, i * chunk + 1, F.lit(chunk)), i))
+
+    body, first = F.col("text"), F.lit(0)
+    draft = F.concat(F.lit("Draft: "), F.substring(body, 1, chunk // 2))
+    edited = F.concat(streamed(0, draft), F.array(event(1, "edit", body, first)))
+    answer = event(1, "delta", F.lit("An answer to the draft"), first, -F.col("id") - 1)
+    again = F.concat(streamed(0, draft), F.array(answer, event(2, "regenerate", F.lit(None).cast("string"), first)), streamed(3, body))
+    log = F.when(F.col("way") == 0, streamed(0, body)).when(F.col("way") == 1, edited).otherwise(again)
+    events = rows.select("conv_id", "turn", "tie", "id", "role", F.explode(log).alias("e"))
+    return events.select("conv_id", F.struct("turn", "tie", "id", "e.phase").alias("seq"), "e.message_id", "e.step", "e.kind", "role", "e.text")

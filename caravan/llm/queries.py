@@ -46,7 +46,7 @@ PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[IN
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
-    return chat.read_back(chat.format_events(chat.events_of_turns(turns), horizon=8))
+    return chat.read_back(chat.format_events(chat.events_of_turns(turns)))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
