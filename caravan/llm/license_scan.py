@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caravan.llm.shared import materialize, small
+
 #: Spellings that count as equal, as in the public guidelines for matching licence texts.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
@@ -154,10 +156,14 @@ def _padded(words: str) -> str:
     return f" {words.replace(' ', '  ')} "
 
 
-def registry(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license): known texts by canonical digest; of licences with one text, the first by name."""
-    rows = spark.createDataFrame([*known_texts(), *whole_texts()] if texts is None else texts, "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def registry(spark: SparkSession, texts: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """(digest, license, n_chars): texts by canonical digest and their canonical length; of licences with one text, the first by name.
+
+    texts(license, text) may be a table of one's own, of any number of licences; the texts of this module stand in for it.
+    """
+    rows = texts if isinstance(texts, DataFrame) else spark.createDataFrame([*known_texts(), *whole_texts()] if texts is None else texts, "license string, text string")
+    known = rows.select("license", canonical(F.col("text")).alias("text")).where("text <> ''")
+    return known.select(F.sha2("text", 256).alias("digest"), "license", F.length("text").alias("n_chars")).groupBy("digest", "n_chars").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -166,15 +172,22 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     docs(doc_id, text, ...): one row out for each row in. n_notices counts the lines that are a known text by themselves, notices
     names their licences. A null text has a null digest and no licence; a text without letters and digits has the digest of
     the empty text, which is never a licence's. Rows that repeat a doc_id, null too, are documents of their own. known is
-    registry()'s kind of table, of a size that fits a broadcast; an empty one finds nothing; so does an empty docs.
+    registry()'s kind of table; an empty one finds nothing; so does an empty docs. Texts of any length are normalised whole.
+
+    Texts are normalised once: a step is written with the digest of each text and those of its lines that are as long as a known
+    text. The registry is broadcast only if its measured size allows it.
     """
-    known = (registry(docs.sparkSession) if known is None else known).where(F.col("digest") != F.sha2(F.lit(""), 256))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = rows.select("row", F.explode(F.split(normal_lines(F.col("text")), "\n")).alias("line"))
-    notices = lines.select("row", F.sha2(squeeze(F.col("line")), 256).alias("digest")).join(F.broadcast(known), "digest")
-    found = notices.groupBy("row").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    whole = rows.select("row", "doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest")).join(F.broadcast(known), F.col("text_digest") == F.col("digest"), "left")
-    return whole.join(found, "row", "left").select("doc_id", "text_digest", "license", F.coalesce("n", F.lit(0)).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+    spark = docs.sparkSession
+    known = materialize(registry(spark) if known is None else known, "registry")
+    lengths = [x["n_chars"] for x in known.select("n_chars").distinct().collect()]
+    size = known.count() * 150
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), normal_lines(F.col("text").cast("string")).alias("lines"))
+    single = F.filter(F.transform(F.split("lines", "\n"), squeeze), lambda x: F.length(x).isin(lengths) if lengths else F.lit(False))
+    coded = materialize(rows.select("row", "doc_id", F.sha2(squeeze(F.col("lines")), 256).alias("text_digest"), F.transform(single, lambda x: F.sha2(x, 256)).alias("lines")), "digests")
+    known = known.select("digest", "license")
+    found = coded.select("row", F.explode("lines").alias("digest")).join(small(known, size), "digest").groupBy("row").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    whole = coded.join(small(known, size), F.col("text_digest") == F.col("digest"), "left").join(found, "row", "left")
+    return whole.select("doc_id", "text_digest", "license", F.coalesce("n", F.lit(0)).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def oracle(table: str = "documents") -> str:
