@@ -24,8 +24,8 @@ FIT_ROWS = 20_000
 #: Thresholds tried for each statistic; conditions of a rule; rules; rows that a rule covers at least; their share of bad
 #: rows among rows that no rule grew on, at least.
 THRESHOLDS, CONDITIONS, RULES, COVERED, PRECISION = 32, 3, 12, 8, 0.9
-#: Bits of a packed number that hold a window's position.
-POSITION = 24
+#: Bits of a packed number that hold a window's position, as many as any array's positions take; the rest is its hash.
+POSITION = 31
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 STATISTICS = {
@@ -62,7 +62,8 @@ def _repeat_words(words: Column) -> Column:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """docs(text, ...) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_capitals (long).
 
-    Words are runs of characters other than ASCII white space; a null text has none. Former columns of these names go.
+    Words are runs of characters other than ASCII white space; a null text has none. Former columns of these names go. A text
+    is worked on whole, as arrays of its words and lines in one row.
     """
     rows = docs.drop(*COLUMNS)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
