@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from caravan.llm import balanced_shards, bottomk, chat, decontaminate, license_scan, paragraph_dedup, quality_rules, sentencepiece_offsets, sstable, warc
 from caravan.llm import words as W
@@ -41,14 +42,24 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
-    text = LONG.encode() + b" " + b"q" * 5000 + b" end"
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch, block):
+    monkeypatch.setattr(W, "BLOCK", block)
+    text = (LONG.encode() if block > 1 else b" a bc") + b" " + b"q" * 5000 + b" end"
     starts, ends, whole = W.word_hashes(text)
     assert [text[a:b] for a, b in zip(starts, ends)] == text.split()
     assert len(set(whole.tolist())) == len(set(text.split()))
     assert not len(W.word_hashes(b"")[2]) and not len(W.word_hashes(b"   ")[2])
 
 
+def test_long_words_of_a_pattern_do_not_collide():
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+    a, b = bytes(97 + x for x in bits), bytes(98 - x for x in bits)
+    assert len(set(W.word_hashes(a + b" " + b + b" " + a[:1024] + b" " + b[:1024] + b" a a\0 " + a[:16] + b" " + b[:16])[2].tolist())) == 8
+
+
 def test_token_shards(spark, docs, empty):
     from tokenizers import Tokenizer
 
@@ -112,6 +123,25 @@ def test_balanced_shards(spark, empty):
     assert balanced_shards.shard_documents(empty).count() == 0
 
 
+def test_balanced_shards_do_not_depend_on_the_layout(spark):
+    rows = [(i % 3000, f"group {i % 160}" if i < 1500 else f"alone {i}", 0) for i in range(4000)] + [(None, None, 0)] * 3
+    tables = [spark.createDataFrame(rows, DOCS).repartition(2), spark.createDataFrame(rows[::-1], DOCS).repartition(9)]
+    found = [sorted(map(tuple, balanced_shards.shard_documents(t, shards=6).collect()), key=repr) for t in tables]
+    assert found[0] == found[1]
+
+
+def test_rounds_cut_fewer_edges(spark):
+    members = spark.createDataFrame([(i, i // 9) for i in range(900)] + [(i, 1000 + i % 50) for i in range(0, 900, 30)], "node long, group long")
+    start = spark.createDataFrame([(i, i * 7 % 5) for i in range(900)], "node long, shard int")
+    cut = lambda state: balanced_shards.cut_edges(balanced_shards.group_counts(members, state))
+    shard = {i: i * 7 % 5 for i in range(900)}
+    groups = {}
+    for r in members.collect():
+        groups.setdefault(r.group, []).append(shard[r.node])
+    assert cut(start) == sum(a != b for g in groups.values() for k, a in enumerate(g) for b in g[:k])
+    assert cut(balanced_shards.propagate(members, start, [180] * 5)) < 0.6 * cut(start)
+
+
 def test_balanced_shards_without_room(spark):
     # every node is linked, several movers share a hash class, and the shards are full: moves are exchanges to the row
     nodes = [(i, i // 8, int(hashlib.md5(b"%d" % i).hexdigest(), 16) % 2) for i in range(24_000)]
@@ -141,6 +171,72 @@ def test_warc_round_trip(spark):
     assert warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), none) == [] and warc.read_warc(spark, none).count() == 0
 
 
+def test_warc_bytes_do_not_depend_on_the_layout(spark):
+    rows = [(i * 37 % 6000 - 50, f"http://{i % 7}", f"page {i % 900} " * (3 + i % 29)) for i in range(6000)] + [(None, None, f"none {i % 30} " * 20) for i in range(600)] + [(7, "u", "hot " * 900 + str(i)) for i in range(80)] + [(7, "u", "hot")] * 3
+    hashes, ids = [], []
+    for parts in (2, 9):
+        folder = work_dir(spark, "w")
+        shuffled = spark.createDataFrame(rows[::-1] if parts == 9 else rows, "page_id long, url string, html string").repartition(parts)
+        files = warc.write_warc(shuffled, folder, file_bytes=20_000, part_bytes=60_000)
+        hashes.append([(f["name"], f["sha256"]) for f in files])
+        assert len(files) > 20 and sum(f["records"] for f in files) == len(rows)
+        from caravan.llm.shared import storage
+
+        fs, root = storage(folder)
+        last = None
+        for f in files:
+            with fs.open_input_stream(f"{root}/{f['name']}", compression=None) as stream:
+                for data in warc.read_members(stream):
+                    fields, _, _ = warc.parse(data)
+                    ids.append(fields["WARC-Record-ID"])
+                    at = int(fields["X-Page"] or -(2**63))
+                    assert last is None or at >= last
+                    last = at
+        assert len(set(ids)) == len(rows)
+    assert hashes[0] == hashes[1]
+
+
+def test_chat_counts_late_events(spark):
+    schema = "conv_id long, seq long, message_id long, step long, kind string, role string, text string"
+    log = [(1, i, i, 0, "delta", "user" if i % 2 else "assistant", f"message {i}") for i in range(12)]
+    late = [(1, 50, 0, 0, "delta", None, " and more"), (1, 51, 3, 0, "edit", None, "edited"), (1, 52, 77, 0, "edit", None, "of nothing"), (1, 53, 9, 0, "regenerate", None, None), (1, 54, 9, 0, "delta", None, "again"), (1, 55, 11, 0, "delta", "user", "reopened"), (None, None, None, None, "delta", None, None), (1, 60, 1, 0, "noise", "x", "y")]
+    found = {r.conv_id: r for r in chat.format_events(spark.createDataFrame(log + late, schema)).collect()}
+    want = [("user" if i % 2 else "assistant", f"message {i}") for i in range(9)] + [("user", "again"), ("user", "reopened")]
+    want[0], want[3] = ("assistant", "message 0 and more"), ("user", "edited")
+    assert [(r, t) for r, t, _, _ in chat.parse(found[1].formatted)] == want
+    assert [(r, t) for r, t, _, _ in chat.parse(found[None].formatted)] == [("", "")]
+
+
+def brute_chat(rows):
+    """The digests of conversations from their turns, without a log."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0))
+        texts = [(r[2] or "", r[3] or "") for r in turns]
+        loss = "".join(t for r, t in texts if r == "assistant")
+        whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in texts).encode()).hexdigest()
+        out[conv] = (len(turns), whole, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_chat_query_against_brute_force(spark, parts):
+    rows = [(c, t, ("user", "assistant", "system")[(c + t) % 3], f"turn {t} of {c} </s>[INST]<|im_end|> é " * (1 + (c * t) % 40)) for c in range(40) for t in range(c % 9)]
+    rows += [(100, 0, None, None), (100, 1, "assistant", ""), (None, 0, "assistant", "x" * 5000), (101, None, "user", "no turn"), (102, 3, "assistant", LONG), (103, 0, "user", "twice"), (103, 0, "user", "twice")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("clash")).repartition(parts)
+    found = chat.read_back(chat.format_events(chat.events_of_turns(turns), part_chars=3000)).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in found} == brute_chat(rows) and len(found) == len({r[0] for r in rows})
+    kinds = {r.kind for r in chat.events_of_turns(turns).select("kind").distinct().collect()}
+    assert kinds == {"delta", "edit", "regenerate"}
+    assert chat.read_back(chat.format_events(chat.events_of_turns(turns.limit(0)))).count() == 0
+
+
+def test_chat_ties_do_not_depend_on_the_layout(spark):
+    rows = [(1, 0, "user", f"tie {i}") for i in range(30)]
+    found = [chat.read_back(chat.format_events(chat.events_of_turns(spark.createDataFrame(x, "conv_id long, turn long, role string, text string").repartition(n)))).collect() for x, n in ((rows, 1), (rows[::-1], 5))]
+    assert found[0] == found[1]
+
+
 def test_chat_folds_events(spark):
     events = [(1, 0, 1, 0, "delta", "user", "Hel"), (1, 0, 1, 1, "delta", "user", "lo"), (1, 1, 2, 0, "delta", "assistant", "first"), (1, 2, 3, 0, "delta", "user", "gone"), (1, 3, 2, 0, "regenerate", None, None), (1, 4, 2, 0, "delta", None, "sec</s>ond"), (1, 5, 1, 0, "edit", None, "Hi"), (1, 6, 9, 0, None, None, "x"), (2, 0, 1, 0, "delta", None, None)]
     table = spark.createDataFrame(events, "conv_id long, seq long, message_id long, step long, kind string, role string, text string")
@@ -198,8 +294,8 @@ def test_wu_manber(spark, docs, empty):
     for item, text in items:
         w = split(text)
         m = min(10, len(w))
-        for k in range(len(w) - m + 1) if w and item else []:
-            windows.setdefault(tuple(w[k : k + m]), set()).add(item)
+        for k in range(len(w) - m + 1) if w else []:
+            windows.setdefault(tuple(w[k : k + m]), set()).update({item} - {None})
     for size in (10**9, 60):  # one pass, several passes
         for r in decontaminate.find_contamination(docs, benchmark, pass_bytes=size).collect():
             w, hit, names = split(r.text), set(), set()
@@ -213,6 +309,16 @@ def test_wu_manber(spark, docs, empty):
     assert decontaminate.remove_contaminated(docs, benchmark.limit(0)).count() == len(awkward())
 
 
+def test_wu_manber_pieces_and_columns(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    text = " ".join(["a" * 400_000, "b", *item.split(), "c" * 700_000, *item.split()[:9], "d", *item.split()])
+    n, spans, items = decontaminate._search(text, decontaminate.Patterns([("x", item), (None, "c c"), ("y", "b q0")], 10), 9)
+    assert (n, spans, items) == (37, [(1, 14), (25, 37)], {"x", "y"}) and len(text) > decontaminate.PIECE
+    rows = spark.createDataFrame([(1, "k", item, 5, "s")], "doc_id long, items string, text string, n_words int, spans string")
+    found = decontaminate.find_contamination(rows, spark.createDataFrame([(None, item)], "item_id string, text string")).first()
+    assert (found.doc_id, found.n_words, len(found.spans), found["items"]) == (1, 12, 1, [])
+
+
 def test_license_scan(spark, empty):
     mit = dict(license_scan.TEXTS)["MIT"]
     rows = [(1, "Copyright (c) 2020 A. Person\n" + mit.upper().replace(",", " ;"), 0), (2, "text\nLicensed under the Apache Licence, version 2.0!\nmore", 0), (3, None, 0), (4, "", 0), (5, "released under the MIT license", 0), (5, "© me", 0), (None, "x", 0)]
@@ -255,7 +361,51 @@ def test_paragraph_dedup(spark, docs, empty):
     assert found[41].text.startswith("own41x0 ") and found[41].text.endswith("own5x49 end") and found[41].n_words_left < 125
     assert found[21].n_words_cut > 0 and found[20].n_words_cut == 0 and found[2].text is None and found[6].text == LONG
     assert paragraph_dedup.dedup_paragraphs(empty).count() == 0
-    assert paragraph_dedup.tune(0.8, 0.97) == paragraph_dedup.BANDS
+    assert paragraph_dedup.tune(0.8, 0.97) == 5
+
+
+def brute_repeats(rows):
+    """For each document, which of its words stand in a run of at least 50 that a document with a smaller id has as well."""
+    words = {i: (t or "").lower().split() for i, t in rows}
+    seen, out = {}, {}
+    for i in sorted(words):
+        w, hit = words[i], set()
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), i) != i:
+                hit |= set(range(k, k + 50))
+        out[i] = hit
+    return words, out
+
+
+def test_paragraph_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pool = [f"{a}{b}" for a in ("ba", "de", "mi", "so", "tu", "ra") for b in ("l", "n", "rt", "st", "x", "mp", "gh")]
+    some = lambda n: [str(x) for x in rng.choice(pool, n)]
+    passages = [some(int(n)) for n in rng.integers(55, 90, 6)]
+    rows = []
+    for i in range(60):
+        parts = [some(int(rng.integers(5, 60))) for _ in range(4)]
+        if i % 2:
+            parts.insert(int(rng.integers(0, 5)), passages[i % 6])
+        rows.append((i, " ".join(w for p in parts for w in p) if i % 3 else "\n".join(" ".join(p) for p in parts), 0))
+    wrapped = textwrap.fill(" ".join(passages[0]), 60)  # lines of about ten words
+    rows += [(100, f"alpha\n\n{wrapped}\n\nbeta", 0), (101, None, 0), (102, "", 0)]
+    words, repeated = brute_repeats([r[:2] for r in rows])
+    for parts in (1, 5):
+        for r in paragraph_dedup.dedup_paragraphs(spark.createDataFrame(rows, DOCS).withColumn("keepers", F.lit("clash")).repartition(parts)).collect():
+            cut, at, left = set(), 0, (r.text or "").lower().split()
+            text = next(t for i, t, _ in rows if i == r.doc_id) or ""
+            for s in r.cut:
+                before = len(text.encode()[: s.start].split())
+                cut |= set(range(before, before + len(text.encode()[s.start : s.end].split())))
+            assert left == [w for k, w in enumerate(words[r.doc_id]) if k not in cut] and r.n_words_cut == len(cut)
+            assert len(repeated[r.doc_id] - cut) <= 0.35 * len(repeated[r.doc_id])  # a few words at a passage's ends may stay
+            if not repeated[r.doc_id]:
+                assert len(cut) <= 20
+            assert all(k is None or k < r.doc_id for k in r.keepers)
+    near = [(1, " ".join(passages[1]), 0), (2, " ".join([*passages[1][:30], "other", *passages[1][31:]]), 0), (None, "\n".join(" ".join(passages[1][k : k + 9]) for k in range(0, len(passages[1]), 9)), 0), (2, " ".join(passages[1]), 0)]
+    left = sorted(((r.doc_id, r.n_words_left, r.keepers) for r in paragraph_dedup.dedup_paragraphs(spark.createDataFrame(near, DOCS)).collect()), key=repr)
+    assert [x[0] for x in left] == [1, 2, 2, None] and left[3][1] > 0 and all(x[1] < 20 for x in left[:3]) and left[0][2] == [None]
 
 
 def brute_components(rows, n, ratio):
@@ -292,7 +442,11 @@ def test_near_duplicates(spark, docs, empty, n, ratio, monkeypatch):
         for k in rng.choice(120, rng.integers(0, 5), replace=False):
             w[k] = f"e{i}_{k}"
         near.append((200 + i, " ".join(w), 0))
-    rows = awkward() + near
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    patterned = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]  # different words of one pattern
+    rows = awkward() + near + [(300, " ".join(f"{w} x{i}" for i in range(6) for w in patterned), 0)]
     found = bottomk.near_duplicates(spark.createDataFrame(rows, DOCS), n, ratio).collect()
     sets, roots = brute_components(rows, n, ratio)
     smallest: dict = {}
