@@ -267,6 +267,12 @@ def from_wkt(text: Column) -> Column:
     return F.when(text.isNull(), None).when(inner == "", F.array().cast(LINE)).otherwise(F.transform(F.split(inner, ","), pair))
 
 
+def geometry_type(text: Column) -> Column:
+    """The type that a WKT text names, in upper case, without its dimension; null for other texts."""
+    found = F.upper(F.regexp_extract(text, r"(?i)^\s*(?:SRID=\d+;)?\s*([a-z]+)\s*(?:Z|M|ZM)?\s*(?:\(|EMPTY)", 1))
+    return F.nullif(found, F.lit(""))
+
+
 def to_geojson(line: Column) -> Column:
     """GeoJSON text of a LineString."""
     return F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(line, lambda p: F.array(p["x"], p["y"])).alias("coordinates")))

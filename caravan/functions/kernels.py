@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE = "array<struct<x:double,y:double>>"
 
 
-def _array(line) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in line], float).reshape(-1, 2)
+def _flat(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices (n, 2) of all lines of an Arrow array and the offsets of each line; a null line has none."""
+    points = lines.flatten()
+    sizes = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False)
+    xy = np.column_stack([points.field(0).to_numpy(zero_copy_only=False), points.field(1).to_numpy(zero_copy_only=False)]) if len(points) else np.empty((0, 2))
+    return xy, np.r_[0, np.cumsum(sizes)].astype(np.int64)
 
 
-def _structs(points: np.ndarray) -> list[dict]:
-    return [{"x": float(x), "y": float(y)} for x, y in points]
+POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
 
-def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Vertices that matter: those farther than the tolerance from the chord of their stretch, without recursion."""
-    if len(points) < 3:
-        return points
+def _lines(xy: np.ndarray, sizes: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    """The Arrow array of lines with so many vertices each, null where missing."""
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, 0])), pa.array(np.ascontiguousarray(xy[:, 1]))], ["x", "y"])
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), mask=None if missing is None else np.r_[missing, False])
+    return pa.ListArray.from_arrays(offsets, points)
+
+
+def kept(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices matter: those farther than the tolerance from the chord of their stretch, without recursion."""
     keep = np.zeros(len(points), bool)
     keep[[0, -1]] = True
     todo = [(0, len(points) - 1)]
@@ -40,60 +49,65 @@ def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
         if far[i] > tolerance:
             keep[a + 1 + i] = True
             todo += [(a, a + 1 + i), (a + 1 + i, b)]
-    return points[keep]
+    return keep
 
 
 def simplify(line: Column, tolerance: float) -> Column:
-    def run(series: pd.Series) -> pd.Series:
-        return series.map(lambda line: None if line is None else _structs(douglas_peucker(_array(line), tolerance)))
-
-    return F.pandas_udf(run, LINE)(line)
-
-
-def capsule_interval(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, r: float) -> tuple[float, float] | None:
-    """The parameters of edge p-q that are within r of edge a-b. The capsule is convex, so they are one interval."""
-    d = q - p
-    found: list[float] = []
-
-    def disk(c: np.ndarray) -> None:
-        f = p - c
-        qa, qb, qc = d @ d, 2 * f @ d, f @ f - r * r
-        root = qb * qb - 4 * qa * qc
-        if qa == 0:
-            if qc <= 0:
-                found.extend((0.0, 1.0))
-        elif root >= 0:
-            s = np.sqrt(root)
-            found.extend(((-qb - s) / (2 * qa), (-qb + s) / (2 * qa)))
-
-    disk(a)
-    disk(b)
-    axis = b - a
-    size = np.hypot(*axis)
-    if size > 0:
-        u = axis / size
-        n = np.array([-u[1], u[0]])
-        low, high = -np.inf, np.inf
-        for start, speed, lo, hi in ((u @ (p - a), u @ d, 0.0, size), (n @ (p - a), n @ d, -r, r)):
-            if speed == 0:
-                if not lo <= start <= hi:
-                    low, high = np.inf, -np.inf
-            else:
-                t1, t2 = sorted(((lo - start) / speed, (hi - start) / speed))
-                low, high = max(low, t1), min(high, t2)
-        if low <= high:
-            found.extend((low, high))
-    if not found:
-        return None
-    t0, t1 = max(0.0, min(found)), min(1.0, max(found))
-    return (t0, t1) if t0 <= t1 else None
+    """Douglas and Peucker's simplification; work goes to lines of more than two vertices alone."""
+
+    @F.arrow_udf(LINE)
+    def run(lines: pa.Array) -> pa.Array:
+        xy, at = _flat(lines)
+        keep, sizes = np.ones(len(xy), bool), np.diff(at)
+        for i in np.flatnonzero(sizes > 2):
+            keep[at[i] : at[i + 1]] = kept(xy[at[i] : at[i + 1]], tolerance)
+        done = np.r_[0, np.cumsum(keep)]
+        return _lines(xy[keep], done[at[1:]] - done[at[:-1]], lines.is_null().to_numpy(zero_copy_only=False))
+
+    return run(line)
+
+
+def capsule_intervals(line: np.ndarray, other: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each edge of a line and each of another, the parameters between which the first is within r of the second; nan where
+    it isn't. A capsule, what is within r of an edge, is convex, so its parts in two disks and a box span one interval."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, a = line[:-1, None, :], other[None, :-1, :]
+        d, axis = line[1:, None, :] - p, other[None, 1:, :] - a
+        square = (d * d).sum(-1)
+        low, high = [], []
+        for c in (a, a + axis):
+            f = p - c
+            half, rest = (f * d).sum(-1), (f * f).sum(-1) - r * r
+            root = np.sqrt(half * half - square * rest)
+            low.append(np.where(square > 0, (-half - root) / square, np.where(rest <= 0, 0.0, np.nan)))
+            high.append(np.where(square > 0, (-half + root) / square, np.where(rest <= 0, 1.0, np.nan)))
+        size = np.hypot(axis[..., 0], axis[..., 1])
+        u = axis / size[..., None]
+        n = np.stack([-u[..., 1], u[..., 0]], -1)
+        begin, end = np.full(square.shape, -np.inf), np.full(square.shape, np.inf)
+        for direction, lo, hi in ((u, 0.0, size), (n, -r, r)):
+            start, speed = (direction * (p - a)).sum(-1), (direction * d).sum(-1)
+            t1, t2 = (lo - start) / speed, (hi - start) / speed
+            still, inside = speed == 0, (start >= lo) & (start <= hi)
+            begin = np.maximum(begin, np.where(still, np.where(inside, -np.inf, np.inf), np.minimum(t1, t2)))
+            end = np.minimum(end, np.where(still, np.where(inside, np.inf, -np.inf), np.maximum(t1, t2)))
+        boxed = (size > 0) & (begin <= end)
+        low.append(np.where(boxed, begin, np.nan))
+        high.append(np.where(boxed, end, np.nan))
+        t0, t1 = np.fmax(0.0, np.fmin.reduce(low)), np.fmin(1.0, np.fmax.reduce(high))
+        met = ~np.isnan(np.fmin.reduce(low)) & (t0 <= t1)
+    return np.where(met, t0, np.nan), np.where(met, t1, np.nan)
 
 
 def clip_near(line: np.ndarray, other: np.ndarray, r: float) -> list[np.ndarray]:
     """The parts of a line within r of another line, longer than nothing, in order."""
     parts: list[list[np.ndarray]] = []
-    for p, q in zip(line[:-1], line[1:], strict=True):
-        spans = sorted(s for a, b in zip(other[:-1], other[1:], strict=True) if (s := capsule_interval(p, q, a, b, r)))
+    if len(line) < 2 or len(other) < 2:
+        return []
+    begins, ends = capsule_intervals(line, other, r)
+    for i in np.flatnonzero(~np.isnan(begins).all(1)):
+        p, q, met = line[i], line[i + 1], ~np.isnan(begins[i])
+        spans = sorted(zip(begins[i][met].tolist(), ends[i][met].tolist(), strict=True))
         merged: list[list[float]] = []
         for t0, t1 in spans:
             if merged and t0 <= merged[-1][1] + 1e-12:
@@ -118,6 +132,24 @@ def longest(parts: list[np.ndarray]) -> np.ndarray | None:
     return max(parts, key=length, default=None)
 
 
+def merged(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Lines that share an end which no third line has become one, in either direction."""
+    lines, key = [p for p in parts if len(p)], (lambda v: (round(float(v[0]), 9), round(float(v[1]), 9)))
+    while True:
+        ends: dict[tuple, list[int]] = {}
+        for i, line in enumerate(lines):
+            for v in (line[0], line[-1]):
+                ends.setdefault(key(v), []).append(i)
+        pair = next(((k, v) for k, v in ends.items() if len(v) == 2 and v[0] != v[1]), None)
+        if pair is None:
+            return lines
+        at, (i, j) = pair
+        a, b = lines[i], lines[j]
+        a = a if key(a[-1]) == at else a[::-1]
+        b = b if key(b[0]) == at else b[::-1]
+        lines = [x for k, x in enumerate(lines) if k not in (i, j)] + [np.concatenate([a, b[1:]])]
+
+
 def discrete_frechet(p: np.ndarray, q: np.ndarray) -> float:
     if not len(p) or not len(q):
         return float("inf")
@@ -138,15 +170,63 @@ def match_lines(road: Column, trip: Column, reach: float) -> Column:
     """struct<frechet, road_length, trip_length> of the parts of two lines near each other: the orientation-agnostic discrete
     Frechet distance of the longest parts, infinite where there is none, and the total lengths of the parts."""
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for roads, trips in batches:
-            out = []
-            for r, t in zip(roads, trips, strict=True):
-                a, b = _array(r), _array(t)
-                near_a, near_b = clip_near(a, b, reach), clip_near(b, a, reach)
-                one, two = longest(near_a), longest(near_b)
-                f = float("inf") if one is None or two is None else min(discrete_frechet(one, two), discrete_frechet(one[::-1], two))
-                out.append((f, sum(map(length, near_a)), sum(map(length, near_b))))
-            yield pd.DataFrame(out, columns=["frechet", "road_length", "trip_length"])
-
-    return F.pandas_udf(run, MATCH)(road, trip)
+    @F.arrow_udf(MATCH)
+    def run(roads: pa.Array, trips: pa.Array) -> pa.Array:
+        (road, r), (trip, t) = _flat(roads), _flat(trips)
+        out = np.full((len(roads), 3), np.inf)
+        for i in range(len(roads)):
+            near = [clip_near(road[r[i] : r[i + 1]], trip[t[i] : t[i + 1]], reach), clip_near(trip[t[i] : t[i + 1]], road[r[i] : r[i + 1]], reach)]
+            one, two = (longest(merged(parts)) for parts in near)
+            if one is not None and two is not None:
+                out[i, 0] = min(discrete_frechet(one, two), discrete_frechet(one[::-1], two))
+            out[i, 1:] = [sum(map(length, parts)) for parts in near]
+        return pa.StructArray.from_arrays([pa.array(out[:, k].copy()) for k in range(3)], ["frechet", "road_length", "trip_length"])
+
+    return run(road, trip)
+
+
+def from_wkb(binary: Column) -> Column:
+    """A line from the WKB of a LineString, or of one point from that of a Point, of either byte order; an SRID is skipped. Null
+    for null and for other geometries."""
+
+    @F.arrow_udf(LINE)
+    def run(values: pa.Array) -> pa.Array:
+        xy, sizes, missing = [], np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        for i, data in enumerate(values.to_pylist()):
+            order = "<" if data and data[0] else ">"
+            kind = int(np.frombuffer(data, f"{order}u4", 1, 1)[0]) if data and len(data) >= 5 else 0
+            at = 9 if kind & 0x20000000 else 5
+            if kind & 0xFF not in (1, 2) or kind & 0xC0000000:
+                missing[i] = True
+                continue
+            n = 1 if kind & 0xFF == 1 else int(np.frombuffer(data, f"{order}u4", 1, at)[0])
+            xy.append(np.frombuffer(data, f"{order}f8", 2 * n, at if kind & 0xFF == 1 else at + 4).astype(float))
+            sizes[i] = n
+        return _lines(np.concatenate(xy).reshape(-1, 2) if xy else np.empty((0, 2)), sizes, missing)
+
+    return run(binary)
+
+
+def to_wkb(line: Column) -> Column:
+    """The little-endian WKB of a LineString."""
+
+    @F.arrow_udf("binary")
+    def run(lines: pa.Array) -> pa.Array:
+        xy, at = _flat(lines)
+        null = lines.is_null().to_pylist()
+        return pa.array([None if null[i] else struct.pack("<BII", 1, 2, at[i + 1] - at[i]) + xy[at[i] : at[i + 1]].astype("<f8").tobytes() for i in range(len(lines))], pa.binary())
+
+    return run(line)
+
+
+def single_line(parts: Column) -> Column:
+    """One line of array<line>: parts that meet end to end are merged; of what is left, the longest. Null without parts."""
+
+    @F.arrow_udf(LINE)
+    def run(values: pa.Array) -> pa.Array:
+        found = [longest(merged([np.array([(p["x"], p["y"]) for p in line], float).reshape(-1, 2) for line in lines or [] if line])) for lines in values.to_pylist()]
+        sizes = np.array([0 if x is None else len(x) for x in found], np.int64)
+        xy = [x for x in found if x is not None]
+        return _lines(np.concatenate(xy) if xy else np.empty((0, 2)), sizes, np.array([x is None for x in found], bool))
+
+    return run(parts)

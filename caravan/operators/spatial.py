@@ -84,6 +84,21 @@ def distance_join(points: DataFrame, lines: DataFrame, reach: float, key: str =
     return _with_places(best, points, lines, key, line_key, line)
 
 
+def geodesic_join(points: DataFrame, lines: DataFrame, reach: float, key: str = "id", line_key: str = "gid", point: str = "point", line: str = "line", latitude: float = 60.0) -> DataFrame:
+    """distance_join() of longitudes and latitudes, with a reach in metres on the spheroid; dist, along and total are such metres.
+
+    Lines are cut where EPSG:3857 is met at the widened reach that holds up to the given latitude; the geodesic distance to the
+    place found there decides.
+    """
+    flat = lambda df, c, f: df.withColumn(f"_{c}", f(F.col(c)))
+    p, l = flat(points, point, geo.mercator), flat(lines, line, geo.mercator_line)  # noqa: E741
+    found = distance_join(p, l, reach * 1.01 / math.cos(math.radians(latitude)), key, line_key, f"_{point}", f"_{line}")
+    metres = geo.geodesic_length(F.col(line))
+    near = found.withColumn("near", geo.inverse_mercator(F.col("near"))).withColumn("dist", geo.geodesic(F.col(point), F.col("near")))
+    rows = near.withColumn("along", F.when(F.col("total") > 0, F.col("along") / F.col("total") * metres).otherwise(F.lit(0.0))).withColumn("total", metres)
+    return rows.where(F.col("dist") <= reach).drop(f"_{point}", f"_{line}")
+
+
 def nearest_within(points: DataFrame, lines: DataFrame, reach: float, key: str, line_key: str, point: str = "point", line: str = "line") -> DataFrame:
     """Each point's nearest line within reach, with what distance_join() adds; of lines at the same distance the one of the
     smallest key."""

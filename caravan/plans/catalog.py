@@ -545,7 +545,7 @@ def trip_stops_sequence(spark, d):
 
 
 @query(M.sql("stops roads probes intervals", f""", {SEQ}, seg AS (SELECT o_id, d_id, vehicle_name, avg(dd) AS dist FROM (SELECT stop_id AS o_id, lead(stop_id) OVER w AS d_id, 'Bus' AS vehicle_name, lead(dist) OVER w - dist AS dd FROM sq WHERE t < 1 WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) WHERE d_id IS NOT NULL GROUP BY ALL),
-visit AS (SELECT user_id AS instance_id, (event_id * 31) % (SELECT count(*) FROM customer) AS stop_id, max(epoch_ms(ts) // 1000) AS time FROM events GROUP BY ALL),
+visit AS (SELECT user_id AS instance_id, (event_id * 31) % (SELECT count(*) FROM customer) AS stop_id, max(epoch_us(ts) // 1000000) AS time FROM events GROUP BY ALL),
 pairs AS (SELECT seg.o_id, seg.d_id, d.time - o.time AS secs, o.time % 86400 AS tod FROM seg JOIN visit o ON o.stop_id = seg.o_id JOIN visit d ON d.stop_id = seg.d_id AND d.instance_id = o.instance_id WHERE d.time > o.time),
 dur AS (SELECT o_id, d_id, interval_id, min(s) AS interval_start, CAST(round(avg(secs)) AS INTEGER) AS duration FROM pairs JOIN intervals ON tod BETWEEN s AND e GROUP BY o_id, d_id, interval_id)
 SELECT seg.o_id, seg.d_id, interval_id, interval_start, duration, round(dist, 3) AS dist, round(dist / duration * 3.6, 5) AS speed FROM seg JOIN dur ON seg.o_id = dur.o_id AND seg.d_id = dur.d_id"""))

@@ -60,10 +60,19 @@ def trips(rows: DataFrame) -> DataFrame:
     return R.first_by(rows, ["trip_id"], ["gid"]).select("route_id", "service_id", F.col("destination").alias("trip_headsign"), "direction_id", F.concat(text, F.lit("_Shape")).alias("shape_id"), text.alias("trip_id"))
 
 
+def complete_od(travel: DataFrame, by_vehicle: bool = True) -> DataFrame:
+    """travel with a row for each stop pair in each interval, of each vehicle, that its pairs have rows in."""
+    pair = F.concat_ws("-", F.col("o_id").cast("string"), F.col("d_id").cast("string")).alias("_pair")
+    keys = ["interval_id", *(["vehicle_name"] if by_vehicle else [])]
+    wanted = travel.select(pair, *keys).distinct().join(travel.select(pair, "o_id", "d_id").distinct(), "_pair").drop("_pair")
+    return wanted.join(travel, ["o_id", "d_id", *keys], "left")
+
+
 def estimate_missing_times(travel: DataFrame, by_vehicle: bool = True, lengths: DataFrame | None = None) -> DataFrame:
     """Missing durations of travel(o_id, d_id, interval_id, vehicle_name, duration) take the mean of their stop pair."""
     keys = ["o_id", "d_id", *(["vehicle_name"] if by_vehicle else [])]
-    rows = travel if lengths is None else travel.join(lengths.select("o_id", "d_id", "length_m"), ["o_id", "d_id"], "left")
+    whole = complete_od(travel, by_vehicle)
+    rows = whole if lengths is None else whole.join(lengths.select("o_id", "d_id", "length_m"), ["o_id", "d_id"], "left")
     return R.mean_impute(rows, "duration", keys)
 
 

@@ -28,6 +28,45 @@ def with_settings(intervals: DataFrame, links: DataFrame, settings: DataFrame, s
     return intervals_active(intervals.join(ids, "id", "left_semi"))
 
 
+def setting_of(settings: DataFrame, project_id: str) -> str:
+    """The setting of a project, the first by id; an error if there is none."""
+    row = settings.where(F.col("project_id") == project_id).orderBy("id").select("setting_id").first()
+    if row is None:
+        raise ValueError(f"project {project_id} has no setting")
+    return row["setting_id"]
+
+
+def active_intervals(intervals: DataFrame) -> DataFrame:
+    """Active intervals in order of their start; an error if there is none."""
+    rows = intervals.where("active").orderBy("start_time")
+    if rows.isEmpty():
+        raise ValueError("no interval is active")
+    return rows
+
+
+def stops_with_time(stops: DataFrame, created: DataFrame) -> DataFrame:
+    """Raw stops with when they were recorded: created(observer_id, created_at); stops without stay."""
+    return stops.join(created.select("observer_id", "created_at"), "observer_id", "left")
+
+
+def reattach_geometry(trips: DataFrame, source: DataFrame, key: str = "observer_id", column: str = "geom") -> DataFrame:
+    """Trips with the source's geometry by key, one row a key: the first by the trips' other columns."""
+    rows = trips.drop(column).join(source.select(key, column), key)
+    order = [c for c in trips.columns if c not in (key, column)]
+    return R.first_by(rows, [key], order or [key])
+
+
+def onboard_instances(instances: DataFrame, agencies: DataFrame) -> DataFrame:
+    """Surveys with a valid geometry, with their agency's vehicle: instances(agency, geom, ...), agencies(agency_id, vehicle_id)."""
+    kept = instances.where(geo.is_valid(F.col("geom")))
+    return kept.join(agencies.select(F.col("agency_id").alias("agency"), "vehicle_id"), "agency")
+
+
+def geometry_from_text(rows: DataFrame, column: str) -> DataFrame:
+    """The text column's WKT as a geometry under the same name."""
+    return rows.withColumn(column, geo.from_wkt(F.col(column)))
+
+
 def survey_rows(rows: DataFrame, instances: DataFrame, trips: DataFrame, routes: DataFrame, setting_id: str) -> DataFrame:
     """Onboard rows of a setting, with their instance's status and validity: routes, trips, instances, rows."""
     chosen = trips.join(routes.where(F.col("setting_id") == setting_id).select(F.col("id").alias("route_id")), "route_id", "left_semi").select(F.col("id").alias("trip_id"))

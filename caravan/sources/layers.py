@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import sqlite3
 import struct
 import tempfile
@@ -16,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed value: the identifier in a GeoPackage file's header.
 APPLICATION = 0x47504B47
+#: The tables and reference systems that the GeoPackage standard asks of every file, and the one in use.
 TABLES = """
 CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);
-CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, srs_id INTEGER);
-CREATE TABLE gpkg_geometry_columns (table_name TEXT PRIMARY KEY, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL, z TINYINT NOT NULL, m TINYINT NOT NULL);
-INSERT INTO gpkg_spatial_ref_sys VALUES ('WGS 84 / Pseudo-Mercator', 3857, 'EPSG', 3857, 'undefined', NULL);
+CREATE TABLE gpkg_contents (table_name TEXT NOT NULL PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME NOT NULL DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER REFERENCES gpkg_spatial_ref_sys(srs_id));
+CREATE TABLE gpkg_geometry_columns (table_name TEXT NOT NULL UNIQUE REFERENCES gpkg_contents(table_name), column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL REFERENCES gpkg_spatial_ref_sys(srs_id), z TINYINT NOT NULL, m TINYINT NOT NULL, PRIMARY KEY (table_name, column_name));
+INSERT INTO gpkg_spatial_ref_sys VALUES ('Undefined Cartesian', -1, 'NONE', -1, 'undefined', NULL), ('Undefined geographic', 0, 'NONE', 0, 'undefined', NULL), ('WGS 84', 4326, 'EPSG', 4326, 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]', NULL), ('WGS 84 / Pseudo-Mercator', 3857, 'EPSG', 3857, 'undefined', NULL);
 """
 
 
@@ -44,7 +44,8 @@ def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        local = os.path.join(tempfile.mkdtemp(), f"{uuid.uuid4().hex}.gpkg")
+        scratch = tempfile.TemporaryDirectory()  # of this task alone; it goes with the task, whatever happens
+        local = os.path.join(scratch.name, f"{uuid.uuid4().hex}.gpkg")
         db, layers, n = None, set(), 0
         for batch in batches:
             if db is None:
@@ -56,7 +57,7 @@ def _write(folder: str):
                 if layer not in layers:
                     layers.add(layer)
                     db.execute(f'CREATE TABLE "{layer}" (fid INTEGER PRIMARY KEY, geom BLOB, gid INTEGER, value REAL)')
-                    db.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, 3857)", (layer, layer))
+                    db.execute("INSERT INTO gpkg_contents (table_name, data_type, identifier, srs_id) VALUES (?, 'features', ?, 3857)", (layer, layer))
                     db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'LINESTRING', 3857, 0, 0)", (layer,))
                 db.execute(f'INSERT INTO "{layer}" (geom, gid, value) VALUES (?, ?, ?)', (blob(x["line"]), x["gid"], x["value"]))
                 n += 1
@@ -68,7 +69,7 @@ def _write(folder: str):
             name = f"part-{TaskContext.get().partitionId():06d}.gpkg"
             pyarrow.fs.copy_files(local, f"{root}/{name}.tmp", source_filesystem=pyarrow.fs.LocalFileSystem(), destination_filesystem=fs)
             fs.move(f"{root}/{name}.tmp", f"{root}/{name}")
-            shutil.rmtree(os.path.dirname(local))
+            scratch.cleanup()
             yield pa.RecordBatch.from_pydict({"name": [name], "rows": [n]})
 
     return run
@@ -77,7 +78,8 @@ def _write(folder: str):
 def write_geopackages(flow: DataFrame, folder: str) -> list[str]:
     """flow(gid, interval_name, value, line) as GeoPackage files, one for each task, with a layer for each interval in it.
 
-    folder is a URI that all executors share. A task that runs again replaces its file.
+    folder is a URI that all executors share. A task that runs again replaces its file. Repartition by rows, not by interval,
+    where one interval may be large: a layer's rows may stand in several files.
     """
     rows = flow.select("gid", "interval_name", "value", "line").mapInArrow(_write(folder), "name string, rows long").collect()
     return sorted(f"{folder}/{x['name']}" for x in rows)
@@ -89,7 +91,8 @@ def read_geopackages(spark: SparkSession, paths: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                local = os.path.join(tempfile.mkdtemp(), "read.gpkg")
+                scratch = tempfile.TemporaryDirectory()
+                local = os.path.join(scratch.name, "read.gpkg")
                 fs, source = pyarrow.fs.FileSystem.from_uri(path)
                 pyarrow.fs.copy_files(source, local, source_filesystem=fs, destination_filesystem=pyarrow.fs.LocalFileSystem())
                 db = sqlite3.connect(local)
@@ -101,7 +104,7 @@ def read_geopackages(spark: SparkSession, paths: list[str]) -> DataFrame:
                             pa.schema([("gid", pa.int64()), ("interval_name", pa.string()), ("value", pa.float64()), ("line", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]),
                         )
                 db.close()
-                shutil.rmtree(os.path.dirname(local))
+                scratch.cleanup()
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
     return files.mapInArrow(run, "gid long, interval_name string, value double, line array<struct<x:double,y:double>>")
