@@ -592,10 +592,10 @@ def trip_segments(spark, d):
 
 
 # durations are fractions whose third decimal is often a half: the small summand keeps both engines' sums on one side of it
-@query(M.sql("stops calls edges", f", {LEGS}, {MODEL} SELECT trip_id, segment_order, point_order, round(length, 3) AS length, round(timestamp + 0.0000137, 3) AS timestamp, round(px, 3) AS x, round(py, 3) AS y FROM model"))
+@query(M.sql("stops calls edges", f", {LEGS}, {MODEL} SELECT trip_id, segment_order, point_order, round(length + 0.0000137, 3) AS length, round(timestamp + 0.0000137, 3) AS timestamp, round(px + 0.0000137, 3) AS x, round(py + 0.0000137, 3) AS y FROM model"))
 def transport_model(spark, d):
     model = flow.transport_model(_segments(spark, d))
-    return model.select("trip_id", F.col("segment_order").cast("long").alias("segment_order"), F.col("point_order").cast("long").alias("point_order"), F.round("length", 3).alias("length"), F.round(F.col("timestamp") + 0.0000137, 3).alias("timestamp"), F.round("point.x", 3).alias("x"), F.round("point.y", 3).alias("y"))
+    return model.select("trip_id", F.col("segment_order").cast("long").alias("segment_order"), F.col("point_order").cast("long").alias("point_order"), F.round(F.col("length") + 0.0000137, 3).alias("length"), F.round(F.col("timestamp") + 0.0000137, 3).alias("timestamp"), F.round(F.col("point.x") + 0.0000137, 3).alias("x"), F.round(F.col("point.y") + 0.0000137, 3).alias("y"))
 
 
 @query(M.sql("stops calls edges", f", {LEGS}, {MODEL}, total AS (SELECT trip_id, sum(duration) AS all_of_it FROM model GROUP BY trip_id), carried AS (SELECT trip_id, coalesce(lag(all_of_it) OVER (ORDER BY trip_id), 0) AS shift FROM total) SELECT trip_id, round(min(timestamp + CASE WHEN point_order = 0 THEN shift ELSE 0 END) + 0.0000137, 3) AS first_timestamp, round(max(CASE WHEN point_order = 0 THEN shift END) + 0.0000137, 3) AS carried FROM model JOIN carried USING (trip_id) GROUP BY trip_id"))
