@@ -1,17 +1,20 @@
 """Substring dedup over paragraphs.
 
-A text has paragraphs of two kinds. Lines of at least LINE words are paragraphs: their 5-word shingles give a MinHash
-signature, bands of it select candidates, exact Jaccard similarity of the shingle sets decides, and components gather what
-is linked. As passages also repeat inside longer lines, the word sequence is cut, too, into content-defined pieces: a piece
-begins at a word whose two-word hash is the smallest among its neighbours, or as small, so a passage is cut alike wherever it stands. A
-piece is too short for bands: the hash of all its words is its one band, and equal pieces collide.
-
-Of equal pieces, and of the lines of a component, those of the smallest doc_id stay. In other documents such lines go, and
-so do runs of consecutive such pieces that have at least RUN words together.
+A text has paragraphs of two kinds. A line of at least LINE words is a paragraph, and so are the shorter lines between two such
+lines or blank lines, taken together (hard-wrapped text), if they have LINE words. The 5-word shingles of a paragraph give a
+MinHash signature, bands of it select candidates, exact Jaccard similarity of the shingle sets decides, and components gather
+what is linked. As passages also repeat inside paragraphs, the word sequence is cut, too, into content-defined pieces: a piece
+begins at a word whose two-word hash is the smallest among its neighbours, or as small, so a passage is cut alike wherever it
+stands. A piece is too short for several bands: its one band is the digest of all its words, and pieces that collide in it have a
+similarity of 1 by their words' 128-bit BLAKE2 digest.
+
+Of equal pieces, and of the paragraphs of a component, those of the smallest doc_id stay. In other documents such paragraphs go,
+and so do runs of consecutive such pieces that have at least RUN words together.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -22,15 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravan.llm import words as W
-from caravan.llm.shared import attach, materialize, small, text_slices
+from caravan.llm.shared import attach, discard, materialize, salted_join, small, text_slices
 from caravan.llm.similarity import linked_components
 
-#: Words of a line that counts as a paragraph; words of a run of repeated pieces; neighbours on each side of a cut.
+#: Words of a paragraph; words of a run of repeated pieces; neighbours on each side of a cut.
 LINE, RUN, NEIGHBOURS = 20, 12, 4
-#: Bands and rows: a pair at the similarity of 0.8 collides with a probability of 1 - (1 - 0.8 ** 3) ** 5 = 0.97. The operator
-#: takes as many bands as its ratio needs for RECALL, 10 at 0.8.
-BANDS, ROWS = 5, 3
-RECALL = 0.999
+#: Rows of a band, and the recall at its ratio that the operator takes as many bands for as are needed: 10 at 0.8.
+ROWS, RECALL = 3, 0.999
+#: Stands for a null doc_id.
+NO_ID = -(2**63)
 
 
 def tune(ratio: float, recall: float, rows: int = ROWS) -> int:
@@ -60,71 +63,70 @@ def cuts(hashes: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
     return np.flatnonzero(low)
 
 
-def _piece_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of each piece's words in order."""
-    at = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.r_[starts, len(hashes)]))
-    placed = W.mix(hashes + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return W.mix(np.add.reduceat(placed, starts) if len(starts) else np.empty(0, np.uint64))
-
-
 def _places(text: str | None, numbers: np.ndarray) -> np.ndarray:
     """Numbers of paragraphs, each with a checksum of the text, which tells rows of one doc_id with different texts apart."""
     return (np.uint64(zlib.crc32(_bytes(text)) << 32) | numbers.astype(np.uint64)).view(np.int64)
 
 
+def _digests(data: bytes, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """16 bytes for the words in each range of bytes, whose only separators are blanks."""
+    out = b"".join(hashlib.blake2b(b" ".join(data[a:b].split()), digest_size=16).digest() for a, b in bounds)
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         owners, keys, places = [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            hashes = W.word_hashes(_bytes(text).translate(W.LOWER_WORDS))[2]
-            starts = cuts(hashes)
-            keys.append(_piece_keys(hashes, starts).view(np.int64))
-            owners.append(np.full(len(starts), doc_id, np.int64))
-            places.append(_places(text, np.arange(len(starts))))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], ["v", "doc_id", "place"])
-
-
-def _lines(text: str | None) -> list[tuple[int, int, int]]:
-    """(number, start, end) of the lines of a text that are paragraphs."""
-    out, at = [], 0
-    for number, line in enumerate(_bytes(text).split(b"\n")):
-        if len(line.translate(W.LOWER_WORDS).split()) >= LINE:
-            out.append((number, at, at + len(line)))
-        at += len(line) + 1
-    return out
+            data = _bytes(text).translate(W.LOWER_WORDS)
+            starts, ends, hashes = W.word_hashes(data)
+            at = cuts(hashes)
+            keys.append(_digests(data, list(zip(starts[at].tolist(), ends[np.r_[at[1:], len(hashes)] - 1].tolist(), strict=True))) if len(at) else np.empty((0, 2), np.int64))
+            owners.append(np.full(len(at), doc_id, np.int64))
+            places.append(_places(text, np.arange(len(at))))
+        v = np.concatenate(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(v[:, 0]), pa.array(v[:, 1]), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], ["v", "w", "doc_id", "place"])
+
 
+class Paragraphs:
+    """The paragraphs of a batch of texts, found at once: words and their hashes over all texts joined.
 
-class Lines:
-    """The lines that are paragraphs of a batch of texts, found at once: words and their hashes over all texts joined."""
+    owner: number of the text; number: of the paragraph's first line within it; begin, end: words; top, bottom: bytes.
+    """
 
     def __init__(self, texts: list[str | None], n: int):
         encoded = [_bytes(t) for t in texts]
         self.data, self.n = b"\n".join(encoded), n
-        self.starts, self.ends, self.hashes = W.word_hashes(self.data.translate(W.LOWER_WORDS))
+        self.words = self.data.translate(W.LOWER_WORDS)
+        self.starts, self.ends, self.hashes = W.word_hashes(self.words)
         breaks = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 10)
         counts = np.bincount(np.searchsorted(breaks, self.starts), minlength=len(breaks) + 1)
-        self.end = np.cumsum(counts)
-        self.begin = self.end - counts
-        chosen = np.flatnonzero(counts >= LINE)
         per_text = np.array([t.count(b"\n") + 1 for t in encoded], np.int64)
         first = np.cumsum(per_text) - per_text
-        self.owner = np.searchsorted(first, chosen, side="right") - 1
-        self.number = chosen - first[self.owner] if len(chosen) else chosen
-        self.begin, self.end = self.begin[chosen], self.end[chosen]
+        # a paragraph opens where a line, or the one before it, is long or blank, and where a text begins
+        apart = (counts >= LINE) | (counts == 0)
+        opens = apart | np.r_[True, apart[:-1]]
+        opens[first] = True
+        top = np.flatnonzero(opens)
+        bottom = np.r_[top[1:], len(counts)] - 1
+        until = np.cumsum(counts)
+        begin, end = until[top] - counts[top], until[bottom]
+        chosen = end - begin >= LINE
+        top, bottom, self.begin, self.end = top[chosen], bottom[chosen], begin[chosen], end[chosen]
+        self.owner = np.searchsorted(first, top, side="right") - 1
+        self.number = top - first[self.owner]
+        offset = np.cumsum([0, *(len(t) + 1 for t in encoded)])[self.owner]
+        self.top, self.bottom = np.r_[-1, breaks][top] + 1 - offset, np.r_[breaks, len(self.data)][bottom] - offset
 
     def ranges(self, values: np.ndarray, ufunc, ends: np.ndarray, fill) -> np.ndarray:
-        """ufunc over values[begin:end] of each line."""
+        """ufunc over values[begin:end] of each paragraph."""
         at = np.empty(2 * len(self.begin), np.int64)
         at[::2], at[1::2] = self.begin, ends
         return ufunc.reduceat(np.r_[values, np.array([fill], values.dtype)], at)[::2] if len(at) else values[:0]
 
     def digests(self) -> np.ndarray:
-        """16 bytes for each line: two hashes of its words in order."""
-        inside = np.arange(len(self.hashes)) - np.repeat(np.r_[0, self.begin], np.diff(np.r_[0, self.begin, len(self.hashes)]))
-        out = np.empty((len(self.begin), 2), np.uint64)
-        for i, c in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-            out[:, i] = self.ranges(W.mix(self.hashes + (inside.astype(np.uint64) + np.uint64(1)) * np.uint64(c)), np.add, self.end, 0)
-        return out
+        """16 bytes for the words of each paragraph."""
+        return _digests(self.words, list(zip(self.starts[self.begin].tolist(), self.ends[self.end - 1].tolist(), strict=True)))
 
     def shingles(self) -> np.ndarray:
         return W.shingle_hashes(self.hashes, self.n) if len(self.hashes) >= self.n else np.zeros(0, np.uint64)
@@ -138,7 +140,7 @@ class Lines:
         return np.bincount(line[once], minlength=len(length))
 
     def bands(self, shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-        """A key of each line for each band: the hash of the band's minima."""
+        """A key of each paragraph for each band: the hash of the band's minima."""
         seeds = W.mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
         mixed, ends = W.mix(shingles), self.end - self.n + 1
         keys = np.tile(np.arange(bands, dtype=np.uint64), (len(self.begin), 1))
@@ -148,62 +150,81 @@ class Lines:
         return keys
 
 
+def _as_binary(digests: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(digests.tobytes())]).cast(pa.binary())
+
+
 def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             texts = batch.column(1).to_pylist()
-            lines = Lines(texts, n)
-            shingles = lines.shingles()
+            found = Paragraphs(texts, n)
+            shingles = found.shingles()
             sums = np.array([zlib.crc32(_bytes(t)) for t in texts], np.uint64)
-            place = (sums[lines.owner] << np.uint64(32) | lines.number.astype(np.uint64)).view(np.int64)
-            digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(place), [None, pa.py_buffer(lines.digests().tobytes())]).cast(pa.binary())
-            keys = lines.bands(shingles, bands, rows).view(np.int64)
+            place = (sums[found.owner] << np.uint64(32) | found.number.astype(np.uint64)).view(np.int64)
+            keys = found.bands(shingles, bands, rows).view(np.int64)
             listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel())
-            owners = batch.column(0).take(pa.array(lines.owner))
-            yield pa.RecordBatch.from_arrays([owners, pa.array(place), digests, pa.array(lines.set_sizes(shingles).astype(np.int64)), listed], ["doc_id", "place", "digest", "n", "bands"])
+            owners = batch.column(0).take(pa.array(found.owner))
+            yield pa.RecordBatch.from_arrays([owners, pa.array(place), _as_binary(found.digests()), pa.array(found.set_sizes(shingles).astype(np.int64)), listed], ["doc_id", "place", "digest", "n", "bands"])
 
     return run
 
 
-def _line_texts(n: int):
+def _texts(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            lines = Lines(batch.column("text").to_pylist(), n)
-            texts = [lines.data[lines.starts[a] : lines.ends[b - 1]].decode("utf-8", "replace") for a, b in zip(lines.begin, lines.end, strict=True)]
-            found = dict(zip((x.tobytes() for x in lines.digests()), texts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], ["digest", "text"])
+            found = Paragraphs(batch.column("text").to_pylist(), n)
+            texts = [found.data[found.starts[a] : found.ends[b - 1]].decode("utf-8", "replace") for a, b in zip(found.begin, found.end, strict=True)]
+            once = dict(zip(_as_binary(found.digests()).to_pylist(), texts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.binary()), pa.array(list(once.values()), pa.string())], ["digest", "text"])
 
     return run
 
 
 def _cut_pieces(rows: DataFrame) -> DataFrame:
-    """(doc_id, place, lo) of pieces that stand in a document with a smaller doc_id, lo, as well."""
-    keyed = rows.mapInArrow(_pieces, "v long, doc_id long, place long").repartition("v")
-    # reading place here as well lets both sides of the join share one shuffle, and pieces be cut once
-    first = keyed.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor("place").alias("x")).where("lo < hi and x is not null").select("v", "lo")
-    return keyed.join(first, "v").where("doc_id <> lo").select("doc_id", "place", "lo")
-
-
-def _cut_lines(rows: DataFrame, n: int, ratio: Fraction) -> DataFrame:
-    """(doc_id, place, lo) of lines that are linked to one of a document with a smaller doc_id, lo."""
-    lines = materialize(rows.mapInArrow(_signatures(n, tune(float(ratio), RECALL), ROWS), "doc_id long, place long, digest binary, n long, bands array<long>"), "lines")
-    banded = lines.select(F.explode("bands").alias("v"), "digest", "n").repartition("v")
-    several = banded.groupBy("v").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("v")
-    lists = materialize(banded.join(several, "v").select("v", "digest", "n").distinct(), "bands")
-    wanted = lists.select("digest").distinct()
-    owners = materialize(lines.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(wanted, "digest").select("doc_id").distinct(), "owners")
-    texts = rows.join(small(owners, owners.count() * 16), "doc_id", "left_semi").mapInArrow(_line_texts(n), "digest binary, text string")
-    texts = materialize(texts.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
+    """(doc_id, place, lo) of pieces that stand in a document with a smaller doc_id, lo, as well; written.
+
+    Texts are cut once. Map-side combined minima leave little of a hot piece; as the minima are written, the join shuffles both
+    sides and adaptive execution splits the rows of hot pieces.
+    """
+    keyed = materialize(rows.mapInArrow(_pieces, "v long, w long, doc_id long, place long"), "pieces")
+    first = keyed.groupBy("v", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    first = materialize(first.select("v", "w", "lo"), "first")
+    found = materialize(keyed.join(first, ["v", "w"]).where("doc_id <> lo").select("doc_id", "place", "lo"), "repeated")
+    discard(keyed, first)
+    return found
+
+
+def _cut_paragraphs(rows: DataFrame, n: int, ratio: Fraction) -> DataFrame:
+    """(doc_id, place, lo) of paragraphs that are linked to one of a document with a smaller doc_id, lo; written."""
+    bands = tune(float(ratio), RECALL)
+    found = materialize(rows.mapInArrow(_signatures(n, bands, ROWS), "doc_id long, place long, digest binary, n long, bands array<long>"), "paragraphs")
+    # paragraphs of the same words are one class
+    classes = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
+    banded = classes.select(F.explode("bands").alias("v"), "digest", "n")
+    several = materialize(banded.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v"), "several")
+    lists = materialize(salted_join(banded, several, "v", "digest").distinct(), "bands")
+    wanted = classes.join(lists.select("digest").distinct(), "digest", "left_semi").select("digest", "lo")
+    wanted = materialize(wanted, "wanted")
+    owners = wanted.select(F.col("lo").alias("doc_id")).distinct()
+    texts = rows.join(small(owners, wanted.count() * 16), "doc_id", "left_semi").mapInArrow(_texts(n), "digest binary, text string")
+    texts = materialize(texts.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "texts")
     roots = linked_components(lists, texts, n, ratio)
-    classed = lines.select("doc_id", "place", "digest").join(roots, "digest", "left").select("doc_id", "place", F.coalesce("root", "digest").alias("root"))
-    first = classed.groupBy("root").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("root", "lo")
-    return classed.join(first, "root").where("doc_id <> lo").select("doc_id", "place", "lo")
+    rooted = materialize(classes.select("digest", "lo", "hi").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("root", F.col("least"))
+    repeated = materialize(salted_join(rooted.select("digest", "root"), first, "root", "digest").select("digest", F.col("least").alias("lo")), "first")
+    out = materialize(found.select("doc_id", "place", "digest").join(repeated, "digest").where("doc_id <> lo").select("doc_id", "place", "lo"), "repeated")
+    discard(found, classes, several, lists, wanted, texts, roots, rooted, repeated)
+    return out
 
 
 def _cut_spans(text: str | None, pieces: dict[int, int], lines: dict[int, int]) -> tuple[list[tuple[int, int]], set[int]]:
     """Merged byte spans to cut, and the documents that keep what is in them. pieces and lines: keepers by number."""
     data = _bytes(text)
-    spans = [(a, min(b + 1, len(data))) for number, a, b in _lines(text) if number in lines] if lines else []
+    spans = []
+    if lines:
+        found = Paragraphs([text], 1)
+        spans = [(a, min(b + 1, len(data))) for number, a, b in zip(found.number.tolist(), found.top.tolist(), found.bottom.tolist(), strict=True) if number in lines]
     keepers = set(lines.values())
     if pieces:
         begins, _, hashes = W.word_hashes(data.translate(W.LOWER_WORDS))
@@ -243,7 +264,7 @@ def _apply(width: int):
                     gone += len(data[a:b].translate(W.LOWER_WORDS).split())
                     at = b
                 left = b"".join([*kept, data[at:]]) if spans else data
-                row = (left.decode("utf-8", "surrogatepass") if spans else text, len(left.translate(W.LOWER_WORDS).split()), gone, [{"start": a, "end": b} for a, b in spans], sorted(keepers))
+                row = (left.decode("utf-8", "surrogatepass") if spans else text, len(left.translate(W.LOWER_WORDS).split()), gone, [{"start": a, "end": b} for a, b in spans], [None if k == NO_ID else k for k in sorted(keepers)])
                 for column, value in zip(new, row, strict=True):
                     column.append(value)
             names = batch.schema.names[:width]
@@ -266,15 +287,18 @@ def dedup_paragraphs(docs: DataFrame, n: int = 5, ratio: Fraction = Fraction(4,
     """
     attach(docs.sparkSession)
     docs = docs.drop("n_words_left", "n_words_cut", "cut", "keepers").withColumn("text", F.col("text").cast("string"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    if n > LINE:
+        raise ValueError(f"shingles have at most {LINE} words")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("doc_id"), "text")
-    pieces = _cut_pieces(rows).withColumn("piece", F.lit(True))
-    found = materialize(pieces.unionByName(_cut_lines(rows, n, ratio).withColumn("piece", F.lit(False))), "repeated")
+    pieces, paragraphs = _cut_pieces(rows), _cut_paragraphs(rows, n, ratio)
+    found = pieces.withColumn("piece", F.lit(True)).unionByName(paragraphs.withColumn("piece", F.lit(False)))
     at = F.struct(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"), "lo")
     gathered = found.groupBy(F.col("doc_id").alias("_key"), F.shiftrightunsigned("place", 32).alias("_tag")).agg(
         F.collect_list(F.when(F.col("piece"), at)).alias("_pieces"), F.collect_list(F.when(~F.col("piece"), at)).alias("_lines")
     )
     gathered = materialize(gathered, "cuts")
+    discard(pieces, paragraphs)
     size = gathered.agg(F.coalesce(F.sum(F.size("_pieces") * 24 + F.size("_lines") * 24 + 64), F.lit(0)).alias("b")).first()["b"]
     tag = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     joined = docs.withColumn("_key", key).withColumn("_tag", tag).join(small(gathered, size), ["_key", "_tag"], "left")
