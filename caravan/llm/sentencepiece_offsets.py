@@ -8,6 +8,7 @@ library encodes; piece lengths then walk through the normalised bytes and the re
 from __future__ import annotations
 
 import functools
+import re
 import struct
 from collections.abc import Iterator
 
@@ -51,9 +52,20 @@ class CharacterMap:
         return found
 
 
+    def unmapped(self) -> bytes:
+        """Printable ASCII characters that no entry begins with, unless a character beyond ASCII follows."""
+        return bytes(b for b in range(0x20, 0x7F) if not any(self.longest_prefix(bytes([b, c]), 0) for c in range(0x80)))
+
+
 class Normalizer:
-    def __init__(self, charsmap: bytes, add_dummy_prefix: bool, remove_extra_whitespaces: bool, escape_whitespaces: bool, suffix: bool = False):
+    """What a model does to a text before it is cut, with the source of every byte. symbols are exempt from the map."""
+
+    def __init__(self, charsmap: bytes, add_dummy_prefix: bool, remove_extra_whitespaces: bool, escape_whitespaces: bool, suffix: bool = False, symbols: tuple[bytes, ...] = ()):
         self.map = CharacterMap(charsmap)
+        self.symbols = re.compile(b"|".join(map(re.escape, sorted(symbols, key=len, reverse=True)))) if symbols else None
+        plain = self.map.unmapped() if self.map.units and not symbols else b""
+        # runs that the map leaves as they are: a character before one beyond ASCII may combine with it
+        self.plain = re.compile(b"[" + re.escape(plain) + b"]+(?![\\x80-\\xff])") if plain else None
         self.prefix, self.trim, self.escape, self.suffix = add_dummy_prefix, remove_extra_whitespaces, escape_whitespaces, suffix
 
     def _mapped(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,8 +75,17 @@ class Normalizer:
             return np.frombuffer(data, np.uint8), at, at + np.int32(1)
         out, begins, ends, at = bytearray(), [], [], 0
         while at < len(data):
-            found = self.map.longest_prefix(data, at)
-            if found:
+            if self.plain and (run := self.plain.match(data, at)):
+                out += run[0]
+                begins += range(at, run.end())
+                ends += range(at + 1, run.end() + 1)
+                at = run.end()
+                continue
+            symbol = self.symbols and self.symbols.match(data, at)
+            found = None if symbol else self.map.longest_prefix(data, at)
+            if symbol:
+                n, new = len(symbol[0]), symbol[0]
+            elif found:
                 n, new = found
             else:
                 n = 1
@@ -115,8 +136,9 @@ class Encoder:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=blob)
         proto = sentencepiece_model_pb2.ModelProto.FromString(blob)
         spec = proto.normalizer_spec
-        self.normalize = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, proto.trainer_spec.treat_whitespace_as_suffix)
         kind = sentencepiece_model_pb2.ModelProto.SentencePiece
+        symbols = tuple(p.piece.encode() for p in proto.pieces if p.type == kind.USER_DEFINED)
+        self.normalize = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, proto.trainer_spec.treat_whitespace_as_suffix, symbols)
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == kind.UNKNOWN), -1)
         self.lengths = np.array([0 if p.type == kind.CONTROL else 1 if p.type == kind.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int32)
 
@@ -168,7 +190,7 @@ def encode_with_offsets(docs: DataFrame, model: str, begin: bool = True, end: bo
 
     bounds has one number more than ids: piece i comes from the source bytes [bounds[i], bounds[i + 1]) of the UTF-8 text;
     control pieces are empty. A null text counts as empty; an empty one has the begin and end ids alone. Rows are neither
-    moved nor merged; former columns of the new names are replaced; an empty table gives an empty result.
+    moved nor merged; former columns of the new names are replaced; an empty table gives an empty result. A text is coded whole.
     """
     attach(docs.sparkSession)
     rows = docs.drop("n_tokens", "ids", "bounds", "decoded").withColumn("text", F.col("text").cast("string"))

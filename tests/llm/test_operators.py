@@ -286,6 +286,45 @@ def test_character_map_takes_the_longest_prefix():
         assert normal.decode() == rule.normalize(text) and len(source) == len(normal) + 1
 
 
+def test_normaliser_over_whole_documents(spark):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rule = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    spec = pb.ModelProto.FromString(rule.serialized_model_proto()).normalizer_spec
+    mine = sentencepiece_offsets.Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        normal, source = mine(r.text or "")
+        assert normal.decode() == rule.normalize(r.text or "") and len(source) == len(normal) + 1 and (np.diff(source) >= 0).all()
+
+
+def test_sentencepiece_with_a_map_and_symbols(spark, tmp_path, docs):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        proto = pb.ModelProto.FromString(f.read())
+    rule = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = rule.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    for i, symbol in enumerate(["①x", "<｜x｜>"]):
+        proto.pieces[-1 - i].piece, proto.pieces[-1 - i].type = symbol, pb.ModelProto.SentencePiece.USER_DEFINED
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    tool = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(i, t, 0) for i, t in enumerate(["ﬁne ①x① １２ ﬂow", "a <｜x｜>é ｘ", "㍿ ½ e\u0301", "", None, "  \t "])]
+    rows += [(100 + i, r.text, 0) for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect())]
+    table = spark.createDataFrame(rows, DOCS).withColumn("bounds", F.lit("clash"))
+    for r in sentencepiece_offsets.encode_with_offsets(table, path).collect():
+        ids = tool.encode(r.text or "", add_bos=True, add_eos=True)
+        bounds = np.frombuffer(r.bounds, "<i4")
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and len(bounds) == len(ids) + 1 and (np.diff(bounds) >= 0).all()
+        pieces = tool.encode(r.text or "", return_type="proto").pieces
+        spelled = [k for k, p in enumerate(pieces) if not re.fullmatch(r"<0x..>", p.piece)]
+        assert [int(bounds[k + 1]) for k in spelled] == [pieces[k].begin for k in spelled]
+
+
 def test_wu_manber(spark, docs, empty):
     items = [("b", " ".join(PASSAGE.split()[5:25])), ("a", "SIX! one"), ("c", "x"), ("d", None), ("e", "!!"), (None, "same text here"), ("b", "same TEXT")]
     benchmark = spark.createDataFrame(items, "item_id string, text string")
