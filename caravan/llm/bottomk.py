@@ -28,14 +28,19 @@ K, AGREE = 32, 14
 def _sketcher(n: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sizes, tags, digests, sketches = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                data = normal(text)
-                shingles = np.unique(W.shingle_hashes(W.word_hashes(data)[2], n))
+            texts = batch.column(1).to_pylist()
+            words = [b" ".join(normal(t).split()) for t in texts]
+            counts = [w.count(b" ") + 1 if w else 0 for w in words]
+            hashes = W.word_hashes(b" ".join(filter(None, words)))[2]  # the words of all texts at once
+            windows = W.shingle_hashes(hashes, n)
+            sizes, digests, sketches, at = [], [], [], 0
+            for word, count in zip(words, counts, strict=True):
+                shingles = np.unique(windows[at : at + count - n + 1] if count >= n else W.shingle_hashes(hashes[at : at + count], n))
+                at += count
                 sizes.append(len(shingles))
-                tags.append(zlib.crc32((text or "").encode("utf-8", "surrogatepass")))
-                digests.append(hashlib.blake2b(b" ".join(data.split()), digest_size=16).digest() if len(shingles) else None)
+                digests.append(hashlib.blake2b(word, digest_size=16).digest() if count else None)
                 sketches.append(shingles[:k].view(np.int64))
+            tags = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             flat = np.concatenate(sketches) if sketches else np.empty(0, np.int64)
             offsets = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -50,42 +50,50 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def cuts(hashes: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-    """Word positions at which pieces begin, 0 first; without words, none."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    pair = W.mix(hashes * np.uint64(3) + np.r_[hashes[1:], np.zeros(1, np.uint64)])
-    padded = np.r_[np.full(neighbours, 2**64 - 1, np.uint64), pair, np.full(neighbours, 2**64 - 1, np.uint64)]
+def cuts(hashes: np.ndarray, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
+    """Words at which pieces begin, each text's first word among them. hashes: words of all texts; counts: of each text."""
+    counts = counts[counts > 0]
+    text = np.repeat(np.arange(len(counts)), counts)
+    follows = np.r_[hashes[1:], np.zeros(1, np.uint64)]
+    ends = np.cumsum(counts)
+    follows[ends - 1] = 0
+    pair = W.mix(hashes * np.uint64(3) + follows)
+    at = np.arange(len(hashes)) + neighbours * (text + 1)  # texts stand apart, so that no neighbour is another text's
+    padded = np.full(len(hashes) + neighbours * (len(counts) + 1), 2**64 - 1, np.uint64)
+    padded[at] = pair
     low = np.ones(len(pair), bool)
     for s in range(1, neighbours + 1):
-        low &= (pair <= padded[neighbours - s : len(padded) - neighbours - s]) & (pair <= padded[neighbours + s : len(padded) - neighbours + s])
-    low[0] = True
+        low &= (pair <= padded[at - s]) & (pair <= padded[at + s])
+    low[ends - counts] = True
     return np.flatnonzero(low)
 
 
-def _places(text: str | None, numbers: np.ndarray) -> np.ndarray:
-    """Numbers of paragraphs, each with a checksum of the text, which tells rows of one doc_id with different texts apart."""
-    return (np.uint64(zlib.crc32(_bytes(text)) << 32) | numbers.astype(np.uint64)).view(np.int64)
-
-
-def _digests(data: bytes, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """16 bytes for the words in each range of bytes, whose only separators are blanks."""
-    out = b"".join(hashlib.blake2b(b" ".join(data[a:b].split()), digest_size=16).digest() for a, b in bounds)
-    return np.frombuffer(out, np.int64).reshape(-1, 2)
+def _digests(texts: Iterable[bytes]) -> np.ndarray:
+    """16 bytes for each text, as two integers."""
+    blake2b = hashlib.blake2b
+    return np.frombuffer(b"".join([blake2b(t, digest_size=16).digest() for t in texts]), np.int64).reshape(-1, 2)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
-        owners, keys, places = [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = _bytes(text).translate(W.LOWER_WORDS)
-            starts, ends, hashes = W.word_hashes(data)
-            at = cuts(hashes)
-            keys.append(_digests(data, list(zip(starts[at].tolist(), ends[np.r_[at[1:], len(hashes)] - 1].tolist(), strict=True))) if len(at) else np.empty((0, 2), np.int64))
-            owners.append(np.full(len(at), doc_id, np.int64))
-            places.append(_places(text, np.arange(len(at))))
-        v = np.concatenate(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(v[:, 0]), pa.array(v[:, 1]), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], ["v", "w", "doc_id", "place"])
+        texts = [_bytes(t) for t in batch.column(1).to_pylist()]
+        clean = [b" ".join(t.translate(W.LOWER_WORDS).split()) for t in texts]  # equal words are equal bytes
+        data = b" ".join(filter(None, clean))
+        counts = np.array([t.count(b" ") + 1 if t else 0 for t in clean], np.int64)
+        starts, _, hashes = W.word_hashes(data)
+        at = cuts(hashes, counts)
+        begins = starts[at].tolist()
+        v = _digests([data[i : j - 1] for i, j in zip(begins, [*begins[1:], len(data) + 1], strict=False)])
+        owner = np.searchsorted(np.cumsum(counts), at, side="right")
+        number = np.arange(len(at)) - np.searchsorted(owner, owner)
+        places = _places(texts, owner, number)
+        yield pa.RecordBatch.from_arrays([pa.array(v[:, 0]), pa.array(v[:, 1]), batch.column(0).take(pa.array(owner)), pa.array(places)], ["v", "w", "doc_id", "place"])
+
+
+def _places(texts: list[bytes], owner: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Numbers of paragraphs, each with a checksum of the text, which tells rows of one doc_id with different texts apart."""
+    sums = np.array([zlib.crc32(t) for t in texts], np.uint64)
+    return (sums[owner] << np.uint64(32) | number.astype(np.uint64)).view(np.int64)
 
 
 class Paragraphs:
@@ -126,7 +134,8 @@ class Paragraphs:
 
     def digests(self) -> np.ndarray:
         """16 bytes for the words of each paragraph."""
-        return _digests(self.words, list(zip(self.starts[self.begin].tolist(), self.ends[self.end - 1].tolist(), strict=True)))
+        bounds = zip(self.starts[self.begin].tolist(), self.ends[self.end - 1].tolist(), strict=True)
+        return _digests([b" ".join(self.words[i:j].split()) for i, j in bounds])
 
     def shingles(self) -> np.ndarray:
         return W.shingle_hashes(self.hashes, self.n) if len(self.hashes) >= self.n else np.zeros(0, np.uint64)
@@ -160,8 +169,7 @@ def _signatures(n: int, bands: int, rows: int):
             texts = batch.column(1).to_pylist()
             found = Paragraphs(texts, n)
             shingles = found.shingles()
-            sums = np.array([zlib.crc32(_bytes(t)) for t in texts], np.uint64)
-            place = (sums[found.owner] << np.uint64(32) | found.number.astype(np.uint64)).view(np.int64)
+            place = _places([_bytes(t) for t in texts], found.owner, found.number)
             keys = found.bands(shingles, bands, rows).view(np.int64)
             listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel())
             owners = batch.column(0).take(pa.array(found.owner))
@@ -228,7 +236,7 @@ def _cut_spans(text: str | None, pieces: dict[int, int], lines: dict[int, int])
     keepers = set(lines.values())
     if pieces:
         begins, _, hashes = W.word_hashes(data.translate(W.LOWER_WORDS))
-        bounds = [*cuts(hashes).tolist(), len(hashes)]
+        bounds = [*cuts(hashes, np.array([len(hashes)])).tolist(), len(hashes)]
         run: list[int] = []
         for p in [*sorted(pieces), -2]:
             if run and p != run[-1] + 1:
