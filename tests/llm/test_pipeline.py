@@ -1,7 +1,12 @@
 """The pipeline and the queries as they are registered."""
 
+import re
+
 import duckdb
 import numpy as np
+import public_tokenizers
+import sentencepiece
+from test_operators import statistics
 
 import __spark_entry__
 import corpus_pipeline
@@ -15,31 +20,85 @@ def windows(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def test_stages_do_what_they_say(spark):
+def components(sets, ratio):
+    """The smallest id that each id is linked with, of id -> set of windows."""
+    ids, label = sorted(sets), {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            both = len(sets[a] & sets[b])
+            if both and both >= ratio * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                label[high] = low
+    return {i: root(i) for i in ids}
+
+
+def split(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_stages_against_brute_force(spark):
+    """Each stage on its own input: what it keeps, drops and changes, by plain Python over all pairs."""
     docs = spark.read.parquet(f"{D}/documents.parquet")
-    seen = {}
+    given, out = {}, {}
     for name, stage in corpus_pipeline.STAGES:
-        out = corpus_pipeline.materialize(stage(spark, docs, D), name)
-        if name != "sentencepiece":
-            assert out.columns == docs.columns and {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
-        seen[name], docs = out.collect(), out
-    sets = {r.doc_id: windows(r.text, 5) for r in seen["near_duplicates"]}
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            both = len(sets[a] & sets[b])
-            assert not both or both < 0.8 * len(sets[a] | sets[b])
+        given[name] = {r.doc_id: r.text for r in docs.collect()}
+        docs = corpus_pipeline.materialize(stage(spark, docs, D), name)
+        out[name] = docs
+    kept = {name: {r.doc_id: r.text for r in out[name].collect()} for name in list(out)[:-1]}
+
+    good = {r.doc_id for r in spark.read.parquet(f"{D}/labels.parquet").where("quality = 1").collect()}
+    failed = set()
+    for i, text in given["quality_rules"].items():
+        n, _, _, _, repeats = statistics(text)
+        failed |= {i} if n < 50 or 100 * repeats > 50 * n else set()
+    assert not failed & set(kept["quality_rules"]) and kept["quality_rules"].items() <= given["quality_rules"].items()
+    assert len(good - failed - set(kept["quality_rules"])) <= 0.1 * len(good - failed)
+
+    rows = given["near_duplicates"]
+    label = components({i: windows(t, 5) or {tuple(t.split())} for i, t in rows.items()}, 0.8)
+    assert kept["near_duplicates"] == {i: t for i, t in rows.items() if label[i] == i}
+
+    rows, left, owner = given["substring_dedup"], kept["substring_dedup"], {}
+    for i in sorted(rows):
+        mine = windows(rows[i], 12)
+        alone = all(owner.get(w, i) == i for w in mine)
+        for w in mine:
+            owner.setdefault(w, i)
+        if alone:
+            assert left[i] == rows[i]
+        elif i in left:
+            remaining = iter(rows[i].split())
+            assert all(w in remaining for w in left[i].split())  # words go, none is moved or new
     owner = {}
-    for r in seen["substring_dedup"]:
-        for w in windows(r.text, 51):
-            assert owner.setdefault(w, r.doc_id) == r.doc_id
-    assert len(seen["sentencepiece"]) == len(seen["decontamination"]) > 0
-    texts = {r.doc_id: r.text for r in seen["decontamination"]}
-    for r in seen["sentencepiece"]:
+    for i in sorted(left):
+        for w in windows(left[i], 51):
+            assert owner.setdefault(w, i) == i
+
+    banned = set()
+    for r in spark.read.parquet(f"{D}/benchmark.parquet").collect():
+        w = split(r.text)
+        m = min(10, len(w))
+        banned |= {tuple(w[k : k + m]) for k in range(len(w) - m + 1)} if w else set()
+    sizes = {len(w) for w in banned}
+    hit = lambda w: any(tuple(w[k : k + m]) in banned for m in sizes for k in range(len(w) - m + 1))
+    assert kept["decontamination"] == {i: t for i, t in given["decontamination"].items() if not hit(split(t))}
+
+    tool = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts, coded = given["sentencepiece"], {r.doc_id: r for r in out["sentencepiece"].collect()}
+    assert coded.keys() == texts.keys()
+    for i, r in coded.items():
+        ids = tool.encode(texts[i], add_bos=True, add_eos=True)
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded == tool.decode(ids)
         bounds = np.frombuffer(r.bounds, "<i4")
-        assert len(bounds) == r.n_tokens + 1 and bounds[-1] == len(texts[r.doc_id].encode())
+        assert len(bounds) == r.n_tokens + 1 and bounds[-1] == len(texts[i].encode())
     ran = {r.doc_id: bytes(r.ids) for r in corpus_pipeline.run(spark, D).collect()}
-    assert ran == {r.doc_id: bytes(r.ids) for r in seen["sentencepiece"]}
+    assert ran == {i: bytes(r.ids) for i, r in coded.items()}
 
 
 def test_license_query_matches_sql(spark):
