@@ -42,7 +42,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("substring_dedup", substrings), ("decontamination", decontamination), ("sentencepiece", encoding)]
-#: The stages learn, sketch and tokenize, which SQL can't express; tests hold the result against a brute-force version.
+#: The stages learn, sketch and tokenize, which SQL can't express; a test holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
