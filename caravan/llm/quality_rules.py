@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caravan.llm.columns import filtered
-from caravan.llm.shared import materialize
+from caravan.llm.shared import materialize, small
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Decisio
     total = known.count()
     share = min(1.0, fit_rows / max(1, total))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(chosen, chosen.count() * 16), "doc_id")
     rows = materialize(with_statistics(rows).drop("text"), "fit").where(~base_failed())
     rows = rows.withColumn("grow", F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(3)) > 0)
     grid = rows.agg(*(F.percentile_approx(F.expr(e), [i / THRESHOLDS for i in range(THRESHOLDS)], 10_000).alias(n) for n, e in STATISTICS.items())).first()
@@ -198,7 +198,8 @@ def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """docs(text, ...) with its statistics, base_failed, rule (number of the rejecting rule, or null) and kept.
 
-    Rows are judged where they are: no shuffle, no row is dropped. Empty tables give empty results.
+    Rows are judged where they are: no shuffle, no row is dropped. Null, empty and wordless texts fail the base rule; texts of any
+    length are judged whole. Empty tables give empty results.
     """
     rows = with_statistics(docs.drop("base_failed", "rule", "kept")).withColumn("base_failed", base_failed())
     return rows.withColumn("rule", rules.rejecting_rule()).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

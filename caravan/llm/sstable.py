@@ -272,7 +272,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
 
     docs(doc_id, text, ...); a null text counts as empty; rows that repeat a doc_id are ordered by their texts. An empty
     table gives an empty manifest. Each task writes one shard of a range of doc_ids; the driver sees a line for each shard.
-    A task that runs again renames equal bytes to the same name.
+    A task that runs again renames equal bytes to the same name. Texts of any length are coded whole.
     """
     attach(docs.sparkSession)
     from tokenizers import Tokenizer

@@ -106,6 +106,9 @@ def test_quality_rules(spark, docs, empty):
     table = spark.createDataFrame(good + bad, DOCS)
     rules = quality_rules.fit(table, labelled)
     assert rules.rules and {r.doc_id for r in quality_rules.keep(table, rules).collect()} == {r[0] for r in good}
+    clash = table.limit(3).withColumns({"kept": F.lit("mine"), "rule": F.lit(7), "n_words": F.lit("x")})
+    assert {(r.kept, r.rule, r.n_words > 50) for r in quality_rules.judge(clash, quality_rules.DecisionList([])).collect()} == {(True, None, True)}
+    assert quality_rules.keep(clash, quality_rules.DecisionList([])).first().kept == "mine"
     assert quality_rules.fit(empty, labelled).rules == [] and quality_rules.judge(empty, rules).count() == 0
 
 
