@@ -11,6 +11,7 @@ from caravan.plans import catalog as C
 from caravan.plans import extract, gtfs, migrate
 from caravan.plans import mapping as M
 from caravan.session import work_dir, written
+from caravan.sources import gtfs as gtfs_files
 from caravan.sources import tables
 
 query = C.query
@@ -51,6 +52,14 @@ def stops_table(spark, d):
     return migrate.stops_table(rows).select("gid", "stop_id", "stop_name", F.round("stop_lon", 9).alias("stop_lon"), F.round("stop_lat", 9).alias("stop_lat"))
 
 
+@query(M.sql("stops", "SELECT CAST(id AS VARCHAR) AS stop_id, name AS stop_name, y AS stop_lat, x AS stop_lon FROM stops WHERE size % 9 <> 0"))
+def csv_tables(spark, d):
+    """A feed's table as CSV parts, read back with a schema."""
+    folder = work_dir(spark, "csv")
+    gtfs_files.write_tables({"stops.txt": C.gtfs_stops(spark, d)}, folder)
+    return gtfs_files.read_table(spark, f"{folder}/stops.txt", gtfs_files.SCHEMAS["stops.txt"])
+
+
 # --- extract --------------------------------------------------------------------------------------------------------
 
 

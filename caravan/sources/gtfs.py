@@ -92,3 +92,8 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """Each table as a folder of CSV parts with a header, named as the feed's file."""
     for name, df in tables.items():
         df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of CSV parts with headers, read with a schema: fields that don't parse are null."""
+    return spark.read.option("header", True).schema(schema).csv(path)
