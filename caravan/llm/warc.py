@@ -30,7 +30,7 @@ READ = 1 << 20
 #: Payload bytes of a part: this share of all, within these bounds.
 SHARE, LEAST, MOST = 512, 8_000_000, 1_000_000_000
 #: Ranges of ids counted at once, as powers of two: in all, and of one that holds too much.
-RANGES, REFINED = 16, 8
+RANGES, REFINED = 12, 8
 
 
 def _uri(page_id: int | None, url: str | None, digest: str, copy: int = 0) -> str:
