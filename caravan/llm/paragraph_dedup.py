@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravan.llm import words as W
-from caravan.llm.shared import attach, discard, materialize, salted_join, small, text_slices
+from caravan.llm.shared import attach, discard, materialize, salted_join, text_slices
 from caravan.llm.similarity import linked_components
 
 #: Words of a paragraph; neighbours on each side of a cut, which make pieces of nine words on average.
@@ -201,7 +201,7 @@ def _cut_pieces(rows: DataFrame) -> DataFrame:
     keyed = materialize(rows.mapInArrow(_pieces, "v long, w long, doc_id long, place long"), "pieces")
     first = keyed.groupBy("v", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     first = materialize(first.select("v", "w", "lo"), "first")
-    found = materialize(keyed.join(first, ["v", "w"]).where("doc_id <> lo").select("doc_id", "place", "lo"), "repeated")
+    found = materialize(keyed.join(first.hint("merge"), ["v", "w"]).where("doc_id <> lo").select("doc_id", "place", "lo"), "repeated")
     discard(keyed, first)
     return found
 
@@ -218,13 +218,13 @@ def _cut_paragraphs(rows: DataFrame, n: int, ratio: Fraction) -> DataFrame:
     wanted = classes.join(lists.select("digest").distinct(), "digest", "left_semi").select("digest", "lo")
     wanted = materialize(wanted, "wanted")
     owners = wanted.select(F.col("lo").alias("doc_id")).distinct()
-    texts = rows.join(small(owners, wanted.count() * 16), "doc_id", "left_semi").mapInArrow(_texts(n), "digest binary, text string")
+    texts = rows.join(owners.hint("merge"), "doc_id", "left_semi").mapInArrow(_texts(n), "digest binary, text string")
     texts = materialize(texts.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "texts")
     roots = linked_components(lists, texts, n, ratio)
     rooted = materialize(classes.select("digest", "lo", "hi").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "rooted")
     first = rooted.groupBy("root").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("root", F.col("least"))
     repeated = materialize(salted_join(rooted.select("digest", "root"), first, "root", "digest").select("digest", F.col("least").alias("lo")), "first")
-    out = materialize(found.select("doc_id", "place", "digest").join(repeated, "digest").where("doc_id <> lo").select("doc_id", "place", "lo"), "repeated")
+    out = materialize(found.select("doc_id", "place", "digest").join(repeated.hint("merge"), "digest").where("doc_id <> lo").select("doc_id", "place", "lo"), "repeated")
     discard(found, classes, several, lists, wanted, texts, roots, rooted, repeated)
     return out
 
@@ -310,9 +310,8 @@ def dedup_paragraphs(docs: DataFrame, n: int = 5, ratio: Fraction = Fraction(4,
     )
     gathered = materialize(gathered, "cuts")
     discard(pieces, paragraphs)
-    size = gathered.agg(F.coalesce(F.sum(F.size("_pieces") * 24 + F.size("_lines") * 24 + 64), F.lit(0)).alias("b")).first()["b"]
     tag = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    joined = docs.withColumn("_key", key).withColumn("_tag", tag).join(small(gathered, size), ["_key", "_tag"], "left")
+    joined = docs.withColumn("_key", key).withColumn("_tag", tag).join(gathered.hint("merge"), ["_key", "_tag"], "left")
     rows = joined.select(*docs.columns, "_pieces", "_lines")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return rows.mapInArrow(_apply(len(docs.columns)), f"{fields}, n_words_left long, n_words_cut long, cut array<struct<start:bigint,end:bigint>>, keepers array<bigint>")

@@ -103,5 +103,5 @@ def salted_join(rows: DataFrame, once: DataFrame, key: str, by: str) -> DataFram
     are shuffled for the join. Dealing the rows of each key to WAYS parts by a hash of by has that effect.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(WAYS)).cast("int"))
-    copies = once.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+    copies = once.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1)))).hint("merge")
     return salted.join(copies, [key, "_salt"]).drop("_salt")
