@@ -189,7 +189,7 @@ def fare_impute_ceil_mean(spark, d):
 
 @query(M.sql("trips", ", t AS (SELECT trip_id, route_id, agency, CASE WHEN status <> 'P' THEN headway + start END AS v FROM trips) SELECT trip_id, round(coalesce(v, avg(v) OVER (PARTITION BY route_id, agency)), 6) AS duration FROM t"))
 def mean_impute_od(spark, d):
-    rows = M.trips(spark, d).select("trip_id", F.col("route_id").alias("o_id"), F.col("agency").alias("d_id"), F.when(F.col("status") != "P", F.col("headway") + F.col("start")).alias("duration"))
+    rows = M.trips(spark, d).select("trip_id", F.col("route_id").alias("o_id"), F.col("agency").alias("d_id"), F.lit(1).alias("interval_id"), F.when(F.col("status") != "P", F.col("headway") + F.col("start")).alias("duration"))
     return gtfs.estimate_missing_times(rows, by_vehicle=False).select("trip_id", F.round("duration", 6).alias("duration"))
 
 
