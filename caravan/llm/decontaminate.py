@@ -63,18 +63,27 @@ class PatternGroup:
                     by_window.setdefault(hash(self.flat[start : start + self.m].tobytes()), array("l")).append(start)
                 self.buckets[key] = by_window
 
-    def search(self, words: array) -> Iterator[tuple[int, list[int]]]:
-        """(start, starts of the patterns in flat) of every occurrence."""
-        m, get, buckets, flat, factor = self.m, self.shift.get, self.buckets, self.flat, self.factor
+    def search(self, words: list[bytes], numbers: dict[bytes, int]) -> Iterator[tuple[int, list[int]]]:
+        """(start, starts of the patterns in flat) of every occurrence. Only the blocks that shifts land on are looked up."""
+        m, get, known, buckets, flat, factor = self.m, self.shift.get, numbers.get, self.buckets, self.flat, self.factor
         default, two = m - self.block + 1, self.block == 2
         at, n = m - 1, len(words)
         while at < n:
-            key = words[at - 1] * factor + words[at] if two else words[at]
+            key = known(words[at])
+            if key is None:  # no window holds this word
+                at += m
+                continue
+            if two:
+                before = known(words[at - 1])
+                if before is None:
+                    at += m - 1
+                    continue
+                key += before * factor
             shift = get(key, default)
             if shift:
                 at += shift
                 continue
-            window = words[at - m + 1 : at + 1]
+            window = array("i", [known(w, 0) for w in words[at - m + 1 : at + 1]])
             starts = buckets[key]
             if isinstance(starts, dict):
                 starts = starts.get(hash(window.tobytes()), ())
@@ -106,9 +115,8 @@ class Patterns:
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, int, set]]:
         """(start, end, ids of items) of every occurrence; items without an id add none."""
-        numbers = array("i", [self.numbers.get(w, 0) for w in words])
         for group in self.groups:
-            for start, same in group.search(numbers):
+            for start, same in group.search(words, self.numbers):
                 found = {self.items[bisect_right(self.begins, s) - 1] for s in same}
                 yield start, start + group.m, found - {None}
 
@@ -186,8 +194,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """docs(doc_id, text, ...) with (n_words, spans of hit word positions, items: sorted ids of items with a window in it).
 
     benchmark(item_id, text, ...). Keeps every input row and all columns but former n_words, spans and items. A null, empty
-    or wordless text has no words and no hits; a null or wordless item has no window; repeated items and rows count as they
-    are; an empty benchmark hits nothing. item_id is compared and returned as a string; the windows of an item without an id hit words
+    or wordless text has no words and no hits; a null or wordless item has no window; repeated items count once, repeated
+    documents each; an empty benchmark hits nothing. item_id is compared and returned as a string; the windows of an item without an id hit words
     as well, but items doesn't name it. A text of any length is searched in pieces.
 
     The benchmark is read in passes of at most about pass_bytes of text, one broadcast each; documents are never shuffled. With
@@ -195,7 +203,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """
     spark = docs.sparkSession
     attach(spark)
-    known = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
+    known = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null").distinct()
     total = known.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("b")).first()["b"]
     passes = max(1, math.ceil(total / pass_bytes))
     rows = docs.drop("n_words", "spans", "items").withColumn("text", F.col("text").cast("string"))
