@@ -1,7 +1,7 @@
 """Substring dedup over paragraphs.
 
-A text has paragraphs of two kinds. A line of at least LINE words is a paragraph, and so are the shorter lines between two such
-lines or blank lines, taken together (hard-wrapped text), if they have LINE words. The 5-word shingles of a paragraph give a
+A text has paragraphs of two kinds. A line of at least `line` words is a paragraph, and so are the shorter lines between two such
+lines or blank lines, taken together (hard-wrapped text), if they have so many words. The 5-word shingles of a paragraph give a
 MinHash signature, bands of it select candidates, exact Jaccard similarity of the shingle sets decides, and components gather
 what is linked. As passages also repeat inside paragraphs, the word sequence is cut, too, into content-defined pieces: a piece
 begins at a word whose two-word hash is the smallest among its neighbours, or as small, so a passage is cut alike wherever it
@@ -9,7 +9,7 @@ stands. A piece is too short for several bands: its one band is the digest of al
 similarity of 1 by their words' 128-bit BLAKE2 digest.
 
 Of equal pieces, and of the paragraphs of a component, those of the smallest doc_id stay. In other documents such paragraphs go,
-and so do runs of consecutive such pieces that have at least RUN words together.
+and so do runs of consecutive such pieces that have at least `run` words together.
 """
 
 from __future__ import annotations
@@ -30,9 +30,8 @@ from caravan.llm.similarity import linked_components
 
 #: Words of a paragraph; neighbours on each side of a cut, which make pieces of nine words on average.
 LINE, NEIGHBOURS = 20, 4
-#: Words of a run of repeated pieces. The pieces at both ends of a passage are not whole, and this many words remain of one of 51
-#: words in 98.7 of 100 cases, of one of 60 words always (of random words); shorter repeats are left alone.
-RUN = 24
+#: Words of a run of repeated pieces; shorter repeats are left alone. The pieces at both ends of a passage are not whole.
+RUN = 12
 #: Rows of a band, and the recall at its ratio that the operator takes as many bands for as are needed: 10 at 0.8.
 ROWS, RECALL = 3, 0.999
 #: Stands for a null doc_id.
@@ -105,7 +104,7 @@ class Paragraphs:
     owner: number of the text; number: of the paragraph's first line within it; begin, end: words; top, bottom: bytes.
     """
 
-    def __init__(self, texts: list[str | None], n: int):
+    def __init__(self, texts: list[str | None], n: int, line: int):
         encoded = [_bytes(t) for t in texts]
         self.data, self.n = b"\n".join(encoded), n
         self.words = self.data.translate(W.LOWER_WORDS)
@@ -115,14 +114,14 @@ class Paragraphs:
         per_text = np.array([t.count(b"\n") + 1 for t in encoded], np.int64)
         first = np.cumsum(per_text) - per_text
         # a paragraph opens where a line, or the one before it, is long or blank, and where a text begins
-        apart = (counts >= LINE) | (counts == 0)
+        apart = (counts >= line) | (counts == 0)
         opens = apart | np.r_[True, apart[:-1]]
         opens[first] = True
         top = np.flatnonzero(opens)
         bottom = np.r_[top[1:], len(counts)] - 1
         until = np.cumsum(counts)
         begin, end = until[top] - counts[top], until[bottom]
-        chosen = end - begin >= LINE
+        chosen = end - begin >= line
         top, bottom, self.begin, self.end = top[chosen], bottom[chosen], begin[chosen], end[chosen]
         self.owner = np.searchsorted(first, top, side="right") - 1
         self.number = top - first[self.owner]
@@ -166,11 +165,11 @@ def _as_binary(digests: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(digests.tobytes())]).cast(pa.binary())
 
 
-def _signatures(n: int, bands: int, rows: int):
+def _signatures(n: int, line: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             texts = batch.column(1).to_pylist()
-            found = Paragraphs(texts, n)
+            found = Paragraphs(texts, n, line)
             shingles = found.shingles()
             place = _places([_bytes(t) for t in texts], found.owner, found.number)
             keys = found.bands(shingles, bands, rows).view(np.int64)
@@ -181,10 +180,10 @@ def _signatures(n: int, bands: int, rows: int):
     return run
 
 
-def _texts(n: int):
+def _texts(n: int, line: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            found = Paragraphs(batch.column("text").to_pylist(), n)
+            found = Paragraphs(batch.column("text").to_pylist(), n, line)
             texts = [found.data[found.starts[a] : found.ends[b - 1]].decode("utf-8", "replace") for a, b in zip(found.begin, found.end, strict=True)]
             once = dict(zip(_as_binary(found.digests()).to_pylist(), texts, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.binary()), pa.array(list(once.values()), pa.string())], ["digest", "text"])
@@ -206,10 +205,10 @@ def _cut_pieces(rows: DataFrame) -> DataFrame:
     return found
 
 
-def _cut_paragraphs(rows: DataFrame, n: int, ratio: Fraction) -> DataFrame:
+def _cut_paragraphs(rows: DataFrame, n: int, ratio: Fraction, line: int) -> DataFrame:
     """(doc_id, place, lo) of paragraphs that are linked to one of a document with a smaller doc_id, lo; written."""
     bands = tune(float(ratio), RECALL)
-    found = materialize(rows.mapInArrow(_signatures(n, bands, ROWS), "doc_id long, place long, digest binary, n long, bands array<long>"), "paragraphs")
+    found = materialize(rows.mapInArrow(_signatures(n, line, bands, ROWS), "doc_id long, place long, digest binary, n long, bands array<long>"), "paragraphs")
     # paragraphs of the same words are one class
     classes = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
     banded = classes.select(F.explode("bands").alias("v"), "digest", "n")
@@ -218,7 +217,7 @@ def _cut_paragraphs(rows: DataFrame, n: int, ratio: Fraction) -> DataFrame:
     wanted = classes.join(lists.select("digest").distinct(), "digest", "left_semi").select("digest", "lo")
     wanted = materialize(wanted, "wanted")
     owners = wanted.select(F.col("lo").alias("doc_id")).distinct()
-    texts = rows.join(owners.hint("merge"), "doc_id", "left_semi").mapInArrow(_texts(n), "digest binary, text string")
+    texts = rows.join(owners.hint("merge"), "doc_id", "left_semi").mapInArrow(_texts(n, line), "digest binary, text string")
     texts = materialize(texts.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "texts")
     roots = linked_components(lists, texts, n, ratio)
     rooted = materialize(classes.select("digest", "lo", "hi").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "rooted")
@@ -229,12 +228,12 @@ def _cut_paragraphs(rows: DataFrame, n: int, ratio: Fraction) -> DataFrame:
     return out
 
 
-def _cut_spans(text: str | None, pieces: dict[int, int], lines: dict[int, int]) -> tuple[list[tuple[int, int]], set[int]]:
+def _cut_spans(text: str | None, pieces: dict[int, int], lines: dict[int, int], least: int, line: int) -> tuple[list[tuple[int, int]], set[int]]:
     """Merged byte spans to cut, and the documents that keep what is in them. pieces and lines: keepers by number."""
     data = _bytes(text)
     spans = []
     if lines:
-        found = Paragraphs([text], 1)
+        found = Paragraphs([text], 1, line)
         spans = [(a, min(b + 1, len(data))) for number, a, b in zip(found.number.tolist(), found.top.tolist(), found.bottom.tolist(), strict=True) if number in lines]
     keepers = set(lines.values())
     if pieces:
@@ -244,7 +243,7 @@ def _cut_spans(text: str | None, pieces: dict[int, int], lines: dict[int, int])
         for p in [*sorted(pieces), -2]:
             if run and p != run[-1] + 1:
                 a, b = bounds[run[0]], bounds[run[-1] + 1]
-                if b - a >= RUN:
+                if b - a >= least:
                     spans.append((int(begins[a]), int(begins[b]) if b < len(begins) else len(data)))
                     keepers.update(pieces[x] for x in run)
                 run = []
@@ -261,14 +260,14 @@ def _cut_spans(text: str | None, pieces: dict[int, int], lines: dict[int, int])
 CUT = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _apply(width: int):
+def _apply(width: int, least: int, line: int):
     """The last two columns of a batch, pieces and lines to cut, become new text, words left, words cut, spans and keepers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             new: list[list] = [[], [], [], [], []]
             for text, pieces, lines in zip(*(batch.column(c).to_pylist() for c in ("text", "_pieces", "_lines")), strict=True):
-                spans, keepers = _cut_spans(text, *({x["n"]: x["lo"] for x in places or []} for places in (pieces, lines)))
+                spans, keepers = _cut_spans(text, *({x["n"]: x["lo"] for x in places or []} for places in (pieces, lines)), least, line)
                 data, kept, at, gone = _bytes(text), [], 0, 0
                 for a, b in spans:
                     kept.append(data[at:a])
@@ -287,26 +286,28 @@ def _apply(width: int):
     return run
 
 
-def dedup_paragraphs(docs: DataFrame, n: int = 5, ratio: Fraction = Fraction(4, 5)) -> DataFrame:
+def dedup_paragraphs(docs: DataFrame, n: int = 5, ratio: Fraction = Fraction(4, 5), line: int = LINE, run: int = RUN) -> DataFrame:
     """docs(doc_id, text, ...) with repeated paragraphs cut from text, and (n_words_left, n_words_cut, cut: spans of bytes,
     keepers: sorted doc_ids of the documents that keep what was cut).
 
     Keeps every row and all columns but former ones of the new names. Words are runs of characters other than ASCII white
-    space, A-Z lower-cased. Paragraphs repeat across documents only: what a document repeats within itself stays. Rows that
+    space, A-Z lower-cased. n: words of a shingle; ratio: similarity of linked paragraphs; line: words of a paragraph; run: words
+    of a run of repeated pieces. Paragraphs repeat across documents only: what a document repeats within itself stays. Rows that
     share a doc_id are one document, null being the smallest doc_id. A null text stays null; empty and wordless texts stay as
     they are; an empty table gives an empty result.
     """
     attach(docs.sparkSession)
     docs = docs.drop("n_words_left", "n_words_cut", "cut", "keepers").withColumn("text", F.col("text").cast("string"))
-    if n > LINE:
-        raise ValueError(f"shingles have at most {LINE} words")
+    if n > line:
+        raise ValueError(f"shingles have at most {line} words")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("doc_id"), "text")
-    pieces, paragraphs = _cut_pieces(rows), _cut_paragraphs(rows, n, ratio)
+    pieces, paragraphs = _cut_pieces(rows), _cut_paragraphs(rows, n, ratio, line)
+    # rows that repeat a doc_id and its text name the same places, which a set holds once
     found = pieces.withColumn("piece", F.lit(True)).unionByName(paragraphs.withColumn("piece", F.lit(False)))
     at = F.struct(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"), "lo")
     gathered = found.groupBy(F.col("doc_id").alias("_key"), F.shiftrightunsigned("place", 32).alias("_tag")).agg(
-        F.collect_list(F.when(F.col("piece"), at)).alias("_pieces"), F.collect_list(F.when(~F.col("piece"), at)).alias("_lines")
+        F.collect_set(F.when(F.col("piece"), at)).alias("_pieces"), F.collect_set(F.when(~F.col("piece"), at)).alias("_lines")
     )
     gathered = materialize(gathered, "cuts")
     discard(pieces, paragraphs)
@@ -314,4 +315,4 @@ def dedup_paragraphs(docs: DataFrame, n: int = 5, ratio: Fraction = Fraction(4,
     joined = docs.withColumn("_key", key).withColumn("_tag", tag).join(gathered.hint("merge"), ["_key", "_tag"], "left")
     rows = joined.select(*docs.columns, "_pieces", "_lines")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(_apply(len(docs.columns)), f"{fields}, n_words_left long, n_words_cut long, cut array<struct<start:bigint,end:bigint>>, keepers array<bigint>")
+    return rows.mapInArrow(_apply(len(docs.columns), run, line), f"{fields}, n_words_left long, n_words_cut long, cut array<struct<start:bigint,end:bigint>>, keepers array<bigint>")
