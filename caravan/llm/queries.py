@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caravan.llm import balanced_shards, bottomk, chat, decontaminate, license_scan, paragraph_dedup, quality_rules, sentencepiece_offsets, sstable, warc
+from caravan.llm import balanced_shards, bottomk, chat, decontaminate, language_id, license_scan, paragraph_dedup, quality_rules, ranked_search, sentencepiece_offsets, sstable, warc, whitening
 from caravan.llm.shared import work_dir
 
 
@@ -74,7 +74,24 @@ def op10_bottomk_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(_table(spark, sf_dir, "documents"), n=3, ratio=Fraction(85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-_ALL = (op1_token_sstable, op2_quality_rules, op3_balanced_shards, op4_warc, op5_chat, op6_sentencepiece, op7_wu_manber, op8_license_scan, op9_paragraph_dedup, op10_bottomk_near_duplicates)
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.label_languages(docs.drop("lang"), language_id.fit_languages(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(_table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = ranked_search.search(index, _table(spark, sf_dir, "benchmark"), k=20)
+    ranked_search.drop_index(index)
+    return found
+
+
+_ALL = (op1_token_sstable, op2_quality_rules, op3_balanced_shards, op4_warc, op5_chat, op6_sentencepiece, op7_wu_manber, op8_license_scan, op9_paragraph_dedup, op10_bottomk_near_duplicates, op11_language_id, op12_whitening, op13_ranked_search)
 QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL = {"op8_license_scan": license_scan.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLE_SQL = {"op8_license_scan": license_scan.oracle(), "op13_ranked_search": ranked_search.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

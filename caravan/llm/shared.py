@@ -27,13 +27,13 @@ def attach(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: later steps survive lost executors.
+def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder, or to path, and read it again: later steps survive lost executors.
 
     The shuffle files of the step go when it is written; discard() removes the table itself.
     """
     spark = df.sparkSession
-    path, before = work_dir(spark, label), spark.conf.get(CLEANUP, None)
+    path, before = path or work_dir(spark, label), spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
