@@ -35,7 +35,20 @@ def work_dir(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: later steps survive lost executors, and the plan starts anew."""
+    """df, written to the shared folder and read again: later steps survive lost executors, and the plan starts anew.
+
+    remove() deletes the table when nothing reads it any more.
+    """
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(*steps: DataFrame) -> None:
+    """Delete tables of written() whose results are written themselves; others are left alone."""
+    for step in steps:
+        if path := getattr(step, "written_to", None):
+            p = step.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.csv
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +26,17 @@ SCHEMAS = {
 }
 
 
-def _lines(member: str):
+#: Bytes of a member that are parsed at once; a record is no longer than that.
+BLOCK = 1 << 24
+
+
+def _records(member: str, wanted: list[str]):
+    """The wanted columns of a member's records, as text; those that the header doesn't name are null."""
+
+    def ragged(text: str, width: int) -> list[str | None]:
+        fields = next(csv.reader(io.StringIO(text, newline="")), [])
+        return [x or None for x in [*fields, *[""] * width][:width]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
@@ -31,33 +44,46 @@ def _lines(member: str):
                 if member not in archive.namelist():
                     continue
                 with io.TextIOWrapper(archive.open(member), "utf-8-sig", newline="") as f:
-                    header, rows = f.readline().rstrip("\r\n"), []
-                    for line in f:
-                        rows.append(line.rstrip("\r\n"))
-                        if len(rows) == 10_000:
-                            yield pa.RecordBatch.from_pydict({"header": [header] * len(rows), "line": rows})
-                            rows = []
-                    if rows:
-                        yield pa.RecordBatch.from_pydict({"header": [header] * len(rows), "line": rows})
+                    header = [name.strip() for name in next(csv.reader(f), [])]
+                places = [header.index(name) if name in header else None for name in wanted]
+                columns, odd = [str(i) for i in range(len(header))], []
+                if not header:
+                    continue
+
+                def apart(row, odd=odd):
+                    odd.append(row.text)  # of another number of fields
+                    return "skip"
+
+                reader = pyarrow.csv.open_csv(
+                    archive.open(member), pyarrow.csv.ReadOptions(block_size=BLOCK, column_names=columns, skip_rows_after_names=1),
+                    pyarrow.csv.ParseOptions(newlines_in_values=True, invalid_row_handler=apart),
+                    pyarrow.csv.ConvertOptions(column_types=dict.fromkeys(columns, pa.string()), check_utf8=False, null_values=[""], strings_can_be_null=True, quoted_strings_can_be_null=False),
+                )
+                for part in reader:
+                    yield _chosen([part.column(i) for i in range(len(columns))], part.num_rows, wanted, places)
+                rows = [ragged(text, len(columns)) for text in odd if text.strip()]
+                if rows:
+                    yield _chosen([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], len(rows), wanted, places)
 
     return run
 
 
+def _chosen(columns: list[pa.Array], n: int, wanted: list[str], places: list[int | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()) if i is None else columns[i] for i in places], wanted)
+
+
 def read_member(spark: SparkSession, path: str, member: str, schema: str | None = None) -> DataFrame:
     """A table of one feed or of many (path may be a pattern); a missing member gives an empty table.
 
-    Columns are found by the header's names, in any order; absent ones are null. Archives are opened where they are read, a task
-    each, and their lines stream.
+    Records are read as CSV: line ends, commas and doubled quotes within quotes belong to their field, a header may have any number
+    of columns, and a record of fewer or more fields than the header loses no others. Columns are found by the header's names, in
+    any order; absent ones are null. Fields that don't parse as their type are null; an unquoted empty field is null, a quoted one
+    an empty text. Archives, of at most 2 GB each, are opened where they are read, a task each, and their members stream.
     """
-    schema = schema or SCHEMAS[member]
+    fields = [f.strip().split(" ") for f in (schema or SCHEMAS[member]).split(",")]
     files = spark.read.format("binaryFile").load(path).select("content")
-    lines = files.mapInArrow(_lines(member), "header string, line string").where("trim(line) <> ''")
-    names = F.from_csv("header", ", ".join(f"c{i} string" for i in range(40)))
-    values = F.from_csv("line", ", ".join(f"c{i} string" for i in range(40)))
-    both = lines.select(F.array(*(F.trim(names[f"c{i}"]) for i in range(40))).alias("n"), F.array(*(values[f"c{i}"] for i in range(40))).alias("v"))
-    fields = [f.strip().split(" ") for f in schema.split(",")]
-    at = lambda name: F.get("v", F.nullif(F.array_position("n", name), F.lit(0)).cast("int") - 1)
-    return both.select(*(at(name).try_cast(kind).alias(name) for name, kind in fields))
+    rows = files.mapInArrow(_records(member, [name for name, _ in fields]), ", ".join(f"`{name}` string" for name, _ in fields))
+    return rows.select(*(F.col(name).try_cast(kind).alias(name) for name, kind in fields))
 
 
 def _pack(folder: str, member: str, header: str):
@@ -81,11 +107,15 @@ def _pack(folder: str, member: str, header: str):
 def write_archives(df: DataFrame, member: str, folder: str) -> list[str]:
     """A table as the member of zip archives, one for each partition, with a header in each; their names. folder is a shared URI.
 
-    Rows stream into the archives, which get their names when finished; a task that runs again replaces its archive. Together
+    Texts are quoted, with quotes doubled, so that nulls and empty texts differ. Rows stream into the archives, which get their names when finished; a task that runs again replaces its archive. Together
     the archives are the feed: read_member() takes a pattern.
     """
-    lines = df.select(F.to_csv(F.struct(*df.columns)).alias("line"))
-    return sorted(x["name"] for x in lines.mapInArrow(_pack(folder, member, ",".join(df.columns)), "name string").collect())
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    texts = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+    fields = [F.coalesce(quoted(c) if c in texts else F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    header = ",".join('"' + c.replace('"', '""') + '"' if re.search(r'[",\s]', c) else c for c in df.columns)
+    lines = df.select(F.concat_ws(",", *fields).alias("line"))
+    return sorted(x["name"] for x in lines.mapInArrow(_pack(folder, member, header), "name string").collect())
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:

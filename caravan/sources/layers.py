@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sqlite3
 import struct
@@ -12,6 +13,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caravan.sources.store import read_files, replace_file
 
 #: Fixed value: the identifier in a GeoPackage file's header.
 APPLICATION = 0x47504B47
@@ -40,7 +44,7 @@ def unblob(data: bytes) -> list[dict]:
     return [dict(zip("xy", struct.unpack_from("<dd", data, 17 + 16 * i), strict=True)) for i in range(n)]
 
 
-def _write(folder: str):
+def _write(folder: str, prefix: str = "part"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -66,7 +70,7 @@ def _write(folder: str):
             db.close()
             fs, root = pyarrow.fs.FileSystem.from_uri(folder)
             fs.create_dir(root, recursive=True)
-            name = f"part-{TaskContext.get().partitionId():06d}.gpkg"
+            name = f"{prefix}-{TaskContext.get().partitionId():06d}.gpkg"
             pyarrow.fs.copy_files(local, f"{root}/{name}.tmp", source_filesystem=pyarrow.fs.LocalFileSystem(), destination_filesystem=fs)
             fs.move(f"{root}/{name}.tmp", f"{root}/{name}")
             scratch.cleanup()
@@ -85,6 +89,36 @@ def write_geopackages(flow: DataFrame, folder: str) -> list[str]:
     return sorted(f"{folder}/{x['name']}" for x in rows)
 
 
+def overwrite_layer(flow: DataFrame, folder: str, interval_name: str, attempts: int = 2) -> list[str]:
+    """Replace one layer, the rows of flow(gid, value, line), under folder and leave all others as they are; its parts.
+
+    Parts are GeoPackage files under names of their own. They take effect with the layer's list of parts, which is replaced last, and
+    the former parts go after that: a reader sees the old layer or the new one. A failed attempt is made again under new names. A
+    layer without rows has no parts.
+    """
+    spark, key = flow.sparkSession, interval_name.encode().hex()
+    rows = flow.select("gid", F.lit(interval_name).alias("interval_name"), "value", "line")
+    for left in range(attempts - 1, -1, -1):
+        run = uuid.uuid4().hex
+        try:
+            parts = sorted(x["name"] for x in rows.mapInArrow(_write(folder, f"{key}-{run}"), "name string, rows long").collect())
+            break
+        except Exception:
+            if not left:
+                raise
+    before = json.loads(read_files(spark, f"{folder}/_layers").get(key, "[]"))
+    replace_file(spark, f"{folder}/_layers/{key}", json.dumps(parts))
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    for name in before:
+        fs.delete_file(f"{root}/{name}")
+    return parts
+
+
+def layer_parts(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """The parts of each layer that overwrite_layer() has written, as read_geopackages() takes them."""
+    return {bytes.fromhex(k).decode(): [f"{folder}/{n}" for n in json.loads(v)] for k, v in read_files(spark, f"{folder}/_layers").items()}
+
+
 def read_geopackages(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(gid, interval_name, value, line) of all layers."""
 
