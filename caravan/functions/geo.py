@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Fixed value: radius of the sphere of EPSG:3857, metres.
 RADIUS = 6378137.0
-#: Fixed value: flattening of WGS 84.
-FLATTENING = 1 / 298.257223563
 
 LINE = "array<struct<x:double,y:double>>"
 
@@ -51,18 +49,6 @@ def haversine(p: Column, q: Column, radius: float = 6371008.8) -> Column:
     return F.asin(F.least(F.lit(1.0), F.sqrt(a))) * 2 * radius
 
 
-def geodesic(p: Column, q: Column) -> Column:
-    """Metres on WGS 84 by the Andoyer-Lambert approximation, some metres off in a thousand kilometres."""
-    reduced = lambda lat: F.atan(F.tan(F.radians(lat)) * (1 - FLATTENING))
-    b1, b2, dl = reduced(p["y"]), reduced(q["y"]), F.radians(q["x"] - p["x"])
-    h = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(dl / 2), 2)
-    sigma = F.asin(F.least(F.lit(1.0), F.sqrt(h))) * 2
-    mean, half = (b1 + b2) / 2, (b2 - b1) / 2
-    x = (sigma - F.sin(sigma)) * F.pow(F.sin(mean) * F.cos(half) / F.cos(sigma / 2), 2)
-    y = (sigma + F.sin(sigma)) * F.pow(F.cos(mean) * F.sin(half) / F.sin(sigma / 2), 2)
-    return F.when(h == 0, F.lit(0.0)).otherwise((sigma - (x + y) * (FLATTENING / 2)) * RADIUS)
-
-
 def is_valid(line: Column) -> Column:
     """At least two distinct points, all finite."""
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
@@ -106,10 +92,6 @@ def length(line: Column) -> Column:
     return F.aggregate(edges(line), F.lit(0.0), lambda s, e: s + distance(e["a"], e["b"]))
 
 
-def geodesic_length(line: Column) -> Column:
-    return F.aggregate(edges(line), F.lit(0.0), lambda s, e: s + geodesic(e["a"], e["b"]))
-
-
 def centroid(line: Column) -> Column:
     """Centre of a line's edges, weighted by their lengths; of a line without length, its first point."""
     start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("l"))

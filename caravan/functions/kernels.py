@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 LINE = "array<struct<x:double,y:double>>"
 
 
-def _flat(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Vertices (n, 2) of all lines of an Arrow array and the offsets of each line; a null line has none."""
     points = lines.flatten()
     sizes = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False)
@@ -52,15 +52,56 @@ def kept(points: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def simplify(line: Column, tolerance: float) -> Column:
-    """Douglas and Peucker's simplification; work goes to lines of more than two vertices alone."""
+def crossings(points: np.ndarray) -> np.ndarray:
+    """Pairs (i, j) of edges of a line that cross in their insides, found among edges whose boxes meet by a sweep along x."""
+    p, q = points[:-1], points[1:]
+    low, high = np.minimum(p, q), np.maximum(p, q)
+    order = np.argsort(low[:, 0], kind="stable")
+    at = np.arange(len(order))
+    count = np.searchsorted(low[order, 0], high[order, 0], side="right") - at - 1
+    i = np.repeat(order, count)
+    j = order[np.repeat(at + 1, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+    met = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1]) & (np.abs(i - j) > 1)
+    i, j = i[met], j[met]
+
+    def side(a, b, c):
+        return (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
+
+    crossed = (side(p[i], q[i], p[j]) * side(p[i], q[i], q[j]) < 0) & (side(p[j], q[j], p[i]) * side(p[j], q[j], q[i]) < 0)
+    return np.column_stack([i[crossed], j[crossed]])
+
+
+def kept_apart(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """kept(), with vertices brought back until no edge that stands for several crosses another one.
+
+    Of such an edge the vertex farthest from it comes back, so in the end only edges of the line itself cross.
+    """
+    keep = kept(points, tolerance)
+    while True:
+        at = np.flatnonzero(keep)
+        found = np.unique(crossings(points[at])) if len(at) > 3 else np.zeros(0, int)
+        found = found[at[found + 1] - at[found] > 1]
+        if not len(found):
+            return keep
+        for e in found:
+            a, b = at[e], at[e + 1]
+            rest, p, d = points[a + 1 : b], points[a], points[b] - points[a]
+            square = d @ d
+            t = np.clip((rest - p) @ d / square, 0, 1) if square else np.zeros(len(rest))
+            keep[a + 1 + int(np.hypot(*(rest - p - t[:, None] * d).T).argmax())] = True
+
+
+def simplify(line: Column, tolerance: float, topology: bool = False) -> Column:
+    """Douglas and Peucker's simplification; work goes to lines of more than two vertices alone. With topology, a line that
+    doesn't cross itself doesn't afterwards."""
+    chosen = kept_apart if topology else kept
 
     @F.arrow_udf(LINE)
     def run(lines: pa.Array) -> pa.Array:
-        xy, at = _flat(lines)
+        xy, at = flat(lines)
         keep, sizes = np.ones(len(xy), bool), np.diff(at)
         for i in np.flatnonzero(sizes > 2):
-            keep[at[i] : at[i + 1]] = kept(xy[at[i] : at[i + 1]], tolerance)
+            keep[at[i] : at[i + 1]] = chosen(xy[at[i] : at[i + 1]], tolerance)
         done = np.r_[0, np.cumsum(keep)]
         return _lines(xy[keep], done[at[1:]] - done[at[:-1]], lines.is_null().to_numpy(zero_copy_only=False))
 
@@ -133,34 +174,147 @@ def longest(parts: list[np.ndarray]) -> np.ndarray | None:
 
 
 def merged(parts: list[np.ndarray]) -> list[np.ndarray]:
-    """Lines that share an end which no third line has become one, in either direction."""
+    """Lines that share an end which no third line has become one, in either direction: chains are followed from end to end."""
     lines, key = [p for p in parts if len(p)], (lambda v: (round(float(v[0]), 9), round(float(v[1]), 9)))
-    while True:
-        ends: dict[tuple, list[int]] = {}
-        for i, line in enumerate(lines):
-            for v in (line[0], line[-1]):
-                ends.setdefault(key(v), []).append(i)
-        pair = next(((k, v) for k, v in ends.items() if len(v) == 2 and v[0] != v[1]), None)
-        if pair is None:
-            return lines
-        at, (i, j) = pair
-        a, b = lines[i], lines[j]
-        a = a if key(a[-1]) == at else a[::-1]
-        b = b if key(b[0]) == at else b[::-1]
-        lines = [x for k, x in enumerate(lines) if k not in (i, j)] + [np.concatenate([a, b[1:]])]
+    ends: dict[tuple, list[tuple[int, bool]]] = {}
+    for i, line in enumerate(lines):
+        ends.setdefault(key(line[0]), []).append((i, True))
+        ends.setdefault(key(line[-1]), []).append((i, False))
+
+    def onward(i: int, first: bool) -> tuple[int, bool] | None:
+        """The line that goes on from an end of line i, and whether it does so from its first vertex."""
+        met = ends[key(lines[i][0] if first else lines[i][-1])]
+        if len(met) != 2 or met[0][0] == met[1][0]:
+            return None
+        return met[1] if met[0] == (i, first) else met[0]
+
+    out, used = [], [False] * len(lines)
+    for i in range(len(lines)):
+        if used[i]:
+            continue
+        at, forward, seen = i, True, {i}
+        while (step := onward(at, forward)) and step[0] not in seen:  # back to where the chain begins
+            at, forward = step[0], not step[1]
+            seen.add(at)
+        chain, forward = [], not forward
+        while True:
+            used[at] = True
+            chain.append(lines[at] if not forward else lines[at][::-1])
+            step = onward(at, forward)
+            if step is None or used[step[0]]:
+                break
+            at, forward = step[0], not step[1]
+        out.append(np.concatenate([chain[0], *(c[1:] for c in chain[1:])]))
+    return out
+
+
+#: Cells of padded distance tables that are worked on at once.
+CELLS = 2_000_000
+
+
+def frechet_distances(p: np.ndarray, at_p: np.ndarray, q: np.ndarray, at_q: np.ndarray) -> np.ndarray:
+    """Discrete Frechet distances of pairs of lines, as flat vertices and offsets; infinite where either has none.
+
+    Pairs of like sizes go together, and their tables are filled by diagonals: every cell of a diagonal depends on the two before it
+    alone, so a step is a few operations on whole arrays.
+    """
+    n, m = np.diff(at_p), np.diff(at_q)
+    out = np.full(len(n), np.inf)
+    order = np.flatnonzero((n > 0) & (m > 0))
+    order = order[np.lexsort((m[order], n[order]))]
+    i = 0
+    while i < len(order):
+        wide, high, j = 0, 0, i
+        while j < len(order):
+            high, wide_j = int(n[order[j]]), max(wide, int(m[order[j]]))
+            if j > i and (j - i + 1) * high * wide_j > CELLS:
+                break
+            wide, j = wide_j, j + 1
+        chosen = order[i:j]
+        high = int(n[chosen].max())
+        rows, columns = np.minimum(np.arange(high)[None], n[chosen, None] - 1), np.minimum(np.arange(wide)[None], m[chosen, None] - 1)
+        a, b = p[at_p[chosen, None] + rows], q[at_q[chosen, None] + columns]
+        before = last = np.full((len(chosen), high + 1), np.inf)  # place 0 stands for what is before the first row
+        for k in range(high + wide - 1):
+            lo, hi = max(0, k - wide + 1), min(high - 1, k)
+            x, y = a[:, lo : hi + 1], b[:, k - hi : k - lo + 1][:, ::-1]
+            d = np.hypot(x[..., 0] - y[..., 0], x[..., 1] - y[..., 1])
+            row = np.full_like(last, np.inf)
+            if k:
+                d = np.maximum(d, np.minimum(np.minimum(last[:, lo + 1 : hi + 2], last[:, lo : hi + 1]), before[:, lo : hi + 1]))
+            row[:, lo + 1 : hi + 2] = d
+            ended = np.flatnonzero(n[chosen] + m[chosen] - 2 == k)
+            out[chosen[ended]] = row[ended, n[chosen[ended]]]
+            before, last = last, row
+        i = j
+    return out
 
 
 def discrete_frechet(p: np.ndarray, q: np.ndarray) -> float:
-    if not len(p) or not len(q):
-        return float("inf")
-    d = np.hypot(p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1])
-    row = np.maximum.accumulate(d[0])
-    for i in range(1, len(p)):
-        before, row = row, np.empty(len(q))
-        row[0] = max(before[0], d[i, 0])
-        for j in range(1, len(q)):
-            row[j] = max(d[i, j], min(before[j], before[j - 1], row[j - 1]))
-    return float(row[-1])
+    return float(frechet_distances(p, np.array([0, len(p)]), q, np.array([0, len(q)]))[0])
+
+
+def _reversed(xy: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Vertices of lines with each line's order turned around."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return xy[at[owner] + at[owner + 1] - 1 - np.arange(len(xy))]
+
+
+def frechet(p: Column, q: Column, either: bool = False) -> Column:
+    """Discrete Frechet distance of two lines; with either, the smaller one of p as it is and reversed. Null for null."""
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        (one, i), (two, j) = flat(a), flat(b)
+        found = frechet_distances(one, i, two, j)
+        if either:
+            found = np.minimum(found, frechet_distances(_reversed(one, i), i, two, j))
+        return pa.array(found, mask=pc.or_(a.is_null(), b.is_null()).to_numpy(zero_copy_only=False))
+
+    return run(p, q)
+
+
+def frechet_sums(ids: Column, lines: Column, other_ids: Column, other_lines: Column) -> Column:
+    """array<struct<id,d>>: the distances of all lines of one bundle to all of another, summed up by line, for the lines of both; of
+    a bundle with itself each pair counts once for either line. Bundles are arrays of ids and of lines."""
+
+    @F.arrow_udf("array<struct<id:bigint,d:double>>")
+    def run(ids_a: pa.Array, lines_a: pa.Array, ids_b: pa.Array, lines_b: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(ids_a)):
+            a, b = ids_a[i].as_py(), ids_b[i].as_py()
+            (one, at_a), (two, at_b) = flat(lines_a[i].values), flat(lines_b[i].values)
+            x, y = (v.ravel() for v in np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij"))
+            if a == b:
+                x, y = x[x < y], y[x < y]
+
+            def pick(xy, at, which):
+                size = np.diff(at)[which]
+                return xy[np.repeat(at[which], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)], np.r_[0, np.cumsum(size)]
+
+            d = frechet_distances(*pick(one, at_a, x), *pick(two, at_b, y))
+            sums = [*zip(a, np.bincount(x, d, len(a)).tolist(), strict=True), *zip(b, np.bincount(y, d, len(b)).tolist(), strict=True)]
+            out.append([{"id": k, "d": v} for k, v in sums])
+        return pa.array(out, pa.list_(pa.struct([("id", pa.int64()), ("d", pa.float64())])))
+
+    return run(ids, lines, other_ids, other_lines)
+
+
+def clip_parts(line: Column, other: Column, reach: float) -> Column:
+    """array<line>: the parts of a line within reach of another, in order; a multipart line, of which posexplode gives numbers and
+    parts and single_line() makes one again. Empty where the lines are apart, null for null."""
+
+    @F.arrow_udf(f"array<{LINE}>")
+    def run(lines: pa.Array, others: pa.Array) -> pa.Array:
+        (one, i), (two, j) = flat(lines), flat(others)
+        found = [clip_near(one[i[k] : i[k + 1]], two[j[k] : j[k + 1]], reach) for k in range(len(lines))]
+        parts = [x for xs in found for x in xs]
+        flat_lines = _lines(np.concatenate(parts) if parts else np.empty((0, 2)), np.array([len(x) for x in parts], np.int64))
+        missing = pc.or_(lines.is_null(), others.is_null()).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.r_[0, np.cumsum([len(xs) for xs in found])].astype(np.int32), mask=np.r_[missing, False])
+        return pa.ListArray.from_arrays(offsets, flat_lines)
+
+    return run(line, other)
 
 
 MATCH = "struct<frechet:double,road_length:double,trip_length:double>"
@@ -172,7 +326,7 @@ def match_lines(road: Column, trip: Column, reach: float) -> Column:
 
     @F.arrow_udf(MATCH)
     def run(roads: pa.Array, trips: pa.Array) -> pa.Array:
-        (road, r), (trip, t) = _flat(roads), _flat(trips)
+        (road, r), (trip, t) = flat(roads), flat(trips)
         out = np.full((len(roads), 3), np.inf)
         for i in range(len(roads)):
             near = [clip_near(road[r[i] : r[i + 1]], trip[t[i] : t[i + 1]], reach), clip_near(trip[t[i] : t[i + 1]], road[r[i] : r[i + 1]], reach)]
@@ -212,7 +366,7 @@ def to_wkb(line: Column) -> Column:
 
     @F.arrow_udf("binary")
     def run(lines: pa.Array) -> pa.Array:
-        xy, at = _flat(lines)
+        xy, at = flat(lines)
         null = lines.is_null().to_pylist()
         return pa.array([None if null[i] else struct.pack("<BII", 1, 2, at[i + 1] - at[i]) + xy[at[i] : at[i + 1]].astype("<f8").tobytes() for i in range(len(lines))], pa.binary())
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravan.functions import geo
+from caravan.functions import geo, spheroid
 from caravan.session import written
 
 #: Widens reaches in the choice of cells, so that rounding never parts a pair; the exact distance decides.
@@ -84,19 +84,48 @@ def distance_join(points: DataFrame, lines: DataFrame, reach: float, key: str =
     return _with_places(best, points, lines, key, line_key, line)
 
 
-def geodesic_join(points: DataFrame, lines: DataFrame, reach: float, key: str = "id", line_key: str = "gid", point: str = "point", line: str = "line", latitude: float = 60.0) -> DataFrame:
+#: Latitude beyond which the projected plane is of no use.
+POLAR = 89.0
+
+
+def geodesic_join(points: DataFrame, lines: DataFrame, reach: float, key: str = "id", line_key: str = "gid", point: str = "point", line: str = "line") -> DataFrame:
     """distance_join() of longitudes and latitudes, with a reach in metres on the spheroid; dist, along and total are such metres.
 
-    Lines are cut where EPSG:3857 is met at the widened reach that holds up to the given latitude; the geodesic distance to the
-    place found there decides.
+    Candidates meet on the plane of EPSG:3857, where a metre grows with the latitude: points are taken in bands, each of which meets
+    lines at the reach that holds at its own highest latitude; the geodesic distance to the place found there decides. A line's longitudes
+    go on over the antimeridian rather than around the globe, and points are seen from the turn that a line is in. Points beyond
+    89 degrees raise an error. Lines of edges so long that the plane's straight edge leaves the geodesic by much should be densified.
     """
-    flat = lambda df, c, f: df.withColumn(f"_{c}", f(F.col(c)))
-    p, l = flat(points, point, geo.mercator), flat(lines, line, geo.mercator_line)  # noqa: E741
-    found = distance_join(p, l, reach * 1.01 / math.cos(math.radians(latitude)), key, line_key, f"_{point}", f"_{line}")
-    metres = geo.geodesic_length(F.col(line))
-    near = found.withColumn("near", geo.inverse_mercator(F.col("near"))).withColumn("dist", geo.geodesic(F.col(point), F.col("near")))
-    rows = near.withColumn("along", F.when(F.col("total") > 0, F.col("along") / F.col("total") * metres).otherwise(F.lit(0.0))).withColumn("total", metres)
-    return rows.where(F.col("dist") <= reach).drop(f"_{point}", f"_{line}")
+    turned = F.aggregate(
+        F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0))), F.slice(line, F.lit(1), F.lit(1)),
+        lambda done, p: F.concat(done, F.array(geo.point(p["x"] - F.round((p["x"] - F.element_at(done, -1)["x"]) / 360) * 360, p["y"]))),
+    )
+    flat = lines.withColumn("_turned", turned).withColumn("_line", geo.mercator_line(F.col("_turned"))).drop("_turned")
+    xs = flat.select(F.explode("_line").alias("p")).agg(F.min("p.x").alias("low"), F.max("p.x").alias("high"))
+    p = points.where(F.col(point).isNotNull()).crossJoin(F.broadcast(xs))
+    around, wide = 2 * math.pi * geo.RADIUS, reach * 60  # the turns from which a line can be in reach
+    x = geo.mercator(F.col(point))["x"]
+    first, last = F.ceil((F.col("low") - wide - x) / around), F.floor((F.col("high") + wide - x) / around)
+    p = p.withColumn("_turn", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    moved = geo.mercator(F.col(point))
+    lat = F.abs(F.col(point)["y"])
+    band = F.floor(-F.log2(F.cos(F.radians(lat))) + 1e-9).cast("int")
+    p = p.withColumn("_point", geo.point(moved["x"] + F.col("_turn") * around, moved["y"])).withColumn("_band", band).withColumn("_lat", lat)
+    ends = {r["_band"]: r["m"] for r in p.groupBy("_band").agg(F.max("_lat").alias("m")).collect()}
+    if any(m > POLAR for m in ends.values()):
+        raise ValueError(f"points beyond {POLAR} degrees can't be joined on the projected plane")
+    out = None
+    for number, most in sorted(ends.items()):
+        scaled = reach * 1.01 / math.cos(math.radians(most + math.degrees(reach / 6.3e6)))
+        mine = p.where(F.col("_band") == number).withColumn("_key", F.struct(key, "_turn")).drop("low", "high", "_lat", "_band", "_turn")
+        found = distance_join(mine, flat, scaled, "_key", line_key, "_point", "_line")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = distance_join(p.withColumn("_key", F.struct(key, "_turn")).drop("low", "high", "_lat", "_band", "_turn"), flat, reach, "_key", line_key, "_point", "_line")
+    metres = spheroid.geodesic_length(F.col(line))
+    near = out.withColumn("near", geo.inverse_mercator(F.col("near"))).withColumn("dist", spheroid.geodesic(F.col(point), F.col("near")))
+    rows = near.withColumn("_metres", metres).withColumn("along", F.when(F.col("total") > 0, F.col("along") / F.col("total") * F.col("_metres")).otherwise(F.lit(0.0))).withColumn("total", F.col("_metres"))
+    return rows.where(F.col("dist") <= reach).drop("_point", "_line", "_key", "_metres")
 
 
 def nearest_within(points: DataFrame, lines: DataFrame, reach: float, key: str, line_key: str, point: str = "point", line: str = "line") -> DataFrame:

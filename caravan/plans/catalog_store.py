@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from caravan.functions import geo
+from caravan.functions import geo, times
 from caravan.operators import relational as R
 from caravan.plans import catalog as C
 from caravan.plans import flow, gtfs, migrate
@@ -247,3 +247,26 @@ def travel_times_with_lengths(spark, d):
     lengths = rows.where("(o_id + d_id) % 2 = 0").select("o_id", "d_id", (F.col("o_id") * 100 + F.col("d_id")).cast("double").alias("length_m")).distinct()
     found = gtfs.estimate_missing_times(rows, by_vehicle=False, lengths=lengths)
     return found.groupBy("o_id", "d_id", "interval_id", "length_m").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 4).alias("total"))
+
+
+# --- clocks of several zones ----------------------------------------------------------------------------------------
+
+ZONES = ("Europe/Paris", "America/New_York")
+
+
+@query(
+    f"WITH t AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{ZONES[0]}' ELSE '{ZONES[1]}' END AS zone, timezone(CASE WHEN event_id % 2 = 0 THEN '{ZONES[0]}' ELSE '{ZONES[1]}' END, timezone('UTC', CAST(ts AS TIMESTAMP) + to_days(CAST(event_id % 366 AS INTEGER)))) AS l FROM events), "
+    "s AS (SELECT event_id, zone, CAST(hour(l) * 3600 + minute(l) * 60 + floor(second(l)) AS BIGINT) AS tod FROM t), "
+    "i AS (SELECT * FROM (VALUES ('night', 79200, 86400), ('night', 0, 7200), ('morning', 7200, 43200), ('day', 43200, 79200)) v(interval_name, a, b)) "
+    "SELECT zone, interval_name, count(*) AS n, CAST(sum(tod) AS BIGINT) AS total FROM s JOIN i ON tod >= a AND tod < b GROUP BY ALL"
+)
+def local_intervals(spark, d):
+    """Events of a year, with the days on which clocks change, by the interval that their own agency's clocks show; one is over midnight."""
+    events = M.table(spark, d, "events")
+    zone = F.when(F.col("event_id") % 2 == 0, ZONES[0]).otherwise(ZONES[1])
+    moment = F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 366 * 86_400_000_000
+    rows = events.select(zone.alias("zone"), times.seconds_of_day(F.timestamp_micros(moment), zone).cast("long").alias("tod"))
+    named = spark.createDataFrame([("night", 79200, 93600), ("morning", 7200, 43200), ("day", 43200, 79200)], "interval_name string, s long, e long")
+    parts = times.split_at_midnight(named)
+    inside = rows.join(F.broadcast(parts), (F.col("tod") >= F.col("s")) & (F.col("tod") < F.col("e")))
+    return inside.groupBy("zone", "interval_name").agg(F.count("*").alias("n"), F.sum("tod").alias("total"))

@@ -161,14 +161,14 @@ def interpolate_occupancy(segments: DataFrame, surveyed: DataFrame, reach: float
     pairs count whose Frechet distance is below that share of the segment's length.
     """
     with_survey = surveyed.select("trip_id").distinct()
-    rows = segments.select("trip_id", "segment_order", kernels.simplify(F.col("line"), tolerance).alias("line") if tolerance else F.col("line"))
+    rows = segments.select("trip_id", "segment_order", kernels.simplify(F.col("line"), tolerance, topology=True).alias("line") if tolerance else F.col("line"))
     name = lambda df, i: df.select(F.col("trip_id").alias(f"trip_id_{i}"), F.col("segment_order").alias(f"segment_order_{i}"), "line")
     wanting, giving = name(rows.join(with_survey, "trip_id", "left_anti"), 1), name(rows.join(with_survey, "trip_id", "left_semi"), 2)
     one, two = ["trip_id_1", "segment_order_1"], ["trip_id_2", "segment_order_2"]
     pairs = S.line_pairs(wanting, giving, reach, one, two, cell).drop("dist")
     if ratio is not None:
         pairs = pairs.join(wanting, one).join(giving.withColumnRenamed("line", "other"), two)
-        pairs = pairs.where(geo.frechet_any(F.col("line"), F.col("other")) / F.nullif(geo.length(F.col("line")), F.lit(0.0)) < ratio)
+        pairs = pairs.where(kernels.frechet(F.col("line"), F.col("other"), either=True) / F.nullif(geo.length(F.col("line")), F.lit(0.0)) < ratio)
     best = R.top_k(pairs.groupBy("trip_id_1", "trip_id_2").agg(F.count("*").alias("n")), lenders, ["trip_id_1"], [F.col("n").desc(), "trip_id_2"])
     chosen = pairs.select("trip_id_1", "segment_order_1", "trip_id_2", "segment_order_2").join(best.drop("n"), ["trip_id_1", "trip_id_2"])
     lent = chosen.join(surveyed.withColumnsRenamed({"trip_id": "trip_id_2", "segment_order": "segment_order_2"}), ["trip_id_2", "segment_order_2"])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravan.functions import geo
+from caravan.functions import geo, kernels, spheroid
 from caravan.operators import relational as R
 from caravan.operators import spatial as S
+from caravan.session import written
 
 #: Metres of the stop pipeline, on the projected plane.
 EPS, MIN_POINTS, CELL, SNAP, TERMINAL = 150.0, 3, 120.0, 30.0, 75.0
@@ -137,7 +138,7 @@ def trips_view(trips: DataFrame, agencies: DataFrame, vehicles: DataFrame, termi
     text = lambda *c: F.concat(*(F.coalesce(x, F.lit("")) for x in c))
     return rows.select(
         "gid", F.col("observer_route_id").alias("route_id"), "route_type", "service_id", text(F.col("common_name"), F.lit(" "), F.col("agency_serial")).alias("route_short"), route_long(F.col("origin"), F.col("destination")).alias("route_long"),
-        "observer_id", "direction_id", "o_id", "d_id", "geom", "origin", "destination", F.col("agency").alias("agency_id"), "vehicle_name", "passenger_capacity", text(F.col("origin"), F.lit("-"), F.col("destination")).alias("trip_short"), "fare", (geo.geodesic_length(F.col("geom")) / 1000).alias("len_km"),
+        "observer_id", "direction_id", "o_id", "d_id", "geom", "origin", "destination", F.col("agency").alias("agency_id"), "vehicle_name", "passenger_capacity", text(F.col("origin"), F.lit("-"), F.col("destination")).alias("trip_short"), "fare", (spheroid.geodesic_length(F.col("geom")) / 1000).alias("len_km"),
     )
 
 
@@ -235,16 +236,31 @@ def od_stats(segments: DataFrame, durations: DataFrame) -> DataFrame:
     return segments.join(durations, ["o_id", "d_id", "vehicle_name"]).withColumn("speed", F.try_divide("dist", "duration") * 3.6)
 
 
+#: Lines of a bundle, of which pairs are compared in one task.
+BUNDLE = 64
+
+
 def representative_lines(instances: DataFrame) -> DataFrame:
     """Of each trip's survey lines the one with the smallest mean Frechet distance to the others; instances(id, trip_id, line).
 
-    Each pair of a trip is compared once. Ties go to the smaller id.
+    Each pair of a trip is compared once. A trip's lines are numbered and go into bundles, and pairs of bundles meet in tasks of their
+    own, however many lines a trip has; a row is a bundle of lines then, not a line, and sums come back. Means are compared to the
+    nanometre, ties go to the smaller id. Trips of one line have no pair and no row.
     """
-    a = instances.select("trip_id", F.col("id").alias("a"), F.col("line").alias("la"))
-    b = instances.select("trip_id", F.col("id").alias("b"), F.col("line").alias("lb"))
-    pairs = a.join(b, "trip_id").where("a < b").withColumn("d", geo.frechet(F.col("la"), F.col("lb")))
-    means = pairs.select("trip_id", F.explode(F.array("a", "b")).alias("id"), "d").groupBy("trip_id", "id").agg(F.avg("d").alias("mean"))
-    return R.first_by(means, ["trip_id"], ["mean", "id"])
+    numbered = instances.where("line is not null").select("trip_id", "id").withColumn("_n", F.row_number().over(Window.partitionBy("trip_id").orderBy("id")) - 1)
+    placed = numbered.withColumn("_b", F.floor(F.col("_n") / BUNDLE)).drop("_n")
+    rows = instances.join(placed, ["trip_id", "id"]).groupBy("trip_id", "_b").agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), "line"))).alias("_l"))
+    bundles = written(rows.select("trip_id", "_b", F.transform("_l", lambda x: x["id"]).alias("ids"), F.transform("_l", lambda x: x["line"]).alias("lines")), "bundles")
+    counts = bundles.groupBy("trip_id").agg(F.max("_b").alias("_last"))
+    # each bundle says which others it meets; a trip's pairs of bundles are dealt by both numbers
+    asked = bundles.select("trip_id", "_b").join(counts, "trip_id").select("trip_id", F.col("_b").alias("a"), F.explode(F.sequence("_b", "_last")).alias("b"))
+    pairs = asked.join(bundles.select("trip_id", F.col("_b").alias("a"), "ids", "lines"), ["trip_id", "a"])
+    pairs = pairs.join(bundles.select("trip_id", F.col("_b").alias("b"), F.col("ids").alias("ids2"), F.col("lines").alias("lines2")), ["trip_id", "b"])
+    sums = pairs.select("trip_id", F.explode(kernels.frechet_sums(F.col("ids"), F.col("lines"), F.col("ids2"), F.col("lines2"))).alias("s"))
+    sizes = bundles.groupBy("trip_id").agg(F.sum(F.size("ids")).alias("_k")).where("_k > 1")
+    totals = sums.groupBy("trip_id", F.col("s.id").alias("id")).agg(F.sum("s.d").alias("_d")).join(sizes, "trip_id")
+    means = totals.select("trip_id", "id", (F.col("_d") / (F.col("_k") - 1)).alias("mean"))
+    return R.first_by(means, ["trip_id"], [F.round("mean", 9), "id"])
 
 
 def replace_geometry(trips: DataFrame, found: DataFrame, key: str, column: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from caravan.plans import catalog, catalog_sdi, catalog_store  # noqa: F401
+from caravan.plans import catalog, catalog_lines, catalog_sdi, catalog_store  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
