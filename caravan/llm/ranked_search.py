@@ -26,7 +26,7 @@ SKETCH, BUCKETS = 16, 1024
 #: Levels over all documents at most (a chunk is a part of such a node), rounds of exchanges on each, bins that gains are counted by.
 DEPTH, ROUNDS, BINS = 6, 2, 64
 #: Documents and bytes of text of a chunk, about; documents of a cluster; rounds and rare terms of a document within a chunk.
-CHUNK_DOCS, CHUNK_BYTES, CLUSTER, LOCAL_ROUNDS, LOCAL_TERMS = 4096, 16_000_000, 64, 4, 32
+CHUNK_DOCS, CHUNK_BYTES, CLUSTER, LOCAL_ROUNDS, LOCAL_TERMS = 2048, 8_000_000, 64, 4, 32
 #: Bytes of queries that one pass broadcasts, and clusters that give a query its first threshold.
 PASS_BYTES, SEEDS = 4_000_000, 4
 
