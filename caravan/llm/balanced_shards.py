@@ -134,6 +134,21 @@ def _limits(wished: list[tuple[int, int, int, int]], allowed: dict[tuple[int, in
     return [(*k, *v) for k, v in sorted(out.items()) if allowed[k]]
 
 
+#: Rows that are alike and made by one task.
+ALIKE = 65536
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with copy, a number from 0 among rows that are alike in everything, which ranks can be dealt out by.
+
+    Such rows are counted and made again from their count, in blocks, so however many there are, no task sorts them.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    blocks = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(ALIKE).cast("long"))))
+    spread = blocks.repartition("_from", *rows.columns)
+    return spread.select(*rows.columns, F.explode(F.sequence("_from", F.least(F.col("_n") - 1, F.col("_from") + ALIKE - 1))).alias("copy"))
+
+
 def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataFrame:
     """Every row of docs(doc_id, text, ...) in a shard, by the law `rows`: the shards' counts are at most one apart.
 
@@ -146,9 +161,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) ->
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("group"))
-    read = materialize(narrow, "rows")
+    read = materialize(_numbered(narrow), "rows")
     total = read.count()
-    rows = materialize(ranked(read, total, [], ["doc_id", "group"], "node"), "ranked")
+    rows = materialize(ranked(read, total, [], ["doc_id", "group", "copy"], "node").drop("copy"), "ranked")
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     groups = materialize(rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "groups")
     members = materialize(rows.select("node", "group").join(groups, "group"), "members")
