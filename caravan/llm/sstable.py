@@ -270,7 +270,8 @@ def _write(folder: str, tokenizer: str, end_id: int | None, width: int):
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None) -> list[dict]:
     """Encode all texts and write them to folder as shards in ascending doc_id order, nulls first; the manifest.
 
-    docs(doc_id, text, ...); a null text counts as empty; rows that repeat a doc_id are ordered by their texts. An empty
+    docs(doc_id, text, ...); a null text counts as empty; rows that repeat a doc_id are ordered by a
+    hash of their texts and may stand in several shards. An empty
     table gives an empty manifest. Each task writes one shard of a range of doc_ids; the driver sees a line for each shard.
     A task that runs again renames equal bytes to the same name. Texts of any length are coded whole.
     """
@@ -279,10 +280,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
 
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id are ranged by their texts, and those that are alike by a number, so that no id fills a task
+    rows = rows.withColumns({"_text": F.xxhash64("text"), "_row": F.pmod(F.monotonically_increasing_id(), F.lit(1024))})
+    placed = rows.repartitionByRange("doc_id", "_text", "_row").sortWithinPartitions("doc_id", "_text", "text").select("doc_id", "text")
     found = placed.mapInArrow(_write(folder, tokenizer, end_id, width), "name string, first binary, docs long, tokens long").collect()
     before, files = 0, []
-    for x in sorted(found, key=lambda x: bytes(x["first"])):
+    for x in sorted(found, key=lambda x: x["name"]):
         files.append({"path": f"{folder}/{x['name']}", "docs": x["docs"], "tokens": x["tokens"], "before": before})
         before += x["tokens"]
     fs, root = storage(folder)
