@@ -18,7 +18,7 @@ EQUIVALENT = [
     ("initialise", "initialize"), ("judgement", "judgment"), ("labour", "labor"), ("licence", "license"), ("licences", "licenses"),
     ("licenced", "licensed"), ("maximise", "maximize"), ("modelled", "modeled"), ("offence", "offense"), ("optimise", "optimize"),
     ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"), ("programme", "program"),
-    ("realise", "realize"), ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "wilfull"),
+    ("realise", "realize"), ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
     ("non commercial", "noncommercial"), ("per cent", "percent"), ("sub license", "sublicense"), ("sub licence", "sublicense"),
 ]
 #: What the SQL takes for a copyright line. It takes lines of a licence's body that a wrapping begins with the word as well, so
@@ -166,6 +166,10 @@ def registry(spark: SparkSession, texts: list[tuple[str, str]] | DataFrame | Non
     return known.select(F.sha2("text", 256).alias("digest"), "license", F.length("text").alias("n_chars")).groupBy("digest", "n_chars").agg(F.min("license").alias("license"))
 
 
+#: Lengths of known texts up to which lines are chosen by them; by the shortest and the longest beyond.
+LENGTHS = 1000
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_digest, license: whose text the whole document is, n_notices, notices: sorted, comma-joined).
 
@@ -179,10 +183,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     known = materialize(registry(spark) if known is None else known, "registry")
-    lengths = [x["n_chars"] for x in known.select("n_chars").distinct().collect()]
+    lengths = [x["n_chars"] for x in known.select("n_chars").distinct().orderBy("n_chars").limit(LENGTHS + 1).collect()]
+    longest = known.agg(F.max("n_chars").alias("m")).first()["m"]
+    may_be = lambda x: F.length(x).isin(lengths) if len(lengths) <= LENGTHS else F.length(x).between(lengths[0], longest)
     size = known.count() * 150
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), normal_lines(F.col("text").cast("string")).alias("lines"))
-    single = F.filter(F.transform(F.split("lines", "\n"), squeeze), lambda x: F.length(x).isin(lengths) if lengths else F.lit(False))
+    single = F.filter(F.transform(F.split("lines", "\n"), squeeze), may_be if lengths else lambda x: F.lit(False))
     coded = materialize(rows.select("row", "doc_id", F.sha2(squeeze(F.col("lines")), 256).alias("text_digest"), F.transform(single, lambda x: F.sha2(x, 256)).alias("lines")), "digests")
     known = known.select("digest", "license")
     found = coded.select("row", F.explode("lines").alias("digest")).join(small(known, size), "digest").groupBy("row").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
