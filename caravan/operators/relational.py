@@ -96,6 +96,7 @@ def lag_across_groups(df: DataFrame, group: str, order: list[str], column: str,
     """
     spark = df.sparkSession
     w = Window.partitionBy(group).orderBy(*order)
+    df = written(df, "lagged")  # it is read twice, and may be a costly join
     last = df.groupBy(group).agg(F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order)).alias("_last"))
     placed = written(last.repartitionByRange(group).select("*", F.spark_partition_id().alias("_part")), "ends")
     ends = sorted((r["_part"], r["_end"]) for r in placed.groupBy("_part").agg(F.max_by("_last", group).alias("_end")).collect())

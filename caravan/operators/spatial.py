@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravan.functions import geo, spheroid
-from caravan.session import written
+from caravan.session import remove, written
 
 #: Widens reaches in the choice of cells, so that rounding never parts a pair; the exact distance decides.
 SLACK = 1e-6
@@ -153,7 +153,8 @@ def line_pairs(left: DataFrame, right: DataFrame, reach: float, left_key: list[s
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component: smallest id reachable) of links(a, b), both directions given: labels spread and jump until none changes."""
+    """(id, component: smallest id reachable) of links(a, b), both directions given, of any orderable type: labels spread and jump until
+    none changes. Written; the rounds' own tables are removed."""
     labels = written(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).select("id", F.least("id", "label").alias("label")), "labels")
     links = written(links.where("a <> b"), "links")
     for _ in range(max_rounds):
@@ -162,14 +163,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         after = written(near.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         changed = after.where("label <> was").limit(1).count()
-        labels = after.select("id", "label")
+        remove(labels)
+        labels = after
         if not changed:
+            remove(links)
             return labels.select("id", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
 #: Steps to the cells that may hold a point within eps of one of a cell whose diagonal is eps.
 AROUND = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)]
+#: Parts of a cell's side on each level of the search for two near cores; comparisons for each core that end the search, and levels.
+SIDE, ENOUGH, LEVELS = 4, 8, 8
 
 
 def _around(c: str) -> Column:
@@ -177,6 +182,56 @@ def _around(c: str) -> Column:
     return F.array(*(F.struct((F.col(c)["i"] + i).alias("i"), (F.col(c)["j"] + j).alias("j")) for i, j in AROUND))
 
 
+def _square(x: str, y: str, x2: str, y2: str) -> Column:
+    dx, dy = F.col(x) - F.col(x2), F.col(y) - F.col(y2)
+    return dx * dx + dy * dy
+
+
+def _linked_cells(pairs: DataFrame, cores: DataFrame, eps: float, size: float) -> DataFrame:
+    """(c, d) of pairs(c, d) of cells where a core of one is within eps of a core of the other.
+
+    Cells are cut into ever smaller parts; parts whose boxes are farther apart than eps can't link their cells, and a point of one part
+    within eps of a point of the other does. Cores are compared in full only in parts that neither rule decides, once those are few.
+    """
+    asked = pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct()
+    points = written(cores.join(asked, "c", "left_semi").groupBy("c", "x", "y").agg(F.min("id").alias("id")), "facing")
+    total, found, left, steps = points.count(), [], pairs, [points]
+    for level in range(1, LEVELS + 1):
+        step = size / SIDE**level
+        part = F.struct(_index(F.col("x"), step).alias("i"), _index(F.col("y"), step).alias("j")).alias("s")
+        placed = points.select("*", part)
+        boxes = placed.groupBy("c", "s").agg(F.count("*").alias("n"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.min_by(F.struct("x", "y"), "id").alias("p"))
+        above = F.struct(F.floor(F.col("s.i") / SIDE).alias("i"), F.floor(F.col("s.j") / SIDE).alias("j"))
+        boxes = written(boxes.withColumn("above", above), "boxes")
+        other = boxes.withColumnsRenamed({c: f"o_{c}" for c in boxes.columns if c != "c"}).withColumnRenamed("c", "d")
+        if level == 1:
+            met = left.join(boxes, "c").join(other, "d")
+        else:
+            met = left.withColumnsRenamed({"s": "above", "t": "o_above"}).join(boxes, ["c", "above"]).join(other, ["d", "o_above"])
+        gap = lambda k: F.greatest(F.lit(0.0), F.col(f"o_{k}1") - F.col(f"{k}2"), F.col(f"{k}1") - F.col(f"o_{k}2"))
+        near = met.where(gap("x") * gap("x") + gap("y") * gap("y") <= eps * eps)
+        judged = written(near.select("c", "d", "s", F.col("o_s").alias("t"), (F.col("n") * F.col("o_n")).alias("cost"), (_square("p.x", "p.y", "o_p.x", "o_p.y") <= eps * eps).alias("sure")), "judged")
+        sure = judged.where("sure").select("c", "d").distinct()
+        steps += [boxes, judged]
+        found.append(sure)
+        left = written(judged.join(sure, ["c", "d"], "left_anti").select("c", "d", "s", "t", "cost"), "unsure")
+        steps.append(left)
+        cost = left.agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("cost")).first()["cost"]
+        left = left.drop("cost")
+        if cost <= ENOUGH * total or level == LEVELS:
+            if cost:
+                twin = placed.select(F.col("c").alias("d"), F.col("s").alias("t"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+                full = left.join(placed, ["c", "s"]).join(twin, ["d", "t"])
+                found.append(full.where(_square("x", "y", "ox", "oy") <= eps * eps).select("c", "d").distinct())
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    out = written(out, "linked")
+    remove(*steps)
+    return out
+
+
 def dbscan(points: DataFrame, eps: float, min_points: int, key: str = "id") -> DataFrame:
     """(key, cluster: smallest core key, core) of points(key, x, y) that are in a cluster; noise is left out.
 
@@ -185,49 +240,50 @@ def dbscan(points: DataFrame, eps: float, min_points: int, key: str = "id") -> D
 
     The plane is cut into cells whose diagonal is eps, so points of one cell are within eps of each other: a cell of min_points
     points has cores only, and the cores of a cell share a cluster. Only the few points of other cells are compared with all
-    points of the cells around them. Of two cells with cores, those nearest to the other's middle are compared first, which links
-    dense ones; all cores are compared only where that fails.
+    points of the cells around them. Of two cells with cores, those nearest to the other's middle are compared first, which links most
+    that can be; the others are decided by _linked_cells(). Labels spread over cells, not over points. What an aggregation by cell gave is
+    written before points meet it, so that a cell with very many of them is split among tasks.
     """
     size = eps / math.sqrt(2)
     cell = F.struct(_index(F.col("x"), size).alias("i"), _index(F.col("y"), size).alias("j")).alias("c")
-    placed = points.select(F.col(key).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().select("id", "x", "y", cell)
-    counts = placed.groupBy("c").agg(F.count("*").alias("n"))
+    placed = written(points.select(F.col(key).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().select("id", "x", "y", cell), "placed")
+    counts = written(placed.groupBy("c").agg(F.count("*").alias("n")), "counts")
     rows = written(placed.join(counts, "c"), "points")
     sparse = rows.where(F.col("n") < min_points)
-    close = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) <= eps * eps
+    close = _square("x", "y", "x2", "y2") <= eps * eps
     other = lambda df: df.withColumnsRenamed({"id": "id2", "x": "x2", "y": "y2"})
 
     # cores: whole cells, and points of sparse cells with enough points around
     asked = sparse.withColumn("c", F.explode(_around("c")))
     met = asked.join(other(rows.select("id", "x", "y", "c")), "c").where(close).groupBy("id").agg(F.count("*").alias("m"))
-    some = sparse.join(met, "id").where(F.col("n") + F.col("m") >= min_points).select("id", "x", "y", "c")
+    some = sparse.join(met, "id", "left").where(F.col("n") + F.coalesce("m", F.lit(0)) >= min_points).select("id", "x", "y", "c")
     cores = written(rows.where(F.col("n") >= min_points).select("id", "x", "y", "c").unionByName(some), "cores")
 
     # links between cells with cores
-    facing = cores.select("*", F.explode(_around("c")).alias("d"))
+    firsts = written(cores.groupBy("c").agg(F.min("id").alias("first")), "cells")
+    facing = firsts.select("c", F.explode(_around("c")).alias("d")).join(firsts.select(F.col("c").alias("d")), "d", "left_semi")
     off = lambda v, k: F.col(v) - (F.col("d")[k] + 0.5) * size
-    nearest = facing.groupBy("c", "d").agg(F.min_by(F.struct("x", "y"), F.struct((off("x", "i") * off("x", "i") + off("y", "j") * off("y", "j")).alias("far"), "id")).alias("p"))
+    nearest = cores.join(written(facing, "around"), "c").groupBy("c", "d").agg(F.min_by(F.struct("x", "y"), F.struct((off("x", "i") * off("x", "i") + off("y", "j") * off("y", "j")).alias("far"), "id")).alias("p"))
     nearest = written(nearest, "facing")
     back = nearest.select(F.col("d").alias("c"), F.col("c").alias("d"), F.col("p").alias("q"))
-    both = nearest.where("c < d").join(back, ["c", "d"])
-    apart = (F.col("p.x") - F.col("q.x")) * (F.col("p.x") - F.col("q.x")) + (F.col("p.y") - F.col("q.y")) * (F.col("p.y") - F.col("q.y"))
-    tried = written(both.select("c", "d", (apart <= eps * eps).alias("linked")), "tried")
-    unsure = tried.where("not linked").select("c", "d")
-    full = unsure.join(cores, "c").join(other(cores).withColumnRenamed("c", "d"), "d").where(close).select("c", "d").distinct()
-    links = tried.where("linked").select("c", "d").unionByName(full)
-    number = lambda c: F.shiftleft(F.col(c)["i"], 32) + F.col(c)["j"] + F.lit(1 << 31)
-    own = cores.select(number("c").alias("a"), number("c").alias("b")).distinct()
-    pairs = links.select(number("c").alias("a"), number("d").alias("b"))
-    cells = components(own.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    named = cores.withColumn("_cell", number("c")).join(cells.withColumnRenamed("id", "_cell"), "_cell")
-    smallest = named.groupBy("component").agg(F.min("id").alias("cluster"))
-    found = written(named.join(smallest, "component").select("id", "x", "y", "c", "cluster"), "clusters")
+    tried = written(nearest.where("c < d").join(back, ["c", "d"]).select("c", "d", (_square("p.x", "p.y", "q.x", "q.y") <= eps * eps).alias("linked")), "tried")
+    more = _linked_cells(tried.where("not linked").select("c", "d"), cores, eps, size)
+    links = tried.where("linked").select(F.col("c").alias("a"), F.col("d").alias("b")).unionByName(more.select(F.col("c").alias("a"), F.col("d").alias("b")))
+    own = firsts.select(F.col("c").alias("a"), F.col("c").alias("b"))
+    cells = components(own.unionByName(links).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    named = firsts.join(cells.withColumnRenamed("id", "c"), "c")
+    smallest = named.groupBy("component").agg(F.min("first").alias("cluster"))
+    labels = written(named.join(smallest, "component").select("c", "cluster"), "clusters")
+    found = written(cores.join(labels, "c"), "found")
 
     # border points: of sparse cells, with a core in their cell or within eps of one around
     border = sparse.select("id", "x", "y", "c").join(cores.select("id"), "id", "left_anti")
     asked = border.unionByName(border.withColumn("c", F.explode(_around("c"))))
     reached = asked.join(other(found), "c").where(close).groupBy("id").agg(F.min("cluster").alias("cluster"))
-    return found.select(F.col("id").alias(key), "cluster", F.lit(True).alias("core")).unionByName(reached.select(F.col("id").alias(key), "cluster", F.lit(False).alias("core")))
+    out = found.select(F.col("id").alias(key), "cluster", F.lit(True).alias("core")).unionByName(reached.select(F.col("id").alias(key), "cluster", F.lit(False).alias("core")))
+    out = written(out, "dbscan")
+    remove(placed, counts, rows, cores, firsts, nearest, tried, more, labels, found)
+    return out
 
 
 def grid_thin(df: DataFrame, cell: float, order: list, x: str = "x", y: str = "y") -> DataFrame:
