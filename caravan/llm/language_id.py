@@ -188,8 +188,9 @@ def train(texts: list[str], labels: list[str], hidden: int = HIDDEN, steps: int
         x, real = np.zeros((BATCH, WINDOW), np.uint8), np.zeros((BATCH, WINDOW), np.float32)
         for i, k in enumerate(y):
             text = by_language[k][rng.integers(len(by_language[k]))]
-            at = rng.integers(0, max(1, len(text) - WINDOW + 1))
-            part = np.frombuffer(text[at : at + WINDOW], np.uint8)
+            size = WINDOW if rng.random() < 0.75 else int(rng.integers(4, WINDOW))  # a text's last window is seldom full
+            at = rng.integers(0, max(1, len(text) - size + 1))
+            part = np.frombuffer(text[at : at + size], np.uint8)
             x[i, : len(part)], real[i, : len(part)] = part, 1
         _, found = net.gradients(np.ascontiguousarray(x.T), real.T, y)
         norm = float(np.sqrt(sum((g * g).sum() for g in found)))
@@ -215,15 +216,18 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, languages: int = LA
     """
     attach(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"))).select(F.col("lang").cast("string"), "doc_id", F.col("text").cast("string"))
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    names = [(r.lang, r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     if not names:
         return None
-    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    each = max(1, fit_rows // len(names))
+    h = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 11)
     size = F.length("text")
-    place = F.when(size > FIT_CHARS, F.pmod(h, size - FIT_CHARS + 1)).otherwise(0).cast("int") + 1
-    rows = known.where(F.col("lang").isin(names)).select("lang", h.alias("h"), F.substring("text", place, F.lit(FIT_CHARS)).alias("text")).where(r"text rlike '\\p{L}'")
-    # the limit within each language holds before rows are shuffled, too
-    chosen = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= max(1, fit_rows // len(names)))
+    place = F.when(size > FIT_CHARS, F.pmod(F.col("h"), size - FIT_CHARS + 1)).otherwise(0).cast("int") + 1
+    # hashes are even, so few rows more than wanted are below a bound that follows from the language's count
+    bounds = [(name, min(1.0, (each + 8 * each**0.5 + 40) / n) * 2.0**53) for name, n in names]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most double"))
+    rows = known.withColumn("h", h).join(limits, "lang").where(F.col("h") < F.col("most")).select("lang", "h", F.substring("text", place, F.lit(FIT_CHARS)).alias("text")).where(r"text rlike '\\p{L}'")
+    chosen = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= each)
     sample = sorted((r.lang, r.h, r.text) for r in chosen.collect())
     return train([t for _, _, t in sample], [m for m, _, _ in sample]) if sample else None
 
