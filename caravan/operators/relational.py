@@ -57,13 +57,14 @@ def interval_join(facts: DataFrame, intervals: DataFrame, value: Column, start:
     return facts.join(F.broadcast(intervals) if facts.isStreaming else few(intervals), on)
 
 
-#: Rows of a table of intervals up to which it is sent to every task.
-FEW = 100_000
+#: Rows, and bytes of their text form, of a table up to which it is sent to every task.
+FEW, SMALL = 100_000, 16_000_000
 
 
 def few(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if a count, which stops beyond FEW, finds it small; a join with it shuffles or sorts otherwise."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    """df with a broadcast hint if it is measured to be small, by a reading that stops beyond FEW rows; a join shuffles or sorts otherwise."""
+    row = df.limit(FEW + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if row["n"] <= FEW and row["b"] <= SMALL else df
 
 
 def surrogate_key(df: DataFrame, order: list[str], name: str = "gid", start: int = 1) -> DataFrame:

@@ -169,7 +169,7 @@ def trips_view_left_chain(spark, d):
 def semi_active_intervals(spark, d):
     active = M.table(spark, d, "region").where(F.col("r_name").startswith("A")).select(F.col("r_regionkey").cast("long").alias("i"))
     rows = M.trips(spark, d).withColumn("i", F.col("trip_id") % 5)
-    return rows.join(F.broadcast(active), "i", "left_semi").select("trip_id", "route_id")
+    return rows.join(R.few(active), "i", "left_semi").select("trip_id", "route_id")
 
 
 @query("SELECT o_orderkey AS trip_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -217,7 +217,7 @@ def headway_estimation(spark, d):
 
 @query(M.sql("trips intervals", "SELECT agency, interval_id, count(*) AS n FROM trips CROSS JOIN intervals GROUP BY ALL"))
 def cross_trip_interval(spark, d):
-    return M.trips(spark, d).crossJoin(F.broadcast(M.intervals(spark, d))).groupBy("agency", "interval_id").agg(F.count("*").alias("n"))
+    return M.trips(spark, d).crossJoin(R.few(M.intervals(spark, d))).groupBy("agency", "interval_id").agg(F.count("*").alias("n"))
 
 
 def _clocked(spark, d):
@@ -310,7 +310,7 @@ SURVEY = "survey AS (SELECT trip_id, seq - 1 AS segment_order, interval_name, gr
 
 @query(M.sql("stops trips intervals calls legs runs", ", " + APPEARANCES + ", " + SURVEY + ", cls AS (SELECT app.*, interval_name FROM app JOIN intervals ON tod > s AND tod < e), j AS (SELECT cls.gid, cls.interval_name, occ FROM cls LEFT JOIN survey USING (trip_id, segment_order, interval_name)), m AS (SELECT median(occ) AS m FROM j), c AS (SELECT gid, interval_name, ceil(sum(coalesce(occ, m))) AS v FROM j, m GROUP BY ALL) SELECT id AS gid, coalesce(interval_name, '0') AS interval_name, coalesce(v, 0.0) AS value FROM stops LEFT JOIN c ON id = gid"))
 def passenger_flow(spark, d):
-    calls = M.calls(spark, d).where("vehicle = 'A'").crossJoin(F.broadcast(M.intervals(spark, d)))
+    calls = M.calls(spark, d).where("vehicle = 'A'").crossJoin(R.few(M.intervals(spark, d)))
     survey = calls.groupBy("trip_id", (F.col("seq") - 1).alias("segment_order"), "interval_name").agg(F.avg((F.col("board") - F.col("alight") * 4).cast("double")).alias("occupancy"))
     return flow.passenger_flow(_roads(spark, d), flow.interval_counts(_frequencies(spark, d), _matched(spark, d), M.intervals(spark, d)), survey)
 
@@ -385,14 +385,18 @@ def gtfs_agency(spark, d):
     return gtfs.agency(names.select(F.col("agency").alias("agency_id"), F.col("agency").alias("agency_name"), F.lit("https://example.org").alias("agency_url"), F.lit("Africa/Cairo").alias("agency_timezone")))
 
 
-@query("SELECT 'Ground_Daily' AS service_id, 1 AS monday, 1 AS tuesday, 1 AS wednesday, 1 AS thursday, 1 AS friday, 1 AS saturday, 1 AS sunday, 20240101 AS start_date, 20241231 AS end_date UNION ALL SELECT 'Ground_Sun_Thu', 1, 1, 1, 1, 0, 0, 1, 20240101, 20241231")
+#: First and last day of the orders, a and b.
+PERIOD = "(SELECT CAST(strftime(min(o_orderdate), '%Y%m%d') AS INTEGER) AS a, CAST(strftime(max(o_orderdate), '%Y%m%d') AS INTEGER) AS b FROM orders)"
+
+
+@query(f"SELECT 'Ground_Daily' AS service_id, 1 AS monday, 1 AS tuesday, 1 AS wednesday, 1 AS thursday, 1 AS friday, 1 AS saturday, 1 AS sunday, a AS start_date, b AS end_date FROM {PERIOD} UNION ALL SELECT 'Ground_Sun_Thu', 1, 1, 1, 1, 0, 0, 1, a, b FROM {PERIOD}")
 def gtfs_calendar(spark, d):
-    return gtfs.calendar(spark, 20240101, 20241231)
+    return gtfs.calendar(gtfs.period(M.table(spark, d, "orders"), "o_orderdate"))
 
 
-@query("SELECT 'Feed' AS feed_publisher_name, 'https://example.org' AS feed_publisher_url, 20240101 AS feed_start_date, 20241231 AS feed_end_date, '1' AS feed_version, 'en' AS feed_lang")
+@query(f"SELECT 'Feed' AS feed_publisher_name, 'https://example.org' AS feed_publisher_url, a AS feed_start_date, b AS feed_end_date, '1' AS feed_version, 'en' AS feed_lang FROM {PERIOD}")
 def gtfs_feed_info(spark, d):
-    return gtfs.feed_info(spark, "Feed", "https://example.org", 20240101, 20241231, "1")
+    return gtfs.feed_info(gtfs.period(M.table(spark, d, "orders"), "o_orderdate"), "Feed", "https://example.org", "1")
 
 
 # --- geometry -------------------------------------------------------------------------------------------------------
@@ -669,7 +673,7 @@ def segment_occupancy(spark, d):
 def interpolate_occupancy(spark, d):
     """Four streets a trip; those of one segment were surveyed."""
     streets = M.streets(spark, d).withColumn("trip_id", F.floor(F.col("gid") / 4)).withColumn("segment_order", F.col("gid") % 4)
-    surveyed = streets.where("segment = 'BUILDING'").crossJoin(F.broadcast(M.intervals(spark, d))).select("trip_id", "segment_order", "interval_name", "s", "e", (F.col("gid") % 40).cast("double").alias("occupancy"))
+    surveyed = streets.where("segment = 'BUILDING'").crossJoin(R.few(M.intervals(spark, d))).select("trip_id", "segment_order", "interval_name", "s", "e", (F.col("gid") % 40).cast("double").alias("occupancy"))
     return flow.interpolate_occupancy(streets, surveyed)
 
 

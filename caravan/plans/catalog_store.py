@@ -15,6 +15,7 @@ from caravan.plans import mapping as M
 from caravan.session import work_dir
 from caravan.sources import geojson, layers, osm, store, tables
 from caravan.sources import gtfs as gtfs_files
+from caravan.streaming.intervals import streaming_vehicle_flow
 
 query = C.query
 
@@ -270,3 +271,21 @@ def local_intervals(spark, d):
     parts = times.split_at_midnight(named)
     inside = rows.join(F.broadcast(parts), (F.col("tod") >= F.col("s")) & (F.col("tod") < F.col("e")))
     return inside.groupBy("zone", "interval_name").agg(F.count("*").alias("n"), F.sum("tod").alias("total"))
+
+
+@query(M.sql("stops trips intervals calls legs runs", ", " + C.FLOW.replace("coalesce(v, 0) AS DOUBLE", "coalesce(v, 0) * 3600.0 / 14400 AS DOUBLE")))
+def vehicle_flow_per_hour(spark, d):
+    """Vehicle flow by the hour of each interval."""
+    counts = flow.interval_counts(C._frequencies(spark, d), C._matched(spark, d), M.intervals(spark, d))
+    return flow.vehicle_flow(C._roads(spark, d), counts, per_hour=True)
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+
+
+@query(M.sql("intervals", "SELECT strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H') AS window_start, user_id % 50 AS gid, interval_name, count(*) AS value FROM events JOIN intervals ON CAST(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)) AS BIGINT) > s AND CAST(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)) AS BIGINT) < e GROUP BY ALL"))
+def hourly_flow(spark, d):
+    """Counts of appearances by road, interval and hour: what the streaming query gives for a bounded table."""
+    time = F.col("ts").cast("timestamp")
+    appearances = M.table(spark, d, "events").select((F.col("user_id") % 50).alias("gid"), time.alias("ts"), times.seconds_of_day(time).cast("long").alias("timeofday_secs"))
+    return streaming_vehicle_flow(appearances, M.intervals(spark, d)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH"))

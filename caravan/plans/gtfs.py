@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravan.functions import geo, times
@@ -13,19 +13,29 @@ STATIC_SPEED, DWELL = 10, 15
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 
 
-def feed_info(spark: SparkSession, name: str, url: str, start: int, end: int, version: str | None = None, lang: str = "en") -> DataFrame:
-    schema = "feed_publisher_name string, feed_publisher_url string, feed_start_date int, feed_end_date int, feed_version string, feed_lang string"
-    return spark.createDataFrame([(name, url, start, end, version or name, lang)], schema)
+def period(rows: DataFrame, column: str) -> DataFrame:
+    """One row (start, end): the first and the last day of a column of times, as numbers YYYYMMDD; null without any."""
+    day = lambda c: F.date_format(c, "yyyyMMdd").cast("int")
+    return rows.agg(day(F.min(column)).alias("start"), day(F.max(column)).alias("end"))
+
+
+def feed_info(period: DataFrame, name: str, url: str, version: str | None = None, lang: str = "en") -> DataFrame:
+    """The feed's one row, over a period(start, end)."""
+    return period.select(F.lit(name).alias("feed_publisher_name"), F.lit(url).alias("feed_publisher_url"), F.col("start").alias("feed_start_date"), F.col("end").alias("feed_end_date"), F.lit(version or name).alias("feed_version"), F.lit(lang).alias("feed_lang"))
 
 
 def agency(agencies: DataFrame) -> DataFrame:
     return agencies.select("agency_id", "agency_name", "agency_url", "agency_timezone")
 
 
-def calendar(spark: SparkSession, start: int, end: int) -> DataFrame:
-    """Two services: every day, and Sunday to Thursday."""
-    rows = [("Ground_Daily", *[1] * 7, start, end), ("Ground_Sun_Thu", *(int(d not in ("friday", "saturday")) for d in DAYS), start, end)]
-    return spark.createDataFrame(rows, ", ".join(["service_id string", *(f"{d} int" for d in DAYS), "start_date int", "end_date int"]))
+def calendar(period: DataFrame) -> DataFrame:
+    """Two services over a period(start, end): every day, and Sunday to Thursday."""
+
+    def service(name: str, days: list[str]) -> Column:
+        return F.struct(F.lit(name).alias("service_id"), *(F.lit(int(d in days)).alias(d) for d in DAYS))
+
+    both = F.array(service("Ground_Daily", DAYS), service("Ground_Sun_Thu", [d for d in DAYS if d not in ("friday", "saturday")]))
+    return period.select(F.explode(both).alias("s"), F.col("start").alias("start_date"), F.col("end").alias("end_date")).select("s.*", "start_date", "end_date")
 
 
 def frequencies(trips_intervals: DataFrame, trips: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -61,11 +71,17 @@ def trips(rows: DataFrame) -> DataFrame:
 
 
 def complete_od(travel: DataFrame, by_vehicle: bool = True) -> DataFrame:
-    """travel with a row for each stop pair in each interval, of each vehicle, that its pairs have rows in."""
+    """travel with a row for each stop pair in each interval, of each vehicle, that its pairs have rows in. A vehicle that isn't known
+    is one of its own, so known durations of such rows stay."""
     pair = F.concat_ws("-", F.col("o_id").cast("string"), F.col("d_id").cast("string")).alias("_pair")
     keys = ["interval_id", *(["vehicle_name"] if by_vehicle else [])]
     wanted = travel.select(pair, *keys).distinct().join(travel.select(pair, "o_id", "d_id").distinct(), "_pair").drop("_pair")
-    return wanted.join(travel, ["o_id", "d_id", *keys], "left")
+    every = ["o_id", "d_id", *keys]
+    known = travel.withColumnsRenamed({c: f"_{c}" for c in every})
+    on = F.lit(True)
+    for c in every:
+        on = on & wanted[c].eqNullSafe(known[f"_{c}"])
+    return wanted.join(known, on, "left").drop(*(f"_{c}" for c in every))
 
 
 def estimate_missing_times(travel: DataFrame, by_vehicle: bool = True, lengths: DataFrame | None = None) -> DataFrame:
