@@ -101,6 +101,32 @@ def test_stages_against_brute_force(spark):
     assert ran == {i: bytes(r.ids) for i, r in coded.items()}
 
 
+def test_stages_on_odd_rows(spark):
+    """Null ids and texts, empty ones, repeated rows and columns of the operators' own names; a table without rows."""
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, None, "a"), (None, long, "b"), (1, "", "c"), (2, " \n ", "d"), (3, long, "e"), (3, long, "e"), (4, f"own {long} words", "f"), (5, " ".join(f"v{i * 7 % 901}" for i in range(900)), "g")]
+    docs = spark.createDataFrame([(i, t, c, 1, [2], True) for i, t, c in rows], "doc_id long, text string, cut string, n_words_cut int, keepers array<int>, kept boolean")
+    expected = {"quality_rules": {(None, "b"), (3, "e"), (4, "f"), (5, "g")}, "near_duplicates": {(None, "a"), (1, "c"), (2, "d"), (3, "e"), (5, "g")}, "substring_dedup": {(None, "a"), (None, "b"), (1, "c"), (2, "d"), (5, "g")}, "decontamination": {(i, c) for i, _, c in rows}}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, D)
+        found = out.collect()
+        if name in expected:
+            assert out.columns == docs.columns and {(r.doc_id, r.cut) for r in found} == expected[name]
+            assert all((r.n_words_cut, r.keepers, r.kept) == (1, [2], True) for r in found)
+        else:
+            assert len(found) == len(rows)
+        assert stage(spark, docs.limit(0), D).count() == 0
+
+
+def test_bad_documents_go(spark):
+    """Of labelled documents that pass the base rule, those called bad go far more often than those called good."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
+    passed = [r for r in docs.join(labels, "doc_id").select("doc_id", "text", "quality").collect() if (lambda n, _, __, ___, k: n >= 50 and 100 * k <= 50 * n)(*statistics(r.text))]
+    share = {q: sum(r.doc_id in kept for r in passed if r.quality == q) / max(1, sum(r.quality == q for r in passed)) for q in (0, 1)}
+    assert share[1] > 0.95 and share[0] < 0.75
+
+
 def test_license_query_matches_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
