@@ -327,13 +327,17 @@ def match_lines(road: Column, trip: Column, reach: float) -> Column:
     @F.arrow_udf(MATCH)
     def run(roads: pa.Array, trips: pa.Array) -> pa.Array:
         (road, r), (trip, t) = flat(roads), flat(trips)
-        out = np.full((len(roads), 3), np.inf)
+        out, ones, twos = np.full((len(roads), 3), np.inf), [], []
         for i in range(len(roads)):
             near = [clip_near(road[r[i] : r[i + 1]], trip[t[i] : t[i + 1]], reach), clip_near(trip[t[i] : t[i + 1]], road[r[i] : r[i + 1]], reach)]
-            one, two = (longest(merged(parts)) for parts in near)
-            if one is not None and two is not None:
-                out[i, 0] = min(discrete_frechet(one, two), discrete_frechet(one[::-1], two))
             out[i, 1:] = [sum(map(length, parts)) for parts in near]
+            one, two = (longest(merged(parts)) for parts in near)
+            ones.append(np.empty((0, 2)) if one is None else one)
+            twos.append(np.empty((0, 2)) if two is None else two)
+        if len(roads):
+            a, b = (np.r_[0, np.cumsum([len(x) for x in lines])] for lines in (ones, twos))
+            one, two = np.concatenate(ones), np.concatenate(twos)
+            out[:, 0] = np.minimum(frechet_distances(one, a, two, b), frechet_distances(_reversed(one, a), a, two, b))
         return pa.StructArray.from_arrays([pa.array(out[:, k].copy()) for k in range(3)], ["frechet", "road_length", "trip_length"])
 
     return run(road, trip)

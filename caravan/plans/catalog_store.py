@@ -280,6 +280,17 @@ def vehicle_flow_per_hour(spark, d):
     return flow.vehicle_flow(C._roads(spark, d), counts, per_hour=True)
 
 
+@query(M.sql("stops trips intervals calls legs runs", ", " + C.FLOW))
+def flow_of_feeds(spark, d):
+    """The appearances of two feeds, of trips by their status, together."""
+    trips = M.trips(spark, d)
+    counts = None
+    for feed in (trips.where("status = 'F'"), trips.where("status <> 'F'")):
+        found = flow.interval_counts(C._frequencies(spark, d).join(feed.select("trip_id"), "trip_id", "left_semi"), C._matched(spark, d), M.intervals(spark, d))
+        counts = found if counts is None else counts.unionByName(found)
+    return flow.vehicle_flow(C._roads(spark, d), counts)
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 
