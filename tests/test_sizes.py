@@ -1,5 +1,13 @@
 """Steps whose work must not outgrow their input: their plans, and odd rows through them."""
 
+import math
+import re
+
+import numpy as np
+
+from caravan.functions import kernels
+from caravan.operators import relational as R
+from caravan.operators import spatial as S
 from caravan.plans import flow
 
 
@@ -21,3 +29,77 @@ def test_runs_are_not_broadcast(spark):
                 key = (gid, t, i, at + ts)
                 want[key] = min(order, want.get(key, order))
     assert got == sorted((*k, v) for k, v in want.items())
+
+
+LINE = "array<struct<x:double,y:double>>"
+POINT = "struct<x:double,y:double>"
+
+
+def test_pairs_of_short_lines_are_not_shuffled(spark):
+    points = [(i, (float(i % 20), float(i // 20))) for i in range(200)] + [(900, None), (901, (None, 1.0))]
+    lines = [(1, [(0.0, 0.0), (19.0, 9.0)]), (2, [(5.0, 5.0)]), (3, []), (4, None), (5, [(0.0, 9.0), (10.0, 0.0), (19.0, 9.0)]), (6, [(3.0, 3.0), (3.0, 3.0)])]
+    found = S.distance_join(spark.createDataFrame(points, f"id long, point {POINT}"), spark.createDataFrame(lines, f"gid long, line {LINE}"), 1.5)
+    assert not re.search(r"hashpartitioning\(id#\d+L, gid#", plan(found))
+
+    def nearest(p, line):
+        edges = [(line[0], line[0])] if len(line) == 1 else list(zip(line, line[1:], strict=False))
+        best, before = None, 0.0
+        for a, b in edges:
+            d = (b[0] - a[0], b[1] - a[1])
+            square = d[0] ** 2 + d[1] ** 2
+            t = min(1.0, max(0.0, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / square)) if square else 0.0
+            at = math.dist(p, (a[0] + t * d[0], a[1] + t * d[1]))
+            if best is None or at < best[0]:
+                best = (at, before + t * math.sqrt(square))
+            before += math.sqrt(square)
+        return best
+
+    want = {(i, g): nearest(p, line) for i, p in points if p and None not in p for g, line in lines if line}
+    want = {k: v for k, v in want.items() if v[0] <= 1.5}
+    got = {(r.id, r.gid): (r.dist, r.along) for r in found.collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k][i], want[k][i], abs_tol=1e-9) for k in got for i in (0, 1))
+    near = S.nearest_within(spark.createDataFrame(points, f"id long, point {POINT}"), spark.createDataFrame(lines, f"gid long, line {LINE}"), 1.5, "id", "gid")
+    assert {r.id: r.gid for r in near.collect()} == {i: min((want[k][0], k[1]) for k in want if k[0] == i)[1] for i, _ in want}
+
+
+def test_lag_writes_wanted_rows_alone(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(R, "written", lambda df, label: sizes.append((label, df.count())) or df.localCheckpoint())
+    rows = spark.createDataFrame([(g, i, g * 50 + i) for g in range(20) for i in range(100)], "g int, i int, v int")
+    found = R.lag_across_groups(rows, "g", ["i"], "v", "before", "n", lambda v, before: v - before < 0)
+    assert sorted((r.g, r.i, r.v, r.before, r.n) for r in found.collect()) == [(g, 0, g * 50, (g - 1) * 50 + 99, 1) for g in range(1, 20)]
+    assert dict(sizes)["lagged"] == 40
+
+
+def test_pairs_of_lines_meet_once(spark):
+    rng = np.random.default_rng(3)
+    lines = [(i, [tuple(map(float, v)) for v in rng.integers(0, 400, (2, 2)) * (1, 0.2)]) for i in range(60)] + [(60 + i, [tuple(map(float, v)) for v in rng.integers(0, 900, (1 + i % 4, 2))]) for i in range(20)]
+    rows = spark.createDataFrame(lines, f"id_1 long, line {LINE}")
+    found = S.line_pairs(rows, rows.withColumnRenamed("id_1", "id_2"), 5.0, ["id_1"], ["id_2"])
+    assert "BroadcastHashJoin" not in plan(found)
+    t = np.linspace(0, 1, 2001)[:, None]
+    spread = {i: np.concatenate([np.array(a) + t * (np.array(b) - np.array(a)) for a, b in (zip(v, v[1:], strict=False) if len(v) > 1 else [(v[0], v[0])])]) for i, v in lines}
+    got = {(r.id_1, r.id_2): r.dist for r in found.collect()}
+    assert len(got) == found.count()
+    for i, a in lines[::5]:
+        for j, _ in lines:
+            d = min(float(np.hypot(*(spread[j] - p).T).min()) for p in spread[i][:: 1 if len(a) < 2 else 20])
+            if d < 4.9:
+                assert (i, j) in got and got[i, j] <= d + 1e-9
+            if d > 5 + 10:
+                assert (i, j) not in got
+
+
+def test_clips_take_all_pairs_at_once():
+    rng = np.random.default_rng(0)
+    lines, others = ([rng.integers(0, 60, (int(rng.integers(0, 6)), 2)).astype(float) for _ in range(400)] for _ in "ab")
+    flat = lambda rows: (np.concatenate(rows), np.r_[0, np.cumsum([len(x) for x in rows])])
+    xy, sizes, parts = kernels.clips(*flat(lines), *flat(others), 10.0)
+    each = [kernels.clip_near(a, b, 10.0) for a, b in zip(lines, others, strict=True)]
+    assert parts.tolist() == [len(x) for x in each] and sizes.tolist() == [len(p) for x in each for p in x]
+    assert np.array_equal(xy, np.concatenate([p for x in each for p in x]))
+    t = np.linspace(0, 1, 200)[:, None]
+    for found, other in zip(each, others, strict=True):
+        if len(other) > 1:
+            dense = np.concatenate([a + t * (b - a) for a, b in zip(other, other[1:], strict=False)])
+            assert all(np.hypot(*(dense - v).T).min() < 10.2 for part in found for v in part)
