@@ -89,25 +89,34 @@ def pivot_fill(df: DataFrame, by: list[str], pivot: str, values: list, column: s
     return df.groupBy(*by).pivot(pivot, values).agg(F.avg(column)).na.fill(0, subset=list(map(str, values)))
 
 
-def lag_across_groups(df: DataFrame, group: str, order: list[str], column: str, name: str) -> DataFrame:
+def lag_across_groups(df: DataFrame, group: str, order: list[str], column: str, name: str, number: str | None = None, keep=None) -> DataFrame:
     """lag(column) over the order (group, *order), not partitioned: a group's first row sees the last row of the group before.
 
-    Groups are range-partitioned and written with their partition's number, so that a group's predecessor is in its partition or
-    ends the one before; only one row a partition meets in the step that links partitions.
+    With number, such a column has a row's number in its group. keep(value, before), a condition, says which rows are wanted: others
+    are numbered and seen, but not written unless they begin or end a group.
+
+    Rows are sorted once, within groups, and written; groups are then range-partitioned and written with their partition's number, so
+    that a group's predecessor is in its partition or ends the one before. Only the groups' first rows meet what they carry, and one row
+    a partition meets in the step that links partitions.
     """
     spark = df.sparkSession
     w = Window.partitionBy(group).orderBy(*order)
-    df = written(df, "lagged")  # it is read twice, and may be a costly join
-    last = df.groupBy(group).agg(F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order)).alias("_last"))
+    at = number or "_number"
+    rows = df.where(F.col(group).isNotNull()).withColumn("_within", F.lag(column).over(w)).withColumn(at, F.row_number().over(w)).withColumn("_ends", F.lead(F.lit(True)).over(w).isNull())
+    if keep is not None:
+        rows = rows.where((F.col(at) == 1) | F.col("_ends") | keep(F.col(column), F.col("_within")))
+    rows = written(rows, "lagged")
+    last = rows.where("_ends").select(group, F.struct(F.col(column).alias("v")).alias("_last"))
     placed = written(last.repartitionByRange(group).select("*", F.spark_partition_id().alias("_part")), "ends")
     ends = sorted((r["_part"], r["_end"]) for r in placed.groupBy("_part").agg(F.max_by("_last", group).alias("_end")).collect())
     kind = df.schema[column].dataType.simpleString()
     carried = [(part, end) for (part, _), (_, end) in zip(ends[1:], ends, strict=False)]
     base = spark.createDataFrame(carried, f"_part int, _from struct<v:{kind}>")
     within = F.lag("_last").over(Window.partitionBy("_part").orderBy(group))
-    linked = placed.withColumn("_own", within).join(F.broadcast(base), "_part", "left").select(group, F.coalesce("_own", "_from")["v"].alias("_carried"))
-    rows = df.withColumn("_within", F.lag(column).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    return rows.join(linked, group).withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_within"))).drop("_within", "_first", "_carried")
+    linked = placed.withColumn("_own", within).join(F.broadcast(base), "_part", "left").select(group, F.coalesce("_own", "_from")["v"].alias(name))
+    out = rows.where(F.col(at) == 1).join(linked, group).unionByName(rows.where(F.col(at) > 1).withColumn(name, F.col("_within")))
+    out = out.drop("_within", "_ends", *([] if number else [at]))
+    return out if keep is None else out.where(keep(F.col(column), F.col(name)))
 
 
 def running_sum(column: str, by: list[str], order: Order) -> Column:

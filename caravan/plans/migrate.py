@@ -190,12 +190,13 @@ def trip_stops_sequence(stops: DataFrame, trips: DataFrame, reach: float = 1.0,
     if agencies is not None and vehicles is not None:
         named = agencies.select("agency_id", "vehicle_id").join(vehicles.select(F.col("gid").alias("vehicle_id"), F.col("name").alias("vehicle_name")), "vehicle_id", "left").drop("vehicle_id")
         trips = trips.join(named, "agency_id", "left")
-    found = S.distance_join(stops, trips, reach, "stop_id", "trip_id")
-    rows = found.withColumn("distance_frac", _fraction()).withColumn("distance", F.col("distance_frac") * metres(F.col("line")))
-    order = ["distance_frac", "stop_id"]
-    rows = R.lag_across_groups(rows, "trip_id", order, "distance", "_lag").withColumn("distance_from_prev", F.col("distance") - F.col("_lag"))
-    rows = rows.withColumn("stop_sequence", F.row_number().over(Window.partitionBy("trip_id").orderBy(*order)))
-    return rows.where(F.col("distance_from_prev") >= spacing).drop("_lag", "dist", "point", "along", "total", "near")
+    # narrow rows are sorted and numbered; the other columns come back for the stops that are left
+    measured = trips.select("trip_id", "line", metres(F.col("line")).alias("_metres"))
+    found = S.distance_join(stops.select("stop_id", "point"), measured, reach, "stop_id", "trip_id")
+    rows = found.withColumn("distance_frac", _fraction()).select("trip_id", "stop_id", "distance_frac", (F.col("distance_frac") * F.col("_metres")).alias("distance"))
+    rows = R.lag_across_groups(rows, "trip_id", ["distance_frac", "stop_id"], "distance", "_lag", "stop_sequence", lambda value, before: value - before >= spacing)
+    rows = rows.withColumn("distance_from_prev", F.col("distance") - F.col("_lag")).drop("_lag")
+    return rows.join(stops.drop("point"), "stop_id").join(trips, "trip_id")
 
 
 def od_segments(sequence: DataFrame) -> DataFrame:
