@@ -108,12 +108,10 @@ def simplify(line: Column, tolerance: float, topology: bool = False) -> Column:
     return run(line)
 
 
-def capsule_intervals(line: np.ndarray, other: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each edge of a line and each of another, the parameters between which the first is within r of the second; nan where
-    it isn't. A capsule, what is within r of an edge, is convex, so its parts in two disks and a box span one interval."""
+def capsule_intervals(p: np.ndarray, d: np.ndarray, a: np.ndarray, axis: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """For edges from p along d and other ones from a along axis, the parameters between which the first is within r of the second;
+    nan where it isn't. A capsule, what is within r of an edge, is convex, so its parts in two disks and a box span one interval."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        p, a = line[:-1, None, :], other[None, :-1, :]
-        d, axis = line[1:, None, :] - p, other[None, 1:, :] - a
         square = (d * d).sum(-1)
         low, high = [], []
         for c in (a, a + axis):
@@ -140,29 +138,64 @@ def capsule_intervals(line: np.ndarray, other: np.ndarray, r: float) -> tuple[np
     return np.where(met, t0, np.nan), np.where(met, t1, np.nan)
 
 
+#: Pairs of edges that are compared at once.
+EDGES = 500_000
+
+
+def clips(xy: np.ndarray, at: np.ndarray, xy2: np.ndarray, at2: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vertices, vertices of each part, parts of each pair): the parts of lines within r of other lines, longer than nothing, in
+    order. Lines are flat vertices and offsets; all pairs are worked on at once, as many as fit."""
+    n, m = np.maximum(np.diff(at) - 1, 0), np.maximum(np.diff(at2) - 1, 0)
+    cost = np.cumsum(n * m)
+    found, k = [], 0
+    while k < len(n):
+        stop = max(k + 1, int(np.searchsorted(cost, (cost[k - 1] if k else 0) + EDGES, side="right")))
+        found.append(_clips(xy, at[k : stop + 1], n[k:stop], xy2, at2[k : stop + 1], m[k:stop], r))
+        k = stop
+    if not found:
+        return np.empty((0, 2)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _clips(xy, at, n, xy2, at2, m, r):
+    cells = n * m
+    pair = np.repeat(np.arange(len(n)), cells)
+    cell = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
+    i, j = at[:-1][pair] + cell // np.maximum(m[pair], 1), at2[:-1][pair] + cell % np.maximum(m[pair], 1)
+    t0, t1 = capsule_intervals(xy[i], xy[np.minimum(i + 1, len(xy) - 1)] - xy[i], xy2[j], xy2[np.minimum(j + 1, len(xy2) - 1)] - xy2[j], r) if len(i) else (np.zeros(0), np.zeros(0))
+    met = np.flatnonzero(~np.isnan(t0))
+    met = met[np.lexsort((t1[met], t0[met], i[met], pair[met]))]
+    pair, i, t0, t1 = pair[met], i[met], t0[met], t1[met]
+    # spans of an edge that touch become one
+    first = np.r_[True, (pair[1:] != pair[:-1]) | (i[1:] != i[:-1])][: len(pair)]
+    begins = first.copy()
+    for q in np.flatnonzero(~first):
+        begins[q] = t0[q] > t1[q - 1] + 1e-12
+        if not begins[q]:
+            t1[q] = max(t1[q], t1[q - 1])
+    starts = np.flatnonzero(begins)
+    ends = np.r_[starts[1:], len(pair)][: len(starts)] - 1
+    pair, i, t0, t1 = pair[starts], i[starts], t0[starts], t1[ends]
+    p, d = xy[i], xy[np.minimum(i + 1, len(xy) - 1)] - xy[i]
+    a, b = p + t0[:, None] * d, p + t1[:, None] * d
+    # spans that go on from the one before belong to its part
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | ~(np.abs(b[:-1] - a[1:]) <= 1e-9).all(1)
+    part = np.cumsum(new) - 1
+    step = b - a
+    step[~new] = b[~new] - b[np.flatnonzero(~new) - 1]
+    kept = np.bincount(part, np.hypot(step[:, 0], step[:, 1])) > 0 if len(part) else np.zeros(0, bool)
+    sizes, owner = np.bincount(part) + 1 if len(part) else np.zeros(0, np.int64), pair[new]
+    out = np.empty((len(pair) + int(new.sum()), 2))
+    place = np.arange(len(pair)) + part + 1
+    out[place], out[place[new] - 1] = b, a[new]
+    return out[np.repeat(kept, sizes)], sizes[kept], np.bincount(owner[kept], minlength=len(n))
+
+
 def clip_near(line: np.ndarray, other: np.ndarray, r: float) -> list[np.ndarray]:
     """The parts of a line within r of another line, longer than nothing, in order."""
-    parts: list[list[np.ndarray]] = []
-    if len(line) < 2 or len(other) < 2:
-        return []
-    begins, ends = capsule_intervals(line, other, r)
-    for i in np.flatnonzero(~np.isnan(begins).all(1)):
-        p, q, met = line[i], line[i + 1], ~np.isnan(begins[i])
-        spans = sorted(zip(begins[i][met].tolist(), ends[i][met].tolist(), strict=True))
-        merged: list[list[float]] = []
-        for t0, t1 in spans:
-            if merged and t0 <= merged[-1][1] + 1e-12:
-                merged[-1][1] = max(merged[-1][1], t1)
-            else:
-                merged.append([t0, t1])
-        for t0, t1 in merged:
-            a, b = p + t0 * (q - p), p + t1 * (q - p)
-            if parts and np.allclose(parts[-1][-1], a, rtol=0, atol=1e-9):
-                parts[-1].append(b)
-            else:
-                parts.append([a, b])
-    lines = [np.array(x) for x in parts]
-    return [x for x in lines if length(x) > 0]
+    xy, sizes, _ = clips(line, np.array([0, len(line)]), other, np.array([0, len(other)]), r)
+    return np.split(xy, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def length(line: np.ndarray) -> float:
@@ -307,11 +340,10 @@ def clip_parts(line: Column, other: Column, reach: float) -> Column:
     @F.arrow_udf(f"array<{LINE}>")
     def run(lines: pa.Array, others: pa.Array) -> pa.Array:
         (one, i), (two, j) = flat(lines), flat(others)
-        found = [clip_near(one[i[k] : i[k + 1]], two[j[k] : j[k + 1]], reach) for k in range(len(lines))]
-        parts = [x for xs in found for x in xs]
-        flat_lines = _lines(np.concatenate(parts) if parts else np.empty((0, 2)), np.array([len(x) for x in parts], np.int64))
+        xy, sizes, parts = clips(one, i, two, j, reach)
+        flat_lines = _lines(xy, sizes)
         missing = pc.or_(lines.is_null(), others.is_null()).to_numpy(zero_copy_only=False)
-        offsets = pa.array(np.r_[0, np.cumsum([len(xs) for xs in found])].astype(np.int32), mask=np.r_[missing, False])
+        offsets = pa.array(np.r_[0, np.cumsum(parts)].astype(np.int32), mask=np.r_[missing, False])
         return pa.ListArray.from_arrays(offsets, flat_lines)
 
     return run(line, other)
@@ -327,14 +359,24 @@ def match_lines(road: Column, trip: Column, reach: float) -> Column:
     @F.arrow_udf(MATCH)
     def run(roads: pa.Array, trips: pa.Array) -> pa.Array:
         (road, r), (trip, t) = flat(roads), flat(trips)
-        out, ones, twos = np.full((len(roads), 3), np.inf), [], []
-        for i in range(len(roads)):
-            near = [clip_near(road[r[i] : r[i + 1]], trip[t[i] : t[i + 1]], reach), clip_near(trip[t[i] : t[i + 1]], road[r[i] : r[i + 1]], reach)]
-            out[i, 1:] = [sum(map(length, parts)) for parts in near]
-            one, two = (longest(merged(parts)) for parts in near)
-            ones.append(np.empty((0, 2)) if one is None else one)
-            twos.append(np.empty((0, 2)) if two is None else two)
+        out, sides = np.full((len(roads), 3), np.inf), []
+        for side, (line, i, other, j) in enumerate(((road, r, trip, t), (trip, t, road, r))):
+            xy, sizes, parts = clips(line, i, other, j, reach)
+            at = np.r_[0, np.cumsum(sizes)]
+            steps = np.hypot(*np.diff(xy, axis=0).T) if len(xy) > 1 else np.zeros(0)
+            inner = np.ones(len(steps), bool)
+            inner[at[1:-1] - 1] = False
+            part = np.repeat(np.arange(len(sizes)), sizes)[:-1]
+            lengths = np.bincount(part[inner], steps[inner], minlength=len(sizes)) if len(sizes) else np.zeros(0)
+            out[:, side + 1] = np.bincount(np.repeat(np.arange(len(parts)), parts), lengths, minlength=len(roads)) if len(sizes) else 0.0
+            # one part is the longest; of several, those that meet are merged first
+            chosen, before = [np.empty((0, 2))] * len(roads), np.r_[0, np.cumsum(parts)]
+            for k in np.flatnonzero(parts):
+                several = [xy[at[q] : at[q + 1]] for q in range(before[k], before[k + 1])]
+                chosen[k] = several[0] if len(several) == 1 else longest(merged(several))
+            sides.append(chosen)
         if len(roads):
+            ones, twos = sides
             a, b = (np.r_[0, np.cumsum([len(x) for x in lines])] for lines in (ones, twos))
             one, two = np.concatenate(ones), np.concatenate(twos)
             out[:, 0] = np.minimum(frechet_distances(one, a, two, b), frechet_distances(_reversed(one, a), a, two, b))
