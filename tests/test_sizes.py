@@ -4,8 +4,9 @@ import math
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from caravan.functions import kernels
+from caravan.functions import geo, kernels
 from caravan.operators import relational as R
 from caravan.operators import spatial as S
 from caravan.plans import flow
@@ -103,3 +104,31 @@ def test_clips_take_all_pairs_at_once():
         if len(other) > 1:
             dense = np.concatenate([a + t * (b - a) for a, b in zip(other, other[1:], strict=False)])
             assert all(np.hypot(*(dense - v).T).min() < 10.2 for part in found for v in part)
+
+
+def test_lines_of_a_batch_are_simplified_at_once():
+    rng = np.random.default_rng(0)
+    lines = [rng.integers(0, 60, (int(rng.integers(0, 9 if k % 50 else 80)), 2)).astype(float) for k in range(600)]
+    xy, at = np.concatenate(lines), np.r_[0, np.cumsum([len(x) for x in lines])]
+    for apart, one in ((False, kernels.kept), (True, kernels.kept_apart)):
+        found = kernels.kept_all(xy, at, 10.0, apart)
+        assert all(np.array_equal(found[at[k] : at[k + 1]], one(x, 10.0) if len(x) > 2 else np.ones(len(x), bool)) for k, x in enumerate(lines))
+    assert len(kernels.kept_all(np.empty((0, 2)), np.array([0, 0]), 1.0, True)) == 0
+
+
+def test_cut_edges_are_measured_segments(spark):
+    rows = [(1, [(0.0, 0.0), (1000.0, 1.0), (1000.0, 1.0), (900.0, 50.0)]), (2, [(1.0, 1.0)]), (3, []), (4, None), (5, [(0.1, 0.2), (0.3, 700.0)])]
+    frame = spark.createDataFrame(rows, f"id long, line {LINE}").coalesce(1)
+    both = frame.select("id", kernels.cut_edges(F.col("line"), 300.0).alias("a"), geo.measured_edges(geo.segmentize(F.col("line"), 300.0)).alias("b")).collect()
+    assert all(r.a == r.b for r in both if r.id != 4) and {r.id: len(r.a) for r in both if r.a is not None} == {1: 6, 2: 0, 3: 0, 5: 3}
+
+
+def test_model_runs_on_over_segments_without_speed(spark):
+    a, b, c = (0.0, 0.0), (600.0, 0.0), (600.0, 300.0)
+    rows = [(1, 0, 10.0, [a, b]), (1, 1, None, [b, c]), (1, 2, 5.0, [b, c, a]), (2, 0, 1.0, [b, c]), (3, 0, 2.0, [])]
+    frame = spark.createDataFrame(rows, f"trip_id long, segment_order int, speed double, line {LINE}")
+    found = flow.transport_model(frame).orderBy("trip_id", "point_order").collect()
+    assert [(r.trip_id, r.segment_order, r.point_order) for r in found] == [(1, 0, 0), (1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 2, 4), (1, 2, 5), (1, 2, 6), (2, 0, 0)]
+    assert np.allclose([r.timestamp for r in found[:5]], [0, 30, 60, 60, 120]) and found[2].duration is None
+    shifted = {(r.trip_id, r.point_order): r.timestamp for r in flow.transport_model(frame, compat_shift=True).collect()}
+    assert math.isclose(shifted[2, 0], found[6].timestamp + found[6].duration) and shifted[1, 0] == 0 and shifted[1, 1] == 30
