@@ -57,8 +57,9 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """(trip_id, line) through the stops that a trip calls at."""
-    at = calls(spark, d).join(stops(spark, d).select(F.col("id").alias("stop_id"), geo.point("x", "y").alias("p")), "stop_id")
-    rows = at.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("seq", "p"))).alias("_l"))
+    k = F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("k")  # the order of calls(), which needs no numbers here
+    at = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trip_id"), F.col("l_partkey").alias("stop_id"), k).join(stops(spark, d).select(F.col("id").alias("stop_id"), geo.point("x", "y").alias("p")), "stop_id")
+    rows = at.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("_l"))
     return rows.select("trip_id", F.transform("_l", lambda x: x["p"]).alias("line"))
 
 
