@@ -16,7 +16,7 @@ from caravan.functions.kernels import flat
 #: The spheroid's larger radius in metres and its flattening.
 RADIUS, FLATTENING = 6378137.0, 1 / 298.257223563
 _B = RADIUS * (1 - FLATTENING)
-#: Rounds after which a pair counts as not settled, and what it settles to, in radians (a few micrometres).
+#: Rounds after which a pair counts as not settled, and the step in radians at which it is settled (one more round follows).
 ROUNDS, SETTLED = 24, 1e-12
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(32)
 
@@ -28,13 +28,14 @@ def _reduced(lat: np.ndarray) -> np.ndarray:
 def distances(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
     """Metres between points in degrees; longitudes of any turn, so lines across the antimeridian are as any other; nan for nan."""
     lon1, lat1, lon2, lat2 = (np.asarray(v, float) for v in (lon1, lat1, lon2, lat2))
-    turn = np.radians(np.remainder(lon2 - lon1 + 180, 360) - 180)
+    turn = lon2 - lon1
+    turn = np.radians(turn - 360 * np.round(turn / 360))  # of short lines to the last bit
     u1, u2 = _reduced(np.radians(lat1)), _reduced(np.radians(lat2))
     s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
-    lam, settled = turn.copy(), np.zeros(turn.shape, bool)
+    lam, settled, last = turn.copy(), np.zeros(turn.shape, bool), False
     out = np.full(turn.shape, np.nan)
     with np.errstate(divide="ignore", invalid="ignore"):
-        for _ in range(ROUNDS):
+        for n in range(ROUNDS + 1):
             sin_sigma = np.hypot(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))
             cos_sigma = s1 * s2 + c1 * c2 * np.cos(lam)
             sigma = np.arctan2(sin_sigma, cos_sigma)
@@ -43,10 +44,11 @@ def distances(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.nda
             middle = np.where(cos2 > 1e-15, cos_sigma - 2 * s1 * s2 / cos2, 0.0)
             c = FLATTENING / 16 * cos2 * (4 + FLATTENING * (4 - 3 * cos2))
             new = turn + (1 - c) * FLATTENING * sin_alpha * (sigma + c * sin_sigma * (middle + c * cos_sigma * (2 * middle**2 - 1)))
+            if last:  # a round more for all, so that sigma is that of the settled longitude
+                break
             settled = np.abs(new - lam) <= SETTLED
             lam = new
-            if settled.all():
-                break
+            last = settled.all() or n == ROUNDS - 1
         # an equator's arc is the way only as long as no shorter one leaves it
         settled &= (np.abs(lam) <= np.pi) & ~((cos2 <= 1e-15) & (np.abs(turn) > np.pi * (1 - FLATTENING)))
         k = np.sqrt(1 + cos2 * (RADIUS**2 - _B**2) / _B**2)

@@ -39,6 +39,19 @@ def test_published_geodesics():
     assert np.isnan(spheroid.distances([np.nan], [0], [0], [0]))[0] and spheroid.distances([5], [6], [5], [6])[0] == 0
 
 
+def test_short_geodesics_to_ten_nanometres():
+    rng = np.random.default_rng(1)
+    x1, y1 = rng.uniform(-180, 180, 5000), rng.uniform(-80, 80, 5000)
+    x2, y2 = x1 + rng.uniform(-2e-4, 2e-4, 5000), y1 + rng.uniform(-2e-4, 2e-4, 5000)
+    wide = np.longdouble
+    e2 = (2 - 1 / wide("298.257223563")) / wide("298.257223563")
+    lon1, lat1, lon2, lat2 = (v.astype(wide) * np.arctan(wide(1)) / 45 for v in (x1, y1, x2, y2))
+    n1, n2 = (6378137 / np.sqrt(1 - e2 * np.sin(v) ** 2) for v in (lat1, lat2))
+    sides = (n2 * np.cos(lat2) * np.cos(lon2) - n1 * np.cos(lat1) * np.cos(lon1), n2 * np.cos(lat2) * np.sin(lon2) - n1 * np.cos(lat1) * np.sin(lon1), (n2 * np.sin(lat2) - n1 * np.sin(lat1)) * (1 - e2))
+    chord = np.sqrt(sum(v**2 for v in sides))  # shorter than the geodesic by less than 1e-9 m here
+    assert np.abs(spheroid.distances(x1, y1, x2, y2) - chord).max() < 1e-8
+
+
 def test_lengths_of_lines(spark):
     rows = [(1, [(0.0, 40.0), (137.84490004377, 41.79331020506), (0.0, 40.0)]), (2, []), (3, None), (4, [(1.0, 1.0)]), (5, [(0.0, 0.0), (179.5, 0.5)])]
     found = {r.id: r.m for r in spark.createDataFrame(rows, f"id long, line {LINE}").coalesce(1).select("id", spheroid.geodesic_length(F.col("line")).alias("m")).collect()}
