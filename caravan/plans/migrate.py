@@ -210,13 +210,12 @@ def stop_visits(trackpoints: DataFrame, instances: DataFrame, stops: DataFrame,
     """When surveyed vehicles were near stops: (stop_id, instance_id, vehicle_name, time, trip_id), the last time of each.
 
     trackpoints(id, instance_id, time, point) of valid, finished instances(id, status, valid, trip_id, vehicle_name);
-    stops(stop_id, point). A stop is a line of one vertex for the spatial join; trip_id is the smallest of the instance's.
+    stops(stop_id, point). trip_id is the smallest of the instance's.
     """
-    ran = instances.where((F.col("status") == "finished") & F.col("valid")).select(F.col("id").alias("instance_id"), "trip_id", "vehicle_name")
-    points = trackpoints.select("id", "instance_id", "time", "point").join(ran, "instance_id")
-    met = S.near_edges(points, stops.select("stop_id", F.array("point").alias("line")), reach, "id", "stop_id")
-    near = met.select("id", "stop_id").join(points.drop("point"), "id")
-    return near.groupBy("instance_id", "stop_id", "vehicle_name").agg(F.max("time").alias("time"), F.min("trip_id").alias("trip_id"))
+    ran = instances.where((F.col("status") == "finished") & F.col("valid")).groupBy(F.col("id").alias("instance_id"), "vehicle_name").agg(F.min("trip_id").alias("trip_id"))
+    points = trackpoints.select("instance_id", "time", "point").join(ran, "instance_id")
+    near = S.latest_near(points, stops, reach, ["instance_id", "vehicle_name", "trip_id"], "stop_id", "time")
+    return near.select("instance_id", "stop_id", "vehicle_name", "time", "trip_id")
 
 
 def od_durations(visits: DataFrame, segments: DataFrame, intervals: DataFrame) -> DataFrame:

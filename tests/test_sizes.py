@@ -146,3 +146,30 @@ def test_cores_of_dense_cells_are_not_sorted(spark, monkeypatch):
     assert {(r.id, r.cluster, r.core) for r in found} == brute_dbscan(points, 10.0, 4)
     assert len([1 for label, _ in plans if label in ("cells", "facing", "boxes")]) >= 3
     assert not any("SortAggregate" in text for label, text in plans if label in ("cells", "facing", "boxes"))
+
+
+def test_visits_are_not_shuffled(spark):
+    from caravan.plans import migrate
+
+    rng = np.random.default_rng(2)
+    stops = [(i, tuple(map(float, v))) for i, v in enumerate(rng.integers(0, 200, (60, 2)))] + [(7, (150.0, 10.0)), (7, (20.0, 20.0)), (None, (100.0, 100.0)), (None, (40.0, 40.0)), (90, None)]
+    track = [(i, int(rng.integers(0, 6)), int(rng.integers(0, 1000)), tuple(map(float, v))) for i, v in enumerate(rng.integers(-10, 210, (300, 2)))]
+    track += [(500, 1, None, (30.0, 30.0)), (501, None, 5, (30.0, 30.0)), (502, 1, 5, None), (503, 1, 3000, (None, 1.0)), (504, 5, None, (9000.0, 9000.0)), (505, 4, 7, (60.0, 0.0))]
+    stops += [(80, (9010.0, 9000.0)), (81, (60.0, 30.0)), (82, (60.0, -30.000001))]
+    runs = [(0, "finished", True, 5, "Bus"), (1, "finished", True, 9, "Bus"), (1, "finished", True, 8, "Bus"), (1, "finished", True, 4, None), (2, "open", True, 1, "Bus"), (3, "finished", False, 1, "Bus"), (4, "finished", True, None, "Van"), (5, "finished", True, 2, "Bus"), (None, "finished", True, 2, "Bus")]
+    frames = spark.createDataFrame(track, f"id long, instance_id long, time long, point {POINT}"), spark.createDataFrame(runs, "id long, status string, valid boolean, trip_id long, vehicle_name string"), spark.createDataFrame(stops, f"stop_id long, point {POINT}")
+    found = migrate.stop_visits(*frames, 30.0)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan(found))
+    assert not any(re.match(r"id#\d+L, \d", keys) for keys in dealt)  # pairs, to meet their points again
+    assert sum("stop_id" in keys and "instance_id" in keys for keys in dealt) <= 1  # that of stops whose key isn't theirs alone
+    want = {}
+    for _, instance, time, p in track:
+        for run, status, valid, trip, vehicle in runs:
+            if instance is not None and run == instance and status == "finished" and valid and p and None not in p:
+                for stop, q in stops:
+                    if q and math.dist(p, q) <= 30:
+                        want.setdefault((instance, stop, vehicle), []).append((time, trip))
+    least = lambda values, pick: pick((v for v in values if v is not None), default=None)
+    want = {k: (least([t for t, _ in v], max), least([t for _, t in v], min)) for k, v in want.items()}
+    rows = found.collect()
+    assert {(r.instance_id, r.stop_id, r.vehicle_name): (r.time, r.trip_id) for r in rows} == want and len(rows) == len(want)
