@@ -26,8 +26,8 @@ SCHEMAS = {
 }
 
 
-#: Bytes of a member that are parsed at once; a record is no longer than that.
-BLOCK = 1 << 24
+#: Bytes of a member that are parsed at once, 16 times as many after a record that is longer; no record is longer than the second.
+BLOCK, LONGEST = 1 << 20, 1 << 24
 
 
 def _records(member: str, wanted: list[str]):
@@ -40,34 +40,59 @@ def _records(member: str, wanted: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                archive = zipfile.ZipFile(io.BytesIO(content.as_py()))
+                archive = zipfile.ZipFile(pa.BufferReader(content.as_buffer()))  # no copy of its own
                 if member not in archive.namelist():
                     continue
                 with io.TextIOWrapper(archive.open(member), "utf-8-sig", newline="") as f:
                     header = [name.strip() for name in next(csv.reader(f), [])]
                 places = [header.index(name) if name in header else None for name in wanted]
-                columns, odd = [str(i) for i in range(len(header))], []
+                columns = [str(i) for i in range(len(header))]
                 if not header:
                     continue
-
-                def apart(row, odd=odd):
-                    odd.append(row.text)  # of another number of fields
-                    return "skip"
-
-                reader = pyarrow.csv.open_csv(
-                    archive.open(member), pyarrow.csv.ReadOptions(block_size=BLOCK, column_names=columns, skip_rows_after_names=1),
-                    pyarrow.csv.ParseOptions(newlines_in_values=True, invalid_row_handler=apart),
-                    pyarrow.csv.ConvertOptions(column_types=dict.fromkeys(columns, pa.string()), check_utf8=False, null_values=[""], strings_can_be_null=True, quoted_strings_can_be_null=False),
-                )
-                for part in reader:
-                    yield _chosen([part.column(i) for i in range(len(columns))], part.num_rows, wanted, places)
-                rows = [ragged(text, len(columns)) for text in odd if text.strip()]
-                if rows:
-                    yield _chosen([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], len(rows), wanted, places)
+                done, block = [0, 0], BLOCK  # records given out, of the header's number of fields and others
+                while True:
+                    try:
+                        for at, rows in _parts(archive.open(member), columns, block, done):
+                            given = [rows.column(i) for i in range(len(columns))] if at == 0 else [pa.array(c, pa.string()) for c in zip(*(ragged(x, len(columns)) for x in rows), strict=True)]
+                            done[at] += len(rows)
+                            if len(rows):
+                                yield _chosen(given, len(rows), wanted, places)
+                        break
+                    except pa.ArrowInvalid as error:
+                        if "straddl" not in str(error) or block >= LONGEST:
+                            raise
+                        block *= 16
 
     return run
 
 
+def _parts(stream, columns: list[str], block: int, done: list[int]):
+    """(0, batch of records) and (1, texts of records of another number of fields), without the first done[0] and done[1] of them."""
+    odd, skip = [], list(done)
+
+    def apart(row):
+        if row.text.strip():
+            odd.append(row.text)
+        return "skip"
+
+    # without threads, which would read several blocks ahead
+    reader = pyarrow.csv.open_csv(
+        stream, pyarrow.csv.ReadOptions(use_threads=False, block_size=block, column_names=columns, skip_rows_after_names=1),
+        pyarrow.csv.ParseOptions(newlines_in_values=True, invalid_row_handler=apart),
+        pyarrow.csv.ConvertOptions(column_types=dict.fromkeys(columns, pa.string()), check_utf8=False, null_values=[""], strings_can_be_null=True, quoted_strings_can_be_null=False),
+    )
+
+    def rest(at: int, rows):
+        left, skip[at] = rows[skip[at] :], max(0, skip[at] - len(rows))
+        return at, left
+
+    for part in reader:
+        yield rest(0, part)
+        texts, odd[:] = list(odd), []
+        yield rest(1, texts)
+    yield rest(1, odd)
+
+
 def _chosen(columns: list[pa.Array], n: int, wanted: list[str], places: list[int | None]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()) if i is None else columns[i] for i in places], wanted)
 

@@ -6,6 +6,7 @@ import random
 import threading
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,17 @@ def test_zip_is_what_other_tools_read(spark, tmp_path):
     names = gtfs.write_archives(spark.range(3).coalesce(1), "t.txt", f"file://{tmp_path}/z")
     with zipfile.ZipFile(tmp_path / "z" / names[0]) as z:
         assert io.TextIOWrapper(z.open("t.txt")).read().split() == ["id", "0", "1", "2"]
+
+
+def test_members_are_read_in_small_blocks_and_long_records_whole():
+    records = [(str(i), "x" * (3_000_000 if i == 40_001 else 40)) for i in range(60_000)]
+    ragged = {i: f"{i}\n" if i % 2 else f"{i},y,z\n" for i in range(100, 60_000, 100)}
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("m.txt", "a,b\n" + "".join(ragged.get(i, f'{a},"{b}"\n') for i, (a, b) in enumerate(records)))
+    batch = pa.RecordBatch.from_arrays([pa.array([data.getvalue()], pa.binary())], ["content"])
+    found = list(gtfs._records("m.txt", ["b", "a"])(iter([batch])))
+    rows = {a: b for part in found for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)}
+    assert sum(part.num_rows for part in found) == len(rows) == 60_000
+    assert rows == {a: (None if i % 2 else "y") if i in ragged else b for i, (a, b) in enumerate(records)}
+    assert found[0].nbytes < 2 << 20 and found[1].column("a").to_pylist()[0] == "100"
