@@ -7,6 +7,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.dataset
 import pytest
 
 from caravan.llm import language_id, queries, ranked_search, whitening
@@ -185,6 +187,24 @@ def test_bounds_hold_and_clusters_gather_like_documents():
     assert np.mean(pure) > 28  # of 32
 
 
+def test_wide_clusters_are_sent_and_stored_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(ranked_search, "CHUNK_BYTES", 1 << 30)  # one chunk, and one file
+    docs = [(i, " ".join(f"x{i + k}" for k in range(30_000))) for i in range(40)]
+    index = ranked_search.build_index(spark.createDataFrame(docs, "doc_id long, text string"), cluster=1)
+    assert index.clusters.count() == 40
+    files = pyarrow.dataset.dataset(index.path.removeprefix("file://") + "/clusters", format="parquet")
+    groups = [g.total_byte_size for f in files.get_fragments() for g in f.row_groups]
+    assert sum(groups) > 20_000_000 and max(groups) < 12_000_000
+    key, value = ranked_search.BATCH_ROWS
+    before = spark.conf.get(key)
+    found = ranked_search.search(index, spark.createDataFrame([("a", "x0 x30038")], "item_id string, text string"))
+    assert sorted((r.item_id, r.doc_id) for r in found.collect()) == [("a", 0), ("a", 39)] and spark.conf.get(key) == before != value
+    ranked_search.drop_index(index)
+    table = pa.table({"chunk": pa.array([3] * 9, pa.int32()), "doc_id": range(9), "n": [2] * 9, "terms": [np.arange(i, i + 2, dtype=np.uint64).tobytes() for i in range(9)], "tfs": [np.ones(2, np.uint32).tobytes()] * 9})
+    sent = list(ranked_search._build(9, 18, 4)(iter(table.to_batches(max_chunksize=5))))
+    assert [b.num_rows for b in sent] == [1, 1, 1] and sorted(i for b in sent for i in b.column("doc_ids")[0].as_py()) == list(range(9))
+
+
 def test_search_matches_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
