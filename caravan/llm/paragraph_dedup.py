@@ -21,6 +21,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,14 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _single(words: bytes) -> bytes:
+    """Words with one blank between them: equal words are equal bytes then."""
+    words = words.strip(b" ")
+    while b"  " in words:
+        words = words.replace(b"  ", b" ")
+    return words
+
+
 def cuts(hashes: np.ndarray, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """Words at which pieces begin, each text's first word among them. hashes: words of all texts; counts: of each text."""
     counts = counts[counts > 0]
@@ -79,7 +88,7 @@ def _digests(texts: Iterable[bytes]) -> np.ndarray:
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         texts = [_bytes(t) for t in batch.column(1).to_pylist()]
-        clean = [b" ".join(t.translate(W.LOWER_WORDS).split()) for t in texts]  # equal words are equal bytes
+        clean = [_single(t.translate(W.LOWER_WORDS)) for t in texts]
         data = b" ".join(filter(None, clean))
         counts = np.array([t.count(b" ") + 1 if t else 0 for t in clean], np.int64)
         starts, _, hashes = W.word_hashes(data)
@@ -137,7 +146,7 @@ class Paragraphs:
     def digests(self) -> np.ndarray:
         """16 bytes for the words of each paragraph."""
         bounds = zip(self.starts[self.begin].tolist(), self.ends[self.end - 1].tolist(), strict=True)
-        return _digests([b" ".join(self.words[i:j].split()) for i, j in bounds])
+        return _digests([_single(self.words[i:j]) for i, j in bounds])
 
     def shingles(self) -> np.ndarray:
         return W.shingle_hashes(self.hashes, self.n) if len(self.hashes) >= self.n else np.zeros(0, np.uint64)
@@ -147,8 +156,14 @@ class Paragraphs:
         length = self.end - self.begin - self.n + 1
         line = np.repeat(np.arange(len(length)), length)
         at = np.arange(len(line)) - np.repeat(np.cumsum(length) - length, length) + self.begin[line]
-        _, once = np.unique(W.mix(shingles[at] + line.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
-        return np.bincount(line[once], minlength=len(length))
+        keys = W.mix(shingles[at] + line.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        ordered = np.sort(keys)  # numpy sorts values much faster than places; few shingles repeat
+        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if not len(again):
+            return length
+        several = np.flatnonzero(again[np.minimum(np.searchsorted(again, keys), len(again) - 1)] == keys)
+        _, once = np.unique(keys[several], return_index=True)
+        return length - np.bincount(line[several], minlength=len(length)) + np.bincount(line[several[once]], minlength=len(length))
 
     def bands(self, shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
         """A key of each paragraph for each band: the hash of the band's minima."""
@@ -156,7 +171,7 @@ class Paragraphs:
         mixed, ends = W.mix(shingles), self.end - self.n + 1
         keys = np.tile(np.arange(bands, dtype=np.uint64), (len(self.begin), 1))
         for i, seed in enumerate(seeds):
-            low = self.ranges(mixed * seed >> np.uint64(1), np.minimum, ends, 2**64 - 1)
+            low = self.ranges(mixed * seed, np.minimum, ends, 2**64 - 1) >> np.uint64(1)
             keys[:, i // rows] = W.mix(keys[:, i // rows] * np.uint64(0x9FB21C651E98DF25) + low)
         return keys
 
@@ -228,33 +243,63 @@ def _cut_paragraphs(rows: DataFrame, n: int, ratio: Fraction, line: int) -> Data
     return out
 
 
-def _cut_spans(text: str | None, pieces: dict[int, int], lines: dict[int, int], least: int, line: int) -> tuple[list[tuple[int, int]], set[int]]:
-    """Merged byte spans to cut, and the documents that keep what is in them. pieces and lines: keepers by number."""
-    data = _bytes(text)
-    spans = []
-    if lines:
-        found = Paragraphs([text], 1, line)
-        spans = [(a, min(b + 1, len(data))) for number, a, b in zip(found.number.tolist(), found.top.tolist(), found.bottom.tolist(), strict=True) if number in lines]
-    keepers = set(lines.values())
-    if pieces:
-        begins, _, hashes = W.word_hashes(data.translate(W.LOWER_WORDS))
-        bounds = [*cuts(hashes, np.array([len(hashes)])).tolist(), len(hashes)]
-        run: list[int] = []
-        for p in [*sorted(pieces), -2]:
-            if run and p != run[-1] + 1:
-                a, b = bounds[run[0]], bounds[run[-1] + 1]
-                if b - a >= least:
-                    spans.append((int(begins[a]), int(begins[b]) if b < len(begins) else len(data)))
-                    keepers.update(pieces[x] for x in run)
-                run = []
-            run.append(p)
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged, keepers
+def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, numbers and keepers of the lists of a column, by row and number."""
+    row = pa.compute.list_parent_indices(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    n, lo = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in pa.compute.list_flatten(column).flatten())
+    order = np.lexsort((n, row))
+    return row[order], n[order], lo[order]
+
+
+def _word_counts(texts: list[bytes]) -> np.ndarray:
+    starts, _ = W.word_bounds(b" ".join(texts).translate(W.LOWER_WORDS))
+    return np.diff(np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+
+
+#: A row, the bytes to cut from it, and the documents that keep them.
+Span = tuple[int, int, int, list[int]]
+
+
+def _piece_spans(texts: list[bytes], column: pa.Array, least: int) -> Iterator[Span]:
+    """Runs of pieces to cut. The texts that have some are cut into pieces at once."""
+    row, n, lo = _listed(column)
+    if not len(row):
+        return
+    chosen, owner = np.unique(row, return_inverse=True)
+    mine = [texts[i] for i in chosen.tolist()]
+    begins, _, hashes = W.word_hashes(b" ".join(mine).translate(W.LOWER_WORDS))
+    offsets = np.cumsum([0, *(len(t) + 1 for t in mine)])
+    words = np.searchsorted(begins, offsets)  # of the texts before each
+    at = cuts(hashes, np.diff(words))
+    piece = np.searchsorted(at, words)[owner] + n
+    at = np.r_[at, len(hashes)]
+    opens = np.flatnonzero(np.r_[True, (np.diff(piece) != 1) | (np.diff(owner) != 0)])
+    closes = np.r_[opens[1:], len(piece)]
+    first, last = at[piece[opens]], at[piece[closes - 1] + 1]
+    begins = np.r_[begins, 0]
+    for i in np.flatnonzero(last - first >= least).tolist():
+        x = int(owner[opens[i]])
+        end = int(begins[last[i]] - offsets[x]) if last[i] < words[x + 1] else len(mine[x])
+        yield int(chosen[x]), int(begins[first[i]] - offsets[x]), end, lo[opens[i] : closes[i]].tolist()
+
+
+def _line_spans(texts: list[str | None], column: pa.Array, line: int) -> Iterator[Span]:
+    """Paragraphs to cut."""
+    row, n, lo = _listed(column)
+    if not len(row):
+        return
+    chosen, owner = np.unique(row, return_inverse=True)
+    mine = [texts[i] for i in chosen.tolist()]
+    found = Paragraphs(mine, 1, line)
+    place = found.owner << 32 | found.number  # in order
+    if not len(place):
+        return
+    wanted = owner << 32 | n
+    at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+    sizes = [len(_bytes(t)) for t in mine]
+    for x, i, keeper, same in zip(owner.tolist(), at.tolist(), lo.tolist(), (place[at] == wanted).tolist(), strict=True):
+        if same:
+            yield int(chosen[x]), int(found.top[i]), min(int(found.bottom[i]) + 1, sizes[x]), [keeper]
 
 
 CUT = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -265,23 +310,32 @@ def _apply(width: int, least: int, line: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            new: list[list] = [[], [], [], [], []]
-            for text, pieces, lines in zip(*(batch.column(c).to_pylist() for c in ("text", "_pieces", "_lines")), strict=True):
-                spans, keepers = _cut_spans(text, *({x["n"]: x["lo"] for x in places or []} for places in (pieces, lines)), least, line)
-                data, kept, at, gone = _bytes(text), [], 0, 0
-                for a, b in spans:
-                    kept.append(data[at:a])
-                    gone += len(data[a:b].translate(W.LOWER_WORDS).split())
-                    at = b
-                left = b"".join([*kept, data[at:]]) if spans else data
-                row = (left.decode("utf-8", "surrogatepass") if spans else text, len(left.translate(W.LOWER_WORDS).split()), gone, [{"start": a, "end": b} for a, b in spans], [None if k == NO_ID else k for k in sorted(keepers)])
-                for column, value in zip(new, row, strict=True):
-                    column.append(value)
+            texts = batch.column("text").to_pylist()
+            left = [_bytes(t) for t in texts]
+            spans: dict[int, list[tuple[int, int]]] = {}
+            keepers: dict[int, set[int]] = {}
+            for row, a, b, kept in [*_piece_spans(left, batch.column("_pieces"), least), *_line_spans(texts, batch.column("_lines"), line)]:
+                spans.setdefault(row, []).append((a, b))
+                keepers.setdefault(row, set()).update(kept)
+            gone = np.zeros(len(texts), np.int64)
+            for row, found in spans.items():
+                merged: list[tuple[int, int]] = []
+                for a, b in sorted(found):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+                    else:
+                        merged.append((a, b))
+                data, spans[row] = left[row], merged
+                gone[row] = sum(len(data[a:b].translate(W.LOWER_WORDS).split()) for a, b in merged)
+                left[row] = b"".join(data[a:b] for a, b in zip([0, *(b for _, b in merged)], [*(a for a, _ in merged), len(data)], strict=True))
+                texts[row] = left[row].decode("utf-8", "surrogatepass")
             names = batch.schema.names[:width]
             rest = [batch.column(i) for i in range(width)]
-            rest[names.index("text")] = pa.array(new[0], pa.string())
-            added = [pa.array(c, k) for c, k in zip(new[1:], (pa.int64(), pa.int64(), CUT, pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([*rest, *added], [*names, "n_words_left", "n_words_cut", "cut", "keepers"])
+            if spans:
+                rest[names.index("text")] = pa.array(texts, pa.string())
+            cut = [[{"start": a, "end": b} for a, b in spans.get(i, ())] for i in range(len(texts))]
+            kept = [[None if k == NO_ID else k for k in sorted(keepers.get(i, ()))] for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(_word_counts(left)), pa.array(gone), pa.array(cut, CUT), pa.array(kept, pa.list_(pa.int64()))], [*names, "n_words_left", "n_words_cut", "cut", "keepers"])
 
     return run
 

@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,6 +407,49 @@ def test_paragraph_dedup(spark, docs, empty):
     assert paragraph_dedup.tune(0.8, 0.97) == 5
 
 
+def test_paragraph_dedup_cuts_many_texts_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [None if i % 50 == 7 else "" if i % 50 == 8 else "  Two\n\nwords \t" if i % 50 == 9 else " ".join(f"{'É' if x % 7 else 'A'}{x}" for x in rng.integers(0, 999, 1 + 3 * i % 190)) + "\n " * (i % 3) for i in range(300)]
+    pieces, lines, want = [], [], []
+    for i, t in enumerate(texts):
+        data, spans, keepers = (t or "").encode(), [], set()
+        begins, _, hashes = W.word_hashes(data.translate(W.LOWER_WORDS))
+        bounds = [*paragraph_dedup.cuts(hashes, np.array([len(hashes)])).tolist(), len(hashes)] if len(hashes) else [0]
+        k = len(bounds) - 1
+        # the first two and the last two pieces of every text, so that runs of texts that follow each other touch
+        chosen = sorted({*range(min(2, k)), *range(max(0, k - 2), k)})
+        pieces.append([{"n": p, "lo": -p - i} for p in chosen][::-1] or None)
+        runs = [chosen] if k <= 4 else [chosen[:2], chosen[2:]]
+        for r in filter(None, runs):
+            if bounds[r[-1] + 1] - bounds[r[0]] >= 12:
+                spans.append((int(begins[bounds[r[0]]]), int(begins[bounds[r[-1] + 1]]) if bounds[r[-1] + 1] < len(begins) else len(data)))
+                keepers |= {-p - i for p in r}
+        whole = len(hashes) >= 20 and i % 5 == 0
+        lines.append([{"n": 0, "lo": paragraph_dedup.NO_ID}] if whole else None)
+        if whole:
+            spans.append((0, data.find(b"\n") + 1 or len(data)))
+            keepers.add(None)
+        spans.sort()
+        for j in range(len(spans) - 1, 0, -1):
+            if spans[j][0] <= spans[j - 1][1]:
+                spans[j - 1 : j + 1] = [(spans[j - 1][0], max(spans[j - 1][1], spans[j][1]))]
+        gone = sum(len(data[a:b].split()) for a, b in spans)
+        want.append((spans, sorted(keepers - {None}), None in keepers, gone, len(data.split()) - gone))
+    listed = pa.list_(pa.struct([("n", pa.int32()), ("lo", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts, pa.string()), pa.array(pieces, listed), pa.array(lines, listed)], ["doc_id", "text", "_pieces", "_lines"])
+    calls, hashed = [], W.word_hashes
+    monkeypatch.setattr(W, "word_hashes", lambda text: calls.append(len(text)) or hashed(text))
+    for some in (batch, batch.slice(13, 200)):
+        calls.clear()
+        (out,) = paragraph_dedup._apply(2, 12, 20)(iter([some]))
+        assert len(calls) <= 2  # not once for each text
+        for r in out.to_pylist():
+            spans, keepers, null, gone, left = want[r["doc_id"]]
+            assert [(x["start"], x["end"]) for x in r["cut"]] == spans and (r["n_words_cut"], r["n_words_left"]) == (gone, left)
+            assert [k for k in r["keepers"] if k is not None] == keepers and (None in r["keepers"]) == null
+            assert r["text"] is None if texts[r["doc_id"]] is None else len(r["text"].split()) == left
+
+
 def brute_repeats(rows):
     """For each document, which of its words stand in a run of at least 50 that a document with a smaller id has as well."""
     words = {i: (t or "").lower().split() for i, t in rows}
