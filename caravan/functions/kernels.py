@@ -204,6 +204,159 @@ def cut_edges(line: Column, longest: float) -> Column:
     return run(line)
 
 
+def _edges(xy: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges of flat lines: how many each line has and its first one's number; of each edge the first vertex, the vector to the second
+    one, the length and the length before it. Sums run within lines, so that they round as one line's does."""
+    n = np.maximum(np.diff(at) - 1, 0)
+    first = np.cumsum(n) - n
+    i = np.repeat(at[:-1], n) + np.arange(n.sum()) - np.repeat(first, n)
+    a = xy[i]
+    d = xy[i + 1] - a if len(i) else a
+    size = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1])
+    before = np.zeros(len(size))
+    for rank in range(1, int(n.max(initial=0))):
+        here = first[n > rank] + rank
+        before[here] = before[here - 1] + size[here - 1]
+    return n, first, a, d, size, before
+
+
+def _with_each(of: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that belong to lines, each with all edges of its line: (row, edge) of each such pair and where a row's pairs begin."""
+    many = n[of]
+    starts = np.cumsum(many) - many
+    row = np.repeat(np.arange(len(of)), many)
+    return row, first[of][row] + np.arange(len(row)) - starts[row], starts
+
+
+def _first_of(hit: np.ndarray, edge: np.ndarray, starts: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The first edge that is hit among the pairs of each row that has some, -1 where there is none."""
+    out = np.full(len(starts), -1)
+    if some.any():
+        low = np.minimum.reduceat(np.where(hit, edge, np.iinfo(np.int64).max), starts[some])
+        out[some] = np.where(low == np.iinfo(np.int64).max, -1, low)
+    return out
+
+
+def legs_between(xy: np.ndarray, at: np.ndarray, points: np.ndarray, of_points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(legs of each line, length of each leg, vertices of each leg, the vertices): the parts of lines from each of its points to the
+    next, points being moved to the nearest place of the line, the first of several. Legs without two places have no vertices."""
+    n, first, a, d, size, before = _edges(xy, at)
+    calls = np.diff(of_points)
+    of = np.repeat(np.arange(len(calls)), calls)
+    row, edge, starts = _with_each(of, n, first)
+    some = n[of] > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, e, square = points[row] - a[edge], d[edge], (d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1])[edge]
+        t = np.where(square == 0, 0.0, np.clip((p[:, 0] * e[:, 0] + p[:, 1] * e[:, 1]) / square, 0, 1))
+        off = points[row] - (a[edge] + t[:, None] * e)
+        far = np.sqrt(off[:, 0] * off[:, 0] + off[:, 1] * off[:, 1])
+        least = np.full(len(of), np.nan)
+        if some.any():
+            least[some] = np.minimum.reduceat(far, starts[some])
+        nearest = _first_of(far == least[row], edge, starts, some)
+        known = nearest >= 0
+        k = np.maximum(nearest, 0)
+        pick = starts + k - first[of]
+        along = np.where(known, before[k] + t[np.minimum(pick, len(t) - 1)] * size[k], np.nan) if len(t) else np.full(len(of), np.nan)
+        on = _first_of((before[edge] + size[edge] >= along[row]) & (size[edge] > 0), edge, starts, some)
+        k = np.maximum(on, 0)
+        places = a[k] + np.maximum(0.0, (along - before[k]) / size[k])[:, None] * d[k] if len(a) else np.full((len(of), 2), np.nan)
+        ends = xy[np.maximum(at[1:][of] - 1, 0)] if len(xy) else places
+        places = np.where((along <= 0)[:, None], xy[np.minimum(at[:-1][of], max(len(xy) - 1, 0))] if len(xy) else places, np.where((on >= 0)[:, None], places, ends))
+        legs = np.maximum(calls - 1, 0)
+        last = np.zeros(len(of), bool)
+        last[of_points[1:][calls > 0] - 1] = True
+        i = np.flatnonzero(~last)
+        lo, hi = (np.fmin(along[i], along[i + 1]), np.fmax(along[i], along[i + 1])) if len(i) else (along[i], along[i])
+        whole = known[i] & known[np.minimum(i + 1, max(len(known) - 1, 0))] if len(i) else np.zeros(0, bool)
+        row, edge, _ = _with_each(of[i], n, first)
+        inside = whole[row] & (before[edge] > lo[row]) & (before[edge] < hi[row])
+    row, edge = row[inside], edge[inside]
+    inner = np.bincount(row, minlength=len(i))
+    sizes = np.where(whole, inner + 2, 0)
+    begin = np.cumsum(sizes) - sizes
+    out = np.empty((sizes.sum(), 2))
+    out[begin[whole]], out[begin[whole] + sizes[whole] - 1] = places[i[whole]], places[i[whole] + 1]
+    rank = np.arange(len(row)) - (np.cumsum(inner) - inner)[row]
+    back = along[i] > along[i + 1] if len(i) else np.zeros(0, bool)
+    out[begin[row] + np.where(back[row], inner[row] - rank, rank + 1)] = a[edge]
+    step = np.diff(out, axis=0)
+    step = np.sqrt(step[:, 0] * step[:, 0] + step[:, 1] * step[:, 1])
+    owner = np.repeat(np.arange(len(i)), sizes)
+    within = owner[1:] == owner[:-1]
+    return legs, np.bincount(owner[1:][within], step[within], minlength=len(i)), sizes, out
+
+
+LEGS = f"array<struct<at:int,length:double,line:{LINE},duration:bigint,began:double,points:bigint>>"
+
+
+def trip_legs(line: Column, points: Column, seconds: Column, spacing: float) -> Column:
+    """The legs of trips longer than nothing, of all trips of a batch at once: array<struct<at: number of the point it leaves, length, line,
+    duration, began, points>>.
+
+    line is a trip's, points where it calls and seconds when; a leg's line is geo.substring() between places of geo.locate(). began is
+    the sum of the durations before, points the number of parts no longer than spacing that the legs before are cut into. Legs without
+    a begin, an end or a time to begin at are none. Null for null.
+    """
+
+    @F.arrow_udf(LEGS)
+    def run(lines: pa.Array, calls: pa.Array, times: pa.Array) -> pa.Array:
+        (xy, at), (places, of_places) = flat(lines), flat(calls)
+        legs, lengths, sizes, out = legs_between(xy, at, places, of_places)
+        clock = times.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        trip = np.repeat(np.arange(len(legs)), legs)
+        number = np.arange(len(trip)) - np.repeat(np.cumsum(legs) - legs, legs)
+        i = of_places[:-1][trip] + number
+        start, end = clock[i], clock[np.minimum(i + 1, max(len(clock) - 1, 0))] if len(i) else clock[i]
+        keep = (lengths > 0) & ~np.isnan(start)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        out = out[keep[owner]]
+        trip, number, start, end, lengths, sizes = (v[keep] for v in (trip, number, start, end, lengths, sizes))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        step = np.diff(out, axis=0)
+        parts = np.maximum(1, np.ceil(np.sqrt(step[:, 0] * step[:, 0] + step[:, 1] * step[:, 1]) / spacing))
+        within = owner[1:] == owner[:-1]
+        parts = np.bincount(owner[1:][within], parts[within], minlength=len(sizes)).astype(np.int64)
+        duration = end - start
+        counts = np.bincount(trip, minlength=len(legs)) if len(trip) else np.zeros(len(legs), np.int64)
+
+        def sum_before(v: np.ndarray) -> np.ndarray:
+            done = np.r_[0, np.cumsum(v)]
+            return done[:-1] - done[np.repeat(np.cumsum(counts) - counts, counts)]
+
+        rows = pa.StructArray.from_arrays([
+            pa.array(number.astype(np.int32)), pa.array(lengths), _lines(out, sizes), pa.array(np.nan_to_num(duration).astype(np.int64), mask=np.isnan(duration)),
+            pa.array(sum_before(np.nan_to_num(duration)).astype(float)), pa.array(sum_before(parts).astype(np.int64)),
+        ], ["at", "length", "line", "duration", "began", "points"])
+        missing = pc.or_(lines.is_null(), calls.is_null()).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32), mask=np.r_[missing, False]), rows)
+
+    return run(line, points, seconds)
+
+
+COUNTED = "array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>,at:double,len:double,n:int,before:int>>"
+
+
+def counted_edges(line: Column, longest: float) -> Column:
+    """The edges of a line, each with the length before it, its own, the number of equal parts that are no longer than longest, and the
+    number of such parts before it. Null for null."""
+
+    @F.arrow_udf(COUNTED)
+    def run(lines: pa.Array) -> pa.Array:
+        xy, at = flat(lines)
+        edges, first, a, d, size, before = _edges(xy, at)
+        n = np.maximum(1, np.ceil(size / longest)).astype(np.int32)
+        until = np.cumsum(n) - n
+        until -= np.repeat(until[first[edges > 0]], edges[edges > 0])
+        i = np.repeat(at[:-1], edges) + np.arange(len(size)) - np.repeat(first, edges)
+        point = lambda v: pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v[:, c])) for c in (0, 1)], ["x", "y"])
+        rows = pa.StructArray.from_arrays([point(a), point(xy[i + 1] if len(i) else a), pa.array(before), pa.array(size), pa.array(n), pa.array(until.astype(np.int32))], ["a", "b", "at", "len", "n", "before"])
+        missing = lines.is_null().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(edges)].astype(np.int32), mask=np.r_[missing, False]), rows)
+
+    return run(line)
+
+
 def capsule_intervals(p: np.ndarray, d: np.ndarray, a: np.ndarray, axis: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
     """For edges from p along d and other ones from a along axis, the parameters between which the first is within r of the second;
     nan where it isn't. A capsule, what is within r of an edge, is convex, so its parts in two disks and a box span one interval."""

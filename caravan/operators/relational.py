@@ -89,11 +89,11 @@ def pivot_fill(df: DataFrame, by: list[str], pivot: str, values: list, column: s
     return df.groupBy(*by).pivot(pivot, values).agg(F.avg(column)).na.fill(0, subset=list(map(str, values)))
 
 
-def lag_across_groups(df: DataFrame, group: str, order: list[str], column: str, name: str, number: str | None = None, keep=None) -> DataFrame:
+def lag_across_groups(df: DataFrame, group: str, order: list[str], column: str, name: str, number: str | None = None, keep=None, firsts: bool = False) -> DataFrame:
     """lag(column) over the order (group, *order), not partitioned: a group's first row sees the last row of the group before.
 
     With number, such a column has a row's number in its group. keep(value, before), a condition, says which rows are wanted: others
-    are numbered and seen, but not written unless they begin or end a group.
+    are numbered and seen, but not written unless they begin or end a group. With firsts, groups' first rows are what is asked for, kept or not.
 
     Rows are sorted once, within groups, and written; groups are then range-partitioned and written with their partition's number, so
     that a group's predecessor is in its partition or ends the one before. Only the groups' first rows meet what they carry, and one row
@@ -114,7 +114,10 @@ def lag_across_groups(df: DataFrame, group: str, order: list[str], column: str,
     base = spark.createDataFrame(carried, f"_part int, _from struct<v:{kind}>")
     within = F.lag("_last").over(Window.partitionBy("_part").orderBy(group))
     linked = placed.withColumn("_own", within).join(F.broadcast(base), "_part", "left").select(group, F.coalesce("_own", "_from")["v"].alias(name))
-    out = rows.where(F.col(at) == 1).join(linked, group).unionByName(rows.where(F.col(at) > 1).withColumn(name, F.col("_within")))
+    begun = rows.where(F.col(at) == 1).join(linked, group)
+    if firsts:
+        return begun.drop("_within", "_ends", *([] if number else [at]))
+    out = begun.unionByName(rows.where(F.col(at) > 1).withColumn(name, F.col("_within")))
     out = out.drop("_within", "_ends", *([] if number else [at]))
     return out if keep is None else out.where(keep(F.col(column), F.col(name)))
 

@@ -92,21 +92,32 @@ def estimate_missing_times(travel: DataFrame, by_vehicle: bool = True, lengths:
     return R.mean_impute(rows, "duration", keys)
 
 
-def stop_times(sequence: DataFrame, travel: DataFrame, interval_id, start: int, dwell: int = DWELL, wrap: bool = False, fan_out: bool = False) -> DataFrame:
-    """Arrivals and departures of sequence(trip_id, stop_id, stop_sequence, distance, vehicle_name).
+def leg_seconds(sequence: DataFrame, travel: DataFrame, interval_id, fan_out: bool = False) -> DataFrame:
+    """(trip_id, stop_id, stop_sequence, duration) of sequence(trip_id, stop_id, stop_sequence, distance, vehicle_name): the seconds from
+    the stop before.
 
     travel(o_id, d_id, interval_id, vehicle_name, duration): a leg's mean duration in the given interval; with fan_out, every row
-    of it, as joined tables would. Legs without one take length / 10 seconds, rounded up; the first stop none. Hours pass 24
-    unless wrapped.
+    of it, as joined tables would. Legs without one take length / 10 seconds, rounded up; the first stop none.
     """
     w = Window.partitionBy("trip_id").orderBy("stop_sequence")
     legs = sequence.withColumn("from_id", F.lag("stop_id").over(w)).withColumn("length", F.coalesce(F.col("distance") - F.lag("distance").over(w), F.lit(0.0)))
     known = travel.where(F.col("interval_id") == interval_id).select(F.col("o_id").alias("from_id"), F.col("d_id").alias("stop_id"), "vehicle_name", F.col("duration").cast("double").alias("_d"))
     known = known if fan_out else known.groupBy("from_id", "stop_id", "vehicle_name").agg(F.avg("_d").alias("_d"))
-    timed = legs.join(known, ["from_id", "stop_id", "vehicle_name"], "left")
+    timed = legs.select("trip_id", "stop_id", "stop_sequence", "from_id", "vehicle_name", "length").join(known, ["from_id", "stop_id", "vehicle_name"], "left")
     seconds = F.when(F.col("_d").isNotNull(), F.col("_d")).when(F.col("stop_sequence") != 1, F.ceil(F.col("length") / STATIC_SPEED).cast("double")).otherwise(F.lit(0.0))
+    return timed.select("trip_id", "stop_id", "stop_sequence", seconds.alias("duration"))
+
+
+def arrivals(legs: DataFrame, start: int, dwell: int = DWELL) -> DataFrame:
+    """legs(trip_id, stop_sequence, duration, ...) with arrival, in seconds of the day."""
     total = R.running_sum("duration", ["trip_id"], ["stop_sequence"])
-    rows = timed.withColumn("duration", seconds).withColumn("arrival", F.floor(total) + F.lit(start) + (F.col("stop_sequence") - 1) * dwell)
+    return legs.withColumn("arrival", F.floor(total) + F.lit(start) + (F.col("stop_sequence") - 1) * dwell)
+
+
+def stop_times(sequence: DataFrame, travel: DataFrame, interval_id, start: int, dwell: int = DWELL, wrap: bool = False, fan_out: bool = False) -> DataFrame:
+    """Arrivals and departures of sequence(trip_id, stop_id, stop_sequence, distance, vehicle_name), by leg_seconds(). Hours pass 24
+    unless wrapped."""
+    rows = arrivals(leg_seconds(sequence, travel, interval_id, fan_out), start, dwell)
     return rows.select("trip_id", "stop_id", "stop_sequence", times.format_hms(F.col("arrival"), wrap).alias("arrival_time"), times.format_hms(F.col("arrival") + dwell, wrap).alias("departure_time"))
 
 

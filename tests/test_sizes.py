@@ -180,3 +180,84 @@ def test_segments_are_made_in_tasks_that_are_not_coalesced(spark):
 
     text = plan(catalog.lead_od_segments(spark, "/root/testdata/sf0.001"))
     assert re.search(r"hashpartitioning\(trip_id#\d+L, \d+\), REPARTITION_BY_NUM", text) and text.count("Exchange") == 3
+
+
+def odd_trips(spark, trips=60):
+    """Stop times, lines and stops with what is rare: stops without a place or a row, times without a value, lines that are short, and
+    calls at a stop that the line passes twice."""
+    rng = np.random.default_rng(4)
+    places = {k: (float(rng.integers(0, 3000)), float(rng.integers(0, 3000))) for k in range(12)}
+    stops = [(k, p) for k, p in places.items() if k != 7] + [(90, None)]
+    calls, lines = [], []
+    for t in range(trips):
+        at = [int(k) for k in rng.integers(0, 12, int(rng.integers(1, 9)))]
+        lines.append((t, [places[k] for k in at] if t % 9 else [places[k] for k in at][:1]))
+        for i, k in enumerate(at):
+            stop = None if (t, i) == (3, 1) else 90 if (t + i) % 17 == 0 else k
+            calls.append((t, stop, i + 1, None if (t + i) % 13 == 0 else f"{t % 30:02d}:{i * 7 % 60:02d}:{(t * i) % 60:02d}"))
+    lines[1], lines[2] = (1, []), (2, None)
+    frames = spark.createDataFrame(calls, "trip_id long, stop_id long, stop_sequence long, arrival_time string"), spark.createDataFrame(lines, f"trip_id long, line {LINE}"), spark.createDataFrame(stops, f"stop_id long, point {POINT}")
+    return frames, calls, dict(lines), dict(stops)
+
+
+def test_legs_are_parts_of_lines(spark):
+    (stop_times, lines, stops), calls, line_of, place = odd_trips(spark)
+    found = flow.trip_segments(stop_times, lines, stops)
+    assert not re.search(r"hashpartitioning\((from|to)_id", plan(found)) and plan(found).count("Exchange hashpartitioning") <= 4
+    seconds = lambda text: None if text is None else sum(int(x) * k for x, k in zip(text.split(":"), (3600, 60, 1), strict=True))
+    asked, first = [], {}
+    for a, b in zip(calls, calls[1:], strict=False):
+        if a[0] == b[0] and a[1] is not None and a[3] is not None:
+            first[a[0]] = min(seconds(a[3]), first.get(a[0], math.inf))
+            if place.get(a[1]) and place.get(b[1]) and line_of[a[0]]:
+                asked.append((a[0], b[2] - 1, line_of[a[0]], place[a[1]], place[b[1]], seconds(a[3]), seconds(b[3])))
+    frame = spark.createDataFrame(asked, f"trip_id long, segment_order int, line {LINE}, p {POINT}, q {POINT}, t long, u long").coalesce(1)
+    part = geo.substring(F.col("line"), geo.locate(F.col("line"), F.col("p"))["along"], geo.locate(F.col("line"), F.col("q"))["along"])
+    want = {(r.trip_id, r.segment_order): r for r in frame.select("trip_id", "segment_order", "t", "u", part.alias("part"), geo.length(part).alias("length")).where("length > 0").collect()}
+    got = {(r.trip_id, r.segment_order): r for r in found.collect()}
+    assert set(got) == set(want) and len(got) > 80 and any(len(r.line) > 2 for r in got.values())
+    for k, r in got.items():
+        assert np.allclose(r.line, want[k].part, rtol=0, atol=1e-9) and math.isclose(r.length, want[k].length)
+        assert r.trip_start_time == first[k[0]] and r.start_time == want[k].t - first[k[0]] and r.duration == (None if want[k].u is None else want[k].u - want[k].t)
+
+
+def test_model_of_legs_is_not_shuffled(spark):
+    (stop_times, lines, stops), *_ = odd_trips(spark)
+    segments = flow.trip_segments(stop_times, lines, stops)
+    found = flow.transport_model(segments)
+    assert plan(found).count("Exchange") == plan(segments).count("Exchange")
+    plain = segments.select("trip_id", "segment_order", "speed", "line")
+    rows = lambda df: sorted((r.trip_id, r.point_order, r.segment_order, r.timestamp, r.length, r.line[0].x, r.line[1].x) for r in df.collect())
+    assert np.allclose(rows(found), rows(flow.transport_model(plain)), rtol=0, atol=1e-6)
+
+
+def test_shift_over_trips_carries_no_lines(spark, monkeypatch):
+    kinds = {}
+    monkeypatch.setattr(R, "written", lambda df, label: kinds.update({label: df.dtypes}) or df.localCheckpoint())
+    (stop_times, lines, stops), *_ = odd_trips(spark)
+    segments = flow.trip_segments(stop_times, lines, stops)
+    found = {(r.trip_id, r.point_order): r.timestamp for r in flow.transport_model(segments, compat_shift=True).collect()}
+    assert not any("array" in kind for _, kind in kinds["lagged"])
+    totals = {r.trip_id: r.s for r in flow.transport_model(segments).groupBy("trip_id").agg(F.coalesce(F.sum("duration"), F.lit(0.0)).alias("s")).collect()}
+    trips = sorted(totals)
+    assert all(math.isclose(found[t, 0], totals[before] if before is not None else 0.0, abs_tol=1e-6) for before, t in zip([None, *trips], trips, strict=False))
+
+
+def test_calls_are_dealt_to_trips_once(spark):
+    from caravan.plans import mapping as M
+
+    calls = M.calls(spark, "/root/testdata/sf0.001")
+    assert plan(calls.withColumn("d", R.running_sum("q", ["trip_id"], ["seq"]))).count("Exchange") == 1
+
+
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    values = [*rng.uniform(-9000, 9000, 500).tolist(), 0.03125, -0.03125, 2.5, 1e300, -1e17, 0.0, 0.00005, 1.0005, 5e-324, None]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").coalesce(1)
+    got = [r.r for r in frame.select("i", geo.rounded(F.col("v"), 4).alias("r")).orderBy("i").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
+    assert got == [r[0] for r in con.execute("SELECT round(v, 4) FROM t ORDER BY i").fetchall()]
