@@ -127,13 +127,15 @@ TRACK = "track AS (SELECT event_id AS id, user_id AS instance_id, epoch_us(ts) /
 VISITS = "visit AS (SELECT instance_id, probes.id AS stop_id, max(time) AS time, min(trip_id) AS trip_id FROM track JOIN inst ON inst.id = instance_id JOIN probes ON probes.x BETWEEN px - 30 AND px + 30 AND sqrt((px-probes.x)*(px-probes.x)+(py-probes.y)*(py-probes.y)) <= 30 GROUP BY ALL)"
 
 
-def _visits(spark, d):
+def _visits(spark, d, at=None):
+    """Visits of stops, or of those whose stop_id is among at's."""
     n = M.table(spark, d, "customer").agg(F.count("*").alias("n"))
     events = M.table(spark, d, "events").crossJoin(F.broadcast(n)).withColumn("at", F.col("event_id") * 31 % F.col("n"))
     moved = geo.point(F.col("x") + F.col("event_id") % 57 - 28, F.col("y") + F.col("event_id") % 41 - 20)
     points = events.join(M.probes(spark, d).withColumnRenamed("id", "at"), "at").select(F.col("event_id").alias("id"), F.col("user_id").alias("instance_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"), moved.alias("point"))
     instances = M.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", "open").otherwise("finished").alias("status"), (F.col("c_acctbal") > -500).alias("valid"), F.col("c_nationkey").alias("trip_id"), F.lit("Bus").alias("vehicle_name"))
-    return migrate.stop_visits(points, instances, C._probes(spark, d).withColumnRenamed("id", "stop_id"))
+    stops = C._probes(spark, d).withColumnRenamed("id", "stop_id")
+    return migrate.stop_visits(points, instances, stops if at is None else stops.join(at, "stop_id", "left_semi"))
 
 
 @query(M.sql("probes", f", {TRACK}, {VISITS} SELECT instance_id, stop_id, time, trip_id FROM visit"))
@@ -148,7 +150,9 @@ SELECT seg.o_id, seg.d_id, interval_id, duration, round(dist / duration * 3.6, 5
 def od_stats_trackpoints(spark, d):
     """Speeds between stops from trackpoints within 30 m of them."""
     segments = written(migrate.od_segments(C._sequence(spark, d).withColumn("vehicle_name", F.lit("Bus"))), "segments")
-    durations = migrate.od_durations(_visits(spark, d), segments, M.intervals(spark, d).withColumn("active", F.lit(True)))
+    # visits of other stops, whose number grows with the product of both tables, aren't made
+    at = segments.select(F.explode(F.array("o_id", "d_id")).alias("stop_id")).distinct()
+    durations = migrate.od_durations(_visits(spark, d, at), segments, M.intervals(spark, d).withColumn("active", F.lit(True)))
     return migrate.od_stats(segments, durations).select("o_id", "d_id", "interval_id", "duration", F.round("speed", 5).alias("speed"))
 
 
@@ -233,7 +237,7 @@ def geodesic_join_30m(spark, d):
     degrees = lambda p: geo.point(p["x"] / 100000 + 31, p["y"] / 100000 + 30)
     lines = M.roads(spark, d).select("gid", F.transform("line", degrees).alias("line"))
     points = M.probes(spark, d).select("id", degrees(F.struct("x", "y")).alias("point"))
-    return S.geodesic_join(points, lines, 30.0).select("id", "gid", F.round("dist", 2).alias("dist"))
+    return S.geodesic_join(points, lines, 30.0).select("id", "gid", geo.rounded(F.col("dist"), 2).alias("dist"))
 
 
 @query("SELECT event_id, CAST(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)) AS INTEGER) AS tod, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1000000.0, 3) AS since, printf('%02d:%02d:00', hour(ts), minute(ts)) AS hm FROM events")

@@ -190,13 +190,35 @@ def trip_stops_sequence(stops: DataFrame, trips: DataFrame, reach: float = 1.0,
     if agencies is not None and vehicles is not None:
         named = agencies.select("agency_id", "vehicle_id").join(vehicles.select(F.col("gid").alias("vehicle_id"), F.col("name").alias("vehicle_name")), "vehicle_id", "left").drop("vehicle_id")
         trips = trips.join(named, "agency_id", "left")
-    # narrow rows are sorted and numbered; the other columns come back for the stops that are left
+    # narrow rows are numbered; the other columns come back for the stops that are left
     measured = trips.select("trip_id", "line", metres(F.col("line")).alias("_metres"))
     found = S.distance_join(stops.select("stop_id", "point"), measured, reach, "stop_id", "trip_id")
-    rows = found.withColumn("distance_frac", _fraction()).select("trip_id", "stop_id", "distance_frac", (F.col("distance_frac") * F.col("_metres")).alias("distance"))
-    rows = R.lag_across_groups(rows, "trip_id", ["distance_frac", "stop_id"], "distance", "_lag", "stop_sequence", lambda value, before: value - before >= spacing)
-    rows = rows.withColumn("distance_from_prev", F.col("distance") - F.col("_lag")).drop("_lag")
-    return rows.join(stops.drop("point"), "stop_id").join(trips, "trip_id")
+    place = lambda found: found.withColumn("distance_frac", _fraction()).select("trip_id", "stop_id", "distance_frac", (F.col("distance_frac") * F.col("_metres")).alias("distance"))
+    if spacing > 0:
+        kept = _spaced(place(found), spacing)
+        again = S.distance_join(stops.select("stop_id", "point"), measured.join(kept.select("trip_id").distinct(), "trip_id", "left_semi"), reach, "stop_id", "trip_id")
+        first = place(again).select("trip_id", "stop_id", "distance_frac").join(kept, ["trip_id", "distance_frac"])
+        rows = first.groupBy("trip_id", "distance_frac", "distance", "stop_sequence", "distance_from_prev").agg(F.min("stop_id").alias("stop_id"))
+    else:
+        rows = R.lag_across_groups(place(found), "trip_id", ["distance_frac", "stop_id"], "distance", "_lag", "stop_sequence", lambda value, before: value - before >= spacing)
+        rows = rows.withColumn("distance_from_prev", F.col("distance") - F.col("_lag")).drop("_lag")
+    if len(stops.columns) > 2:
+        rows = rows.join(stops.drop("point"), "stop_id")
+    return rows.join(trips, "trip_id")
+
+
+def _spaced(rows: DataFrame, spacing: float) -> DataFrame:
+    """(trip_id, distance_frac, distance, stop_sequence, distance_from_prev) of the rows(trip_id, distance_frac, distance) that are a spacing
+    or more from the one before, over all trips; the first of several at one place.
+
+    Of stops within a part of a trip shorter than the spacing only the first can be such a row, and only the last can come before
+    another: each task keeps a part's first, last and number, so that the many stops of dense trips are neither shuffled nor sorted.
+    """
+    parts = rows.groupBy("trip_id", F.floor(F.col("distance") / (spacing * 0.999)).alias("_part")).agg(F.count("*").alias("_n"), F.min("distance_frac").alias("distance_frac"), F.min("distance").alias("_first"), F.max("distance").alias("_last"))
+    before = Window.partitionBy("trip_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = parts.withColumn("stop_sequence", F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).select("trip_id", "_part", "distance_frac", "stop_sequence", F.struct(F.col("_first").alias("first"), F.col("_last").alias("last")).alias("_span"))
+    kept = R.lag_across_groups(spans, "trip_id", ["_part"], "_span", "_before", keep=lambda span, before: span["first"] - before["last"] >= spacing)
+    return written(kept.select("trip_id", "distance_frac", F.col("_span.first").alias("distance"), "stop_sequence", (F.col("_span.first") - F.col("_before.last")).alias("distance_from_prev")), "spaced")
 
 
 def od_segments(sequence: DataFrame) -> DataFrame:

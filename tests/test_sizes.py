@@ -261,3 +261,86 @@ def test_rounding_is_that_of_sql(spark):
     con.execute("CREATE TABLE t (i INTEGER, v DOUBLE)")
     con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
     assert got == [r[0] for r in con.execute("SELECT round(v, 4) FROM t ORDER BY i").fetchall()]
+
+
+def test_long_edges_are_few_rows_and_meet_leaves(spark):
+    rng = np.random.default_rng(6)
+    spots = [*rng.uniform(0, 1000, (400, 2)), *rng.uniform(300, 310, (300, 2)), *[(500.0, 500.0)] * 80]
+    points = spark.createDataFrame([(i, tuple(map(float, v))) for i, v in enumerate(spots)], f"id long, point {POINT}")
+    ends = rng.uniform(0, 1000, (40, 2, 2))
+    lines = spark.createDataFrame([(g, [tuple(map(float, v)) for v in line]) for g, line in enumerate(ends)], f"gid long, line {LINE}")
+    edges = S.edge_table(lines, "line", "gid")
+    cell = S._cell_size(edges, 2.0)
+    assert S.edge_cells(edges, 2.0, cell).count() < 25 * len(ends)
+    leaves = S._leaves(S._placed(points, cell, "point"), F.lit(2.0), cell).collect()
+    assert sum(len(r._points) for r in leaves) == len(spots) and max(len(r._points) for r in leaves) <= S.LEAF
+    assert all(r._x1 <= p._x <= r._x2 and r._y1 <= p._y <= r._y2 for r in leaves for p in r._points)
+    d = ends[:, 1] - ends[:, 0]
+    t = np.clip(((np.array(spots)[:, None] - ends[None, :, 0]) * d).sum(2) / (d * d).sum(1), 0, 1)
+    far = np.hypot(*np.moveaxis(np.array(spots)[:, None] - ends[None, :, 0] - t[..., None] * d, 2, 0))
+    got = {(r.id, r.gid): r.dist for r in S.distance_join(points, lines, 2.0).collect()}
+    assert set(got) == set(zip(*map(list, np.nonzero(far <= 2.0)), strict=True)) and all(math.isclose(v, far[k], abs_tol=1e-9) for k, v in got.items())
+
+
+def test_short_geodesics_need_no_python(spark):
+    from caravan.functions import spheroid
+
+    rng = np.random.default_rng(7)
+    at = np.column_stack([rng.uniform(-180, 180, 400), rng.uniform(-79, 79, 400)])
+    points = [(i, tuple(map(float, v))) for i, v in enumerate(at)]
+    lines = [(i, [tuple(map(float, v + rng.uniform(-3e-4, 3e-4, 2))), tuple(map(float, v + rng.uniform(-3e-4, 3e-4, 2)))]) for i, v in enumerate(at)]
+    found = S.geodesic_join(spark.createDataFrame(points, f"id long, point {POINT}"), spark.createDataFrame(lines, f"gid long, line {LINE}"), 30.0).select("id", "gid", "point", "near", "dist")
+    assert "ArrowEvalPython" not in plan(found)
+    rows = found.collect()
+    exact = spheroid.distances(*np.array([(r.point.x, r.point.y, r.near.x, r.near.y) for r in rows]).T)
+    assert len(rows) > 200 and np.abs(exact - [r.dist for r in rows]).max() < 5e-9
+    assert "ArrowEvalPython" in plan(S.geodesic_join(spark.createDataFrame(points, f"id long, point {POINT}"), spark.createDataFrame(lines, f"gid long, line {LINE}"), 3000.0).select("id", "gid", "dist"))
+
+
+def test_nearest_lines_are_looked_for_near_first(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    spots, ends = rng.uniform(0, 200, (150, 2)), rng.uniform(0, 200, (500, 2, 2))
+    spots[:3] = [(260.0, 260.0), (-900.0, 0.0), ends[7, 0]]
+    points = spark.createDataFrame([(i, tuple(map(float, v))) for i, v in enumerate(spots)], f"id long, point {POINT}")
+    lines = spark.createDataFrame([(g, [tuple(map(float, v)) for v in line]) for g, line in enumerate(ends)], f"gid long, line {LINE}")
+    asked, meet = [], S._meet
+    monkeypatch.setattr(S, "_meet", lambda placed, cells, reach, cell: asked.append(placed.count()) or meet(placed, cells, reach, cell))
+    got = {r.id: (r.gid, r.dist) for r in S.nearest_within(points, lines, 100.0, "id", "gid").collect()}
+    assert len(asked) >= 3 and asked[0] == 150 and asked[-2] < 10  # few look as far as the reach
+    d = ends[:, 1] - ends[:, 0]
+    t = np.clip(((spots[:, None] - ends[None, :, 0]) * d).sum(2) / (d * d).sum(1), 0, 1)
+    far = np.hypot(*np.moveaxis(spots[:, None] - ends[None, :, 0] - t[..., None] * d, 2, 0))
+    assert set(got) == set(np.flatnonzero(far.min(1) <= 100)) and all(g == far[i].argmin() and math.isclose(v, far[i].min(), abs_tol=1e-9) for i, (g, v) in got.items())
+
+
+def test_stops_of_dense_trips_are_neither_shuffled_nor_sorted(spark, monkeypatch):
+    from caravan.plans import migrate
+
+    rng = np.random.default_rng(9)
+    stops = [(i, tuple(map(float, v))) for i, v in enumerate(rng.integers(0, 500, (150, 2)) * (1, 0.02))] + [(1000 - i, (40.0 + i % 2, 3.0)) for i in range(300)]
+    trips = [(1, [(0.0, 0.0), (500.0, 10.0)]), (2, [(500.0, 0.0), (0.0, 5.0)]), (3, [(60.0, 0.0), (40.0, 9.0)]), (4, [(5.0, 5.0)]), (5, [(0.0, 9.0), (200.0, 9.0), (0.0, 9.0)]), (6, [(460.0, 2.0), (490.0, 2.0)])]
+    frames = spark.createDataFrame(stops, f"stop_id long, point {POINT}"), spark.createDataFrame(trips, f"trip_id long, line {LINE}")
+    sizes = []
+    monkeypatch.setattr(R, "written", lambda df, label: sizes.append((label, df.count())) or df.localCheckpoint())
+    found = migrate.trip_stops_sequence(*frames, reach=12.0, spacing=8.0)
+    assert dict(sizes)["lagged"] < 250
+    rows = sorted((r.trip_id, r.along / r.total if r.total else 0.0, r.stop_id, r.total) for r in S.distance_join(*frames, 12.0, "stop_id", "trip_id").collect())
+    want, number, before, last = [], 0, None, None
+    for trip, frac, stop, total in rows:
+        number = number + 1 if trip == last else 1
+        if before is not None and frac * total - before >= 8.0:
+            want.append((trip, stop, number, frac * total, frac * total - before))
+        before, last = frac * total, trip
+    got = sorted((r.trip_id, r.stop_id, r.stop_sequence, r.distance, r.distance_from_prev) for r in found.collect())
+    assert len(rows) > 1000 and len(want) > 5 and [w[:3] for w in sorted(want)] == [g[:3] for g in got] and np.allclose([w[3:] for w in sorted(want)], [g[3:] for g in got])
+
+
+def test_only_stops_of_segments_are_visited(spark, monkeypatch):
+    from caravan.plans import catalog as C
+    from caravan.plans import catalog_sdi, migrate
+
+    asked, visits = [], migrate.stop_visits
+    monkeypatch.setattr(migrate, "stop_visits", lambda points, instances, stops: asked.append(stops.count()) or visits(points, instances, stops))
+    C.QUERIES["od_stats_trackpoints"](spark, "/root/testdata/sf0.01")
+    segments = migrate.od_segments(C._sequence(spark, "/root/testdata/sf0.01").withColumn("vehicle_name", F.lit("Bus")))
+    assert asked == [segments.select(F.explode(F.array("o_id", "d_id"))).distinct().count()] and catalog_sdi.C is C
