@@ -192,14 +192,15 @@ def trip_stops_sequence(stops: DataFrame, trips: DataFrame, reach: float = 1.0,
         trips = trips.join(named, "agency_id", "left")
     # narrow rows are numbered; the other columns come back for the stops that are left
     measured = trips.select("trip_id", "line", metres(F.col("line")).alias("_metres"))
-    found = S.distance_join(stops.select("stop_id", "point"), measured, reach, "stop_id", "trip_id")
     place = lambda found: found.withColumn("distance_frac", _fraction()).select("trip_id", "stop_id", "distance_frac", (F.col("distance_frac") * F.col("_metres")).alias("distance"))
     if spacing > 0:
-        kept = _spaced(place(found), spacing)
+        parts = S.distance_join(stops.select("stop_id", "point"), measured, reach, "stop_id", "trip_id", each=lambda found, cells: _parts(found, cells, spacing))
+        kept = _spaced(parts, measured.select("trip_id", "_metres"), spacing)
         again = S.distance_join(stops.select("stop_id", "point"), measured.join(kept.select("trip_id").distinct(), "trip_id", "left_semi"), reach, "stop_id", "trip_id")
         first = place(again).select("trip_id", "stop_id", "distance_frac").join(kept, ["trip_id", "distance_frac"])
         rows = first.groupBy("trip_id", "distance_frac", "distance", "stop_sequence", "distance_from_prev").agg(F.min("stop_id").alias("stop_id"))
     else:
+        found = S.distance_join(stops.select("stop_id", "point"), measured, reach, "stop_id", "trip_id")
         rows = R.lag_across_groups(place(found), "trip_id", ["distance_frac", "stop_id"], "distance", "_lag", "stop_sequence", lambda value, before: value - before >= spacing)
         rows = rows.withColumn("distance_from_prev", F.col("distance") - F.col("_lag")).drop("_lag")
     if len(stops.columns) > 2:
@@ -207,16 +208,27 @@ def trip_stops_sequence(stops: DataFrame, trips: DataFrame, reach: float = 1.0,
     return rows.join(trips, "trip_id")
 
 
-def _spaced(rows: DataFrame, spacing: float) -> DataFrame:
-    """(trip_id, distance_frac, distance, stop_sequence, distance_from_prev) of the rows(trip_id, distance_frac, distance) that are a spacing
-    or more from the one before, over all trips; the first of several at one place.
+def _parts(found: DataFrame, cells: list[str], spacing: float) -> DataFrame:
+    """(trip_id, _part, _n, _first, _last): the number of stops, and the first and last fraction, of parts of trips shorter than the
+    spacing; of what a task has of them, if cells tell how pairs are dealt."""
+    part = F.floor(_fraction() * F.col("_metres") / (spacing * 0.999)).alias("_part")
+    rows = found.select(*cells, "trip_id", part, _fraction().alias("_at"))
+    return rows.groupBy(*cells, "trip_id", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), F.max("_at").alias("_last")).drop(*cells)
 
-    Of stops within a part of a trip shorter than the spacing only the first can be such a row, and only the last can come before
-    another: each task keeps a part's first, last and number, so that the many stops of dense trips are neither shuffled nor sorted.
+
+def _spaced(parts: DataFrame, metres: DataFrame, spacing: float) -> DataFrame:
+    """(trip_id, distance_frac, distance, stop_sequence, distance_from_prev) of the stops in parts, of _parts(), that are a spacing or more
+    from the one before, over all trips; the first of several at one place. metres(trip_id, _metres).
+
+    Of stops within a part only the first can be such a stop, and only the last can come before another: the many stops of dense trips
+    are neither shuffled nor sorted. Parts are dealt by trip once.
     """
-    parts = rows.groupBy("trip_id", F.floor(F.col("distance") / (spacing * 0.999)).alias("_part")).agg(F.count("*").alias("_n"), F.min("distance_frac").alias("distance_frac"), F.min("distance").alias("_first"), F.max("distance").alias("_last"))
+    spark = parts.sparkSession
+    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "trip_id")
+    whole = dealt.groupBy("trip_id", "_part").agg(F.sum("_n").alias("_n"), F.min("_first").alias("distance_frac"), F.max("_last").alias("_last")).join(metres.hint("merge"), "trip_id")
     before = Window.partitionBy("trip_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = parts.withColumn("stop_sequence", F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).select("trip_id", "_part", "distance_frac", "stop_sequence", F.struct(F.col("_first").alias("first"), F.col("_last").alias("last")).alias("_span"))
+    span = F.struct((F.col("distance_frac") * F.col("_metres")).alias("first"), (F.col("_last") * F.col("_metres")).alias("last"))
+    spans = whole.withColumn("stop_sequence", F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).select("trip_id", "_part", "distance_frac", "stop_sequence", span.alias("_span"))
     kept = R.lag_across_groups(spans, "trip_id", ["_part"], "_span", "_before", keep=lambda span, before: span["first"] - before["last"] >= spacing)
     return written(kept.select("trip_id", "distance_frac", F.col("_span.first").alias("distance"), "stop_sequence", (F.col("_span.first") - F.col("_before.last")).alias("distance_from_prev")), "spaced")
 
