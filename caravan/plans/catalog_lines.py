@@ -59,12 +59,12 @@ _CUTS = C.CLIPPED[C.CLIPPED.index("dd AS") : C.CLIPPED.index("cut AS")].rstrip("
 def clip_parts(spark, d):
     """The numbered parts of bent streets within 10 m of other ones."""
     bent = _bent(spark, d)
-    pairs = S.line_pairs(bent, bent.withColumnRenamed("gid", "other"), 10.0, ["gid"], ["other"], 100.0).where("gid < other").select("gid", "other")
-    both = pairs.join(bent, "gid").join(bent.select(F.col("gid").alias("other"), F.col("line").alias("line2")), "other")
-    parts = both.select("gid", "other", F.posexplode(kernels.clip_parts(F.col("line"), F.col("line2"), 10.0)).alias("part", "l"))
+    other = bent.select(F.col("gid").alias("other"), "line", F.col("line").alias("line2"))
+    both = S.line_pairs(bent.withColumn("line1", F.col("line")), other, 10.0, ["gid"], ["other"], 100.0, ("line1",), ("line2",)).where("gid < other")
+    parts = both.select("gid", "other", F.posexplode(kernels.clip_parts(F.col("line1"), F.col("line2"), 10.0)).alias("part", "l"))
     long = parts.withColumn("length", geo.length(F.col("l"))).where("length > 1e-6")
-    at = lambda c: F.round(F.get("l", F.lit(0))[c] + 0.0000137, 3)
-    return long.select("gid", "other", F.col("part").cast("long").alias("part"), F.round(F.col("length") + 0.0000137, 3).alias("length"), at("x").alias("x"), at("y").alias("y"))
+    at = lambda c: geo.rounded(F.get("l", F.lit(0))[c] + 0.0000137, 3)
+    return long.select("gid", "other", F.col("part").cast("long").alias("part"), geo.rounded(F.col("length") + 0.0000137, 3).alias("length"), at("x").alias("x"), at("y").alias("y"))
 
 
 @query("SELECT c_custkey AS gid, 5 AS plain, CASE WHEN c_custkey % 2 = 0 THEN 6 ELSE 5 END AS apart, CASE WHEN c_custkey % 2 = 0 THEN -5.0 - c_custkey % 5 ELSE 0.0 END AS lowest FROM customer")

@@ -344,3 +344,39 @@ def test_only_stops_of_segments_are_visited(spark, monkeypatch):
     C.QUERIES["od_stats_trackpoints"](spark, "/root/testdata/sf0.01")
     segments = migrate.od_segments(C._sequence(spark, "/root/testdata/sf0.01").withColumn("vehicle_name", F.lit("Bus")))
     assert asked == [segments.select(F.explode(F.array("o_id", "d_id"))).distinct().count()] and catalog_sdi.C is C
+
+
+def test_matched_pairs_are_not_shuffled(spark):
+    rng = np.random.default_rng(10)
+    ends = rng.uniform(0, 300, (40, 2, 2))
+    segments = spark.createDataFrame([(i, 0, 10.0, [tuple(map(float, v)) for v in line + 2]) for i, line in enumerate(ends)], f"trip_id long, segment_order int, speed double, line {LINE}")
+    roads = spark.createDataFrame([(i, [tuple(map(float, v)) for v in line]) for i, line in enumerate(ends)], f"gid long, line {LINE}")
+    found = flow.match_to_roads(segments, flow.transport_model(segments), roads)
+    assert "WindowGroupLimit" not in plan(found)
+    assert {(r.trip_id, r.gid) for r in found.collect()} >= {(i, i) for i in range(40)}
+
+
+def test_boxes_are_not_shuffled(spark):
+    lines = spark.createDataFrame([(1, [(0.0, 0.0), (5.0, 5.0)])], f"id_1 long, line {LINE}")
+    text = S.line_pairs(lines, lines.withColumnRenamed("id_1", "id_2"), 5.0, ["id_1"], ["id_2"])._jdf.queryExecution().optimizedPlan().toString()
+    below = [text.splitlines()[i + 1] for i, line in enumerate(text.splitlines()) if "RepartitionByExpression [cx" in line or "RepartitionByExpression [o_cx" in line]
+    assert below and not any(re.search(r"[xy][12]#\d+", re.sub(r"\(.*?\)", "", line.split("[", 1)[1].split("]")[0])) for line in below if "Project" in line)
+
+
+def test_short_frechet_distances_are_those_of_tables():
+    rng = np.random.default_rng(11)
+    p, q = rng.uniform(0, 9, (300, 2, 2)), rng.uniform(0, 9, (300, 2, 2))
+    at = np.arange(0, 601, 2)
+    d = np.hypot(*np.moveaxis(p[:, :, None] - q[:, None], 3, 0))
+    want = np.maximum(d[:, 1, 1], np.minimum(d[:, 0, 0], np.minimum(np.maximum(d[:, 0, 0], d[:, 0, 1]), np.maximum(d[:, 0, 0], d[:, 1, 0]))))
+    assert np.array_equal(kernels.frechet_distances(p.reshape(-1, 2), at, q.reshape(-1, 2), at), want)
+
+
+def test_boardings_and_places_are_not_shuffled_in_pairs(spark):
+    segments = spark.createDataFrame([(1, 0, 10.0, 0, [(0.0, 0.0), (900.0, 0.0)])], f"trip_id long, segment_order int, speed double, start_time long, line {LINE}")
+    model = flow.transport_model(segments).join(segments.select("trip_id", "segment_order", "start_time"), ["trip_id", "segment_order"])
+    boardings = spark.createDataFrame([(1, 5, 100, 1, 7, 2, (300.0, 4.0)), (1, 5, 200, 2, 1, 0, (-5.0, 0.0))], f"trip_id long, instance_id long, departed long, created_at long, board long, alight long, point {POINT}")
+    intervals = spark.createDataFrame([("a", 0, 1000)], "interval_name string, s long, e long")
+    _, occupied = flow.segment_occupancy(model, boardings, intervals)
+    assert not re.search(r"hashpartitioning\(_n#\d+L", plan(occupied))
+    assert [(r.point_order, r.occupancy) for r in occupied.orderBy("point_order", "occupancy").collect()] == [(0, 5), (0, 6), (1, 11), (2, 11)]
